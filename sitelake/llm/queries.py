@@ -37,7 +37,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelake.llm.pieces import encoding_digest
+
+    return encoding_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pieces": op2_pieces,
     "op3_line_dedup": op3_line_dedup,
     "op6_quality": op6_quality,
     "op9_decontaminate": op9_decontaminate,
