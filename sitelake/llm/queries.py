@@ -43,7 +43,14 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digest(table(spark, sf_dir, "documents"))
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelake.llm.pii import span_digest
+
+    return span_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_personal_data": op1_personal_data,
     "op2_pieces": op2_pieces,
     "op3_line_dedup": op3_line_dedup,
     "op6_quality": op6_quality,
