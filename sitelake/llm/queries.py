@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelake.llm import linededup, quality
+from sitelake.llm import linededup, quality, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,10 +49,24 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelake.llm.warc import archive_digest
+
+    return archive_digest(table(spark, sf_dir, "pages"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelake.llm.urlfilter import url_digest
+
+    return url_digest(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_personal_data,
     "op2_pieces": op2_pieces,
     "op3_line_dedup": op3_line_dedup,
+    "op4_warc": op4_warc,
+    "op5_url_filter": op5_url_filter,
     "op6_quality": op6_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
@@ -60,5 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": linededup.ORACLE_SQL,
+    "op4_warc": warc.ORACLE_SQL,
+    "op5_url_filter": urlfilter.ORACLE_SQL,
     "op6_quality": quality.ORACLE_SQL,
 }
