@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelake.llm import linededup, quality, urlfilter, warc
+from sitelake.llm import chat, linededup, quality, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_digest(table(spark, sf_dir, "pages"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelake.llm.chat import conversation_digest
+
+    return conversation_digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_personal_data,
     "op2_pieces": op2_pieces,
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_url_filter": op5_url_filter,
     "op6_quality": op6_quality,
+    "op7_chat": op7_chat,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
 }
@@ -77,4 +84,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_warc": warc.ORACLE_SQL,
     "op5_url_filter": urlfilter.ORACLE_SQL,
     "op6_quality": quality.ORACLE_SQL,
+    "op7_chat": chat.ORACLE_SQL,
 }
