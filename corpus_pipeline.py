@@ -4,20 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sitelake.llm import decontam, linededup, pieces, quality, simhash
 from sitelake.llm.common import written
-from sitelake.llm.decontam import decontaminate
 from sitelake.llm.queries import table
 
 
-def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that several documents share stay in the first of them."""
+    return linededup.keep_unique_lines(docs)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return simhash.keep_first(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every text, with the digest of their decoding."""
+    return pieces.encoding_digest(docs)
 
 
 STAGES = [
-    ("decontaminate", _decontaminate),
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("simhash_dedup", simhash_dedup),
+    ("decontaminate", decontaminate),
+    ("encode", encode),
 ]
 
-#: SQL can't express the stages; tests hold run() against a brute-force version.
+#: SQL can't express the last stages; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
