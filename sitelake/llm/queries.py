@@ -67,6 +67,12 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digest(table(spark, sf_dir, "conversations"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelake.llm.repeats import repeat_digest
+
+    return repeat_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_personal_data,
     "op2_pieces": op2_pieces,
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_quality": op6_quality,
     "op7_chat": op7_chat,
+    "op8_repeats": op8_repeats,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
 }
