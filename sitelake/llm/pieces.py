@@ -8,7 +8,7 @@ path back from the end of the text is the encoding. Only the last `longest piece
 of a new edge: the window. When all backpointer paths from the window meet at one boundary, everything
 before it is committed and forgotten. Where the vocabulary has no piece across two neighbouring
 characters, as before a word's space, all paths meet by construction; the text is cut there and the ids
-of a stretch are kept in a bounded cache. A character that is no piece becomes its UTF-8 byte pieces.
+of a stretch are kept in a bounded cache; stretches with a common prefix share its nodes. A character that is no piece becomes its UTF-8 byte pieces.
 
 As the library does, a space reads as U+2581, one is put before the text, and empty texts have no ids.
 Decoding joins the pieces' bytes and drops that one space. A text with U+2581 itself decodes to a space
@@ -35,7 +35,7 @@ from sitelake.llm.common import raw_texts, sliced
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64 << 20
 #: Stretches kept in the cache, and pairs whose validity is known; each is emptied when full.
-CACHE, PAIRS = 200_000, 400_000
+CACHE, PAIRS = 500_000, 400_000
 SPACE = "▁"
 
 
@@ -64,6 +64,11 @@ class Model:
         self.cut_before_space = not any(x[1] == SPACE != x[0] for x in across)
         self.stretch = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.cut_before_space else r"(?s).+")
         self.pairs: dict[tuple[str, str], bool] = {}
+        #: Lengths of the pieces that end with these (at most three) characters, longest first.
+        self.ending: dict[str, set[int]] = {}
+        for p in self.id:
+            self.ending.setdefault(p[-3:], set()).add(len(p))
+        self.lengths: dict[str, tuple[int, ...]] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -87,6 +92,59 @@ class Model:
             found = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return found
 
+    def lengths_of(self, tail: str) -> tuple[int, ...]:
+        """Lengths that a piece ending with these characters can have; a single character always can."""
+        if len(self.lengths) >= PAIRS:
+            self.lengths.clear()
+        own = {1}.union(*(self.ending.get(tail[-k:], ()) for k in range(1, len(tail) + 1)))
+        self.lengths[tail] = found = tuple(sorted(own, reverse=True))
+        return found
+
+    def extend(self, text: str, last: list[str]) -> None:
+        """Add the nodes of a stretch to those of its prefix: last[i] is the last piece of text[:i]."""
+        known, lengths, pairs = self.id, self.lengths, self.pairs
+        for i in range(len(last), len(text) + 1):
+            tail = text[i - 3 : i] if i > 2 else text[:i]
+            for n in lengths.get(tail) or self.lengths_of(tail):
+                if n > i:
+                    continue
+                piece = text[i - n : i]
+                if n <= 3 or piece in known:
+                    before = last[i - n]
+                    if not before:
+                        break
+                    ok = pairs.get((before, piece))
+                    if ok or (ok is None and self.valid(before, piece)):
+                        break
+            else:
+                raise ValueError(f"no path to {i} of {text!r}")
+            last.append(piece)
+
+    def learn(self, stretches: set[str]) -> None:
+        """Put the ids of stretches that are within the window into the cache. They are taken in sorted
+        order, since the nodes of a common prefix are the same and needn't be made again."""
+        missing = sorted(s for s in stretches if s not in self.cache and len(s) <= 4 * self.longest)
+        if len(self.cache) + len(missing) > CACHE:
+            self.cache = {s: self.cache[s] for s in stretches if s in self.cache}
+        before, last, known = "", [""], self.id
+        for text in missing:
+            k = 0
+            for x, y in zip(before, text, strict=False):
+                if x != y:
+                    break
+                k += 1
+            del last[k + 1 :]
+            self.extend(text, last)
+            before, done, i = text, [], len(text)
+            while i:
+                done.append(last[i])
+                i -= len(done[-1])
+            ids: list[int] = []
+            for piece in reversed(done):
+                own = known.get(piece)
+                ids += [own] if own is not None else [self.byte_id[b] for b in piece.encode()]
+            self.cache[text] = tuple(ids)
+
     def stream(self, text: str) -> Iterator[str]:
         """The pieces of a stretch, each as soon as it is certain."""
         longest, known, valid = self.longest, self.id, self.valid
@@ -125,26 +183,26 @@ class Model:
         yield from reversed(done)
 
     def ids_of(self, stretch: str) -> tuple[int, ...]:
-        found = self.cache.get(stretch)
-        if found is None:
+        """The ids of a stretch longer than the window, streamed."""
+        ids: list[int] = []
+        for piece in self.stream(stretch):
+            own = self.id.get(piece)
+            ids += [own] if own is not None else [self.byte_id[b] for b in piece.encode()]
+        return tuple(ids)
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        cut = [self.stretch.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        self.learn(set().union(*cut))
+        get, out = self.cache.get, []
+        for own in cut:
             ids: list[int] = []
-            for piece in self.stream(stretch):
-                i = self.id.get(piece)
-                ids += [i] if i is not None else [self.byte_id[b] for b in piece.encode()]
-            found = tuple(ids)
-            if len(stretch) <= 64:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[stretch] = found
-        return found
+            for stretch in own:
+                ids += get(stretch) or self.ids_of(stretch)
+            out.append(ids)
+        return out
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        if text:
-            cache, ids_of = self.cache, self.ids_of
-            for stretch in self.stretch.findall(SPACE + text.replace(" ", SPACE)):
-                out += cache.get(stretch) or ids_of(stretch)
-        return out
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         text = b"".join(self.table[ids]) if len(ids) else b""
@@ -176,9 +234,9 @@ def model_bytes(spark: SparkSession, path: str = MODEL) -> bytes:
 
 def _encoded(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     model = model_of(sent.value)
-    for batch in sliced(batches):
+    for batch in sliced(batches, most=2 << 20):
         texts = [raw.decode("utf-8", "replace") for raw in raw_texts(batch)]
-        rows = [np.array(model.encode(t), np.int32) for t in texts]
+        rows = [np.array(x, np.int32) for x in model.encode_all(texts)]
         ends = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
         decoded = [model.decode(x) for x in rows]
         same = [x == t.replace(SPACE, " ") for x, t in zip(decoded, texts, strict=True)]
