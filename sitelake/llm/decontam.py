@@ -159,13 +159,10 @@ class Shard:
                 if not len(todo) and (k > 2 or not slop):
                     break
                 alive[todo] = self.has(term[todo], start[todo] + off[todo])
+                if k == 2 and slop:  # an exact match is one of these too; its items are left out in the end
+                    near.append((win[close & fits], start[close & fits]))
                 if k >= 2:  # few are left
-                    keep = alive | (close if k <= 2 else False)
-                    if k == 2:
-                        gone = close & ~alive & fits
-                        near.append((win[gone], start[gone]))
-                        keep = alive
-                    win, start, alive, fits, close = win[keep], start[keep], alive[keep], fits[keep], close[keep]
+                    win, start, alive, fits, close = win[alive], start[alive], alive[alive], fits[alive], close[alive]
             exact.append((win[alive], start[alive]))
 
         for win, start in self.candidates(w):

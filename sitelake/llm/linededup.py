@@ -49,15 +49,17 @@ def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents with `kept` (their text without dropped lines), `n_lines` and `n_dropped`."""
-    drop = shared_lines(docs, min_chars, min_docs).withColumnsRenamed({"_id": "_drop_id", "_text": "_drop_text"})
-    own = docs.withColumns({"_id": id_key(), "_text": F.xxhash64("text")})
-    joined = own.join(drop, (F.col("_id") == F.col("_drop_id")) & (F.col("_text") == F.col("_drop_text")), "left")
-    lines = _lines(F.col("text"))
-    kept = F.when(F.col("positions").isNull(), F.coalesce("text", F.lit(""))).otherwise(
+    drop = shared_lines(docs, min_chars, min_docs).select(F.col("_id").alias("drop_id"), F.col("_text").alias("drop_text"), "positions")
+    # the row stays packed until the end, so that no column of it can clash
+    own = docs.select(F.struct("*").alias("row"), id_key().alias("id"), F.xxhash64("text").alias("text_hash"))
+    joined = own.join(drop, (F.col("id") == F.col("drop_id")) & (F.col("text_hash") == F.col("drop_text")), "left")
+    lines = _lines(F.col("row.text"))
+    kept = F.when(F.col("positions").isNull(), F.coalesce("row.text", F.lit(""))).otherwise(
         F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("positions", i)), "\n")
     )
     counts = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("positions"), F.lit(0)).cast("long"), "kept": kept}
-    return joined.withColumns(counts).drop("_id", "_text", "_drop_id", "_drop_text", "positions")
+    rest = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in counts]
+    return joined.select("row", *(v.alias(k) for k, v in counts.items())).select(*rest, *counts)
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
@@ -66,8 +68,9 @@ def line_digest(docs: DataFrame) -> DataFrame:
 
 def keep_unique_lines(docs: DataFrame) -> DataFrame:
     """The documents with the same columns, texts without dropped lines and n_chars counted anew."""
-    out = dedup_lines(docs).withColumns({"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")})
-    return out.select(docs.columns)
+    out = dedup_lines(docs)
+    new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
 ORACLE_SQL = r"""

@@ -1,0 +1,457 @@
+"""Each operator against a brute-force version, on nulls, empty and long texts, ties, repeated rows, empty
+tables and extra columns with clashing names."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+LONG = " ".join(f"word{i % 977} and{i % 13}" for i in range(20_000))
+
+
+def rows_of(spark, rows, schema="doc_id long, text string, lang string, source string, n_chars long"):
+    return spark.createDataFrame(rows, schema)
+
+
+def docs(spark, texts, source="s"):
+    return rows_of(spark, [(i, t, "en", source, len(t) if t is not None else None) for i, t in enumerate(texts)])
+
+
+def passage(n, seed):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(n))
+
+
+# --- personal data
+
+
+BASE = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_base(text):
+    from sitelake.llm.pii import luhn
+
+    out = []
+    for k, p in enumerate(BASE):
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m.group())
+            good = (True, all(int(x) <= 255 for x in m.group().split(".")) if k == 1 else True, 12 <= len(d) <= 19 and luhn(d), 9 <= len(d) <= 15)[k]
+            if good:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_equal_the_patterns():
+    from sitelake.llm.pii import base_spans
+
+    r = random.Random(3)
+    signs = ["a", "b.", "@", ".", "-", " ", "1", "23", "4111111111111111", "+1", "(555)", "255.", "256", "%", "é", "\n", "0"]
+    for _ in range(4000):
+        text = "".join(r.choice(signs) for _ in range(r.randint(0, 25)))
+        assert base_spans(text) == brute_base(text), text
+    assert base_spans("a" * 200_000 + "1" * 5) == []
+
+
+def test_personal_data_is_found_and_redacted(spark):
+    from sitelake.llm import pii
+
+    r = random.Random(5)
+    texts = [f"{passage(20, i)} +1 ({r.randint(100, 999)}) 555-{r.randint(1000, 9999)} {passage(5, i + 1)} to.{i}@mail.example.com 10.0.{i % 256}.7 nr {r.randint(10**6, 10**7)} ref x{r.randint(10**11, 10**12)}y" for i in range(300)]
+    texts += [None, "", LONG, texts[0], texts[0]]
+    table = docs(spark, texts).withColumnRenamed("lang", "spans")
+    scorer = pii.fit(table)
+    assert scorer.weights and min(scorer.thresholds) < 1
+    got = {x.doc_id: x for x in pii.find_personal_data(table, scorer).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i].base_sha256 == hashlib.sha256(pii.spans_text(brute_base(t or "")).encode()).hexdigest()
+    assert "mail.example.com" not in got[0].redacted and "[EMAIL]" in got[0].redacted
+    assert got[300].spans == "" and got[302].spans == ""
+    assert pii.select(f"call {passage(3, 9)} (717) 555-0202 now", scorer)[1], "a number without its country is added"
+    assert pii.select(passage(300, 77), scorer) == ([], [])
+
+
+def test_calibration_never_falls_and_keeps_precision():
+    from sitelake.llm.pii import PRECISION, _threshold, isotonic
+
+    r = np.random.default_rng(1)
+    p = r.random(3000)
+    y = (r.random(3000) < p).astype(float)
+    at, q = isotonic(p, y)
+    assert (np.diff(q) >= 0).all() and len(at) == len(q)
+    cut = _threshold(p, y)
+    assert y[p >= cut].mean() >= PRECISION - 0.03
+
+
+def test_no_labels_no_additions(spark):
+    from sitelake.llm import pii
+
+    assert pii.span_digest(docs(spark, ["nothing here"])).collect()[0].n_added == 0
+    assert pii.span_digest(docs(spark, [])).collect() == []
+
+
+# --- pieces
+
+
+def test_pieces_equal_the_library(spark):
+    import sentencepiece
+
+    from sitelake.llm import pieces
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    model = pieces.Model(open(pieces.MODEL, "rb").read())
+    r = random.Random(1)
+    for _ in range(1500):
+        x = "".join(r.choice("aab  \n\t▁é漢 the ing\U0001f600x1") for _ in range(r.randint(0, 40)))
+        assert model.encode(x) == sp.encode(x), x
+    for x in (" " * 3000, "a" * 5000, "ab" * 2000 + " " * 77, LONG):
+        assert model.encode(x) == sp.encode(x)
+    texts = [None, "", " ", "Hello  wörld\n", "a▁b", LONG, "same", "same"]
+    table = docs(spark, texts).withColumnRenamed("lang", "ids")
+    got = {x.doc_id: x for x in pieces.encode(table).collect()}
+    for i, t in enumerate(texts):
+        assert list(got[i].ids) == sp.encode(t or "") and got[i].n_ids == len(got[i].ids)
+        assert got[i].decoded == sp.decode(sp.encode(t or "")) and got[i].round_trip
+        assert got[i].source == "s"
+    assert pieces.encoding_digest(docs(spark, [])).collect() == []
+
+
+def test_stream_commits_before_the_end():
+    from sitelake.llm import pieces
+
+    model = pieces.Model(open(pieces.MODEL, "rb").read())
+    seen = []
+
+    class Text(str):
+        def __getitem__(self, i):
+            seen.append(i.stop if isinstance(i, slice) else i)
+            return str.__getitem__(self, i)
+
+    first = next(model.stream(Text("abcd" * 1000)))
+    assert first and max(seen) < 500, "the first piece comes while most of the text is unread"
+
+
+# --- lines
+
+
+def brute_lines(texts):
+    key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\v\f\r"))
+    held = {}
+    for i, t in enumerate(texts):
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= 10:
+                held.setdefault(key(line), set()).add(i)
+    out = {}
+    for i, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not (len(held.get(key(x), ())) >= 2 and min(held[key(x)]) != i)]
+        out[i] = (len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
+    return out
+
+
+def test_line_dedup(spark):
+    from sitelake.llm import linededup
+
+    shared = ["A shared line of text", "  a SHARED line of text\t", "Éine Zeile mit Ä", "éine zeile mit Ä", "short", "x" * 100_000]
+    r = random.Random(2)
+    texts = [None, "", "\n", LONG] + ["\n".join(r.choice([*shared, passage(4, r.random()), ""]) for _ in range(r.randint(1, 8))) for _ in range(40)]
+    got = {x.doc_id: (x.n_lines, x.n_dropped, x.kept_sha256) for x in linededup.line_digest(docs(spark, texts)).collect()}
+    assert got == brute_lines(texts)
+    clash = docs(spark, texts).withColumnRenamed("lang", "positions")
+    out = linededup.keep_unique_lines(clash)
+    assert out.columns == clash.columns and out.count() == len(texts)
+    assert linededup.line_digest(docs(spark, [])).collect() == []
+    twice = rows_of(spark, [(1, "a line of its own", None, None, None)] * 2 + [(None, "a line of its own", None, None, None)])
+    assert sorted((x.doc_id or 99, x.n_dropped) for x in linededup.line_digest(twice).collect()) == [(1, 0), (1, 0), (99, 1)]
+
+
+# --- archives
+
+
+def pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string, type string")
+
+
+def test_archives(spark):
+    from sitelake.llm import warc
+
+    magic = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 4
+    rows = [(7, "http://a/\r\nX: y", "p" * 200, ""), (3, None, "p" * 200, ""), (5, "http://c/%0A", magic, ""), (6, "u", magic, ""), (8, "u", None, ""), (9, "u", "", ""), (10, "u", "q" * 99, ""), (11, "u", "q" * 99, ""), (12, "é", "ü" * 60, ""), (13, "x", LONG, ""), (None, "n", "p" * 200, "")]
+    out = {x.page_id: x for x in warc.archive_pages(pages(spark, rows)).collect()}
+    assert len(out) == len(rows)
+    for page, url, html, _ in rows:
+        raw = (html or "").encode()
+        same = sorted(p for p, _, h, _ in rows if h == html and p is not None)
+        first = same[0] if len(raw) >= 100 and same[0] != page else None
+        got = out[page]
+        assert (got.payload_bytes, got.digest) == (len(raw), hashlib.sha256(raw).hexdigest())
+        assert (got.type, got.refers_to) == (("revisit", first) if first is not None else ("response", None))
+        assert got.uri == url
+    assert warc.archive_digest(pages(spark, [])).collect() == []
+
+
+# --- URLs
+
+
+def test_url_rules(spark):
+    from sitelake.llm import urlfilter
+
+    urls = ["https://EXAMPLE.com/en/70?x", "http://a.b.com/en/1", "http://com/en/", "http://xcom/en/", "http://example.net/de/81", "http://n.example.net/de/7", "ftp://www.org/es/#f", "http://org/EN/", "no scheme", None, "", "http://cheap-pills.shop/en", "http://h?com/en/", "http://cheap-pillsx.shop/"]
+    table = spark.createDataFrame([(i, u, "clash", 1) for i, u in enumerate(urls)], "page_id long, url string, host string, n_tried int")
+    got = {x.page_id: (x.host, x.rule, x.verdict) for x in urlfilter.judge(table).collect()}
+    assert got[0] == ("example.com", "example.com/en/7", "allow") and got[1][1:] == ("com/en/", "block") and got[2][1:] == ("com/en/", "block")
+    assert got[3][1:] == (None, "allow") and got[4][1:] == ("example.net/de/8", "block") and got[5][1:] == ("net/de/", "block")
+    assert got[6][1:] == ("org/es/", "block") and got[7][1:] == (None, "allow")
+    assert got[8] == got[9] == got[10] == ("", None, "allow")
+    assert got[11][1:] == (None, "block") and got[12] == ("h", None, "allow") and got[13][1:] == (None, "allow")
+    with pytest.raises(ValueError):
+        urlfilter.judge(table, urlfilter.RULES * 100)
+
+
+# --- quality
+
+
+def test_quality_counts(spark):
+    from sitelake.llm import quality
+
+    texts = [None, "", "# a b c\n# a b c\nx y z a b c", "é ü ö | <b>", LONG, passage(60, 1)]
+    got = {x.doc_id: x for x in quality.judge(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        win = list(zip(w, w[1:], w[2:], strict=False))
+        hit = {i + k for i, x in enumerate(win) if win.count(x) > 1 for k in range(3)} if len(w) < 1000 else None
+        lines = (t or "").split("\n")
+        assert (got[i].n_words, got[i].word_chars, got[i].n_symbols) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")))
+        assert got[i].n_dup_lines == sum(1 for k, x in enumerate(lines) if x.strip() and x in lines[:k])
+        if hit is not None:
+            assert got[i].n_repeat_words == len(hit)
+            assert got[i].base_failed == (len(w) < 50 or 100 * len(hit) > 50 * len(w))
+    assert got[5].kept and not got[4].kept
+
+
+def test_depleted_documents_go_and_clean_ones_stay(spark):
+    from sitelake.llm import quality
+
+    menu = "\n".join(passage(12, 100 + i) for i in range(6))
+    texts = [menu + f"\nunique line {i}" for i in range(15)] + [passage(80, i) for i in range(20)]
+    table = docs(spark, texts).withColumnRenamed("lang", "host")
+    got = {x.doc_id: x.kept for x in quality.judge(table).collect()}
+    assert got[0] and not any(got[i] for i in range(1, 15)), "the first one with the lines keeps them"
+    assert all(got[i] for i in range(15, 35))
+    out = quality.keep_good(table)
+    assert out.columns == table.columns and out.count() == 21
+    copies = docs(spark, [menu] * 30)
+    assert quality.keep_good(copies).count() == 30, "exact copies are one text"
+    assert quality.judge(docs(spark, [])).collect() == []
+
+
+# --- chat
+
+
+def test_chat_round_trip(spark):
+    from sitelake.llm import chat
+
+    rows = [(1, 0, "system", "</s>[INST] \\( <s>"), (1, 1, "user", None), (1, 2, "assistant", "a [/user] b"), (2, 1, "assistant", "z"), (2, 0, "ro]le", "é"), (2, 0, "ro]le", "é"), (None, None, None, "x")]
+    rows += [(3, i, ("user", "assistant")[i % 2], passage(3, i)) for i in range(200)]
+    table = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, piece string")
+    turns = chat.format_turns(table).collect()
+    by = {}
+    for x in turns:
+        by.setdefault(x.conv_id, []).append(x)
+    for conv, own in by.items():
+        want = [(r or "", t or "") for _, _, r, t in sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] or 0, r[2] or "", r[3] or ""))]
+        own.sort(key=lambda x: x.turn_no)
+        formatted = "".join(x.piece for x in own)
+        assert formatted == chat.bracket_template(want) and chat.read_pieces(formatted) == want
+        assert [chat.unescape(x.piece[x.begin : x.end]) for x in own] == [t for _, t in want]
+        assert not any(x.rewrites for x in own)
+    digest = {x.conv_id: x for x in chat.conversation_digest(table).collect()}
+    probe = "</s>[INST] ok [/INST]"
+    assert digest[-1].n_turns == 2 and digest[-1].loss_sha256 == hashlib.sha256(probe.encode()).hexdigest()
+    assert digest[3].loss_sha256 == hashlib.sha256("".join(t for _, _, r, t in rows[7:] if r == "assistant").encode()).hexdigest()
+
+
+def test_templates_that_rewrite_history_are_told():
+    from sitelake.llm import chat
+
+    forgets = lambda turns: "".join(f"<{r}>{t if i == len(turns) - 1 else t[:1]}" for i, (r, t) in enumerate(turns))
+    piece, _, _, rewrites = chat.render_turn(forgets, [("user", "hello")], "assistant", "yes")
+    assert rewrites
+    plain = lambda turns: "".join(f"<{r}>{t}." for r, t in turns)
+    assert chat.render_turn(plain, [("user", "hello")], "assistant", "yes") == ("<assistant>yes.", 11, 14, False)
+
+
+# --- repeats
+
+
+def test_repeats(spark):
+    from sitelake.llm import repeats
+
+    r = random.Random(4)
+    p = [passage(r.randint(70, 130), i) for i in range(6)]
+    texts = [None, "", "short", "a" * 3000, "ab" * 900, p[0], p[0], p[1] + p[2], p[2] + p[1], "é" * 500, LONG[:9000], passage(900, 50)]
+    for i in range(25):
+        texts.append(passage(r.randint(0, 90), 60 + i) + r.choice(p) + passage(r.randint(0, 90), 90 + i) + r.choice(p)[: r.randint(300, 500)])
+    texts += [p[3][:399], p[3][1:401], p[4][:400]]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.repeat_digest(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == repeats.brute_force(texts)
+    assert repeats.repeat_digest(docs(spark, [])).collect() == []
+    twice = rows_of(spark, [(1, p[0], None, None, None)] * 2 + [(None, passage(90, 7), None, None, None)]).withColumnRenamed("lang", "ranges")
+    assert sorted(x.n_removed > 0 for x in repeats.repeat_digest(twice).collect()) == [False, True, True]
+
+
+def test_repeats_of_crowded_anchors(spark, monkeypatch):
+    from sitelake.llm import repeats
+
+    monkeypatch.setattr(repeats, "CROWD", 3)
+    p = passage(100, 1)
+    texts = [passage(40, 200 + i) + p[i % 7 : 560 + i % 5] + passage(40, 300 + i) for i in range(40)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.repeat_digest(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == repeats.brute_force(texts)
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    from sitelake.llm import repeats
+
+    monkeypatch.setattr(repeats, "PIECE", 1000)
+    import pyarrow as pa
+
+    p = passage(200, 3)
+    text = passage(300, 1) + p + passage(250, 2) + p
+    batch = pa.RecordBatch.from_pydict({"id": [1], "text_hash": pa.array([5], pa.int32()), "text": [text]})
+    rows = [r for b in repeats._anchors([batch]) for r in b.to_pylist() if r["anchor"] is not None]
+    covered = sorted((r["first"], r["last"]) for r in rows)
+    windows = [w for a, b in covered for w in range(a, b + 1)]
+    assert sorted(set(windows)) == list(range(len(text.encode()) - repeats.LENGTH + 1))
+
+
+# --- decontamination
+
+
+def test_decontamination(spark):
+    from sitelake.llm import decontam
+
+    items = [(1, passage(30, 1)), (2, passage(13, 2)), (3, "Three little words"), (10, passage(40, 3)), (4, None), (5, "--"), (1, passage(30, 1))]
+    body = lambda i, x: f"{passage(60, 500 + i)} {x} {passage(40, 600 + i)}"
+    texts = [None, "", "three; LITTLE words", body(1, items[0][1]), body(2, items[0][1][40:160].upper()), body(3, items[1][1].replace(" ", "\n")), body(4, " ".join(items[3][1].split()[:12])), LONG, body(5, items[3][1]), body(5, items[3][1])]
+    bench = spark.createDataFrame([(*x, "clash") for x in items], "item_id long, text string, doc_id string")
+    table = docs(spark, texts).withColumnRenamed("lang", "items")
+    got = {x.doc_id: x for x in decontam.contamination(table, bench).collect()}
+    want = [(str(i), t) for i, t in items]
+    for i, t in enumerate(texts):
+        n, hit, digest = decontam.brute_force(t if t is not LONG else LONG[:0], want)
+        if t is not LONG:
+            assert (got[i].n_words, got[i].n_hit, got[i].items_sha256) == (n, hit, digest)
+            assert got[i].contaminated == (hit > 0 and 20 * hit >= n)
+    kept = decontam.decontaminate(table, bench)
+    assert kept.columns == table.columns and {x.doc_id for x in kept.collect()} == {i for i in range(len(texts)) if not got[i].contaminated}
+    assert decontam.contamination(docs(spark, []), bench).collect() == []
+    none = bench.limit(0)
+    assert all(x.n_hit == 0 for x in decontam.contamination(table, none).collect())
+
+
+def test_blocks_and_proximity(spark, monkeypatch):
+    from sitelake.llm import decontam
+
+    items = [(i, passage(20, i)) for i in range(8)]
+    near = items[5][1].split()
+    near.insert(6, "inserted")
+    texts = [passage(50, 90) + " " + " ".join(t for _, t in items[:2]), " ".join(near[:14]), passage(30, 91)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = {x.doc_id: x for x in decontam.contamination(docs(spark, texts), bench).collect()}
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 300)
+    parts = {x.doc_id: x for x in decontam.contamination(docs(spark, texts), bench).collect()}
+    assert {i: x.asDict() for i, x in whole.items()} == {i: x.asDict() for i, x in parts.items()}
+    assert whole[1].n_hit == 0 and whole[1].n_near_items == 1 and whole[2].n_near_items == 0
+
+
+# --- SimHash
+
+
+def brute_components(fps):
+    label = {i: i for i in fps}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    ids = sorted(fps)
+    for i in ids:
+        for j in ids:
+            if i < j and bin(fps[i] ^ fps[j]).count("1") <= 3:
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}
+
+
+def test_simhash(spark):
+    from sitelake.llm import simhash
+
+    r = random.Random(6)
+    base = [passage(150, i) for i in range(8)]
+    texts = [None, "", " \n", "one", "two words", LONG]
+    for _ in range(60):
+        w = r.choice(base).split()
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    got = {x.doc_id: x for x in simhash.component_digest(docs(spark, texts)).collect()}
+    fps = {i: simhash.fingerprint(t) for i, t in enumerate(texts)}
+    assert {i: int(x.fingerprint, 16) for i, x in got.items()} == fps
+    assert {i: x.component_id for i, x in got.items()} == brute_components(fps)
+    table = docs(spark, texts).withColumnRenamed("lang", "fp")
+    kept = simhash.keep_first(table)
+    assert kept.columns == table.columns and {x.doc_id for x in kept.collect()} == set(brute_components(fps).values())
+    assert simhash.component_digest(docs(spark, [])).collect() == []
+    odd = rows_of(spark, [(None, "x y z", None, None, None), (4, "x y z", None, None, None), (4, "x y z", None, None, None)])
+    assert sorted((x.doc_id or 0, x.component_id) for x in simhash.component_digest(odd).collect()) == [(0, 4), (4, 4), (4, 4)]
+
+
+@pytest.mark.parametrize("crowd", [4096, 5])
+def test_links_of_close_fingerprints(spark, monkeypatch, crowd):
+    from sitelake.llm import simhash
+
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "TILE", 8)
+    r = random.Random(7)
+    fps = set()
+    for _ in range(12):
+        x = r.getrandbits(64)
+        for _ in range(15):
+            y = x
+            for _ in range(r.randint(0, 4)):
+                y ^= 1 << r.randrange(64)
+            fps.add(y)
+            x = y if r.random() < 0.3 else x
+    ids = {i: f for i, f in enumerate(sorted(fps))}
+    signed = lambda f: f - 2**64 if f >= 2**63 else f
+    table = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    root = {x.a: x.b for x in simhash.components(simhash.links(table)).collect()}
+    same = brute_components(ids)
+    groups = {}
+    for i, f in ids.items():
+        groups.setdefault(same[i], set()).add(root.get(signed(f), signed(f)))
+    assert all(len(g) == 1 for g in groups.values())
+    assert len({min(g) for g in groups.values()}) == len(groups)
+
+
+def test_anchors_are_all_within_two():
+    import itertools
+
+    from sitelake.llm import simhash
+
+    x = np.random.default_rng(2).integers(0, 2**32, 40, dtype=np.uint32)
+
+    def codeword(v):
+        s = 0
+        for i in range(31):
+            if v >> i & 1:
+                s ^= i + 1
+        return s == 0
+
+    for v, row in zip(x.tolist(), simhash.anchors(x).tolist(), strict=True):
+        flips = [sum(1 << i for i in c) for n in range(3) for c in itertools.combinations(range(32), n)]
+        assert set(row) == {v ^ f for f in flips if codeword(v ^ f)}
