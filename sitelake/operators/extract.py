@@ -42,6 +42,8 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "tr": ({"tr"}, {"table"})}
 _END_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _SPACE = re.compile(r"\s+")
+#: A tag that the end of the page cuts is no text.
+_CUT_TAG = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 
 
 class Node:
@@ -147,7 +149,7 @@ def _breadcrumb(nodes: list[Node]) -> list[dict]:
 def page_facts(html: str | None) -> dict:
     """Raw facts of one page. Never fails on bad HTML."""
     tree = _Tree()
-    tree.feed(html or "")
+    tree.feed(_CUT_TAG.sub("", html or ""))
     tree.close()
     nodes = list(tree.root.walk())
     first = lambda tag: next((n for n in nodes if n.tag == tag), None)

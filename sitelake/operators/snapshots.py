@@ -92,7 +92,7 @@ def merge_pages(snapshot: DataFrame, updates: DataFrame, deletes: DataFrame, pre
     """(snapshot, rejects): updates by url replace or add, deletes remove. Updates outside the prefix or
     with an unsafe segment (blank, .., or with a leading dot) are rejected. Of several updates of one url
     any one is taken."""
-    rel = U.relative_path(F.col("url"), F.lit(prefix))
+    rel = F.substr(U.bare(F.col("url")), F.lit(len(prefix.rstrip("/")) + 2))
     inside = U.in_scope(F.col("url"), F.lit(prefix))
     safe = (rel == "") | ~F.exists(F.split(rel, "/"), lambda s: (s == "") | F.startswith(s, F.lit(".")))
     good = F.coalesce(inside & safe, F.lit(False))

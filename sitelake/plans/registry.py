@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelake.plans import pages, snapshots, texts, values
+from sitelake.plans import pages, sinks, snapshots, texts, values
 
-_PLANS = (pages, snapshots, texts, values)
+_PLANS = (pages, snapshots, texts, values, sinks)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for p in _PLANS for k, f in p.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for p in _PLANS for k, s in p.ORACLE_SQL.items()}
