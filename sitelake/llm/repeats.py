@@ -10,9 +10,11 @@ under them are its context. The job goes from coarse to fine:
    document are settled there, so that a long run of one character is a row and not a row a byte.
 2. Anchors are counted with their smallest and largest context. Those found once are dropped.
 3. A context found twice makes all its windows repeated. What is left are contexts found once whose
-   anchor has others: the rims of repeats. Only these, and one of each other kind, get their bytes, and
-   they are compared window by window for each anchor. An anchor with more than CROWD contexts is
-   compared by Spark instead, a row for each window, keyed by the window's hash.
+   anchor has others: the rims of repeats. Only these, and one of each other kind, get their bytes. They
+   are short texts aligned at their anchors, and are compared by a column-wise construction: one symbol
+   of each context a round, keeping the order of suffixes and their common prefixes (common_windows()).
+   An anchor with more than CROWD contexts is compared by Spark instead, a row for each window, keyed by
+   the window's hash.
 4. Ranges go to their documents, which are cut.
 
 Groups are aggregated before the shuffle; joins that bring a group's verdict to its rows have an exchange
@@ -36,6 +38,8 @@ from sitelake.llm.common import id_key, raw_texts, sliced, written
 
 LENGTH, SPREAD = 400, 200
 CROWD = 20_000
+#: Contexts compared in one construction, at least; then the current group is filled.
+TOGETHER_CONTEXTS = 4_000
 #: Bytes hashed together; a longer text is cut into overlapping pieces of at most PIECE.
 TOGETHER, PIECE = 1 << 20, 8 << 20
 
@@ -166,20 +170,38 @@ def window_hashes(contexts: list[bytes], places: np.ndarray, counts: np.ndarray)
     return out, (r <= places[:, None]) & (r > places[:, None] - counts[:, None])
 
 
-def _again(hashes: np.ndarray, has: np.ndarray) -> np.ndarray:
-    """Which windows another row has too, at the same place."""
-    order = np.argsort(hashes, axis=0)
-    ordered, there = np.take_along_axis(hashes, order, 0), np.take_along_axis(has, order, 0)
-    # rows without the window get hashes that no other row has, for this comparison
-    ordered = np.where(there, ordered, mix(np.arange(ordered.size, dtype=_U).reshape(ordered.shape) + _U(1 << 40)))
-    if not there.all():
-        order2 = np.argsort(ordered, axis=0)
-        order, ordered = np.take_along_axis(order, order2, 0), np.take_along_axis(ordered, order2, 0)
-    same = ordered[1:] == ordered[:-1]
-    none = np.zeros((1, hashes.shape[1]), bool)
-    out = np.zeros(hashes.shape, bool)
-    np.put_along_axis(out, order, np.concatenate([same, none]) | np.concatenate([none, same]), 0)
-    return out & has
+def common_windows(contexts: list[bytes], places: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """For contexts sorted by group and aligned at their anchors: whether the window that begins r bytes
+    before the anchor, for r from 0 to SPREAD - 1, is in another context of the group too.
+
+    Columns are inserted from the last to the first, one symbol of each context a round. A round keeps the
+    order of the suffixes that begin in its column (the rows of the collection's Burrows-Wheeler
+    transform) and the common prefix of each with the one before it: both follow from those of the last
+    round, by a stable sort on the new symbol and the least common prefix between neighbours that stay
+    neighbours. A window is repeated if its suffix shares LENGTH bytes with a neighbour. Nothing is
+    compared by hash, and memory is a byte for each symbol and two numbers for each context."""
+    m, wide = len(contexts), SPREAD - 1 + LENGTH
+    data = np.full((m, wide), 256, np.int16)  # 256: the context has no byte there, and shares none
+    for row, c, p in zip(data, contexts, places, strict=True):
+        row[SPREAD - 1 - p : SPREAD - 1 - p + len(c)] = np.frombuffer(c, np.uint8)
+    columns = np.ascontiguousarray(data.T)
+    out = np.zeros((m, SPREAD), bool)
+    order, base, shared = np.arange(m), groups * 257, np.zeros(m + 1, np.int64)
+    for c in range(wide - 1, -1, -1):
+        symbol = columns[c][order]
+        key = base[order] + symbol
+        new = np.argsort(key, kind="stable")
+        sorted_key = key[new]
+        same = np.flatnonzero((sorted_key[1:] == sorted_key[:-1]) & (symbol[new[1:]] != 256))
+        after = np.zeros(m + 1, np.int64)
+        if len(same):
+            between = np.stack([new[same] + 1, new[same + 1] + 1], axis=1).ravel()
+            after[same + 1] = 1 + np.minimum.reduceat(shared, between)[::2]
+        order, shared = order[new], after
+        if c < SPREAD:
+            hit = np.flatnonzero(shared[:m] >= LENGTH)
+            out[order[hit], SPREAD - 1 - c] = out[order[hit - 1], SPREAD - 1 - c] = True
+    return out
 
 
 _RANGE = "id long, text int, begin long, end long"
@@ -197,28 +219,24 @@ def _ranges(rows: list[tuple], again: np.ndarray) -> list[tuple]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts come sorted by anchor; those of one anchor are compared together (CROWD at most)."""
+    """Contexts come sorted by anchor; whole groups (of CROWD at most) are compared together."""
     held: list[tuple] = []
     names, kinds = ["id", "text", "begin", "end"], [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
-    def settle() -> list[tuple]:
-        if len(held) < 2:
-            return []
-        places, counts = np.array([h[6] for h in held]), np.array([len(h[2]) - LENGTH + 1 for h in held])
-        hashes, has = window_hashes([h[2] for h in held], places, counts)
-        return _ranges(held, _again(hashes, has))
+    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if len(rows) > 1:
+            groups = np.cumsum([0, *(a[0] != b[0] for a, b in zip(rows, rows[1:], strict=False))])
+            found = _ranges(rows, common_windows([r[2] for r in rows], np.array([r[6] for r in rows]), groups))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
 
     for batch in batches:
-        out = []
         for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "n", "bytes", "id", "text", "first", "place")), strict=True):
-            if held and row[0] != held[0][0]:
-                out += settle()
+            if len(held) >= TOGETHER_CONTEXTS and row[0] != held[-1][0]:
+                yield from settle(held)
                 held = []
             held.append(row)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-    if out := settle():
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+    yield from settle(held)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
