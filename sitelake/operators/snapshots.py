@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sitelake.functions import urls as U
+from sitelake.sources.work import written
 
 
 def classify_changes(current: DataFrame, prior: DataFrame) -> DataFrame:
@@ -62,10 +63,11 @@ def purge_stale(pages: DataFrame, now: datetime, days: int = 30, confirm: bool =
 def dedup_content(pages: DataFrame) -> DataFrame:
     """Pages with canonical_of: the shortest URL (then the first) of those with the same non-empty
     content_hash, null for that page itself and for unique ones. Aggregated first and joined, since blank
-    pages can make one group very large."""
+    pages can make one group very large; the groups are a written table, so that both sides of the join
+    have an exchange of their own and adaptive execution can split that group."""
     one = F.min(F.struct(F.octet_length("url").alias("n"), F.col("url").alias("url")))
     groups = pages.filter("content_hash <> ''").groupBy(F.col("content_hash").alias("_hash")).agg(one.alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    joined = pages.join(groups, F.col("content_hash") == F.col("_hash"), "left")
+    joined = pages.join(written(groups, "same-content"), F.col("content_hash") == F.col("_hash"), "left")
     return joined.withColumn("canonical_of", F.when(F.col("_first.url") != F.col("url"), F.col("_first.url"))).drop("_hash", "_first", "_n")
 
 

@@ -34,11 +34,11 @@ def write_catalog(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(entries.schema).json(f"{path}/entries").select("path", "url", "depth", "page_type", "child_count", "has_docs")
 
 
-@query(f"WITH {values._RECORDS} SELECT category, beneficiary, destination, value FROM records")
+@query(f"WITH {values._RECORDS} SELECT category, beneficiary, destination, value::DOUBLE AS value FROM records")
 def save_extract(spark: SparkSession, d: str) -> DataFrame:
     path = work_path(spark, "extracts")
     io.save_extract(values._records(spark, d), path, "orders")
-    return io.load_extract(spark, path, "orders").select("category", "beneficiary", "destination", "value")
+    return values.compared(io.load_extract(spark, path, "orders").select("category", "beneficiary", "destination", "value"))
 
 
 @query("SELECT url AS loc, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id) AS lastmod FROM pages")

@@ -265,13 +265,13 @@ def summary_failures(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH u AS (SELECT conv_id, turn, role, length(text) AS a, len(string_split(text, ' ')) AS b FROM conversations)
-    SELECT conv_id, turn, CASE role WHEN 'assistant' THEN a / 1e6 * 3.0 + b / 1e6 * 15.0 WHEN 'user' THEN a / 1e6 * 0.25 + b / 1e6 * 1.25 ELSE 0.0 END AS cost FROM u"""
+    SELECT conv_id, turn, round((CASE role WHEN 'assistant' THEN a / 1e6 * 3.0 + b / 1e6 * 15.0 WHEN 'user' THEN a / 1e6 * 0.25 + b / 1e6 * 1.25 ELSE 0.0 END)::DOUBLE, 9) AS cost FROM u"""
 )
 def estimate_cost(spark: SparkSession, d: str) -> DataFrame:
     by = lambda a, u, other: F.when(F.col("role") == "assistant", a).when(F.col("role") == "user", u).otherwise(other)
     usage = table(spark, d, "conversations").select("conv_id", "turn", by("Acme", "acme", "other").alias("provider"), by("Large-4-1", "small-2", "large-4").alias("model"), F.char_length("text").alias("tokens_in"), F.size(F.split("text", " ")).alias("tokens_out"))
     prices = spark.createDataFrame([(1, "acme", "large-4", 3.0, 15.0), (2, "acme", "large", 15.0, 75.0), (3, "acme", "small", 0.25, 1.25)], "rank int, provider string, model_prefix string, in_per_mtok double, out_per_mtok double")
-    return enrich.estimate_cost(usage, prices).select("conv_id", "turn", "cost")
+    return enrich.estimate_cost(usage, prices).select("conv_id", "turn", F.round("cost", 9).alias("cost"))
 
 
 @query(rf"SELECT doc_id, i - 1 AS line_no, line, regexp_matches(line, '\b\d{{1,3}}(?:\.\d{{3}})*,\d{{2}}\b') AS has_money, regexp_matches(upper(line), 'TOTAL|VALOR|DATA') AS has_word, regexp_matches(line, '\||\t|;|-{{3,}}') AS has_separator FROM (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, unnest(range(1, len(ls) + 1)) AS i FROM documents)) WHERE regexp_matches(line, '\b\d{{1,3}}(?:\.\d{{3}})*,\d{{2}}\b') OR regexp_matches(upper(line), 'TOTAL|VALOR|DATA') OR regexp_matches(line, '\||\t|;|-{{3,}}')")

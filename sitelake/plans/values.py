@@ -27,6 +27,11 @@ def query(sql: str | None = None):
     return add
 
 
+def compared(df: DataFrame) -> DataFrame:
+    """Decimals, alone or in arrays, as doubles: only here, where results are compared with another engine."""
+    return df.withColumns({f.name: F.col(f.name).cast("double" if f.dataType.typeName() == "decimal" else "array<double>") for f in df.schema if "decimal" in f.dataType.simpleString()})
+
+
 def _priced(spark: SparkSession, d: str) -> DataFrame:
     """A document for each order: its priority in words and its price twice as 1.234,56."""
     amount = F.translate(F.format_number("o_totalprice", 2), ",.", ".,")
@@ -38,22 +43,22 @@ _PRICED = """priced AS (SELECT o_orderkey AS doc_id, o_custkey AS query_id, 'Ped
     FROM (SELECT *, o_totalprice::DECIMAL(18,2) AS p, translate(format('{:,.2f}', o_totalprice), ',.', '.,') AS a FROM orders))"""
 
 
-@query(f"WITH {_PRICED} SELECT doc_id, [p, p] AS money FROM priced")
+@query(f"WITH {_PRICED} SELECT doc_id, [p::DOUBLE, p::DOUBLE] AS money FROM priced")
 def money_values(spark: SparkSession, d: str) -> DataFrame:
-    return values.money_values(_priced(spark, d)).select("doc_id", "money")
+    return compared(values.money_values(_priced(spark, d)).select("doc_id", "money"))
 
 
-@query(f"WITH {_PRICED} SELECT doc_id, 1 AS pages, length(text) AS text_length, text AS preview, [p, p] AS money, 2 AS n_values, (p + p)::DECIMAL(18,2) AS total FROM priced")
+@query(f"WITH {_PRICED} SELECT doc_id, 1 AS pages, length(text) AS text_length, text AS preview, [p::DOUBLE, p::DOUBLE] AS money, 2 AS n_values, (p + p)::DOUBLE AS total FROM priced")
 def value_summary(spark: SparkSession, d: str) -> DataFrame:
-    return values.value_summary(_priced(spark, d))
+    return compared(values.value_summary(_priced(spark, d)))
 
 
-@query(f"WITH {_PRICED} SELECT query_id, sum(p + p) FILTER (WHERE doc_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')) AS total, CASE WHEN count(*) FILTER (WHERE doc_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')) > 0 THEN count(*) FILTER (WHERE doc_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')) * 2 END AS value_count FROM priced GROUP BY query_id")
+@query(f"WITH {_PRICED} SELECT query_id, sum(p + p) FILTER (WHERE doc_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'))::DOUBLE AS total, CASE WHEN count(*) FILTER (WHERE doc_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')) > 0 THEN count(*) FILTER (WHERE doc_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')) * 2 END AS value_count FROM priced GROUP BY query_id")
 def aggregate_sources(spark: SparkSession, d: str) -> DataFrame:
     status = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderstatus") != "F").alias("success"))
     extracts = _priced(spark, d).withColumn("money", T.money_values(F.col("text")))
     sources = extracts.select("doc_id", "query_id", T.total(F.col("money")).alias("total"), F.size("money").alias("value_count")).join(status, "doc_id")
-    return values.aggregate_sources(sources)
+    return compared(values.aggregate_sources(sources))
 
 
 def _attachments(spark: SparkSession, d: str) -> DataFrame:
@@ -94,9 +99,9 @@ def source_provenance(spark: SparkSession, d: str) -> DataFrame:
     return values.source_provenance(extracts, pages)
 
 
-@query("SELECT count(*) AS n_rows, 6 AS n_columns, ['event_id', 'ts', 'user_id', 'event_type', 'valor', 'props'] AS column_names, sum(value) AS total FROM events")
+@query("SELECT count(*) AS n_rows, 6 AS n_columns, ['event_id', 'ts', 'user_id', 'event_type', 'valor', 'props'] AS column_names, round(sum(value), 2) AS total FROM events")
 def csv_profile(spark: SparkSession, d: str) -> DataFrame:
-    return io.csv_profile(table(spark, d, "events").withColumnRenamed("value", "valor"))
+    return io.csv_profile(table(spark, d, "events").withColumnRenamed("value", "valor")).withColumn("total", F.round("total", 2))
 
 
 @query(
@@ -133,14 +138,14 @@ def expired_entries(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """WITH l AS (SELECT *, CASE event_type WHEN 'view' THEN 'cache' WHEN 'click' THEN 'search' WHEN 'purchase' THEN 'extract' ELSE event_type END AS op, value < 50 AS ok, strlen(props) AS bytes FROM events),
     c AS (SELECT count(*) FILTER (WHERE op = 'cache' AND ok) AS cache_hits, count(*) FILTER (WHERE op = 'cache' AND NOT ok) AS cache_misses, count(*) FILTER (WHERE op = 'extract' AND ok) AS extractions_success, count(*) FILTER (WHERE op = 'extract' AND NOT ok) AS extractions_failed,
-        count(*) FILTER (WHERE op = 'search') AS searches, count(*) FILTER (WHERE op = 'error') AS errors, sum(bytes)::BIGINT AS total_bytes, sum(value::DECIMAL(18,2)) FILTER (WHERE op = 'extract' AND ok) AS total_value FROM l)
+        count(*) FILTER (WHERE op = 'search') AS searches, count(*) FILTER (WHERE op = 'error') AS errors, sum(bytes)::BIGINT AS total_bytes, sum(value::DECIMAL(18,2)) FILTER (WHERE op = 'extract' AND ok)::DOUBLE AS total_value FROM l)
     SELECT *, 100.0::DOUBLE * cache_hits / (cache_hits + cache_misses) AS hit_rate, 100.0::DOUBLE * extractions_success / (extractions_success + extractions_failed) AS success_rate FROM c"""
 )
 def ops_metrics(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("event_type")
     op = F.when(kind == "view", "cache").when(kind == "click", "search").when(kind == "purchase", "extract").otherwise(kind)
     log = table(spark, d, "events").select(op.alias("op"), (F.col("value") < 50).alias("ok"), F.octet_length("props").alias("bytes"), F.col("value").cast("decimal(18,2)").alias("value"))
-    return cacheops.ops_metrics(log)
+    return compared(cacheops.ops_metrics(log))
 
 
 @query(
@@ -172,25 +177,25 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 _RECORDS = "records AS (SELECT o_orderpriority AS category, o_custkey AS beneficiary, o_orderstatus AS destination, o_orderdate::DATE AS event_date, o_totalprice::DECIMAL(18,2) AS value FROM orders)"
 
 
-@query(f"WITH {_RECORDS} SELECT * REPLACE (event_date::VARCHAR AS event_date) FROM records WHERE event_date >= DATE '1996-03-01' AND event_date < DATE '1996-04-01'")
+@query(f"WITH {_RECORDS} SELECT * REPLACE (event_date::VARCHAR AS event_date, value::DOUBLE AS value) FROM records WHERE event_date >= DATE '1996-03-01' AND event_date < DATE '1996-04-01'")
 def filter_period(spark: SparkSession, d: str) -> DataFrame:
-    return lake.filter_period(_records(spark, d), "event_date", year=1996, month=3).withColumn("event_date", F.col("event_date").cast("string"))
+    return compared(lake.filter_period(_records(spark, d), "event_date", year=1996, month=3)).withColumn("event_date", F.col("event_date").cast("string"))
 
 
-@query(f"WITH {_RECORDS} SELECT category AS key, count(*) AS n, sum(value) AS total, round(sum(value)::DOUBLE * 100 / (SELECT sum(value)::DOUBLE FROM records), 4) AS percentage FROM records GROUP BY category")
+@query(f"WITH {_RECORDS} SELECT category AS key, count(*) AS n, sum(value)::DOUBLE AS total, round(sum(value)::DOUBLE * 100 / (SELECT sum(value)::DOUBLE FROM records), 4) AS percentage FROM records GROUP BY category")
 def grouped_analysis(spark: SparkSession, d: str) -> DataFrame:
-    return lake.grouped_analysis(_records(spark, d), "category")
+    return compared(lake.grouped_analysis(_records(spark, d), "category"))
 
 
-@query(f"WITH {_RECORDS} SELECT beneficiary::VARCHAR AS key, count(*) AS n, sum(value) AS total, round(sum(value)::DOUBLE * 100 / (SELECT sum(value)::DOUBLE FROM records), 4) AS percentage FROM records GROUP BY beneficiary ORDER BY total DESC, key LIMIT 10")
+@query(f"WITH {_RECORDS} SELECT beneficiary::VARCHAR AS key, count(*) AS n, sum(value)::DOUBLE AS total, round(sum(value)::DOUBLE * 100 / (SELECT sum(value)::DOUBLE FROM records), 4) AS percentage FROM records GROUP BY beneficiary ORDER BY total DESC, key LIMIT 10")
 def grouped_analysis_top10(spark: SparkSession, d: str) -> DataFrame:
-    return lake.grouped_analysis(_records(spark, d), "beneficiary", n=10)
+    return compared(lake.grouped_analysis(_records(spark, d), "beneficiary", n=10))
 
 
-@query(f"WITH {_RECORDS} SELECT count(*) AS records, sum(value) AS total, sum(value)::DOUBLE / count(*) AS average, count(DISTINCT beneficiary) AS n_beneficiary, count(DISTINCT destination) AS n_destination, min(event_date)::VARCHAR AS first_date, max(event_date)::VARCHAR AS last_date FROM records")
+@query(f"WITH {_RECORDS} SELECT count(*) AS records, sum(value)::DOUBLE AS total, round(sum(value)::DOUBLE / count(*), 4) AS average, count(DISTINCT beneficiary) AS n_beneficiary, count(DISTINCT destination) AS n_destination, min(event_date)::VARCHAR AS first_date, max(event_date)::VARCHAR AS last_date FROM records")
 def period_totals(spark: SparkSession, d: str) -> DataFrame:
     totals = lake.period_totals(_records(spark, d), ["beneficiary", "destination"])
-    return totals.withColumns({"average": F.col("average").cast("double"), "first_date": F.col("first_date").cast("string"), "last_date": F.col("last_date").cast("string")})
+    return compared(totals).withColumns({"average": F.round("average", 4), "first_date": F.col("first_date").cast("string"), "last_date": F.col("last_date").cast("string")})
 
 
 @query(
@@ -230,8 +235,9 @@ def coverage_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_RECORDS} SELECT category AS key, coalesce(sum(value) FILTER (WHERE year(event_date) = 1996), 0) AS first_total, coalesce(sum(value) FILTER (WHERE year(event_date) = 1997), 0) AS second_total,
-    coalesce(sum(value) FILTER (WHERE year(event_date) = 1997), 0) - coalesce(sum(value) FILTER (WHERE year(event_date) = 1996), 0) AS difference FROM records WHERE year(event_date) IN (1996, 1997) GROUP BY category"""
+    f"""WITH {_RECORDS} SELECT category AS key, coalesce(sum(value) FILTER (WHERE year(event_date) = 1996), 0)::DOUBLE AS first_total, coalesce(sum(value) FILTER (WHERE year(event_date) = 1997), 0)::DOUBLE AS second_total,
+    (coalesce(sum(value) FILTER (WHERE year(event_date) = 1997), 0) - coalesce(sum(value) FILTER (WHERE year(event_date) = 1996), 0))::DOUBLE AS difference FROM records WHERE year(event_date) IN (1996, 1997) GROUP BY category"""
 )
 def compare_periods(spark: SparkSession, d: str) -> DataFrame:
-    return lake.compare_periods(_records(spark, d), "category", "event_date", (date(1996, 1, 1), date(1996, 12, 31)), (date(1997, 1, 1), date(1997, 12, 31)))
+    years = [(date(y, 1, 1), date(y, 12, 31)) for y in (1996, 1997)]
+    return compared(lake.compare_periods(_records(spark, d), "category", "event_date", *years))
