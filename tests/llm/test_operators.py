@@ -206,8 +206,13 @@ def test_url_rules(spark):
     assert got[6][1:] == ("org/es/", "block") and got[7][1:] == (None, "allow")
     assert got[8] == got[9] == got[10] == ("", None, "allow")
     assert got[11][1:] == (None, "block") and got[12] == ("h", None, "allow") and got[13][1:] == (None, "allow")
+    by_table = urlfilter.judge_by_table(table, urlfilter.rule_table(spark, urlfilter.RULES))
+    key = lambda df: sorted(map(str, (r.asDict() for r in df.collect())))
+    assert key(by_table) == key(urlfilter.judge(table))
+    more = [*urlfilter.RULES, *(urlfilter.host_rule(f"h{i}.example", "/", "block") for i in range(300))]
+    assert urlfilter.judge(table.unionByName(spark.createDataFrame([(99, "http://www.h77.example/x", "", 0)], table.schema)), tuple(more)).filter("rule = 'h77.example/'").count() == 1
     with pytest.raises(ValueError):
-        urlfilter.judge(table, urlfilter.RULES * 100)
+        urlfilter.judge(table, (urlfilter.Rule("none", ".*", (), "block"),))
 
 
 # --- quality
