@@ -9,6 +9,7 @@ from sitelake.functions import urls as U
 from sitelake.operators import catalog, discovery, extract, quality
 from sitelake.plans.common import CANON_SQL, canonical_pages, table
 from sitelake.sources import io
+from sitelake.sources.work import written
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -149,8 +150,9 @@ def document_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def typed_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages through extraction, links, page type and hierarchy: what a crawl stores."""
-    pages = extracted(spark, d)
+    """Pages through extraction, links, page type and hierarchy: what a crawl stores. The pages are parsed
+    once and written before links and documents are taken from them."""
+    pages = written(extracted(spark, d), "extracted")
     counted = extract.link_counts(pages, extract.link_edges(pages, scopes_of(spark, d)), extract.document_links(pages))
     typed = quality.classify_page_type(counted.withColumns({"http_status": F.lit(200), "redirected_from": F.lit(None).cast("string")}))
     own = canonical_pages(spark, d).select("page_id", F.col("canonical").alias("canonical_url"), F.col("site").alias("prefix"))
@@ -161,7 +163,7 @@ def typed_pages(spark: SparkSession, d: str) -> DataFrame:
 def catalog_from_pages(spark: SparkSession, d: str) -> DataFrame:
     """How many pages by type and depth: from raw HTML to catalog statistics."""
     pages = typed_pages(spark, d).withColumns({"mini_summary": F.lit(""), "url": F.col("canonical_url")})
-    return catalog.catalog_stats(catalog.build_catalog(pages))
+    return catalog.catalog_stats(written(catalog.build_catalog(pages), "catalog"))
 
 
 _SUSPICIOUS = r"""SELECT page_id, CASE WHEN contains(lower(title), 'forbidden') THEN 'title_pattern' WHEN en AND n < 2000 THEN 'body_too_small' WHEN waf AND NOT marked THEN 'waf_headers' END AS reason

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitelake.functions import text as T
 from sitelake.operators import catalog, citations, enrich, extract, quality, search, values
 from sitelake.plans.common import CANON_SQL, DOC_URL_SQL, ROOT, canonical_pages, doc_url, table
+from sitelake.sources.work import written
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -172,6 +173,12 @@ scores AS (
 )"""
 
 
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths, written once: texts are not cut into terms again for each use."""
+    postings, lengths = search.build_postings(_searched(spark, d))
+    return written(postings, "postings"), written(lengths, "lengths")
+
+
 @query(f"WITH {_SEARCH} SELECT url, term, tf FROM post")
 def build_postings(spark: SparkSession, d: str) -> DataFrame:
     return search.build_postings(_searched(spark, d))[0]
@@ -184,7 +191,7 @@ def match_all_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_SEARCH} SELECT query_id, url, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS rank FROM scores) WHERE rank <= 10")
 def bm25_top_k(spark: SparkSession, d: str) -> DataFrame:
-    postings, lengths = search.build_postings(_searched(spark, d))
+    postings, lengths = _index(spark, d)
     return search.top_k(search.bm25_scores(_queries(spark, d), postings, lengths), 10)
 
 
@@ -194,7 +201,7 @@ def bm25_top_k(spark: SparkSession, d: str) -> DataFrame:
     SELECT query_id, rank, url, score, page_section, total_found FROM (SELECT query_id, url, score, source AS page_section, total_found, k, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS rank FROM two WHERE section IS NULL OR lower(source) = lower(section)) WHERE rank <= k"""
 )
 def section_search(spark: SparkSession, d: str) -> DataFrame:
-    postings, lengths = search.build_postings(_searched(spark, d))
+    postings, lengths = _index(spark, d)
     return search.section_search(_queries(spark, d), postings, lengths, _searched(spark, d))
 
 
