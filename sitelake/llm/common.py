@@ -2,39 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from sitelake.sources.work import work_path, written  # noqa: F401  for the operators
+
 #: ASCII white space, the only characters that separate words here.
 ASCII_SPACE = " \t\n\u000b\f\r"
 
 #: Rows without an id count as one document that sorts behind all others.
 NULL_ID = 2**63 - 1
 
-#: Texts are handed to Python in slices of about so many bytes.
-SLICE_BYTES = 8 << 20
-
+#: Batches between Spark and Python hold so many bytes at most, so that two tasks of a small executor fit.
+BATCH_BYTES = 8 << 20
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir)."""
-    sc = spark.sparkContext
-    if not (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sitelake-"))
-    top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Texts are handed to Python in slices of about so many bytes.
+SLICE_BYTES = 4 << 20
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: lineage ends there and no executor's loss reaches it."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the size of Arrow batches to BATCH_BYTES, if it is higher."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def id_key(name: str = "doc_id") -> Column:

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelake.llm.common import raw_texts, sliced, written
+from sitelake.llm.common import raw_texts, sliced, small_batches, written
 
 WINDOW = 13
 #: The benchmark is searched in blocks of so many bytes of text, so what is broadcast has this bound.
 BLOCK_BYTES = 16 << 20
 #: Tokens in a shard (a longer document is a shard of its own) and candidates looked at together.
-SHARD_TOKENS, CANDIDATES = 1_000_000, 2_000_000
+SHARD_TOKENS, CANDIDATES = 1_000_000, 400_000
 
 #: Bytes to lower case; all that is not a letter, a digit or part of a non-ASCII character to a space.
 FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -217,6 +217,7 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     occurrence of a benchmark window, the items with such, and those with a proximity match only.
 
     If the benchmark takes more than one block, rows of one doc_id and word count become one."""
+    small_batches(docs.sparkSession)
     parts = []
     for w in _blocks(items, window):
         index = build_index(docs, w.vocabulary)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelake.llm.common import id_key, raw_texts, sliced, written
+from sitelake.llm.common import id_key, raw_texts, sliced, small_batches, written
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 MIN_DOCS, SHARE, DEPLETED = 10, 0.01, 0.8
@@ -78,6 +78,7 @@ _SCHEMA = "doc_id long, host string, n_words long, word_chars long, n_symbols lo
 
 def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
     """doc_id, the counts, n_removed_words, base_failed, kept: a row for each document."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("host"), "text")
     found = written(texts.mapInArrow(_batches, _SCHEMA), "line-hashes")
     lines = found.select(id_key().alias("_id"), "host", "text_hash", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("x"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelake.llm.common import id_key, raw_texts, sliced, written
+from sitelake.llm.common import id_key, raw_texts, sliced, small_batches, written
 
 LENGTH, SPREAD = 400, 200
 CROWD = 20_000
@@ -316,6 +316,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay), kept_sha256, spans (begin, end, ...)."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("id"), F.hash("text").alias("text_hash"), "text")
     found = repeated_ranges(texts.select("id", "text_hash", "text")).distinct()
     ranges = found.groupBy(F.col("id").alias("range_id"), F.col("text").alias("range_text")).agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelake.llm.common import id_key, raw_texts, sliced, written
+from sitelake.llm.common import id_key, raw_texts, sliced, small_batches, written
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 3
 #: Fingerprints of an anchor that one task compares; those of larger ones are dealt on.
@@ -183,6 +183,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id: a row for each document with the smallest doc_id that links lead to."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fps = written(texts.mapInArrow(_fingerprint_batches, "doc_id long, fp long"), "fingerprints")
     first = written(fps.groupBy("fp").agg(F.min(id_key()).alias("first")), "distinct")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelake.llm.common import NULL_ID, work_path, written
+from sitelake.llm.common import NULL_ID, small_batches, work_path, written
 
 MIN_PAYLOAD = 100
 #: Records of an archive file at most. A file is one row of the reader, so this and the largest payload
@@ -139,6 +139,7 @@ def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of the archives under path; without payloads, their headers only."""
+    small_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(lambda it: _records(it, payloads), RECORD)
 
