@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelake.llm.common import raw_texts, sliced
+from sitelake.llm.common import raw_texts, sliced, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64 << 20
-#: Stretches kept in the cache, and pairs whose validity is known; each is emptied when full.
-CACHE, PAIRS = 500_000, 400_000
+#: Stretches kept in the newer part of the cache (the older has as many), and pairs whose validity is known.
+CACHE, PAIRS = 300_000, 400_000
 SPACE = "▁"
+#: A character that is no piece has this bit and its code point for an id, until it becomes bytes.
+UNKNOWN, ID_BITS = 1 << 21, 22
 
 
 class Model:
@@ -48,6 +50,7 @@ class Model:
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         self.score: dict[str, float] = {}
         self.id: dict[str, int] = {}
+        self.piece: dict[int, str] = {}
         self.byte_id, self.bytes = [0] * 256, [b""] * sp.vocab_size()
         for i in range(sp.vocab_size()):
             piece = sp.id_to_piece(i)
@@ -55,21 +58,25 @@ class Model:
                 b = int(piece[3:5], 16)
                 self.byte_id[b], self.bytes[i] = i, bytes([b])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                self.id[piece], self.score[piece] = i, sp.get_score(i)
+                self.id[piece], self.score[piece], self.piece[i] = i, sp.get_score(i), piece
                 self.bytes[i] = piece.replace(SPACE, " ").encode()
         self.longest = max(map(len, self.id))
         self.table = np.array(self.bytes, dtype=object)
         across = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         #: If no piece goes on with a space after something else, words can be cut before their spaces.
         self.cut_before_space = not any(x[1] == SPACE != x[0] for x in across)
-        self.stretch = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.cut_before_space else r"(?s).+")
-        self.pairs: dict[tuple[str, str], bool] = {}
-        #: Lengths of the pieces that end with these (at most three) characters, longest first.
+        #: White space that is part of no longer piece stands alone.
+        alone = "".join(c for c in "\n\r\t" if not any(c in p for p in self.id if len(p) > 1))
+        one = f"[{alone}]|" if alone else ""
+        self.stretch = re.compile(f"{one}{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if self.cut_before_space else r"(?s).+")
+        self.pairs: dict[int, bool] = {}
+        #: Lengths of the pieces that end with these (at most four) characters, longest first.
         self.ending: dict[str, set[int]] = {}
         for p in self.id:
-            self.ending.setdefault(p[-3:], set()).add(len(p))
+            self.ending.setdefault(p[-4:], set()).add(len(p))
         self.lengths: dict[str, tuple[int, ...]] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text, by the merges themselves: best score first, then leftmost."""
@@ -84,12 +91,16 @@ class Model:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def valid(self, left: str, right: str) -> bool:
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self.merged(left + right) == [left, right]
+    def text_of(self, i: int) -> str:
+        return chr(i ^ UNKNOWN) if i & UNKNOWN else self.piece[i]
+
+    def valid(self, pair: int) -> bool:
+        """Whether merging the text of two pieces (ids in one number) gives them back."""
+        left, right = self.text_of(pair >> ID_BITS), self.text_of(pair & (1 << ID_BITS) - 1)
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        # if the two make a piece, they would be merged
+        found = self.pairs[pair] = left + right not in self.id and self.merged(left + right) == [left, right]
         return found
 
     def lengths_of(self, tail: str) -> tuple[int, ...]:
@@ -100,95 +111,88 @@ class Model:
         self.lengths[tail] = found = tuple(sorted(own, reverse=True))
         return found
 
-    def extend(self, text: str, last: list[str]) -> None:
-        """Add the nodes of a stretch to those of its prefix: last[i] is the last piece of text[:i]."""
+    def extend(self, text: str, ids: list[int], sizes: list[int]) -> None:
+        """Add the nodes of a stretch to those of its prefix: the last piece of text[:i] has the id ids[i]
+        and sizes[i] characters. ids[0] is the piece before the stretch, or -1."""
         known, lengths, pairs = self.id, self.lengths, self.pairs
-        for i in range(len(last), len(text) + 1):
-            tail = text[i - 3 : i] if i > 2 else text[:i]
+        for i in range(len(ids), len(text) + 1):
+            tail = text[i - 4 : i] if i > 3 else text[:i]
             for n in lengths.get(tail) or self.lengths_of(tail):
                 if n > i:
                     continue
-                piece = text[i - n : i]
-                if n <= 3 or piece in known:
-                    before = last[i - n]
-                    if not before:
-                        break
-                    ok = pairs.get((before, piece))
-                    if ok or (ok is None and self.valid(before, piece)):
-                        break
+                own = known.get(text[i - n : i])
+                if own is None:
+                    if n > 1:
+                        continue
+                    own = UNKNOWN | ord(text[i - 1])
+                before = ids[i - n]
+                if before < 0:
+                    break
+                pair = before << ID_BITS | own
+                ok = pairs.get(pair)
+                if ok or (ok is None and self.valid(pair)):
+                    break
             else:
                 raise ValueError(f"no path to {i} of {text!r}")
-            last.append(piece)
+            ids.append(own)
+            sizes.append(n)
+
+    def path(self, ids: list[int], sizes: list[int], end: int) -> list[int]:
+        """The ids on the path back from a node, in order; unknown characters as their bytes."""
+        back: list[int] = []
+        while end:
+            back.append(ids[end])
+            end -= sizes[end]
+        back.reverse()
+        if max(back, default=0) >= UNKNOWN:
+            back = [x for i in back for x in ([self.byte_id[b] for b in chr(i ^ UNKNOWN).encode()] if i & UNKNOWN else [i])]
+        return back
+
+    def stream(self, text: str) -> Iterator[list[int]]:
+        """The ids of a stretch of any length, in parts, each as soon as it is certain."""
+        base, ids, sizes, step = 0, [-1], [0], 4 * self.longest
+        for end in range(step, len(text) + step, step):
+            part = text[base:end]
+            self.extend(part, ids, sizes)
+            # where do the paths from the window meet?
+            nodes = set(range(max(0, len(part) - self.longest + 1), len(part) + 1)) if end < len(text) else {len(part)}
+            while len(nodes) > 1:
+                top = max(nodes)
+                nodes.discard(top)
+                nodes.add(top - sizes[top])
+            meet = nodes.pop()
+            if meet:
+                yield self.path(ids, sizes, meet)
+                base, ids, sizes = base + meet, ids[meet:], sizes[meet:]
 
     def learn(self, stretches: set[str]) -> None:
         """Put the ids of stretches that are within the window into the cache. They are taken in sorted
         order, since the nodes of a common prefix are the same and needn't be made again."""
-        missing = sorted(s for s in stretches if s not in self.cache and len(s) <= 4 * self.longest)
-        if len(self.cache) + len(missing) > CACHE:
-            self.cache = {s: self.cache[s] for s in stretches if s in self.cache}
-        before, last, known = "", [""], self.id
+        cache, missing = self.cache, []
+        for s in stretches:
+            if s not in cache:
+                found = self.older.get(s)
+                if found is not None:
+                    cache[s] = found
+                elif len(s) <= 4 * self.longest:
+                    missing.append(s)
+        missing.sort()
+        if len(cache) + len(missing) > CACHE:  # what isn't asked for again until the next time goes
+            self.older, self.cache = cache, {s: cache[s] for s in stretches if s in cache}
+        before, ids, sizes = "", [-1], [0]
         for text in missing:
             k = 0
             for x, y in zip(before, text, strict=False):
                 if x != y:
                     break
                 k += 1
-            del last[k + 1 :]
-            self.extend(text, last)
-            before, done, i = text, [], len(text)
-            while i:
-                done.append(last[i])
-                i -= len(done[-1])
-            ids: list[int] = []
-            for piece in reversed(done):
-                own = known.get(piece)
-                ids += [own] if own is not None else [self.byte_id[b] for b in piece.encode()]
-            self.cache[text] = tuple(ids)
-
-    def stream(self, text: str) -> Iterator[str]:
-        """The pieces of a stretch, each as soon as it is certain."""
-        longest, known, valid = self.longest, self.id, self.valid
-        #: last[i - base] is the last piece of the prefix that ends at i; nodes before base are committed.
-        last, base, commit_at = [""], 0, 4 * longest
-        for i in range(1, len(text) + 1):
-            for j in range(max(base, i - longest), i):
-                piece = text[j:i]
-                if piece in known or j == i - 1:
-                    before = last[j - base]
-                    if not before or valid(before, piece):
-                        last.append(piece)
-                        break
-            else:
-                raise ValueError(f"no path to {i} of {text[:99]!r}")
-            if i - base >= commit_at and i < len(text):
-                # where do the paths from the window meet?
-                nodes = {i - k for k in range(longest)}
-                while len(nodes) > 1:
-                    top = max(nodes)
-                    nodes.discard(top)
-                    nodes.add(top - len(last[top - base]))
-                meet = nodes.pop()
-                if meet > base:
-                    done, k = [], meet
-                    while k > base:
-                        done.append(last[k - base])
-                        k -= len(done[-1])
-                    yield from reversed(done)
-                    last, base = last[meet - base :], meet
-                commit_at = i - base + 4 * longest
-        done, k = [], len(text)
-        while k > base:
-            done.append(last[k - base])
-            k -= len(done[-1])
-        yield from reversed(done)
+            del ids[k + 1 :], sizes[k + 1 :]
+            self.extend(text, ids, sizes)
+            before, self.cache[text] = text, tuple(self.path(ids, sizes, len(text)))
 
     def ids_of(self, stretch: str) -> tuple[int, ...]:
         """The ids of a stretch longer than the window, streamed."""
-        ids: list[int] = []
-        for piece in self.stream(stretch):
-            own = self.id.get(piece)
-            ids += [own] if own is not None else [self.byte_id[b] for b in piece.encode()]
-        return tuple(ids)
+        return tuple(i for part in self.stream(stretch) for i in part)
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         cut = [self.stretch.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
@@ -249,6 +253,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch
 
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """The rows without `text`, with ids, n_ids, ids_sha256 (of the ids as little-endian 32-bit numbers), decoded and round_trip."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model_bytes(docs.sparkSession, path))
     clash = {"ids", "n_ids", "ids_sha256", "decoded", "round_trip"}
     kept = [c for c in docs.columns if c not in clash]
