@@ -73,6 +73,17 @@ def test_personal_data_is_found_and_redacted(spark):
     assert pii.select(passage(300, 77), scorer) == ([], [])
 
 
+@pytest.mark.parametrize("text", ["write to john[at]example.com", "john (at) example.com", "JOHN (AT] example.com now", "jo at example dot com", "jo at ex.com", "a (at) b (dot) c", "a@b.c or 1.2.3.4", "no sign. at all", ""])
+def test_candidates_do_not_depend_on_other_text(text):
+    from sitelake.llm import pii
+
+    want = sorted({(m.start(), pii.KINDS.index(k), m.end()) for k, p in pii._WIDE for m in p.finditer(text)})
+    assert pii.candidates(text) == want
+    assert [c for c in pii.candidates(text + "\n\n@ dot dot)") if c[2] <= len(text)] == want
+    if "at)" in text.lower() or "at]" in text.lower():
+        assert want
+
+
 def test_calibration_never_falls_and_keeps_precision():
     from sitelake.llm.pii import PRECISION, _threshold, isotonic
 
