@@ -4,11 +4,12 @@ One pass over the texts counts words, symbols, repeated lines and repeated word
 each document the hashes and word counts of its distinct normalised lines. Lines are then counted over
 distinct texts of a host (the column `source`), so exact copies count once. A line is over the limit
 if at least `min_docs` distinct texts and `share` of the host's hold it; it is removed from all
-documents but the first that holds it. A document that has lost `depleted` of its words is rejected.
+documents but the first that holds it; `without_lines` gives the texts that are left. A document that has lost `depleted` of its words is rejected.
 
 Defined results: a null text has no words and fails; a null host is a host of its own; rows with a null
-doc_id count as one document behind all others; repeated rows give a row each. Extra columns pass
-through where documents are returned.
+doc_id count as one document behind all others for which is first; words are removed from each text by
+itself, so rows that repeat an id, a host and a text give a row each with the same counts. Extra columns
+pass through where documents are returned.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelake.llm.common import id_key, raw_texts, sliced, small_batches, written
+from sitelake.llm.common import id_key, raw_texts, sliced, small_batches, text_key, written
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 MIN_DOCS, SHARE, DEPLETED = 10, 0.01, 0.8
@@ -31,7 +32,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _NOT_START = bytes(range(0x80, 0xC0))  # a character has one byte that isn't of these
 
 _FIELDS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64())]
-_LINES = [("text_hash", pa.binary()), ("line_hashes", pa.list_(pa.binary())), ("line_words", pa.list_(pa.int32()))]
+_LINES = [("line_hashes", pa.list_(pa.binary())), ("line_words", pa.list_(pa.int32()))]
 
 
 def counts(raw: bytes) -> tuple[int, int, int, int, int]:
@@ -55,32 +56,42 @@ def counts(raw: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(raw.translate(None, _SYMBOLS)), dup, repeated
 
 
+def _line_key(line: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(line.split()))
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
-        found, hashes, lines, sizes = [], [], [], []
+        found, lines, sizes = [], [], []
         for raw in raw_texts(batch):
             found.append(counts(raw))
-            hashes.append(xxhash.xxh3_128_digest(raw))
             own: dict[bytes, int] = {}
             for line in raw.translate(_LOWER).split(b"\n"):
                 if w := line.split():
-                    key = xxhash.xxh3_128_digest(b" ".join(w))
+                    key = _line_key(line)
                     own[key] = own.get(key, 0) + len(w)
             lines.append(list(own))
             sizes.append(list(own.values()))
         columns = [pa.array(x, t) for x, (_, t) in zip(zip(*found, strict=True), _FIELDS, strict=True)]
-        columns += [pa.array(x, t) for x, (_, t) in zip((hashes, lines, sizes), _LINES, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *columns], ["doc_id", "host", *(n for n, _ in [*_FIELDS, *_LINES])])
+        columns += [pa.array(x, t) for x, (_, t) in zip((lines, sizes), _LINES, strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "host", "text_hash")), *columns], ["doc_id", "host", "text_hash", *(n for n, _ in [*_FIELDS, *_LINES])])
 
 
-_SCHEMA = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash binary, line_hashes array<binary>, line_words array<int>"
+_SCHEMA = "doc_id long, host string, text_hash binary, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_hashes array<binary>, line_words array<int>"
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
-    """doc_id, the counts, n_removed_words, base_failed, kept: a row for each document."""
+def _host() -> Column:
+    return F.coalesce("source", F.lit(""))
+
+
+def _found(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("host"), "text")
-    found = written(texts.mapInArrow(_batches, _SCHEMA), "line-hashes")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _host().alias("host"), text_key().alias("text_hash"), "text")
+    return written(texts.mapInArrow(_batches, _SCHEMA), "line-hashes")
+
+
+def _removed(found: DataFrame, min_docs: int, share: float) -> DataFrame:
+    """_id, host, text_hash, line, words: a row for each distinct line that a text loses, however often the text stands."""
     lines = found.select(id_key().alias("_id"), "host", "text_hash", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("x"))
     lines = lines.select("_id", "host", "text_hash", F.col("x.line_hashes").alias("line"), F.col("x.line_words").alias("words"))
     # distinct (host, line, text) first: neither a hot line nor a hot host meets in one task
@@ -89,20 +100,59 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, deple
     hosts = found.select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     over = often.join(hosts, "host").filter(F.col("n") >= F.col("of") * share).select("host", "line", F.col("first"))
     over = written(over, "frequent-lines")
-    removed = lines.join(over, ["host", "line"]).filter(F.col("_id") != F.col("first")).groupBy("_id", "text_hash").agg(F.sum("words").alias("removed"))
-    removed = removed.withColumnsRenamed({"_id": "_removed_id", "text_hash": "_removed_hash"})
-    own = found.drop("line_hashes", "line_words", "host")
-    # rows of one doc_id and text in two hosts would add up; their sum is then over all hosts
-    joined = own.join(removed, (id_key() == F.col("_removed_id")) & (F.col("text_hash") == F.col("_removed_hash")), "left")
+    return lines.join(over, ["host", "line"]).filter(F.col("_id") != F.col("first")).select("_id", "host", "text_hash", "line", "words").distinct()
+
+
+def _judged(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
+    """judge() with the host and the text's hash."""
+    found = _found(docs)
+    removed = _removed(found, min_docs, share).groupBy("_id", "host", "text_hash").agg(F.sum("words").alias("removed"))
+    removed = removed.withColumnsRenamed({"_id": "_removed_id", "host": "_removed_host", "text_hash": "_removed_hash"})
+    own = found.drop("line_hashes", "line_words")
+    same = (id_key() == F.col("_removed_id")) & (F.col("host") == F.col("_removed_host")) & (F.col("text_hash") == F.col("_removed_hash"))
+    joined = own.join(removed, same, "left")
     gone = F.coalesce("removed", F.lit(0)).cast("long")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return joined.select("doc_id", *(n for n, _ in _FIELDS), gone.alias("n_removed_words"), failed.alias("base_failed"), (~failed & (gone < depleted * F.col("n_words"))).alias("kept"))
+    return joined.select("doc_id", "host", "text_hash", *(n for n, _ in _FIELDS), gone.alias("n_removed_words"), failed.alias("base_failed"), (~failed & (gone < depleted * F.col("n_words"))).alias("kept"))
+
+
+def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
+    """doc_id, the counts, n_removed_words, base_failed, kept: a row for each document."""
+    return _judged(docs, min_docs, share, depleted).drop("host", "text_hash")
+
+
+def _is_row() -> Column:
+    """Whether a row of docs has the id, host and text of (_own_id, _own_host, _own_hash)."""
+    return (id_key() == F.col("_own_id")) & (_host() == F.col("_own_host")) & (text_key() == F.col("_own_hash"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept; all columns stay. An id goes if all its rows are rejected."""
-    bad = judge(docs).groupBy(F.col("doc_id").alias("_bad")).agg(F.bool_and(~F.col("kept")).alias("all")).filter("all").select("_bad")
-    return docs.join(written(bad, "rejected"), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows that are kept; all columns stay. A row goes by its own verdict, not by that of others of its id."""
+    bad = _judged(docs).filter(~F.col("kept")).select(id_key().alias("_own_id"), F.col("host").alias("_own_host"), F.col("text_hash").alias("_own_hash")).distinct()
+    return docs.join(written(bad, "rejected"), _is_row(), "left_anti")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches):
+        texts = []
+        for raw, gone in zip(raw_texts(batch), batch.column("_gone").to_pylist(), strict=True):
+            gone = set(gone)
+            texts.append(b"\n".join(line for line in raw.split(b"\n") if not (line.strip() and _line_key(line.translate(_LOWER)) in gone)))
+        at = batch.schema.get_field_index("text")
+        yield batch.set_column(at, "text", pa.array(texts, pa.binary()).cast(pa.string())).drop_columns(["_gone"])
+
+
+def without_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+    """All documents with the same columns, texts without the lines over the limit, and n_chars counted anew
+    where it is there. A text that loses nothing stays as it is, null too."""
+    gone = _removed(_found(docs), min_docs, share).groupBy("_id", "host", "text_hash").agg(F.collect_list("line").alias("_gone"))
+    gone = written(gone.withColumnsRenamed({"_id": "_own_id", "host": "_own_host", "text_hash": "_own_hash"}), "removed-lines")
+    rest = docs.join(gone, _is_row(), "left_anti")
+    cut = docs.join(gone, _is_row()).select(*(docs[c] for c in docs.columns), "_gone")
+    cut = cut.mapInArrow(_cut, docs.schema)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return rest.unionByName(cut)
 
 
 ORACLE_SQL = r"""

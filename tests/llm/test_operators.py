@@ -263,6 +263,27 @@ def test_depleted_documents_go_and_clean_ones_stay(spark):
     assert quality.judge(docs(spark, [])).collect() == []
 
 
+def test_repeated_and_null_ids_lose_their_lines_once(spark):
+    from sitelake.llm import quality
+
+    line, own = passage(24, 700), lambda i: passage(36, 710 + i)  # 40 % of the words are the frequent line's
+    rows = [(i, f"{line}\n{own(i)}", "en", "s", 0) for i in range(12)]
+    odd = [(3, rows[3][1], "en", "s", 0)] * 2 + [(None, f"{line.upper()}\n\n{own(50)}", "en", "s", 0)] * 100 + [(5, rows[5][1], "en", "other", 0), (None, "short", "en", "s", 5)]
+    table = rows_of(spark, rows + odd)
+    got = quality.judge(table).collect()
+    assert len(got) == len(rows + odd)
+    for x in got:
+        assert x.n_removed_words in ((0, 24) if x.doc_id == 5 else (0,) if x.doc_id == 0 or x.n_words == 1 else (24,)), x
+    assert sorted(x.n_removed_words for x in got if x.doc_id == 5) == [0, 24], "each host by itself"
+    kept = quality.keep_good(table)
+    assert kept.count() == len(rows + odd) - 1 and kept.filter("text = 'short'").count() == 0, "null ids don't stand for each other"
+    out = quality.without_lines(table)
+    assert out.columns == table.columns
+    want = [r[1] if r[0] == 0 or r[3] == "other" or r[1] == "short" else r[1].split("\n", 1)[1] for r in rows + odd]
+    assert sorted(x.text for x in out.collect()) == sorted(want)
+    assert all(x.n_chars == len(x.text) for x in out.filter("doc_id <> 0 AND source = 's'").collect())
+
+
 # --- chat
 
 
