@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelake.llm.common import raw_texts, sliced, small_batches, written
+from sitelake.llm.common import id_key, raw_texts, sliced, small_batches, text_key, written
 
 WINDOW = 13
 #: The benchmark is searched in blocks of so many bytes of text, so what is broadcast has this bound.
@@ -34,8 +34,8 @@ SHARD_TOKENS, CANDIDATES = 1_000_000, 400_000
 #: Bytes to lower case; all that is not a letter, a digit or part of a non-ASCII character to a space.
 FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
-INDEX = "doc_ids array<bigint>, n_words array<bigint>, terms array<int>, counts array<int>, positions array<int>"
-FOUND = "doc_id long, n_words long, hits array<struct<begin: bigint, end: bigint>>, items array<string>, near_items array<string>"
+INDEX = "doc_ids array<bigint>, hashes array<binary>, n_words array<bigint>, terms array<int>, counts array<int>, positions array<int>"
+FOUND = "doc_id long, text_hash binary, n_words long, hits array<struct<begin: bigint, end: bigint>>, items array<string>, near_items array<string>"
 
 
 def words(raw: bytes) -> list[bytes]:
@@ -71,27 +71,28 @@ class Windows:
 def _shards(batches: Iterator[pa.RecordBatch], vocabulary: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
     get = vocabulary.get
 
-    def row(ids: list, lengths: list[int], tokens: list[np.ndarray]) -> pa.RecordBatch:
+    def row(ids: list, hashes: list, lengths: list[int], tokens: list[np.ndarray]) -> pa.RecordBatch:
         t = np.concatenate(tokens) if tokens else np.empty(0, np.int32)
         at = np.flatnonzero(t >= 0).astype(np.int32)
         at = at[np.argsort(t[at], kind="stable")]
         terms, counts = np.unique(t[at], return_counts=True)
-        kinds = (("doc_ids", ids, pa.int64()), ("n_words", lengths, pa.int64()), ("terms", terms, pa.int32()), ("counts", counts, pa.int32()), ("positions", at, pa.int32()))
+        kinds = (("doc_ids", ids, pa.int64()), ("hashes", hashes, pa.binary()), ("n_words", lengths, pa.int64()), ("terms", terms, pa.int32()), ("counts", counts, pa.int32()), ("positions", at, pa.int32()))
         return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, k)) for _, x, k in kinds], [n for n, _, _ in kinds])
 
     for batch in sliced(batches):
-        ids, lengths, tokens, held = [], [], [], 0
-        for doc_id, raw in zip(batch.column("doc_id").to_pylist(), raw_texts(batch), strict=True):
+        ids, hashes, lengths, tokens, held = [], [], [], [], 0
+        for doc_id, text_hash, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), raw_texts(batch), strict=True):
             found = words(raw)
             if held and held + len(found) > SHARD_TOKENS:
-                yield row(ids, lengths, tokens)
-                ids, lengths, tokens, held = [], [], [], 0
+                yield row(ids, hashes, lengths, tokens)
+                ids, hashes, lengths, tokens, held = [], [], [], [], 0
             ids.append(doc_id)
+            hashes.append(text_hash)
             lengths.append(len(found))
             tokens.append(np.fromiter((get(w, -1) for w in found), np.int32, len(found)))
             held += len(found)
         if ids:
-            yield row(ids, lengths, tokens)
+            yield row(ids, hashes, lengths, tokens)
 
 
 class Shard:
@@ -177,10 +178,10 @@ class Shard:
 
 
 def _search(batches: Iterator[pa.RecordBatch], w: Windows, slop: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_words", "hits", "items", "near_items"]
+    names = ["doc_id", "text_hash", "n_words", "hits", "items", "near_items"]
     for batch in batches:
         for i in range(batch.num_rows):
-            ids, n_words, terms, counts, positions = (batch.column(c)[i].values for c in ("doc_ids", "n_words", "terms", "counts", "positions"))
+            ids, hashes, n_words, terms, counts, positions = (batch.column(c)[i].values for c in ("doc_ids", "hashes", "n_words", "terms", "counts", "positions"))
             lengths = n_words.to_numpy(zero_copy_only=False)
             shard = Shard(lengths, *(x.to_numpy(zero_copy_only=False) for x in (terms, counts, positions)))
             exact, near = shard.search(w, slop) if len(terms) else ([], [])
@@ -195,12 +196,12 @@ def _search(batches: Iterator[pa.RecordBatch], w: Windows, slop: int) -> Iterato
                     for doc, one in pairs.T.tolist():
                         items[kind][doc].update(w.items[one])
             lists = (pa.array([sorted(x) for x in part], pa.list_(pa.string())) for part in (items[0], [b - a for a, b in zip(*items, strict=True)]))
-            yield pa.RecordBatch.from_arrays([ids, n_words, shard.runs(np.cumsum(cover[:-1]) > 0, lengths), *lists], names)
+            yield pa.RecordBatch.from_arrays([ids, hashes, n_words, shard.runs(np.cumsum(cover[:-1]) > 0, lengths), *lists], names)
 
 
 def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
     """The stored index of the corpus for the terms of a benchmark."""
-    index = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _shards(it, vocabulary), INDEX)
+    index = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_hash"), "text").mapInArrow(lambda it: _shards(it, vocabulary), INDEX)
     return written(index, "postings")
 
 
@@ -213,10 +214,10 @@ def _blocks(items: DataFrame, window: int) -> Iterator[Windows]:
 
 
 def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 2) -> DataFrame:
-    """doc_id, n_words, hits, items, near_items: for each document the runs of words under any exact
+    """doc_id, text_hash, n_words, hits, items, near_items: for each document the runs of words under any exact
     occurrence of a benchmark window, the items with such, and those with a proximity match only.
 
-    If the benchmark takes more than one block, rows of one doc_id and word count become one."""
+    If the benchmark takes more than one block, rows of one doc_id and text become one."""
     small_batches(docs.sparkSession)
     parts = []
     for w in _blocks(items, window):
@@ -229,7 +230,7 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     for x in parts[1:]:
         out = out.unionByName(x)
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))  # noqa: E731  a list for each block
-    return out.groupBy("doc_id", "n_words").agg(*(union(c).alias(c) for c in ("hits", "items", "near_items")))
+    return out.groupBy("doc_id", "text_hash", "n_words").agg(*(union(c).alias(c) for c in ("hits", "items", "near_items")))
 
 
 def _covered(hits: Column) -> Column:
@@ -239,24 +240,28 @@ def _covered(hits: Column) -> Column:
     return F.aggregate(hits, start, step)["n"]
 
 
+def _judged(docs: DataFrame, items: DataFrame) -> DataFrame:
+    found = find_matches(docs, items).withColumn("n_hit", _covered(F.col("hits")))
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The digest of find_matches() with the verdict: a hit, and hits at least a twentieth of the words."""
-    found = find_matches(docs, items).withColumn("n_hit", _covered(F.col("hits")))
-    return found.select(
+    return _judged(docs, items).select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        "contaminated",
         F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents whose id is not that of a contaminated one; all columns stay."""
-    bad = written(contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents that aren't contaminated; all columns stay. A row goes by its own text, whatever shares its id."""
+    bad = _judged(docs, items).filter("contaminated").select(id_key().alias("_own_id"), F.col("text_hash").alias("_own_hash")).distinct()
+    return docs.join(written(bad, "contaminated"), (id_key() == F.col("_own_id")) & (text_key() == F.col("_own_hash")), "left_anti")
 
 
 def brute_force(text: str | None, items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple[int, int, str]:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelake.llm.common import id_key, raw_texts, sliced, small_batches, written
+from sitelake.llm.common import id_key, raw_texts, sliced, small_batches, text_key, written
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 3
 #: Fingerprints of an anchor that one task compares; those of larger ones are dealt on.
@@ -64,7 +64,7 @@ def fingerprints(raws: list[bytes]) -> np.ndarray:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, most=2 << 20):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints(raw_texts(batch)).view(np.int64), pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fingerprints(raw_texts(batch)).view(np.int64), pa.int64())], ["doc_id", "text_hash", "fp"])
 
 
 def _nearest() -> np.ndarray:
@@ -181,18 +181,23 @@ def components(edges: DataFrame) -> DataFrame:
     return now
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id: a row for each document with the smallest doc_id that links lead to."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """near_duplicates() with the text's hash and the root of its group."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fps = written(texts.mapInArrow(_fingerprint_batches, "doc_id long, fp long"), "fingerprints")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_hash"), "text")
+    fps = written(texts.mapInArrow(_fingerprint_batches, "doc_id long, text_hash binary, fp long"), "fingerprints")
     first = written(fps.groupBy("fp").agg(F.min(id_key()).alias("first")), "distinct")
     root = components(links(first))
     of = first.join(root, first.fp == root.a, "left").select("fp", "first", F.coalesce("b", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(of.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"), "components")
+    named = written(of.join(least, "root").select(F.col("fp").alias("_fp"), "component_id", "root"), "components")
     # the table's side has its own exchange, so that a fingerprint with very many documents can be split
-    return fps.join(named, fps.fp == named._fp).select("doc_id", "fp", "component_id")
+    return fps.join(named, fps.fp == named._fp).select("doc_id", "text_hash", "fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id: a row for each document with the smallest doc_id that links lead to."""
+    return _grouped(docs).drop("text_hash", "root")
 
 
 def component_digest(docs: DataFrame) -> DataFrame:
@@ -201,9 +206,23 @@ def component_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, that with the smallest doc_id; all columns stay."""
-    gone = near_duplicates(docs).groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_and(id_key("doc_id") != F.col("component_id")).alias("all")).filter("all").select("_gone")
-    return docs.join(written(gone, "copies"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """One row of each group stays, that with the smallest doc_id, then text hash; all columns stay. Of rows
+    with one id and text, that with the smallest hash of all columns stays."""
+    keys = _grouped(docs).groupBy(id_key().alias("_id"), "text_hash", "root", "component_id").agg(F.count(F.lit(1)).alias("n"))
+    keys = written(keys, "keys")
+    # groups of null ids alone share a component_id, so the root names the group
+    chosen = keys.filter(F.col("_id") == F.col("component_id")).groupBy(F.col("root").alias("_root")).agg(F.min("text_hash").alias("_chosen"))
+    stays = (F.col("_id") == F.col("component_id")) & (F.col("text_hash") == F.col("_chosen"))
+    judged = keys.join(written(chosen, "chosen"), F.col("root") == F.col("_root")).select(F.col("_id").alias("_own_id"), F.col("text_hash").alias("_own_hash"), "n", stays.alias("stays"))
+    same = (id_key() == F.col("_own_id")) & (text_key() == F.col("_own_hash"))
+    out = docs.join(written(judged.filter("not stays").select("_own_id", "_own_hash"), "copies"), same, "left_anti")
+    several = written(judged.filter("stays and n > 1").select("_own_id", "_own_hash"), "repeated")
+    if several.isEmpty():
+        return out
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    of = docs.join(several, same).select("_own_id", "_own_hash", row.alias("_row"))
+    one = of.groupBy("_own_id", "_own_hash").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return out.join(several, same, "left_anti").unionByName(one.select("_row.*"))
 
 
 def fingerprint(text: str | None) -> int:

@@ -389,6 +389,31 @@ def test_decontamination(spark):
     assert all(x.n_hit == 0 for x in decontam.contamination(table, none).collect())
 
 
+def test_rows_of_null_and_repeated_ids_go_by_themselves(spark):
+    from sitelake.llm import decontam, simhash
+
+    item = passage(30, 1)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean, dirty = passage(80, 800), f"{passage(60, 801)} {item}"
+    rows = [(i, t, "en", "s", n) for n, (i, t) in enumerate([(None, clean), (None, dirty), (None, clean), (7, dirty), (7, passage(70, 802)), (8, clean)])]
+    assert sorted(x.n_chars for x in decontam.decontaminate(rows_of(spark, rows), bench).collect()) == [0, 2, 4, 5]
+
+    a, b, c = (passage(90, 810 + i) for i in range(3))
+    texts = [(None, a), (None, a), (None, b), (None, b + " more"), (3, c), (3, c), (3, c), (3, a), (9, c)]
+    rows = [(i, t, "en", "s", n) for n, (i, t) in enumerate(texts)]
+    table = rows_of(spark, rows)
+    assert simhash.near_duplicates(table).groupBy("component_id").count().count() < 4, "null ids alone share a component_id"
+    kept = simhash.keep_first(table)
+    got = sorted(((x.doc_id or 0), x.text) for x in kept.collect())
+    assert kept.columns == table.columns
+    groups = {}
+    for i, t in texts:
+        groups.setdefault(next((s for s in groups if (simhash.fingerprint(s) ^ simhash.fingerprint(t)).bit_count() <= 3), t), []).append((i or 0, t))
+    assert len(got) == len(groups) and all(sum(g in own for g in got) == 1 for own in groups.values())
+    assert (3, a) in got and (3, c) in got
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, simhash.keep_first(rows_of(spark, rows[::-1])).collect()), key=str)
+
+
 def test_blocks_and_proximity(spark, monkeypatch):
     from sitelake.llm import decontam
 
