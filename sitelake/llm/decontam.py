@@ -34,8 +34,8 @@ SHARD_TOKENS, CANDIDATES = 1_000_000, 400_000
 #: Bytes to lower case; all that is not a letter, a digit or part of a non-ASCII character to a space.
 FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
-INDEX = "doc_ids array<bigint>, hashes array<binary>, n_words array<bigint>, terms array<int>, counts array<int>, positions array<int>"
-FOUND = "doc_id long, text_hash binary, n_words long, hits array<struct<begin: bigint, end: bigint>>, items array<string>, near_items array<string>"
+INDEX = "row_keys array<bigint>, doc_ids array<bigint>, hashes array<binary>, n_words array<bigint>, terms array<int>, counts array<int>, positions array<int>"
+FOUND = "row_key long, doc_id long, text_hash binary, n_words long, hits array<struct<begin: bigint, end: bigint>>, items array<string>, near_items array<string>"
 
 
 def words(raw: bytes) -> list[bytes]:
@@ -71,28 +71,29 @@ class Windows:
 def _shards(batches: Iterator[pa.RecordBatch], vocabulary: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
     get = vocabulary.get
 
-    def row(ids: list, hashes: list, lengths: list[int], tokens: list[np.ndarray]) -> pa.RecordBatch:
+    def row(keys: list, ids: list, hashes: list, lengths: list[int], tokens: list[np.ndarray]) -> pa.RecordBatch:
         t = np.concatenate(tokens) if tokens else np.empty(0, np.int32)
         at = np.flatnonzero(t >= 0).astype(np.int32)
         at = at[np.argsort(t[at], kind="stable")]
         terms, counts = np.unique(t[at], return_counts=True)
-        kinds = (("doc_ids", ids, pa.int64()), ("hashes", hashes, pa.binary()), ("n_words", lengths, pa.int64()), ("terms", terms, pa.int32()), ("counts", counts, pa.int32()), ("positions", at, pa.int32()))
+        kinds = (("row_keys", keys, pa.int64()), ("doc_ids", ids, pa.int64()), ("hashes", hashes, pa.binary()), ("n_words", lengths, pa.int64()), ("terms", terms, pa.int32()), ("counts", counts, pa.int32()), ("positions", at, pa.int32()))
         return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, k)) for _, x, k in kinds], [n for n, _, _ in kinds])
 
     for batch in sliced(batches):
-        ids, hashes, lengths, tokens, held = [], [], [], [], 0
-        for doc_id, text_hash, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), raw_texts(batch), strict=True):
+        keys, ids, hashes, lengths, tokens, held = [], [], [], [], [], 0
+        for key, doc_id, text_hash, raw in zip(*(batch.column(c).to_pylist() for c in ("row_key", "doc_id", "text_hash")), raw_texts(batch), strict=True):
             found = words(raw)
             if held and held + len(found) > SHARD_TOKENS:
-                yield row(ids, hashes, lengths, tokens)
-                ids, hashes, lengths, tokens, held = [], [], [], [], 0
+                yield row(keys, ids, hashes, lengths, tokens)
+                keys, ids, hashes, lengths, tokens, held = [], [], [], [], [], 0
+            keys.append(key)
             ids.append(doc_id)
             hashes.append(text_hash)
             lengths.append(len(found))
             tokens.append(np.fromiter((get(w, -1) for w in found), np.int32, len(found)))
             held += len(found)
         if ids:
-            yield row(ids, hashes, lengths, tokens)
+            yield row(keys, ids, hashes, lengths, tokens)
 
 
 class Shard:
@@ -178,10 +179,10 @@ class Shard:
 
 
 def _search(batches: Iterator[pa.RecordBatch], w: Windows, slop: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "text_hash", "n_words", "hits", "items", "near_items"]
+    names = ["row_key", "doc_id", "text_hash", "n_words", "hits", "items", "near_items"]
     for batch in batches:
         for i in range(batch.num_rows):
-            ids, hashes, n_words, terms, counts, positions = (batch.column(c)[i].values for c in ("doc_ids", "hashes", "n_words", "terms", "counts", "positions"))
+            keys, ids, hashes, n_words, terms, counts, positions = (batch.column(c)[i].values for c in ("row_keys", "doc_ids", "hashes", "n_words", "terms", "counts", "positions"))
             lengths = n_words.to_numpy(zero_copy_only=False)
             shard = Shard(lengths, *(x.to_numpy(zero_copy_only=False) for x in (terms, counts, positions)))
             exact, near = shard.search(w, slop) if len(terms) else ([], [])
@@ -196,19 +197,27 @@ def _search(batches: Iterator[pa.RecordBatch], w: Windows, slop: int) -> Iterato
                     for doc, one in pairs.T.tolist():
                         items[kind][doc].update(w.items[one])
             lists = (pa.array([sorted(x) for x in part], pa.list_(pa.string())) for part in (items[0], [b - a for a, b in zip(*items, strict=True)]))
-            yield pa.RecordBatch.from_arrays([ids, hashes, n_words, shard.runs(np.cumsum(cover[:-1]) > 0, lengths), *lists], names)
+            yield pa.RecordBatch.from_arrays([keys, ids, hashes, n_words, shard.runs(np.cumsum(cover[:-1]) > 0, lengths), *lists], names)
 
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
+def _keyed(docs: DataFrame) -> DataFrame:
+    """row_key, doc_id, text_hash, text. Keys tell rows apart; they stay the same only once they are written."""
+    return docs.select(F.monotonically_increasing_id().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_hash"), "text")
+
+
+def build_index(keyed: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
     """The stored index of the corpus for the terms of a benchmark."""
-    index = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_hash"), "text").mapInArrow(lambda it: _shards(it, vocabulary), INDEX)
-    return written(index, "postings")
+    return written(keyed.mapInArrow(lambda it: _shards(it, vocabulary), INDEX), "postings")
 
 
-def _blocks(items: DataFrame, window: int) -> Iterator[Windows]:
+def _items(items: DataFrame) -> tuple[DataFrame, int]:
+    """item and text, and how many blocks of the benchmark are searched."""
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // BLOCK_BYTES) or 1
+    return rows, -(-size // BLOCK_BYTES) or 1
+
+
+def _blocks(rows: DataFrame, n: int, window: int) -> Iterator[Windows]:
     for b in range(n):
         yield Windows([(r.item, r.text.encode()) for r in rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).toLocalIterator()], window)
 
@@ -217,20 +226,25 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     """doc_id, text_hash, n_words, hits, items, near_items: for each document the runs of words under any exact
     occurrence of a benchmark window, the items with such, and those with a proximity match only.
 
-    If the benchmark takes more than one block, rows of one doc_id and text become one."""
+    If the benchmark takes more than one block, the texts are written once with a key for each row, every block
+    has an index of its own (so that what is broadcast keeps its bound), and their results meet again by that key."""
     small_batches(docs.sparkSession)
+    rows, n = _items(items)
+    keyed = _keyed(docs) if n == 1 else written(_keyed(docs), "keyed-texts")
     parts = []
-    for w in _blocks(items, window):
-        index = build_index(docs, w.vocabulary)
+    for w in _blocks(rows, n, window):
+        index = build_index(keyed, w.vocabulary)
         w.order({r.term: r.n for r in index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.counts").alias("n")).collect()})
         parts.append(index.mapInArrow(lambda it, w=w: _search(it, w, slop), FOUND))
-    if len(parts) == 1:
-        return parts[0]
+    if n == 1:
+        return parts[0].drop("row_key")
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))  # noqa: E731  a list for each block
-    return out.groupBy("doc_id", "text_hash", "n_words").agg(*(union(c).alias(c) for c in ("hits", "items", "near_items")))
+    near = F.array_except("near_items", "items").alias("near_items")  # an item's windows are in one block, but its name can be in several
+    same = (F.first(c).alias(c) for c in ("doc_id", "text_hash", "n_words"))
+    return out.groupBy("row_key").agg(*same, *(union(c).alias(c) for c in ("hits", "items", "near_items"))).select("doc_id", "text_hash", "n_words", "hits", "items", near)
 
 
 def _covered(hits: Column) -> Column:

@@ -429,6 +429,22 @@ def test_blocks_and_proximity(spark, monkeypatch):
     assert whole[1].n_hit == 0 and whole[1].n_near_items == 1 and whole[2].n_near_items == 0
 
 
+def test_blocks_keep_every_row(spark, monkeypatch):
+    from sitelake.llm import decontam
+
+    items = [(i, passage(20, i)) for i in range(8)] + [(5, passage(20, 30))]
+    near = items[5][1].split()
+    near.insert(6, "inserted")
+    texts = [f"{passage(40, 900)} {items[0][1]}", f"{passage(40, 901)} {items[4][1]}", passage(60, 902), passage(60, 903), f"{' '.join(near)} {items[8][1]}"]
+    rows = [(i, t, None, None, None) for i in (None, 4) for t in (*texts, texts[1], texts[1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    result = lambda: sorted((tuple(x) for x in decontam.contamination(rows_of(spark, rows), bench).collect()), key=str)
+    whole = result()
+    assert len(whole) == len(rows)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 300)
+    assert result() == whole
+
+
 # --- SimHash
 
 
