@@ -7,8 +7,12 @@ is recorded with the turn. Where the text lies inside its piece is found in the
 the turn with a one-character probe in place of its text: what stands before and after the probe frames
 the text. The loss mask covers the text of assistant turns.
 
-Prefixes reach back at most WINDOW turns, so that a conversation of any length needs memory for WINDOW
-turns and time in proportion to its turns. Up to WINDOW turns the prefix is the whole conversation.
+Prefixes are whole: each turn is rendered with all turns before it, which takes time with the square of a
+conversation's turns. A template that says of itself that a turn's piece doesn't depend on turns further back
+(`by_turn = True`, as `bracket_template` does) is rendered with WINDOW turns instead, in time in proportion to
+the turns. Beyond WINDOW turns its pieces are held against renderings of the whole conversation, at doubling
+lengths and at the end; if they differ, the turns since the last agreement and all later ones are rendered
+with whole prefixes. A task holds the turns of one conversation.
 Conversations are dealt by id, sorted by turn inside the task (role and text break ties) and streamed; the
 output is a row for each turn, and its pieces in order are the formatted conversation.
 
@@ -57,6 +61,9 @@ def bracket_template(turns: Turns) -> str:
     return "<s>" + "".join(out)
 
 
+bracket_template.by_turn = True
+
+
 def read_pieces(formatted: str) -> Turns:
     """The turns of what bracket_template() gave."""
     return [(unescape(r.replace("\\)", "]")), unescape(t)) for r, t in _PIECE.findall(formatted)]
@@ -82,23 +89,61 @@ def render_turn(render: Callable[[Turns], str], prefix: Turns, role: str, text:
     return piece, begin, end, rewrites
 
 
+class _Conversation:
+    """The turns of a conversation so far, and the rows that aren't yet held against a whole rendering."""
+
+    def __init__(self, render: Callable[[Turns], str]):
+        self.render, self.turns, self.held, self.formatted = render, [], [], ""
+        self.whole, self.check_at = not getattr(render, "by_turn", False), 2 * WINDOW
+
+    def _row(self, n: int, first: int) -> tuple:
+        role, text = self.turns[n]
+        piece, begin, end, rewrites = render_turn(self.render, self.turns[first:n], role, text)
+        return (n, role, piece, begin, end, role == "assistant", rewrites)
+
+    def add(self, role: str, text: str) -> list[tuple]:
+        """The rows that are settled with this turn."""
+        n = len(self.turns)
+        self.turns.append((role, text))
+        if self.whole or n < WINDOW:
+            return [self._row(n, 0)]
+        if n == WINDOW:
+            self.formatted = self.render(self.turns[:n])
+        self.held.append(self._row(n, n + 1 - WINDOW))
+        return self.settle() if n + 1 == self.check_at else []
+
+    def settle(self) -> list[tuple]:
+        """The held rows, rendered anew if they don't add up to the whole conversation."""
+        rows, self.held = self.held, []
+        if not rows:
+            return rows
+        self.check_at *= 2
+        formatted = self.render(self.turns)
+        if any(x[-1] for x in rows) or formatted != "".join([self.formatted, *(x[2] for x in rows)]):
+            self.whole = True
+            return [self._row(x[0], 0) for x in rows]
+        self.formatted = formatted
+        return rows
+
+
 _TURN = "conv_id long, turn_no long, role string, piece string, begin long, end long, in_loss boolean, rewrites boolean"
 
 
 def _formatted(batches: Iterator[pa.RecordBatch], render: Callable[[Turns], str]) -> Iterator[pa.RecordBatch]:
     names, kinds = [x.split()[0] for x in _TURN.split(", ")], [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
-    last, prefix, n = object(), [], 0
+    of = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    last, now = object(), _Conversation(render)
     for batch in batches:
         rows = []
         for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-            role, text = role or "", text or ""
             if conv != last:
-                last, prefix, n = conv, [], 0
-            piece, begin, end, rewrites = render_turn(render, prefix, role, text)
-            rows.append((conv, n, role, piece, begin, end, role == "assistant", rewrites))
-            prefix, n = [*prefix[-WINDOW + 2 :], (role, text)], n + 1
+                rows += [(last, *x) for x in now.settle()]
+                last, now = conv, _Conversation(render)
+            rows += [(conv, *x) for x in now.add(role or "", text or "")]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            yield of(rows)
+    if rows := [(last, *x) for x in now.settle()]:
+        yield of(rows)
 
 
 def format_turns(turns: DataFrame, render: Callable[[Turns], str] = bracket_template) -> DataFrame:

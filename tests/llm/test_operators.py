@@ -320,6 +320,56 @@ def test_templates_that_rewrite_history_are_told():
     assert chat.render_turn(plain, [("user", "hello")], "assistant", "yes") == ("<assistant>yes.", 11, 14, False)
 
 
+def numbered(turns):
+    return "".join(f"<{i} {r}>{t}." for i, (r, t) in enumerate(turns))
+
+
+def edits_first(turns):
+    return "".join(f"<{r}>{t}{'!' * (i == 0 and len(turns) > 150)}." for i, (r, t) in enumerate(turns))
+
+
+def briefly_edits_first(turns):
+    return "".join(f"<{r}>{t}{'!' * (i == 0 and 140 <= len(turns) < 144)}." for i, (r, t) in enumerate(turns))
+
+
+@pytest.mark.parametrize(("template", "rewritten", "says"), [(numbered, [], False), (numbered, [], True), (edits_first, [150], False), (edits_first, [150], True), (briefly_edits_first, [139, 143], False)])
+def test_long_conversations_are_rendered_whole(template, rewritten, says):
+    from sitelake.llm import chat
+
+    render = lambda turns: template(turns)
+    render.by_turn = says
+    turns = [(("system", "user", "assistant")[i if i < 1 else 1 + i % 2], f"text {i}") for i in range(200)]
+    now, got = chat._Conversation(render), []
+    for x in turns:
+        got += now.add(*x)
+    got += now.settle()
+    want = [chat.render_turn(template, turns[:i], *x) for i, x in enumerate(turns)]
+    assert [(x[2], x[3], x[4], x[6]) for x in got] == want and [x[0] for x in got] == list(range(200))
+    assert [x[0] for x in got if x[6]] == rewritten
+
+
+def test_long_conversations_of_templates(spark):
+    from sitelake.llm import chat
+
+    rows = [(c, i, ("system", "user", "assistant")[i if i < 1 else 1 + i % 2], f"text {i}") for c in (1, 2) for i in range(200)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+    def counted(turns):
+        return "".join(f"<{i} {r}>{t}." for i, (r, t) in enumerate(turns))
+
+    def under_system(turns):
+        if turns and turns[0][0] != "system":
+            raise ValueError("the first turn has to be the system's")
+        return "".join(f"<{r}>{t}." for r, t in turns)
+
+    for template in (counted, under_system):
+        pieces = {1: {}, 2: {}}
+        for x in chat.format_turns(table, template).collect():
+            pieces[x.conv_id][x.turn_no] = x.piece
+        for own in pieces.values():
+            assert "".join(own[i] for i in range(200)) == template([r[2:] for r in rows[:200]])
+
+
 # --- repeats
 
 
