@@ -226,6 +226,15 @@ def test_url_rules(spark):
         urlfilter.judge(table, (urlfilter.Rule("none", ".*", (), "block"),))
 
 
+def test_rules_with_upper_case_paths(spark):
+    from sitelake.llm import urlfilter
+
+    rules = (*urlfilter.RULES, urlfilter.host_rule("example.com", "/Docs/", "block"))
+    table = spark.createDataFrame([(0, "http://example.com/Docs/a"), (1, "http://example.com/docs/a")], "page_id long, url string")
+    for out in (urlfilter.judge(table, rules), urlfilter.judge_by_table(table, urlfilter.rule_table(spark, rules))):
+        assert {x.page_id: x.rule for x in out.collect()} == {0: "example.com/Docs/", 1: None}
+
+
 # --- quality
 
 
