@@ -13,10 +13,13 @@ under them are its context. The job goes from coarse to fine:
    anchor has others: the rims of repeats. Only these, and one of each other kind, get their bytes. They
    are short texts aligned at their anchors, and are compared by a column-wise construction: one symbol
    of each context a round, keeping the order of suffixes and their common prefixes (common_windows()).
-   An anchor with more than CROWD contexts is compared by Spark instead, a row for each window, keyed by
-   the window's hash.
+   An anchor with more than CROWD contexts is dealt to cells: windows that begin within RANGE bytes of each
+   other share all bytes but RANGE - 1 at either end, and a cell has the contexts that agree in those. A cell
+   that is still crowded is compared by Spark, a row for each of its windows, keyed by the window's hash.
 4. Ranges go to their documents, which are cut.
 
+Rows are tied to their texts by 128 bits of id and text.
+
 Groups are aggregated before the shuffle; joins that bring a group's verdict to its rows have an exchange
 on both sides, so that adaptive execution splits a hot one.
 
@@ -31,18 +34,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelake.llm.common import id_key, raw_texts, sliced, small_batches, written
+from sitelake.llm.common import raw_texts, sliced, small_batches, written
 
 LENGTH, SPREAD = 400, 200
-CROWD = 20_000
+#: Contexts of an anchor or cell that one task compares, and the windows of a cell that begin at different places.
+CROWD, RANGE = 500, 25
 #: Contexts compared in one construction, at least; then the current group is filled.
 TOGETHER_CONTEXTS = 4_000
 #: Bytes hashed together; a longer text is cut into overlapping pieces of at most PIECE.
 TOGETHER, PIECE = 1 << 20, 8 << 20
 
+_NOT_START = bytes(range(0x80, 0xC0))  # a character has one byte that isn't of these
 _U = np.uint64
 _POS = _U((1 << 24) - 1)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -109,9 +115,9 @@ def find_anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return text[first], hashed[place[first]].view(np.int64), context.view(np.int64), first, stop, place[first]
 
 
-_ANCHOR = "id long, text int, anchor long, context long, n int, first int, last int, place int"
+_ANCHOR = "id long, text long, anchor long, context long, n int, first int, last int, place int"
 _NAMES = [x.split()[0] for x in _ANCHOR.split(", ")]
-_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
 
 
 def _rows(ids: np.ndarray, texts: np.ndarray, parts: list[np.ndarray], offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -136,12 +142,12 @@ def _rows(ids: np.ndarray, texts: np.ndarray, parts: list[np.ndarray], offsets:
         cut = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (a[1:] > b[:-1] + LENGTH)]))
         top = np.maximum.reduceat(b, cut)
         gone = pa.nulls(len(cut), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids[t[cut]], pa.int64()), pa.array(texts[t[cut]], pa.int32()), gone, gone, pa.array(np.full(len(cut), 2), pa.int32()), pa.array(a[cut], pa.int32()), pa.array(top, pa.int32()), pa.array(a[cut], pa.int32())], _NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[t[cut]], pa.int64()), pa.array(texts[t[cut]], pa.int64()), gone, gone, pa.array(np.full(len(cut), 2), pa.int32()), pa.array(a[cut], pa.int32()), pa.array(top, pa.int32()), pa.array(a[cut], pa.int32())], _NAMES)
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, most=TOGETHER):
-        ids, texts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "text_hash"))
+        ids, texts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "text_id"))
         raws = [np.frombuffer(r, np.uint8) for r in raw_texts(batch)]
         own = [(i, r, o) for i, x in enumerate(raws) for o in range(0, max(1, len(x) - LENGTH + 1), PIECE - LENGTH) for r in [x[o : o + PIECE - 1]] if len(r) >= LENGTH]
         held, size = [], 0
@@ -155,18 +161,17 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += len(one[1])
 
 
-def window_hashes(contexts: list[bytes], places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For contexts aligned at their anchors: the hash of the window that begins r bytes before the
+def window_hashes(contexts: list[bytes], places: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """For contexts aligned at their anchors: two hashes of the window that begins r bytes before the
     anchor, for r from 0 to SPREAD - 1, and whether the context has it."""
     wide = SPREAD - 1 + LENGTH
     data = np.zeros((len(contexts), wide), np.uint8)
     for row, c, p in zip(data, contexts, places, strict=True):
         row[SPREAD - 1 - p : SPREAD - 1 - p + len(c)] = np.frombuffer(c, np.uint8)
-    base = _BASES[1]
-    sums = np.concatenate([np.zeros((len(data), 1), _U), np.cumsum(_VALUES[1][data] * powers(pow(base, -1, 2**64), wide), axis=1)], axis=1)
-    begin = SPREAD - 1 - np.arange(SPREAD)
-    out = mix((sums[:, begin + LENGTH] - sums[:, begin]) * powers(base, SPREAD)[begin])
-    r = np.arange(SPREAD)
+    begin, r, out = SPREAD - 1 - np.arange(SPREAD), np.arange(SPREAD), []
+    for base, values in zip(_BASES, _VALUES, strict=True):
+        sums = np.concatenate([np.zeros((len(data), 1), _U), np.cumsum(values[data] * powers(pow(base, -1, 2**64), wide), axis=1)], axis=1)
+        out.append(mix((sums[:, begin + LENGTH] - sums[:, begin]) * powers(base, SPREAD)[begin]))
     return out, (r <= places[:, None]) & (r > places[:, None] - counts[:, None])
 
 
@@ -204,7 +209,7 @@ def common_windows(contexts: list[bytes], places: np.ndarray, groups: np.ndarray
     return out
 
 
-_RANGE = "id long, text int, begin long, end long"
+_RANGE = "id long, text long, begin long, end long"
 
 
 def _ranges(rows: list[tuple], again: np.ndarray) -> list[tuple]:
@@ -219,9 +224,9 @@ def _ranges(rows: list[tuple], again: np.ndarray) -> list[tuple]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts come sorted by anchor; whole groups (of CROWD at most) are compared together."""
+    """Contexts come sorted by cell; whole cells (of CROWD at most) are compared together."""
     held: list[tuple] = []
-    names, kinds = ["id", "text", "begin", "end"], [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    names, kinds = ["id", "text", "begin", "end"], [pa.int64()] * 4
 
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if len(rows) > 1:
@@ -231,7 +236,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "n", "bytes", "id", "text", "first", "place")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in _CONTEXT_NAMES), strict=True):
             if len(held) >= TOGETHER_CONTEXTS and row[0] != held[-1][0]:
                 yield from settle(held)
                 held = []
@@ -239,16 +244,44 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from settle(held)
 
 
+#: A context or a part of one: its bytes, where they begin in the text, and how far from there the anchor is.
+_CONTEXT = "cell long, n long, bytes binary, id long, text long, first int, place int"
+_CONTEXT_NAMES = [x.split()[0] for x in _CONTEXT.split(", ")]
+_CONTEXT_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+
+def _contexts(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), _CONTEXT_KINDS, strict=True)], _CONTEXT_NAMES)
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of contexts whose windows begin lo to lo + RANGE - 1 bytes before the anchor, in the cell of the
+    bytes that all these windows have. Cells that meet by chance are compared together and stay exact."""
+    for batch in batches:
+        rows = []
+        for cell, n, raw, i, t, first, place in zip(*(batch.column(c).to_pylist() for c in _CONTEXT_NAMES), strict=True):
+            least = place - (len(raw) - LENGTH)
+            for lo in range(0, SPREAD, RANGE):
+                a, b = max(lo, least), min(lo + RANGE - 1, place)
+                if a <= b:
+                    core = raw[place - lo : place - lo - RANGE + 1 + LENGTH]
+                    key = xxhash.xxh64_intdigest(cell.to_bytes(8, "big", signed=True) + lo.to_bytes(2, "big") + core) - 2**63
+                    rows.append((key, n, raw[place - b : place - a + LENGTH], i, t, first + place - b, b))
+        yield from _contexts(rows)
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of the contexts of crowded anchors."""
+    """A row for each window of the contexts of crowded cells."""
     for batch in batches:
         for i in range(0, batch.num_rows, 200):
             part = batch.slice(i, 200)
             contexts, places, first = part.column("bytes").to_pylist(), part.column("place").to_numpy(), part.column("first").to_numpy()
             hashes, has = window_hashes(contexts, places, np.array([len(c) - LENGTH + 1 for c in contexts]))
             row, r = np.nonzero(has)
-            cols = [part.column(c).take(pa.array(row)) for c in ("anchor", "n", "id", "text")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(r, pa.int32()), pa.array(hashes[row, r].view(np.int64)), pa.array((first + places)[row] - r, pa.int64())], ["anchor", "n", "id", "text", "r", "h", "begin"])
+            cols = [part.column(c).take(pa.array(row)) for c in ("cell", "n", "id", "text")]
+            own = [pa.array(h[row, r].view(np.int64)) for h in hashes]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(r, pa.int32()), *own, pa.array((first + places)[row] - r, pa.int64())], ["cell", "n", "id", "text", "r", "h", "h2", "begin"])
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,13 +290,43 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows = []
         for raw, i, t, wanted in zip(raw_texts(batch, "doc_text"), *(batch.column(c).to_pylist() for c in ("id", "text", "wanted")), strict=True):
             rows += [(w["anchor"], w["n"], raw[w["first"] : w["last"] + LENGTH], i, t, w["first"], w["place"] - w["first"]) for w in wanted]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "n", "bytes", "id", "text", "first", "place"])
+        yield from _contexts(rows)
+
+
+def _crowded(contexts: DataFrame) -> DataFrame:
+    return written(contexts.groupBy("cell").count().filter(F.col("count") > CROWD).select("cell"), "crowded")
+
+
+def _compared(contexts: DataFrame, crowd: DataFrame) -> DataFrame:
+    return contexts.join(crowd, "cell", "left_anti").repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare, _RANGE)
+
+
+def _rims(contexts: DataFrame) -> DataFrame:
+    """The repeated ranges of contexts whose cell is their anchor."""
+    crowd = _crowded(contexts)
+    out = _compared(contexts, crowd)
+    if crowd.isEmpty():
+        return out
+    dealt = written(contexts.join(crowd, "cell").mapInArrow(_deal, _CONTEXT), "cells")
+    crowd = _crowded(dealt)
+    out = out.unionByName(_compared(dealt, crowd))
+    if crowd.isEmpty():
+        return out
+    windows = dealt.join(crowd, "cell").mapInArrow(_windows, "cell long, n long, id long, text long, r int, h long, h2 long, begin long")
+    key = ["cell", "r", "h", "h2"]
+    shared = written(windows.groupBy(key).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(key), "shared-windows")
+    many = windows.filter("n = 1").join(shared, key)
+    return out.unionByName(many.select("id", "text", "begin", (F.col("begin") + LENGTH).alias("end")))
+
+
+def _own_keys() -> list[Column]:
+    """id and text_id: two hashes of a row's id and text, 128 bits. Rows that agree in both are the same text."""
+    of = (F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+    return [F.xxhash64(*of).alias("id"), F.xxhash64(F.lit("second"), *of).alias("text_id")]
 
 
 def repeated_ranges(texts: DataFrame) -> DataFrame:
-    """(id, text, begin, end) from texts (id, text_hash, text): bytes under repeated windows."""
+    """(id, text, begin, end) from texts (id, text_id, text): bytes under repeated windows."""
 
     found = written(texts.mapInArrow(_anchors, _ANCHOR), "anchors")
     ranges = lambda df: df.select("id", "text", F.col("first").cast("long").alias("begin"), (F.col("last") + LENGTH).cast("long").alias("end"))
@@ -283,16 +346,10 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     often = ranges(members.filter("many").join(twice, ["anchor", "context"]))
 
     wanted = kinds.groupBy("id", "text").agg(F.collect_list(F.struct("anchor", "n", "first", "last", "place")).alias("wanted"))
-    own = texts.select(F.col("id").alias("own_id"), F.col("text_hash").alias("own_text"), F.col("text").alias("doc_text")).dropDuplicates(["own_id", "own_text"])
+    own = texts.select(F.col("id").alias("own_id"), F.col("text_id").alias("own_text"), F.col("text").alias("doc_text")).dropDuplicates(["own_id", "own_text"])
     cut = wanted.join(own, (F.col("id") == F.col("own_id")) & (F.col("text") == F.col("own_text"))).select("id", "text", "wanted", "doc_text")
-    cut = written(cut.mapInArrow(_cut_contexts, "anchor long, n long, bytes binary, id long, text int, first int, place int"), "context-bytes")
-    crowd = written(kinds.groupBy("anchor").count().filter(F.col("count") > CROWD).select("anchor"), "crowded-anchors")
-    few = cut.join(crowd, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, _RANGE)
-    windows = cut.join(crowd, "anchor").mapInArrow(_windows, "anchor long, n long, id long, text int, r int, h long, begin long")
-    shared = windows.groupBy("anchor", "r", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor", "r", "h")
-    many = windows.filter("n = 1").join(written(shared, "shared-windows"), ["anchor", "r", "h"]) if not crowd.isEmpty() else None
-    out = local.unionByName(alone).unionByName(often).unionByName(few)
-    return out if many is None else out.unionByName(many.select("id", "text", "begin", (F.col("begin") + LENGTH).alias("end")))
+    cut = written(cut.mapInArrow(_cut_contexts, _CONTEXT), "context-bytes")
+    return local.unionByName(alone).unionByName(often).unionByName(_rims(cut))
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,21 +368,24 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = end
             rows.append((len(raw), sum(e - b for b, e in merged), len(merged), b"".join([*kept, raw[at:]]), [x for m in merged for x in m]))
         n, removed, spans, kept, flat = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array(flat, pa.list_(pa.int64()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array([len(k.translate(None, _NOT_START)) for k in kept], pa.int64()), pa.array(flat, pa.list_(pa.int64()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "kept_chars", "spans"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay), kept_sha256, spans (begin, end, ...)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay), kept_sha256, kept_chars (first bytes of
+    characters among them), spans (begin, end, ...)."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("id"), F.hash("text").alias("text_hash"), "text")
-    found = repeated_ranges(texts.select("id", "text_hash", "text")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_own_keys(), "text")
+    found = repeated_ranges(texts.select("id", "text_id", "text")).distinct()
     ranges = found.groupBy(F.col("id").alias("range_id"), F.col("text").alias("range_text")).agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
-    joined = texts.join(ranges, (F.col("id") == F.col("range_id")) & (F.col("text_hash") == F.col("range_text")), "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(_keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, spans array<long>")
+    joined = texts.join(ranges, (F.col("id") == F.col("range_id")) & (F.col("text_id") == F.col("range_text")), "left").select("doc_id", "text", "ranges")
+    return joined.mapInArrow(_keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, kept_chars long, spans array<long>")
 
 
 def repeat_digest(docs: DataFrame) -> DataFrame:
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """The digest of remove_repeats(), with the bytes and the characters (first bytes of such) that stay."""
+    kept = F.length("kept").cast("long")
+    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", kept.alias("n_kept"), "kept_chars", (F.col("n_removed") > 0).alias("has_repeats"))
 
 
 def brute_force(texts: list[str | None]) -> list[tuple[int, int, int, str]]:

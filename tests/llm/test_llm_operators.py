@@ -404,10 +404,26 @@ def test_repeats_of_crowded_anchors(spark, monkeypatch):
     monkeypatch.setattr(repeats, "CROWD", 3)
     p = passage(100, 1)
     texts = [passage(40, 200 + i) + p[i % 7 : 560 + i % 5] + passage(40, 300 + i) for i in range(40)]
+    texts += [p[: 60 + 9 * i] + "#" + p[61 + 9 * i :] for i in range(45)]  # near copies: cells stay crowded
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.repeat_digest(docs(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == repeats.brute_force(texts)
 
 
+def test_repeats_of_rows_without_ids(spark):
+    """Rows that share an id are tied to their own text."""
+    from collections import Counter
+
+    from sitelake.llm import repeats
+
+    texts = [passage(60, i) + passage(100, i % 9)[: 380 + i % 50] for i in range(60)]
+    for same in (None, 7):
+        df = rows_of(spark, [(same, t, None, None, None) for t in texts])
+        got = Counter((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.repeat_digest(df).collect())
+        assert got == Counter(repeats.brute_force(texts))
+    row = repeats.repeat_digest(docs(spark, ["é" * 450])).first()
+    assert (row.n_kept, row.kept_chars, row.has_repeats) == (row.n_bytes - row.n_removed, 0, True)
+
+
 def test_long_texts_in_pieces(monkeypatch):
     from sitelake.llm import repeats
 
@@ -416,7 +432,7 @@ def test_long_texts_in_pieces(monkeypatch):
 
     p = passage(200, 3)
     text = passage(300, 1) + p + passage(250, 2) + p
-    batch = pa.RecordBatch.from_pydict({"id": [1], "text_hash": pa.array([5], pa.int32()), "text": [text]})
+    batch = pa.RecordBatch.from_pydict({"id": [1], "text_id": [5], "text": [text]})
     rows = [r for b in repeats._anchors([batch]) for r in b.to_pylist() if r["anchor"] is not None]
     covered = sorted((r["first"], r["last"]) for r in rows)
     windows = [w for a, b in covered for w in range(a, b + 1)]
