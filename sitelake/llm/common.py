@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelake.sources.work import work_path, written  # noqa: F401  for the operators
@@ -42,6 +42,12 @@ def text_key(name: str = "text") -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(name), F.lit("")).cast("binary")))
 
 
+def without_rows(docs: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """docs without the rows whose keys are in gone. Rows stay packed, so that none of their columns can clash."""
+    packed = docs.select(F.struct("*").alias("row"), *(v.alias(k) for k, v in keys.items()))
+    return packed.join(gone.select(*keys), list(keys), "left_anti").select("row.*")
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else. lower() is the fast way where it does no more than that."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -5,8 +5,14 @@ term that the benchmark uses the sorted list of its token positions. A search re
 For each window of a benchmark item it takes the posting list of the window's rarest term over the
 whole corpus, shifts it by the term's offset to get possible starts, and intersects these with the
 shifted lists of the window's other terms, rarest first. What is left are exact phrase matches; starts
-whose rarest three terms lie within `slop` words of their places are proximity matches. Nothing is
-shuffled but one count for each term, so no source, passage or term makes a task larger than others.
+whose rarest term stands at its place and whose second and third rarest lie within `slop` words of theirs,
+in the same document, are proximity matches. Nothing is shuffled but one count for each term, so no source,
+passage or term makes a task larger than others.
+
+What is broadcast is bounded: the words of INDEX_BYTES of benchmark text at a time for building an index, and
+the windows of BLOCK_BYTES of text (at most about fifteen times that as arrays) for a search of it. A larger
+benchmark takes several searches of one index, and beyond INDEX_BYTES several indexes; results meet by a key
+that each row of the corpus has. A single longer item is a block of its own.
 
 Defined results: null and empty texts have no words and are never hit. Items without words have no
 window. Rows with a null doc_id are documents like others; a repeated doc_id gives a row each time.
@@ -16,18 +22,20 @@ Repeated items count once by item_id; a null item_id reads as an empty string. O
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelake.llm.common import id_key, raw_texts, sliced, small_batches, text_key, written
+from sitelake.llm.common import id_key, raw_texts, sliced, small_batches, text_key, without_rows, written
 
 WINDOW = 13
-#: The benchmark is searched in blocks of so many bytes of text, so what is broadcast has this bound.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that are searched for at once, and that an index has the terms of.
+BLOCK_BYTES, INDEX_BYTES = 4 << 20, 64 << 20
 #: Tokens in a shard (a longer document is a shard of its own) and candidates looked at together.
 SHARD_TOKENS, CANDIDATES = 1_000_000, 400_000
 
@@ -43,33 +51,49 @@ def words(raw: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of a block of items as arrays; broadcast, so bounded by BLOCK_BYTES."""
+    """The distinct windows of a block of items, as arrays."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
-        self.window = window
-        self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+    def __init__(self, items: list[tuple[str, bytes]], window: int, vocabulary: dict[bytes, int]):
+        """vocabulary: numbers of words; those of the items that it lacks are added."""
+        self.window, self.names = window, sorted({item for item, _ in items})
+        number, rows, lengths, of = {x: i for i, x in enumerate(self.names)}, [], [], []
         for item, raw in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(raw)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        self.items = [sorted(x) for x in found.values()]
-        self.length = np.array([len(x) for x in found], dtype=np.int64)
-        self.term = np.full((len(found), window), -1, dtype=np.int64)
-        for row, x in zip(self.term, found, strict=True):
-            row[: len(x)] = x
-
-    def order(self, df: dict[int, int]) -> None:
-        """Rarest terms first; df: documents with each term, over the whole corpus."""
-        n = np.array([df.get(i, 0) for i in range(len(self.vocabulary))] + [2**62], dtype=np.int64)
-        self.offset = np.argsort(n[self.term], axis=1, kind="stable")  # -1 is the last and most frequent
-        first = np.take_along_axis(self.term, self.offset[:, :1], 1)[:, 0]
-        self.by_first = np.argsort(first, kind="stable")
-        self.starts = np.searchsorted(first[self.by_first], np.arange(len(self.vocabulary) + 1))
-
-
-def _shards(batches: Iterator[pa.RecordBatch], vocabulary: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    get = vocabulary.get
+            ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(raw)], np.int32)
+            if not len(ids):
+                continue
+            if len(ids) < window:
+                own = np.concatenate([ids, np.full(window - len(ids), -1, np.int32)])[None]
+            else:
+                own = np.lib.stride_tricks.sliding_window_view(ids, window)
+            rows.append(own)
+            lengths.append(np.full(len(own), min(len(ids), window), np.int8))
+            of.append(np.full(len(own), number[item], np.int32))
+        term = np.ascontiguousarray(np.concatenate(rows)) if rows else np.empty((0, window), np.int32)
+        packed = term.view(np.dtype((np.void, 4 * window))).ravel()
+        _, first, group = np.unique(packed, return_index=True, return_inverse=True)
+        self.term, self.length = term[first], np.concatenate([*lengths, np.empty(0, np.int8)])[first]
+        pairs = np.unique(np.stack([group.ravel().astype(np.int64), np.concatenate([*of, np.empty(0, np.int32)]).astype(np.int64)]), axis=1)
+        #: The items of window i are item[item_at[i] : item_at[i + 1]], as places in names.
+        self.item, self.item_at = pairs[1].astype(np.int32), np.searchsorted(pairs[0], np.arange(len(first) + 1)).astype(np.int32)
+
+    def order(self, n: np.ndarray) -> None:
+        """Rarest terms first; n: the tokens of each term in the whole corpus."""
+        counts = np.concatenate([n, [2**62]])
+        self.offset = np.argsort(counts[self.term], axis=1, kind="stable").astype(np.int8)  # -1 is the last and most frequent
+        first = np.take_along_axis(self.term, self.offset[:, :1].astype(np.int64), 1)[:, 0]
+        self.by_first = np.argsort(first, kind="stable").astype(np.int32)
+        self.starts = np.searchsorted(first[self.by_first], np.arange(len(n) + 1)).astype(np.int32)
+
+    def size(self) -> int:
+        """Bytes of the arrays."""
+        return sum(x.nbytes for x in vars(self).values() if isinstance(x, np.ndarray))
+
+    def items_of(self, windows: list[int]) -> set[str]:
+        return {self.names[i] for w in windows for i in self.item[self.item_at[w] : self.item_at[w + 1]].tolist()}
+
+
+def _shards(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
+    get = {w: i for i, w in enumerate(sent.value.split(b" "))}.get
 
     def row(keys: list, ids: list, hashes: list, lengths: list[int], tokens: list[np.ndarray]) -> pa.RecordBatch:
         t = np.concatenate(tokens) if tokens else np.empty(0, np.int32)
@@ -100,7 +124,7 @@ class Shard:
     """A row of the index, searched."""
 
     def __init__(self, n_words: np.ndarray, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray):
-        self.ends = np.cumsum(n_words)
+        self.lengths, self.ends = n_words, np.cumsum(n_words)
         self.size = int(self.ends[-1]) if len(n_words) else 0
         self.terms, self.counts, self.positions = terms.astype(np.int64), counts.astype(np.int64), positions.astype(np.int64)
         self.lists = np.concatenate([[0], np.cumsum(self.counts)])
@@ -125,11 +149,12 @@ class Shard:
         i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return self.keys[i] == key
 
-    def within(self, term: np.ndarray, at: np.ndarray, slop: int) -> np.ndarray:
-        """Whether the list of the term holds a position at most slop away."""
-        key = term * (self.size + 1) + at
-        i = np.minimum(np.searchsorted(self.keys, key - slop), len(self.keys) - 1)
-        return (np.abs(self.keys[i] - key) <= slop) & (self.keys[i] // (self.size + 1) == term)
+    def within(self, term: np.ndarray, at: np.ndarray, slop: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether the list of the term holds a position at most slop away, of those from begin to end."""
+        least, most = np.maximum(at - slop, begin), np.minimum(at + slop, end - 1)
+        key = term * (self.size + 1)
+        i = np.minimum(np.searchsorted(self.keys, key + least), len(self.keys) - 1)
+        return (self.keys[i] >= key + least) & (self.keys[i] <= key + most)
 
     def candidates(self, w: Windows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(window, start) from the postings of every window's rarest term, in pieces."""
@@ -140,7 +165,7 @@ class Shard:
             step = max(1, CANDIDATES // len(of))
             for i in range(lo, lo + n, step):
                 at = self.positions[i : min(i + step, lo + n)]
-                yield np.tile(of, len(at)), np.repeat(at, len(of)) - np.tile(w.offset[of, 0], len(at))
+                yield np.tile(of, len(at)), np.repeat(at, len(of)) - np.tile(w.offset[of, 0].astype(np.int64), len(at))
 
     def search(self, w: Windows, slop: int) -> tuple[list, list]:
         """Exact and proximity matches as (window, start)."""
@@ -148,15 +173,17 @@ class Shard:
         waiting = 0
 
         def intersect(win: np.ndarray, start: np.ndarray) -> None:
-            doc = np.searchsorted(self.ends, start, side="right")
-            fits = (start >= 0) & (start + w.length[win] <= self.ends[np.minimum(doc, len(self.ends) - 1)])
+            doc = np.minimum(np.searchsorted(self.ends, start, side="right"), len(self.ends) - 1)
+            end = self.ends[doc]
+            begin = end - self.lengths[doc]
+            fits = (start >= 0) & (start + w.length[win] <= end)
             close = np.full(len(win), slop > 0)
             alive = fits.copy()
             for k in range(1, w.window):
-                off = w.offset[win, k]
-                term = w.term[win, off]
+                off = w.offset[win, k].astype(np.int64)
+                term = w.term[win, off].astype(np.int64)
                 if k <= 2 and slop:
-                    close &= (w.length[win] > k) & ((term >= 0) & self.within(np.maximum(term, 0), start + off, slop))
+                    close &= (w.length[win] > k) & ((term >= 0) & self.within(np.maximum(term, 0), start + off, slop, begin, end))
                 todo = np.flatnonzero(alive & (k < w.length[win]))
                 if not len(todo) and (k > 2 or not slop):
                     break
@@ -164,7 +191,7 @@ class Shard:
                 if k == 2 and slop:  # an exact match is one of these too; its items are left out in the end
                     near.append((win[close & fits], start[close & fits]))
                 if k >= 2:  # few are left
-                    win, start, alive, fits, close = win[alive], start[alive], alive[alive], fits[alive], close[alive]
+                    win, start, begin, end, fits, close, alive = (x[alive] for x in (win, start, begin, end, fits, close, alive))
             exact.append((win[alive], start[alive]))
 
         for win, start in self.candidates(w):
@@ -178,7 +205,8 @@ class Shard:
         return exact, near
 
 
-def _search(batches: Iterator[pa.RecordBatch], w: Windows, slop: int) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], sent: Broadcast, slop: int) -> Iterator[pa.RecordBatch]:
+    w: Windows = sent.value
     names = ["row_key", "doc_id", "text_hash", "n_words", "hits", "items", "near_items"]
     for batch in batches:
         for i in range(batch.num_rows):
@@ -194,8 +222,8 @@ def _search(batches: Iterator[pa.RecordBatch], w: Windows, slop: int) -> Iterato
                         np.add.at(cover, start, 1)
                         np.add.at(cover, start + w.length[win], -1)
                     pairs = np.unique(np.stack([np.searchsorted(shard.ends, start, side="right"), win]), axis=1)
-                    for doc, one in pairs.T.tolist():
-                        items[kind][doc].update(w.items[one])
+                    for doc in np.unique(pairs[0]).tolist():
+                        items[kind][doc] |= w.items_of(pairs[1][pairs[0] == doc].tolist())
             lists = (pa.array([sorted(x) for x in part], pa.list_(pa.string())) for part in (items[0], [b - a for a, b in zip(*items, strict=True)]))
             yield pa.RecordBatch.from_arrays([keys, ids, hashes, n_words, shard.runs(np.cumsum(cover[:-1]) > 0, lengths), *lists], names)
 
@@ -206,41 +234,58 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def build_index(keyed: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """The stored index of the corpus for the terms of a benchmark."""
-    return written(keyed.mapInArrow(lambda it: _shards(it, vocabulary), INDEX), "postings")
+    """The stored index of the corpus for the terms of a benchmark, numbered from 0 in order."""
+    sent = keyed.sparkSession.sparkContext.broadcast(b" ".join(vocabulary))
+    return written(keyed.mapInArrow(lambda it: _shards(it, sent), INDEX), "postings")
+
 
+def _term_counts(index: DataFrame, n: int) -> np.ndarray:
+    """The tokens of each of n terms; a number for each word of INDEX_BYTES at most comes to the driver."""
+    counted = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.counts").alias("n")).toArrow()
+    out = np.zeros(n, np.int64)
+    out[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    return out
 
-def _items(items: DataFrame) -> tuple[DataFrame, int]:
-    """item and text, and how many blocks of the benchmark are searched."""
+
+def _items(items: DataFrame) -> tuple[DataFrame, int, int]:
+    """item, text and the block of each; the number of blocks, and of blocks that share an index."""
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return rows, -(-size // BLOCK_BYTES) or 1
+    n = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES) or 1
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int"))
+    # written in order, so that each block is read from its own part of the table
+    return (written(rows.repartitionByRange("block").sortWithinPartitions("block"), "benchmark") if n > 1 else rows), n, max(1, INDEX_BYTES // BLOCK_BYTES)
 
 
-def _blocks(rows: DataFrame, n: int, window: int) -> Iterator[Windows]:
-    for b in range(n):
-        yield Windows([(r.item, r.text.encode()) for r in rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).toLocalIterator()], window)
+def _texts(rows: DataFrame, block: int) -> list[tuple[str, bytes]]:
+    return [(r.item, r.text.encode()) for r in rows.filter(F.col("block") == block).select("item", "text").toLocalIterator()]
 
 
 def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 2) -> DataFrame:
     """doc_id, text_hash, n_words, hits, items, near_items: for each document the runs of words under any exact
-    occurrence of a benchmark window, the items with such, and those with a proximity match only.
-
-    If the benchmark takes more than one block, the texts are written once with a key for each row, every block
-    has an index of its own (so that what is broadcast keeps its bound), and their results meet again by that key."""
+    occurrence of a benchmark window, the items with such, and those with a proximity match only."""
     small_batches(docs.sparkSession)
-    rows, n = _items(items)
-    keyed = _keyed(docs) if n == 1 else written(_keyed(docs), "keyed-texts")
+    rows, n, together = _items(items)
+    keyed = _keyed(docs) if n <= together else written(_keyed(docs), "keyed-texts")
     parts = []
-    for w in _blocks(rows, n, window):
-        index = build_index(keyed, w.vocabulary)
-        w.order({r.term: r.n for r in index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.counts").alias("n")).collect()})
-        parts.append(index.mapInArrow(lambda it, w=w: _search(it, w, slop), FOUND))
+    for begin in range(0, n, together):
+        vocabulary: dict[bytes, int] = {}
+        blocks = range(begin, min(begin + together, n))
+        for b in blocks:
+            for _, raw in _texts(rows, b):
+                for x in words(raw):
+                    vocabulary.setdefault(x, len(vocabulary))
+        index = build_index(keyed, vocabulary)
+        counts = _term_counts(index, len(vocabulary))
+        for b in blocks:
+            w = Windows(_texts(rows, b), window, vocabulary)
+            w.order(counts)
+            sent = docs.sparkSession.sparkContext.broadcast(w)
+            parts.append(index.mapInArrow(lambda it, sent=sent: _search(it, sent, slop), FOUND))
     if n == 1:
         return parts[0].drop("row_key")
-    out = parts[0]
+    out = parts[0]  # a row for each document; of the other blocks, rows with matches
     for x in parts[1:]:
-        out = out.unionByName(x)
+        out = out.unionByName(x.filter((F.size("hits") > 0) | (F.size("near_items") > 0)))
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))  # noqa: E731  a list for each block
     near = F.array_except("near_items", "items").alias("near_items")  # an item's windows are in one block, but its name can be in several
     same = (F.first(c).alias(c) for c in ("doc_id", "text_hash", "n_words"))
@@ -274,8 +319,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that aren't contaminated; all columns stay. A row goes by its own text, whatever shares its id."""
-    bad = _judged(docs, items).filter("contaminated").select(id_key().alias("_own_id"), F.col("text_hash").alias("_own_hash")).distinct()
-    return docs.join(written(bad, "contaminated"), (id_key() == F.col("_own_id")) & (text_key() == F.col("_own_hash")), "left_anti")
+    bad = _judged(docs, items).filter("contaminated").select(id_key().alias("id"), F.col("text_hash").alias("hash")).distinct()
+    return without_rows(docs, written(bad, "contaminated"), {"id": id_key(), "hash": text_key()})
 
 
 def brute_force(text: str | None, items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple[int, int, str]:
@@ -290,3 +335,22 @@ def brute_force(text: str | None, items: list[tuple[str, str | None]], window: i
                     hit |= {*range(j, j + len(x))}
                     names.add(item)
     return len(doc), len(hit), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+
+
+def brute_force_near(texts: list[str | None], items: list[tuple[str, str | None]], window: int = WINDOW, slop: int = 2) -> list[set[str]]:
+    """The items of proximity matches of each text, exact ones among them, by looking at every start; for tests."""
+    docs = [words((t or "").encode()) for t in texts]
+    n = Counter(x for d in docs for x in d)
+    out: list[set[str]] = [set() for _ in docs]
+    for item, t in items:
+        own = words((t or "").encode())
+        for i in range(max(1, len(own) - window + 1) if own else 0):
+            x = own[i : i + window]
+            if len(x) < 3:
+                continue
+            a, b, c = sorted(range(len(x)), key=lambda k: (n[x[k]], k))[:3]
+            for names, d in zip(out, docs, strict=True):
+                near = lambda k, s, d=d, x=x: x[k] in d[max(0, s + k - slop) : s + k + slop + 1]
+                if any(d[s + a] == x[a] and near(b, s) and near(c, s) for s in range(len(d) - len(x) + 1)):
+                    names.add(item)
+    return out

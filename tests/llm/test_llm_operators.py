@@ -453,10 +453,9 @@ def test_decontamination(spark):
     got = {x.doc_id: x for x in decontam.contamination(table, bench).collect()}
     want = [(str(i), t) for i, t in items]
     for i, t in enumerate(texts):
-        n, hit, digest = decontam.brute_force(t if t is not LONG else LONG[:0], want)
-        if t is not LONG:
-            assert (got[i].n_words, got[i].n_hit, got[i].items_sha256) == (n, hit, digest)
-            assert got[i].contaminated == (hit > 0 and 20 * hit >= n)
+        n, hit, digest = decontam.brute_force(t, want)
+        assert (got[i].n_words, got[i].n_hit, got[i].items_sha256) == (n, hit, digest)
+        assert got[i].contaminated == (hit > 0 and 20 * hit >= n)
     kept = decontam.decontaminate(table, bench)
     assert kept.columns == table.columns and {x.doc_id for x in kept.collect()} == {i for i in range(len(texts)) if not got[i].contaminated}
     assert decontam.contamination(docs(spark, []), bench).collect() == []
@@ -518,6 +517,35 @@ def test_blocks_keep_every_row(spark, monkeypatch):
     assert len(whole) == len(rows)
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 300)
     assert result() == whole
+    monkeypatch.setattr(decontam, "INDEX_BYTES", 600)
+    assert result() == whole
+
+
+def test_proximity_equals_looking_everywhere(spark):
+    from sitelake.llm import decontam
+
+    r = random.Random(8)
+    some = [f"w{i}" for i in range(25)]
+    texts = [None, "", "w1 w2 w3", *(" ".join(r.choices(some, k=r.randint(5, 60))) for _ in range(30))]
+    items = [(str(i), " ".join(r.choices(some, k=k))) for i, k in enumerate([1, 2, 3, 4, 6, 6, 14])] + [("x", None)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {x.doc_id: x for x in decontam.find_matches(docs(spark, texts), bench, window=5, slop=2).collect()}
+    near = decontam.brute_force_near(texts, items, window=5, slop=2)
+    for i, t in enumerate(texts):
+        n, _, digest = decontam.brute_force(t, items, window=5)
+        assert (got[i].n_words, hashlib.sha256(",".join(got[i]["items"]).encode()).hexdigest()) == (n, digest)
+        assert set(got[i].near_items) == near[i] - set(got[i]["items"])
+    assert sum(map(len, (x.near_items for x in got.values()))) > 5
+
+
+def test_what_is_broadcast_has_a_bound():
+    from sitelake.llm import decontam
+
+    items = [(str(i), passage(200, i).encode()) for i in range(300)]
+    vocabulary = {}
+    w = decontam.Windows(items, decontam.WINDOW, vocabulary)
+    w.order(np.zeros(len(vocabulary), np.int64))
+    assert w.size() < 15 * sum(len(t) for _, t in items)
 
 
 # --- SimHash
