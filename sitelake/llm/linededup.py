@@ -3,7 +3,8 @@
 Lines are exploded with a 128-bit hash of their key and written once, as hashes. Distinct documents
 are counted for each hash (partial counts before the shuffle), the hashes over the limit are written,
 and the lines are joined to them to find positions to drop. Positions go back to their document, whose
-text is split again and put together without them. All of it is DataFrame functions. A line that a
+lines but those are put together, in time in proportion to its lines. Documents are told apart by id and 128
+bits of their text. All of it is DataFrame functions. A line that a
 third of all documents holds is aggregated before the shuffle, and its rows in the join come straight
 from an exchange on either side, so adaptive execution can split them.
 
@@ -30,36 +31,45 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _own() -> list[Column]:
+    """id, t1, t2: what tells rows apart."""
+    return [id_key().alias("id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2")]
+
+
 def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """_id, _text (a hash of the text), positions: the lines to drop of each text, counted from 0."""
+    """id, t1, t2 (hashes of the text), positions: the lines to drop of each text, counted from 0."""
     lines = (
-        docs.select(id_key().alias("_id"), F.xxhash64("text").alias("_text"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-        .select("_id", "_text", "pos", line_key(F.col("line")).alias("key"))
+        docs.select(*_own(), _lines(F.col("text")).alias("lines"))  # hashed before lines are exploded, not for each line
+        .select("id", "t1", "t2", F.posexplode("lines").alias("pos", "line"))
+        .select("id", "t1", "t2", "pos", line_key(F.col("line")).alias("key"))
         .filter(F.char_length("key") >= min_chars)
-        .select("_id", "_text", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+        .select("id", "t1", "t2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
     )
     lines = written(lines, "lines")
     # with a limit of two, two distinct documents are a smallest and another largest one
-    many = F.min("_id") < F.max("_id") if min_docs == 2 else F.count_distinct("_id") >= min_docs
-    over = lines.groupBy("h1", "h2").agg(F.min("_id").alias("first"), many.alias("many")).filter("many").select("h1", "h2", "first")
+    many = F.min("id") < F.max("id") if min_docs == 2 else F.count_distinct("id") >= min_docs
+    over = lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), many.alias("many")).filter("many").select("h1", "h2", "first")
     over = written(over, "shared-lines")
-    drop = lines.join(over, ["h1", "h2"]).filter(F.col("_id") != F.col("first"))
-    return drop.groupBy("_id", "_text").agg(F.collect_set("pos").alias("positions"))
+    drop = lines.join(over, ["h1", "h2"]).filter(F.col("id") != F.col("first"))
+    return drop.groupBy("id", "t1", "t2").agg(F.collect_set("pos").alias("positions"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The documents with `kept` (their text without dropped lines), `n_lines` and `n_dropped`."""
-    drop = shared_lines(docs, min_chars, min_docs).select(F.col("_id").alias("drop_id"), F.col("_text").alias("drop_text"), "positions")
-    # the row stays packed until the end, so that no column of it can clash
-    own = docs.select(F.struct("*").alias("row"), id_key().alias("id"), F.xxhash64("text").alias("text_hash"))
-    joined = own.join(drop, (F.col("id") == F.col("drop_id")) & (F.col("text_hash") == F.col("drop_text")), "left")
-    lines = _lines(F.col("row.text"))
-    kept = F.when(F.col("positions").isNull(), F.coalesce("row.text", F.lit(""))).otherwise(
-        F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("positions", i)), "\n")
+    """The documents with `kept` (their text without dropped lines), `n_lines` and `n_dropped`. `text` is left out."""
+    # rows stay packed until the end, so that no column of them can clash; their texts go as lines
+    new = ("text", "kept", "n_lines", "n_dropped")
+    rest = [c for c in docs.columns if c not in new]
+    own = docs.select(F.struct(*(docs[f"`{c}`"] for c in rest)).alias("row"), *_own(), _lines(F.col("text")).alias("lines"))
+    joined = own.join(shared_lines(docs, min_chars, min_docs), ["id", "t1", "t2"], "left")
+    # a set difference of positions; lines are a column of the join's input, so that they aren't split for each position
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "positions")
+    left = F.when(F.col("positions").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get("lines", i)))
+    return joined.select(
+        *(F.col("row").getField(c).alias(c) for c in rest),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("positions"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.array_join(left, "\n").alias("kept"),
     )
-    counts = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("positions"), F.lit(0)).cast("long"), "kept": kept}
-    rest = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in counts]
-    return joined.select("row", *(v.alias(k) for k, v in counts.items())).select(*rest, *counts)
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
