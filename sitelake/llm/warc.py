@@ -2,8 +2,10 @@
 
 Records are written as WARC 1.1 by Spark's text writer with CR LF CR LF as the line separator, which is
 just what ends a WARC record, so archives go to any file system that Spark writes and appear only when
-the job commits. Archives are read file by file as binary, by each record's Content-Length, so no text
-inside a payload can be taken for a header.
+the job commits. Archives are read as a stream: Spark's text reader cuts them at the same separator, and the
+pieces are put together again by each record's Content-Length, so no text inside a payload can be taken for a
+header, and a task holds one record and a batch, however large the archive. Files have ARCHIVE_RECORDS records
+at most; gzip files of one or of many members are read.
 
 Revisit resolution works on headers: of those read back from an archive, payload digests are counted
 and their smallest page id found (partial aggregates first, so a payload that a third of all pages has
@@ -13,15 +15,15 @@ fresh headers: a response keeps its payload, a revisit has the header of its ori
 
 Payloads of less than MIN_PAYLOAD bytes are always responses. Defined results: a null html is an empty
 payload; rows with a null page_id keep it and sort behind all others as originals; repeated rows with
-one page_id give a record each, of which all are responses if the id is the smallest; control characters
-of a URL are percent-encoded in headers; extra columns are ignored.
+one page_id give a record each, of which all are responses if the id is the smallest; a URL with line ends is
+percent-encoded (as is its %) in its header, beside a field that says so, and any other stands as it is; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,10 +33,12 @@ from pyspark.sql import functions as F
 from sitelake.llm.common import NULL_ID, small_batches, work_path, written
 
 MIN_PAYLOAD = 100
-#: Records of an archive file at most. A file is one row of the reader, so this and the largest payload
-#: bound a task's memory.
+#: Records of an archive file at most.
 ARCHIVE_RECORDS = 2000
+SEPARATOR = "\r\n\r\n"
 
+#: What is escaped in a URL with line ends, in order.
+_CODES = (("%", "%25"), ("\r", "%0D"), ("\n", "%0A"))
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, type string, uri string, digest string, payload_bytes long, refers_to long, payload string"
@@ -45,9 +49,23 @@ def _lines(*fields: tuple[str, Column]) -> Column:
     return F.concat(*(F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit("")) for name, value in fields))
 
 
-def _uri(c: Column) -> Column:
-    escaped = F.replace(F.replace(F.replace(c, F.lit("%0D"), F.lit("%250D")), F.lit("%0A"), F.lit("%250A")), F.lit("\r"), F.lit("%0D"))
-    return F.replace(escaped, F.lit("\n"), F.lit("%0A"))
+def _odd(uri: Column) -> Column:
+    return uri.rlike("[\r\n]")
+
+
+def _uri(uri: Column) -> Column:
+    escaped = uri
+    for sign, code in _CODES:
+        escaped = F.replace(escaped, F.lit(sign), F.lit(code))
+    return F.when(_odd(uri), escaped).otherwise(uri)
+
+
+def _uri_of(head: dict[bytes, bytes]) -> str | None:
+    uri = head.get(b"warc-target-uri")
+    if uri is not None and b"uri-encoding" in head:
+        for sign, code in reversed(_CODES):
+            uri = uri.replace(code.encode(), sign.encode())
+    return None if uri is None else uri.decode("utf-8", "replace")
 
 
 def _urn(page_id: Column) -> Column:
@@ -63,6 +81,7 @@ def write_archives(records: DataFrame, path: str) -> None:
         ("WARC-Type", F.col("type")),
         ("WARC-Record-ID", _urn(F.col("page_id"))),
         ("WARC-Target-URI", _uri(F.col("uri"))),
+        ("URI-Encoding", F.when(_odd(F.col("uri")), "percent")),
         ("WARC-Date", F.lit(_DATE)),
         ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         ("WARC-Profile", F.when(revisit, _PROFILE)),
@@ -71,64 +90,63 @@ def write_archives(records: DataFrame, path: str) -> None:
         ("Content-Length", F.octet_length(block)),
     )
     text = F.concat(F.lit("WARC/1.1\r\n"), head, F.lit("\r\n"), block)
-    records.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    records.select(text.alias("value")).write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
 
 
 _FIELD = re.compile(rb"([^:\r\n]+): ([^\r\n]*)\r\n")
 
 
-def _inflated(content: bytes) -> bytes:
-    """A gzip file of any number of members, or the file itself."""
-    if content[:2] != b"\x1f\x8b":
-        return content
-    out = []
-    while content:
-        z = zlib.decompressobj(31)
-        out.append(z.decompress(content) + z.flush())
-        content = z.unused_data
-    return b"".join(out)
-
-
-def parse_archive(data: bytes) -> Iterator[tuple]:
-    """The records of an uncompressed archive, as RECORD."""
-    at, number = 0, lambda urn: None if b"none" in urn else int(urn.rpartition(b":")[2].rstrip(b">"))
-    while at < len(data):
-        if not data.startswith(b"WARC/1.", at):
-            raise ValueError(f"no record at byte {at}")
-        end = data.index(b"\r\n\r\n", at) + 4
-        head = {k.lower(): v for k, v in _FIELD.findall(data, data.index(b"\r\n", at) + 2, end)}
-        size = int(head[b"content-length"])
-        block = data[end : end + size]
-        at = end + size + 4
-        if head[b"warc-type"] not in (b"response", b"revisit"):
-            continue
-        http, _, payload = block.partition(b"\r\n\r\n")
-        own = {k.lower(): v for k, v in _FIELD.findall(http + b"\r\n")}
-        uri, refers = head.get(b"warc-target-uri"), head.get(b"warc-refers-to")
-        if uri is not None:
-            uri = uri.replace(b"%0D", b"\r").replace(b"%0A", b"\n").replace(b"%250", b"%0").decode()
-        kind = head[b"warc-type"].decode()
-        digest = head.get(b"warc-payload-digest", b"").rpartition(b":")[2].decode()
-        length = int(own.get(b"content-length", len(payload)))
-        if kind == "response" and (digest != hashlib.sha256(payload).hexdigest() or length != len(payload)):
-            raise ValueError(f"record {head.get(b'warc-record-id')} isn't what its header says")
-        yield number(head[b"warc-record-id"]), kind, uri, digest, length, refers and number(refers), payload if kind == "response" else None
+def _number(urn: bytes) -> int | None:
+    return None if b"none" in urn else int(urn.rpartition(b":")[2].rstrip(b">"))
+
+
+def take_record(data: bytes | bytearray, at: int) -> tuple[tuple | None, int] | None:
+    """The record at a place of an uncompressed archive, as RECORD, and where it ends; None instead of the record
+    if it is of another type, and None at all if the data end before it does."""
+    end = data.find(b"\r\n\r\n", at) + 4
+    if end < 4:
+        return None
+    if not data.startswith(b"WARC/1.", at):
+        raise ValueError(f"no record at byte {at}")
+    head = {k.lower(): v for k, v in _FIELD.findall(data, data.index(b"\r\n", at) + 2, end)}
+    stop = end + int(head[b"content-length"])
+    if stop > len(data):
+        return None
+    if head[b"warc-type"] not in (b"response", b"revisit"):
+        return None, stop
+    http, _, payload = bytes(data[end:stop]).partition(b"\r\n\r\n")
+    own = {k.lower(): v for k, v in _FIELD.findall(http + b"\r\n")}
+    kind, refers = head[b"warc-type"].decode(), head.get(b"warc-refers-to")
+    digest = head.get(b"warc-payload-digest", b"").rpartition(b":")[2].decode()
+    length = int(own.get(b"content-length", len(payload)))
+    if kind == "response" and (digest != hashlib.sha256(payload).hexdigest() or length != len(payload)):
+        raise ValueError(f"record {head.get(b'warc-record-id')} isn't what its header says")
+    return (_number(head[b"warc-record-id"]), kind, _uri_of(head), digest, length, refers and _number(refers), payload if kind == "response" else None), stop
 
 
 def _records(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.RecordBatch]:
+    """Records from the pieces between separators, file after file, in order."""
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
     names = [x.split()[0] for x in RECORD.split(", ")]
+    data = bytearray()
     for batch in batches:
-        for content in batch.column("content"):
-            rows, held = [], 0
-            for r in parse_archive(_inflated(content.as_py())):
-                rows.append(r if payloads else (*r[:-1], None))
-                held += len(r[-1] or b"")
-                if held > 4 << 20 or len(rows) >= 5000:
-                    yield _batch(rows, kinds, names)
-                    rows, held = [], 0
-            if rows:
-                yield _batch(rows, kinds, names)
+        rows, at = [], 0
+        for piece in batch.column("value").cast(pa.binary()).to_pylist():
+            data += piece + SEPARATOR.encode()
+            while True:
+                while data[at : at + 1] in (b"\r", b"\n"):  # what ends a record
+                    at += 1
+                found = take_record(data, at) if at < len(data) else None
+                if not found:  # the rest of the record is in the next pieces
+                    break
+                record, at = found
+                if record:
+                    rows.append(record if payloads else (*record[:-1], None))
+        del data[:at]
+        if rows:
+            yield _batch(rows, kinds, names)
+    if data:
+        raise ValueError("an archive ends inside a record")
 
 
 def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -140,7 +158,7 @@ def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of the archives under path; without payloads, their headers only."""
     small_batches(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+    files = spark.read.option("recursiveFileLookup", "true").option("lineSep", SEPARATOR).text(path).select("value")
     return files.mapInArrow(lambda it: _records(it, payloads), RECORD)
 
 
