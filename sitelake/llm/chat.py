@@ -17,10 +17,11 @@ Conversations are dealt by id, sorted by turn inside the task (role and text bre
 output is a row for each turn, and its pieces in order are the formatted conversation.
 
 The template here (`bracket_template`) marks turns in brackets and escapes `\\`, `[` and `<` in texts and
-roles, so that no text holds a control string and parsing gives back what was formatted.
+roles, in roles `]` too, so that no text holds a control string and parsing gives back what was formatted.
 
 Defined results: null texts and roles are empty; a null conv_id is one conversation; rows that are equal
-give a turn each; an empty table gives no rows; extra columns are ignored.
+give a turn each; rows of a conversation with the id -1 and the turns of the probe that conversation_digest()
+adds are one conversation, by turn; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,14 +40,14 @@ WINDOW = 64
 PROBE = "\ue000"
 Turns = list[tuple[str, str]]
 
-_ESCAPES = {"\\": "\\\\", "[": "\\(", "<": "\\{"}
+_ESCAPES = {"\\": "\\\\", "[": "\\(", "<": "\\{", "]": "\\)"}
 _UNESCAPES = {v: k for k, v in _ESCAPES.items()}
-_ESCAPED = re.compile(r"\\[\\({]")
+_ESCAPED = re.compile(r"\\[\\({)]")
 _PIECE = re.compile(r"(?:<s>)?\[([^\[\]]*)\] ([^\[<]*) \[/\1\](?:</s>)?")
 
 
-def escape(text: str) -> str:
-    return re.sub(r"[\\\[<]", lambda m: _ESCAPES[m.group()], text)
+def escape(text: str, signs: str = r"[\\\[<]") -> str:
+    return re.sub(signs, lambda m: _ESCAPES[m.group()], text)
 
 
 def unescape(text: str) -> str:
@@ -56,7 +57,7 @@ def unescape(text: str) -> str:
 def bracket_template(turns: Turns) -> str:
     out = []
     for role, text in turns:
-        mark = escape(role).replace("]", "\\)")
+        mark = escape(role, r"[\\\[<\]]")
         out.append(f"[{mark}] {escape(text)} [/{mark}]" + "</s>" * (role == "assistant"))
     return "<s>" + "".join(out)
 
@@ -66,7 +67,7 @@ bracket_template.by_turn = True
 
 def read_pieces(formatted: str) -> Turns:
     """The turns of what bracket_template() gave."""
-    return [(unescape(r.replace("\\)", "]")), unescape(t)) for r, t in _PIECE.findall(formatted)]
+    return [(unescape(r), unescape(t)) for r, t in _PIECE.findall(formatted)]
 
 
 def _added(before: str, after: str) -> tuple[str, bool]:
