@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelake.llm.common import id_key, raw_texts, sliced, small_batches, text_key, written
+from sitelake.llm.common import id_key, raw_texts, sliced, small_batches, text_key, without_rows, written
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 3
 #: Fingerprints of an anchor that one task compares; those of larger ones are dealt on.
@@ -164,7 +164,8 @@ def links(fps: DataFrame) -> DataFrame:
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step: each node's neighbours (the larger ones, or the smaller ones and itself) go to its smallest."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # a table, so that the join has an exchange on both sides and a node with very many edges can be split
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     own = both.join(least, "a")
     out = own.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else own.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return out.filter("a <> b").distinct()
@@ -213,16 +214,15 @@ def keep_first(docs: DataFrame) -> DataFrame:
     # groups of null ids alone share a component_id, so the root names the group
     chosen = keys.filter(F.col("_id") == F.col("component_id")).groupBy(F.col("root").alias("_root")).agg(F.min("text_hash").alias("_chosen"))
     stays = (F.col("_id") == F.col("component_id")) & (F.col("text_hash") == F.col("_chosen"))
-    judged = keys.join(written(chosen, "chosen"), F.col("root") == F.col("_root")).select(F.col("_id").alias("_own_id"), F.col("text_hash").alias("_own_hash"), "n", stays.alias("stays"))
-    same = (id_key() == F.col("_own_id")) & (text_key() == F.col("_own_hash"))
-    out = docs.join(written(judged.filter("not stays").select("_own_id", "_own_hash"), "copies"), same, "left_anti")
-    several = written(judged.filter("stays and n > 1").select("_own_id", "_own_hash"), "repeated")
+    judged = keys.join(written(chosen, "chosen"), F.col("root") == F.col("_root")).select(F.col("_id").alias("id"), F.col("text_hash").alias("hash"), "n", stays.alias("stays"))
+    own = {"id": id_key(), "hash": text_key()}
+    out = without_rows(docs, written(judged.filter("not stays").select("id", "hash"), "copies"), own)
+    several = written(judged.filter("stays and n > 1").select("id", "hash"), "repeated")
     if several.isEmpty():
         return out
-    row = F.struct(*(F.col(c) for c in docs.columns))
-    of = docs.join(several, same).select("_own_id", "_own_hash", row.alias("_row"))
-    one = of.groupBy("_own_id", "_own_hash").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
-    return out.join(several, same, "left_anti").unionByName(one.select("_row.*"))
+    packed = docs.select(F.struct("*").alias("row"), *(v.alias(k) for k, v in own.items()))
+    one = packed.join(several, ["id", "hash"]).groupBy("id", "hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return without_rows(out, several, own).unionByName(one.select("row.*"))
 
 
 def fingerprint(text: str | None) -> int:

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 LONG = " ".join(f"word{i % 977} and{i % 13}" for i in range(20_000))
 
@@ -176,6 +177,8 @@ def test_line_dedup(spark):
     assert linededup.line_digest(docs(spark, [])).collect() == []
     twice = rows_of(spark, [(1, "a line of its own", None, None, None)] * 2 + [(None, "a line of its own", None, None, None)])
     assert sorted((x.doc_id or 99, x.n_dropped) for x in linededup.line_digest(twice).collect()) == [(1, 0), (1, 0), (99, 1)]
+    many = "\n".join(f"line number {i}" for i in range(200_000))  # in time in proportion to the lines
+    assert sorted(x.n_dropped for x in linededup.line_digest(docs(spark, [many, many])).collect()) == [0, 200_000]
 
 
 # --- archives
@@ -201,6 +204,40 @@ def test_archives(spark):
         assert (got.type, got.refers_to) == (("revisit", first) if first is not None else ("response", None))
         assert got.uri == url
     assert warc.archive_digest(pages(spark, [])).collect() == []
+    odd = ["http://a/?q=%2500", "%250D%0d", "a%25\r%0A", " x ", "http://c/%25250"]
+    ends = ["", "\r\n", "\r\n\r\n", "\r", "\n\r\n\r\n\r\n", "\r\n\r\r\n\r\n"]
+    rows = [(i, u, f"{i}" * 120 + e + "x" * 50 + e, "") for i, (u, e) in enumerate((u, e) for u in odd for e in ends)]
+    back = {x.page_id: (x.uri, x.payload) for x in _archived(spark, rows).collect()}
+    assert back == {i: (u, h) for i, u, h, _ in rows}
+    again = warc.archive_digest(pages(spark, [(1, "u", "p" * 200, "")] * 2 + [(2, "u", "p" * 200, "")])).collect()
+    assert sorted((x.page_id, x.record_type, x.refers_to) for x in again) == [(1, "response", None)] * 2 + [(2, "revisit", 1)]
+
+
+def _archived(spark, rows):
+    """Pages written, deduplicated and read back."""
+    from sitelake.llm import warc
+    from sitelake.llm.common import work_path
+
+    raw, clean = work_path(spark, "raw"), work_path(spark, "clean")
+    warc.write_archives(warc.page_records(pages(spark, rows)).coalesce(1), raw)
+    warc.deduplicate(spark, raw, clean)
+    return warc.read_archives(spark, clean)
+
+
+def test_archives_of_many_members_and_other_records(spark, tmp_path):
+    import gzip
+
+    from sitelake.llm import warc
+
+    body = b"HTTP/1.1 200 OK\r\n\r\n" + b"abc" * 50
+    digest = hashlib.sha256(b"abc" * 50).hexdigest()
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    own = b"".join([b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Target-URI: http://a/%%2500\r\nWARC-Payload-Digest: sha256:" % 4, digest.encode(), b"\r\nContent-Length: %d\r\n\r\n" % len(body), body, b"\r\n\r\n"])
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(info) + gzip.compress(own) + gzip.compress(own))
+    assert [(x.page_id, x.uri, x.payload_bytes) for x in warc.read_archives(spark, str(tmp_path)).collect()] == [(4, "http://a/%2500", 150)] * 2
+    (tmp_path / "b.warc").write_bytes(own[:-60])
+    with pytest.raises(Exception, match="inside a record"):
+        warc.read_archives(spark, str(tmp_path / "b.warc")).collect()
 
 
 # --- URLs
@@ -267,8 +304,15 @@ def test_depleted_documents_go_and_clean_ones_stay(spark):
     assert all(got[i] for i in range(15, 35))
     out = quality.keep_good(table)
     assert out.columns == table.columns and out.count() == 21
+    assert {x.text for x in out.filter("doc_id < 15").collect()} == {texts[0]}, "texts lose the lines"
     copies = docs(spark, [menu] * 30)
-    assert quality.keep_good(copies).count() == 30, "exact copies are one text"
+    assert [x.doc_id for x in quality.keep_good(copies).collect()] == [0], "copies are documents, and the first keeps its lines"
+    assert quality.keep_good(docs(spark, [menu] * 9 + [passage(80, 1)])).count() == 10, "lines below the limit"
+    half = docs(spark, [passage(30, 1) + "\n" + passage(31, 10 + i) for i in range(12)])
+    assert quality.keep_good(half).count() == 12 and sum(x.n_chars for x in quality.keep_good(half).collect()) < sum(x.n_chars for x in half.collect())
+    assert quality.keep_good(rows_of(spark, [(i, passage(60, i), None, None, 1) for i in range(3)])).count() == 3, "a null host"
+    clash = docs(spark, [passage(60, 1), "bad"]).withColumn("id", F.lit(1)).withColumn("host", F.lit(2)).withColumn("row", F.lit(3)).withColumn("_bad", F.lit(4)).withColumn("lines", F.lit(5)).withColumn("hash", F.lit(6))
+    assert [x.doc_id for x in quality.keep_good(clash).collect()] == [0] and quality.keep_good(clash).columns == clash.columns
     assert quality.judge(docs(spark, [])).collect() == []
 
 
@@ -288,6 +332,8 @@ def test_repeated_and_null_ids_lose_their_lines_once(spark):
     assert kept.count() == len(rows + odd) - 1 and kept.filter("text = 'short'").count() == 0, "null ids don't stand for each other"
     out = quality.without_lines(table)
     assert out.columns == table.columns
+    left = {hashlib.sha256(t.encode()).hexdigest() for t in (x.text for x in out.collect())}
+    assert {x.left_sha256 for x in got} == left
     want = [r[1] if r[0] == 0 or r[3] == "other" or r[1] == "short" else r[1].split("\n", 1)[1] for r in rows + odd]
     assert sorted(x.text for x in out.collect()) == sorted(want)
     assert all(x.n_chars == len(x.text) for x in out.filter("doc_id <> 0 AND source = 's'").collect())
@@ -299,7 +345,7 @@ def test_repeated_and_null_ids_lose_their_lines_once(spark):
 def test_chat_round_trip(spark):
     from sitelake.llm import chat
 
-    rows = [(1, 0, "system", "</s>[INST] \\( <s>"), (1, 1, "user", None), (1, 2, "assistant", "a [/user] b"), (2, 1, "assistant", "z"), (2, 0, "ro]le", "é"), (2, 0, "ro]le", "é"), (None, None, None, "x")]
+    rows = [(1, 0, "system", "</s>[INST] \\( <s>"), (1, 1, "user", None), (1, 2, "assistant", "a [/user] b"), (2, 1, "assistant", "z"), (2, 0, "ro]le", "é"), (2, 0, "ro]le", "é"), (4, 0, "a\\)[b\\(", "\\)"), (4, 1, "\\", "]"), (None, None, None, "x")]
     rows += [(3, i, ("user", "assistant")[i % 2], passage(3, i)) for i in range(200)]
     table = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, piece string")
     turns = chat.format_turns(table).collect()
