@@ -257,7 +257,12 @@ def test_url_rules(spark):
     by_table = urlfilter.judge_by_table(table, urlfilter.rule_table(spark, urlfilter.RULES))
     key = lambda df: sorted(map(str, (r.asDict() for r in df.collect())))
     assert key(by_table) == key(urlfilter.judge(table))
-    more = [*urlfilter.RULES, *(urlfilter.host_rule(f"h{i}.example", "/", "block") for i in range(300))]
+    assert urlfilter.judge(table.limit(0)).collect() == [] and urlfilter.judge(table.unionByName(table)).count() == 2 * len(urls)
+    odd = ["http://a.com/wp-admin/x", "http://a.com/x/wp-admins", "http://a.com/a.ZIP", "http://a.com/zip", "http://a.com/calendar/2024/1", "http://a.com/calendar", "http://a.com/p/x;jsessionid=1"]
+    own = {x.page_id: (x.verdict, x.n_tried) for x in urlfilter.judge(spark.createDataFrame(list(enumerate(odd)), "page_id long, url string")).collect()}
+    assert [own[i][0] for i in range(7)] == ["block", "allow", "block", "allow", "block", "allow", "block"]
+    assert all(own[i][1] <= 2 for i in own), "only rules under a token of the URL are run"
+    more = [*urlfilter.RULES, *(urlfilter.host_rule(f"h{i}.example", "/", "block") for i in range(3000))]
     assert urlfilter.judge(table.unionByName(spark.createDataFrame([(99, "http://www.h77.example/x", "", 0)], table.schema)), tuple(more)).filter("rule = 'h77.example/'").count() == 1
     with pytest.raises(ValueError):
         urlfilter.judge(table, (urlfilter.Rule("none", ".*", (), "block"),))
