@@ -7,15 +7,18 @@ valid pair if merging their joined text gives them back). So each node keeps one
 path back from the end of the text is the encoding. Only the last `longest piece` nodes can be the start
 of a new edge: the window. When all backpointer paths from the window meet at one boundary, everything
 before it is committed and forgotten. Where the vocabulary has no piece across two neighbouring
-characters, as before a word's space, all paths meet by construction; the text is cut there and the ids
-of a stretch are kept in a bounded cache; stretches with a common prefix share its nodes. A character that is no piece becomes its UTF-8 byte pieces.
+characters, as before a word's space, all paths meet by construction, so texts are committed there at the
+latest. What is between two such places is a stretch: one that fits into the window is committed at its end,
+a longer one is streamed by the window. The ids of stretches are kept in a bounded cache, and short
+stretches with a common prefix share its nodes. A character that is no piece becomes its UTF-8 byte pieces.
 
 As the library does, a space reads as U+2581, one is put before the text, and empty texts have no ids.
 Decoding joins the pieces' bytes and drops that one space. A text with U+2581 itself decodes to a space
 there, so `round_trip` compares with the text in which it is a space. Null reads as empty; a null or
 repeated doc_id gives a row like any other; extra columns pass through in encode().
 
-The model file is a parameter. The driver reads it and sends its bytes along (MAX_MODEL_BYTES at most).
+The model file is a parameter. Models that this doesn't encode as the library does are refused: other types than
+BPE, none without byte pieces, with a normalizer that changes texts, or with symbols of the user. The driver reads it and sends its bytes along (MAX_MODEL_BYTES at most).
 """
 
 from __future__ import annotations
@@ -41,12 +44,60 @@ SPACE = "▁"
 UNKNOWN, ID_BITS = 1 << 21, 22
 
 
+def fields(proto: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a protocol buffer message; nested messages and strings as bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        n, shift = 0, 0
+        while True:
+            b = proto[at]
+            at += 1
+            n |= (b & 127) << shift
+            if b < 128:
+                return n
+            shift += 7
+
+    while at < len(proto):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        else:
+            n = {1: 8, 5: 4}.get(key & 7) or varint()
+            yield key >> 3, proto[at : at + n]
+            at += n
+
+
+def refusal(proto: bytes) -> str | None:
+    """Why a model can't be encoded here. Numbers are those of the library's model format."""
+    top = dict(x for x in fields(proto) if x[0] in (2, 3))
+    trainer, normalizer = (dict(fields(top.get(n, b""))) for n in (2, 3))
+    if trainer.get(3, 1) != 2:
+        return "it isn't a BPE model"
+    if not trainer.get(35):
+        return "it has no byte pieces"
+    if trainer.get(24):
+        return "it puts white space after words"
+    if normalizer.get(2):
+        return "its normalizer changes characters"
+    if normalizer.get(4, 1):
+        return "its normalizer removes spaces"
+    if not (normalizer.get(3, 1) and normalizer.get(5, 1)):
+        return "it doesn't put a space before the text, or keeps spaces as they are"
+    if any(dict(fields(x)).get(3) == 4 for n, x in fields(proto) if n == 1):
+        return "it has symbols of the user"
+    return None
+
+
 class Model:
     """The pieces of a BPE model with their scores."""
 
     def __init__(self, proto: bytes):
         import sentencepiece
 
+        if why := refusal(proto):
+            raise ValueError(f"this model can't be used: {why}")
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         self.score: dict[str, float] = {}
         self.id: dict[str, int] = {}
@@ -150,7 +201,7 @@ class Model:
 
     def stream(self, text: str) -> Iterator[list[int]]:
         """The ids of a stretch of any length, in parts, each as soon as it is certain."""
-        base, ids, sizes, step = 0, [-1], [0], 4 * self.longest
+        base, ids, sizes, step = 0, [-1], [0], self.longest
         for end in range(step, len(text) + step, step):
             part = text[base:end]
             self.extend(part, ids, sizes)
@@ -166,8 +217,9 @@ class Model:
                 base, ids, sizes = base + meet, ids[meet:], sizes[meet:]
 
     def learn(self, stretches: set[str]) -> None:
-        """Put the ids of stretches that are within the window into the cache. They are taken in sorted
-        order, since the nodes of a common prefix are the same and needn't be made again."""
+        """Put the ids of stretches into the cache. They are taken in sorted order: of those within the window
+        the nodes of a common prefix are the same and needn't be made again. Longer ones are streamed; those of
+        more than four windows aren't kept."""
         cache, missing = self.cache, []
         for s in stretches:
             if s not in cache:
@@ -181,6 +233,9 @@ class Model:
             self.older, self.cache = cache, {s: cache[s] for s in stretches if s in cache}
         before, ids, sizes = "", [-1], [0]
         for text in missing:
+            if len(text) > self.longest:
+                self.cache[text] = self.ids_of(text)
+                continue
             k = 0
             for x, y in zip(before, text, strict=False):
                 if x != y:

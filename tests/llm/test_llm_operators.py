@@ -130,6 +130,21 @@ def test_pieces_equal_the_library(spark):
     assert pieces.encoding_digest(docs(spark, [])).collect() == []
 
 
+def test_models_that_differ_are_refused(spark):
+    from sitelake.llm import pieces
+
+    part = lambda number, *own: bytes([number << 3 | 2, len(b := b"".join(own))]) + b
+    flag = lambda number, value: (bytes([number << 3, value]) if number < 16 else bytes([number << 3 & 127 | 128, number >> 4, value]))
+    trainer, normalizer = (flag(3, 2), flag(35, 1)), (flag(3, 1), flag(4, 0), flag(5, 1))
+    assert pieces.refusal(part(2, *trainer) + part(3, *normalizer)) is None
+    assert pieces.refusal(pieces.model_bytes(spark)) is None
+    bad = [((flag(3, 1), flag(35, 1)), normalizer), ((flag(3, 2),), normalizer), (trainer, (flag(4, 1),)), (trainer, (*normalizer, part(2, b"map"))), (trainer, (flag(3, 0), flag(4, 0))), ((*trainer, flag(24, 1)), normalizer)]
+    for t, n in bad:
+        with pytest.raises(ValueError, match="can't be used"):
+            pieces.Model(part(2, *t) + part(3, *n))
+    assert pieces.refusal(part(1, part(1, b"x"), flag(3, 4)) + part(2, *trainer) + part(3, *normalizer))
+
+
 def test_stream_commits_before_the_end():
     from sitelake.llm import pieces
 
