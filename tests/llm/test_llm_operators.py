@@ -67,11 +67,57 @@ def test_personal_data_is_found_and_redacted(spark):
     got = {x.doc_id: x for x in pii.find_personal_data(table, scorer).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
-        assert got[i].base_sha256 == hashlib.sha256(pii.spans_text(brute_base(t or "")).encode()).hexdigest()
+        base = brute_base(t or "")
+        assert got[i].base_sha256 == hashlib.sha256(pii.spans_text(base).encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(k == pii.KINDS[b] for _, b, _ in base) for k in pii.KINDS]
+        if t is not LONG:
+            every = [(int(s), pii.KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in got[i].spans.split(",") if x)]
+            assert every == sorted(every) and set(base) <= set(every) and got[i].n_added == len(every) - len(base)
+            new = sorted(set(every) - set(base))
+            assert all(b[2] <= a[0] or a[2] <= b[0] for a in new for b in every if a != b), "what is added overlaps nothing"
+            # redacted by characters: each run of covered ones becomes the kind of its first span
+            text, out, at = t or "", "", 0
+            while at < len(text):
+                own = min((x for x in every if x[0] <= at < x[2]), default=None)
+                if own is None:
+                    out, at = out + text[at], at + 1
+                    continue
+                out, at = out + f"[{pii.KINDS[own[1]].upper()}]", own[2]
+                while any(x[0] < at < x[2] for x in every):
+                    at = max(x[2] for x in every if x[0] < at < x[2])
+            assert got[i].redacted == out
     assert "mail.example.com" not in got[0].redacted and "[EMAIL]" in got[0].redacted
     assert got[300].spans == "" and got[302].spans == ""
     assert pii.select(f"call {passage(3, 9)} (717) 555-0202 now", scorer)[1], "a number without its country is added"
     assert pii.select(passage(300, 77), scorer) == ([], [])
+    odd = rows_of(spark, [(None, texts[0], None, None, None)] * 2 + [(5, texts[1], None, None, None)] * 2)
+    assert sorted((x.doc_id is None, x.n_phone) for x in pii.find_personal_data(odd, scorer).collect()) == [(False, 1)] * 2 + [(True, 1)] * 2
+
+
+def test_forms_beyond_the_base_patterns(spark):
+    """Recall and precision on rewritten matches of documents that the trees haven't seen."""
+    from sitelake.llm import pii
+
+    r = random.Random(6)
+
+    def card():
+        d = "4" + "".join(r.choice("0123456789") for _ in range(14))
+        return next(d + x for x in "0123456789" if pii.luhn(d + x))
+
+    def text(i):
+        signs = [f"+1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}", f"to.{i}@mail{i % 7}.example.com", card(), f"{r.randint(1, 255)}.0.{i % 256}.7", f"nr {r.randint(10**6, 10**12)}"]
+        return " ".join(f"{passage(r.randint(3, 9), 10 * i + k)} {x}" for k, x in enumerate(signs))
+
+    scorer = pii.fit(docs(spark, [text(i) for i in range(400)]))
+    good = bad = hit = wrong = 0
+    for i in range(400, 600):
+        t = text(i)
+        for s, k, e in pii.base_spans(t):
+            if new := pii.rewritten(t, s, k, e, r.randrange(1000)):
+                other, stop, of = new
+                found = any(x[1] == k and x[0] < stop and s < x[2] for x in pii.select(other, scorer)[1])
+                good, bad, hit, wrong = good + of, bad + 1 - of, hit + (found and of), wrong + (found and not of)
+    assert good > 300 and hit >= 0.9 * good and wrong <= 0.05 * bad, (good, bad, hit, wrong)
 
 
 @pytest.mark.parametrize("text", ["write to john[at]example.com", "john (at) example.com", "JOHN (AT] example.com now", "jo at example dot com", "jo at ex.com", "a (at) b (dot) c", "a@b.c or 1.2.3.4", "no sign. at all", ""])
