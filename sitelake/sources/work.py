@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the tables written by this driver, in order.
+_made: list[str] = []
+
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir). Only where that is unset, as in
-    tests, a temporary folder takes its place."""
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir). Only where that is unset and Spark
+    runs in this machine alone, as in tests, a temporary folder takes its place."""
     sc = spark.sparkContext
     if not (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sitelake-"))
     top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -22,4 +29,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends there and no executor's loss reaches it."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows of make() as a table; the tables that were written on the way to it are removed."""
+    before = len(_made)
+    out = written(make(), name)
+    remove(out.sparkSession, _made[before:-1])
+    del _made[before:-1]
+    return out
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Remove all tables written so far; for the end of a job, when its results have been taken."""
+    remove(spark, _made)
+    _made.clear()
