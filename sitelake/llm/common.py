@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelake.sources.work import work_path, written  # noqa: F401  for the operators
+from sitelake.sources.work import settled, work_path, written  # noqa: F401  for the operators
 
 #: ASCII white space, the only characters that separate words here.
 ASCII_SPACE = " \t\n\u000b\f\r"
