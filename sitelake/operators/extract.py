@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -13,6 +14,7 @@ from pyspark.sql import Window as W
 
 from sitelake.functions import text as T
 from sitelake.functions import urls as U
+from sitelake.sources.work import small_batches
 
 # Where the content is, what is not content, which blocks hold text.
 CONTAINERS = (("id", "content-core"), ("id", "content"), ("tag", "main"), ("tag", "article"))
@@ -41,16 +43,38 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 #: An opening tag ends these, if they are open and nothing in the second set stands between.
 _ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "tr": ({"tr"}, {"table"})}
 _END_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
+#: Characters of a link's context.
+CONTEXT = 200
 _SPACE = re.compile(r"\s+")
 #: A tag that the end of the page cuts is no text.
 _CUT_TAG = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 
 
+# What an element stands in, as bits that its children inherit.
+_TAGS, _CRUMBS_A, _CRUMBS_B, _LIST, _LISTED, _NAV, _MICRO = (1 << i for i in range(7))
+
+
+def _marks(tag: str, attrs: dict[str, str], above: int) -> int:
+    """What the children of an element stand in."""
+    own, name = attrs.get("id"), attrs.get("class", "")
+    crumb = "breadcrumb" in name and "breadcrumb" in name.split()
+    out = above | {"tags": _TAGS, "portal-breadcrumbs": _CRUMBS_A, "breadcrumb": _CRUMBS_B}.get(own, 0)
+    if tag == "ol" and crumb:
+        out |= _LIST
+    elif tag == "nav" and crumb:
+        out |= _NAV
+    elif tag == "li" and above & _LIST:
+        out |= _LISTED
+    return out | _MICRO * ("data-microdata-breadcrumb" in attrs)
+
+
 class Node:
-    __slots__ = ("attrs", "children", "parent", "tag")
+    __slots__ = ("attrs", "children", "inner", "parent", "tag", "within")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
+        self.within = parent.inner if parent else 0
+        self.inner = _marks(tag, attrs, self.within)
         self.children: list[Node | str] = []
 
     def walk(self) -> Iterator[Node]:
@@ -60,39 +84,45 @@ class Node:
             yield (n := stack.pop())
             stack += [c for c in reversed(n.children) if isinstance(c, Node)]
 
-    def text(self) -> str:
-        out, stack = [], [self]
+    def strings(self) -> Iterator[str]:
+        stack: list[Node | str] = [self]
         while stack:
             n = stack.pop()
             if isinstance(n, str):
-                out.append(n)
+                yield n
             else:
                 stack += reversed(n.children)
-        return "".join(out)
+
+    def text(self) -> str:
+        return "".join(self.strings())
 
     def classes(self) -> set[str]:
         return set(self.attrs.get("class", "").split())
 
-    def inside(self, test) -> bool:
-        n = self.parent
-        while n and not test(n):
-            n = n.parent
-        return n is not None
-
 
 class _Tree(HTMLParser):
-    """A tolerant tree: open paragraphs and items end where HTML says so, stray ends are ignored."""
+    """A tolerant tree: open paragraphs and items end where HTML says so, stray ends are ignored. The open
+    elements of each tag are counted, so that nothing is looked for that isn't open: time in proportion to the page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.open: Counter[str] = Counter()
+
+    def _end(self, n: Node) -> None:
+        """Close all up to and with an open element."""
+        while self.at is not n.parent:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def _close(self, tags: set[str], stop: set[str]) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         n = self.at
         while n.parent and n.tag not in tags and n.tag not in stop:
             n = n.parent
         if n.parent and n.tag in tags:
-            self.at = n.parent
+            self._end(n)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _END_P:
@@ -103,18 +133,19 @@ class _Tree(HTMLParser):
         self.at.children.append(node)
         if tag not in _VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in _VOID:
-            self.at = self.at.parent
+            self._end(self.at)
 
     def handle_endtag(self, tag: str) -> None:
-        n = self.at
-        while n.parent and n.tag != tag:
-            n = n.parent
-        if n.parent:
-            self.at = n.parent
+        if self.open[tag]:
+            n = self.at
+            while n.tag != tag:
+                n = n.parent
+            self._end(n)
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
@@ -128,20 +159,29 @@ def _chrome(n: Node) -> bool:
     return n.tag in CHROME_TAGS or n.attrs.get("id") in CHROME_IDS or bool(n.classes() & CHROME_CLASSES)
 
 
+def _start(n: Node, most: int = CONTEXT) -> str:
+    """The first characters of an element's text, cleaned; no more of it is read than these take."""
+    out, size, space = [], 0, False
+    for piece in n.strings():
+        words = piece.split()
+        for k, w in enumerate(words):
+            if size and (space or k or piece[0].isspace()):
+                out.append(" ")
+                size += 1
+            out.append(w)
+            size += len(w)
+            space = False
+            if size >= most:
+                return "".join(out)[:most]
+        space = space or not words and bool(piece) or bool(words) and piece[-1].isspace()
+    return "".join(out)
+
+
 def _breadcrumb(nodes: list[Node]) -> list[dict]:
     """The anchors of the first selector that has any."""
-    listed = lambda n: n.inside(lambda p: p.tag == "li" and p.inside(lambda o: o.tag == "ol" and "breadcrumb" in o.classes()))
-    below = lambda n, i: n.inside(lambda p: p.attrs.get("id") == i)
-    tests = (
-        lambda n: listed(n) and below(n, "portal-breadcrumbs"),
-        lambda n: listed(n) and below(n, "breadcrumb"),
-        listed,
-        lambda n: n.inside(lambda p: p.tag == "nav" and "breadcrumb" in p.classes()),
-        lambda n: n.inside(lambda p: "data-microdata-breadcrumb" in p.attrs),
-    )
     anchors = [n for n in nodes if n.tag == "a"]
-    for test in tests:
-        if found := [n for n in anchors if test(n)]:
+    for marks in (_LISTED | _CRUMBS_A, _LISTED | _CRUMBS_B, _LISTED, _NAV, _MICRO):
+        if found := [n for n in anchors if n.within & marks == marks]:
             return [{"title": n.text().strip(), "href": n.attrs.get("href", "")} for n in found]
     return []
 
@@ -157,26 +197,27 @@ def page_facts(html: str | None) -> dict:
         "lang": root.attrs.get("lang", "").strip() if (root := first("html")) else "",
         "raw_title": "".join(n.text() for n in nodes if n.tag == "title").strip(),
         "metas": [{"attr": a, "key": n.attrs[a], "content": n.attrs.get("content", "")} for n in nodes if n.tag == "meta" for a in ("name", "property") if n.attrs.get(a)],
-        "tag_links": [t for n in nodes if n.tag == "a" and n.inside(lambda p: p.attrs.get("id") == "tags") and (t := n.text().strip().removeprefix("#").strip())],
+        "tag_links": [t for n in nodes if n.tag == "a" and n.within & _TAGS and (t := n.text().strip().removeprefix("#").strip())],
         "breadcrumb": _breadcrumb(nodes),
-        "active_titles": [t for n in nodes if n.tag == "li" and ("active" in n.classes() or n.attrs.get("aria-current") == "page") and n.inside(lambda p: p.tag == "ol" and "breadcrumb" in p.classes()) and (t := n.text().strip())],
+        "active_titles": [t for n in nodes if n.tag == "li" and n.within & _LIST and ("active" in n.classes() or n.attrs.get("aria-current") == "page") and (t := n.text().strip())],
     }
     find = lambda kind, name: next((n for n in nodes if (n.attrs.get("id") if kind == "id" else n.tag) == name), None)
     container = next((c for kind, name in CONTAINERS if (c := find(kind, name))), None) or first("body") or tree.root
-    for n in [n for n in container.walk() if _chrome(n)]:
-        if n in n.parent.children:
-            n.parent.children.remove(n)
+    for n in [container, *container.walk()]:
+        n.children = [c for c in n.children if isinstance(c, str) or not _chrome(c)]
     blocks = [t for n in container.walk() if n.tag in BLOCKS and (t := _clean(n.text()))]
     # links and documents are of the tree after that removal
     body = first("body") or tree.root
-    anchors = []
+    anchors, starts = [], {}
     for n in body.walk():
         if n.tag == "a" and "href" in n.attrs and (href := n.attrs["href"].strip()):
             title = _clean(n.text()) or n.attrs.get("title", "") or href
             p = n.parent
             while p and p.tag not in CONTEXT_TAGS:
                 p = p.parent
-            anchors.append({"href": href, "title": title, "context": _clean(p.text()) if p else title})
+            if p and p not in starts:  # once for all links in it
+                starts[p] = _start(p)
+            anchors.append({"href": href, "title": title, "context": starts[p] if p else title[:CONTEXT]})
     return {**facts, "blocks": blocks, "anchors": anchors}
 
 
@@ -189,6 +230,8 @@ _FACTS = (
 def raw_facts(pages: DataFrame) -> DataFrame:
     """Pages (url, html) with the facts in place of the HTML."""
 
+    small_batches(pages.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), 200):  # facts of a few pages at a time
@@ -275,9 +318,9 @@ def link_edges(pages: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
 
 def document_links(pages: DataFrame) -> DataFrame:
     """(src, url, type, title, context) of links to documents, one for each resolved URL of a page; context is
-    cut at 200 characters."""
+    the first CONTEXT characters around the link."""
     a = _anchors(pages).withColumn("type", _extension(F.col("href"))).filter("type <> ''").withColumn("dst", U.resolve(F.col("url"), F.col("href")))
-    first = a.groupBy("url", "dst").agg(F.min_by(F.struct("type", "title", F.left("context", F.lit(200)).alias("context")), "pos").alias("f"))
+    first = a.groupBy("url", "dst").agg(F.min_by(F.struct("type", "title", "context"), "pos").alias("f"))
     return first.select(F.col("url").alias("src"), F.col("dst").alias("url"), "f.type", "f.title", "f.context")
 
 

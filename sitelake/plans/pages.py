@@ -119,19 +119,85 @@ def extract_pages(spark: SparkSession, d: str) -> DataFrame:
     return extracted(spark, d).select("page_id", "lang", "title")
 
 
-@query()
+def _unescaped(c: str) -> str:
+    for sign, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&nbsp;", chr(0xA0)), ("&amp;", "&")):
+        c = f"replace({c}, '{sign}', '{plain}')"
+    return c
+
+
+_SPACES = "[\\s\u00a0]+"
+_TITLE = f"trim({_unescaped("regexp_extract(html, '<title>([^<]*)</title>', 1)")})"
+_TEXT = f"""body AS (SELECT page_id, url, {_TITLE} AS title, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS a FROM pages),
+parts AS (SELECT page_id, url, title, list_concat([regexp_extract(a, '<h1>(.*?)</h1>', 1, 's')], string_split(a, '<p>')[2:]) AS ps FROM body),
+texts AS (
+    SELECT page_id, url, title, array_to_string(list_filter(list_transform(ps,
+        lambda x: trim(regexp_replace({_unescaped("regexp_replace(x, '<[^<>]*>', '', 'g')")}, '{_SPACES}', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS full_text
+    FROM parts
+)"""
+
+
+@query(
+    f"""WITH {_TEXT} SELECT page_id, full_text, length(full_text)::INTEGER AS content_length, '' AS description, []::VARCHAR[] AS tags,
+    'sha256:' || sha256(title || chr(10) || chr(10) || full_text) AS content_hash FROM texts"""
+)
 def page_text(spark: SparkSession, d: str) -> DataFrame:
     return extracted(spark, d).select("page_id", "full_text", "content_length", "description", "tags", "content_hash")
 
 
-@query()
+def marked_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The pages with what they lack: dates in metas, breadcrumbs, and links to documents, by their ids."""
+    i = F.col("page_id")
+    some = lambda test, *parts: F.when(test, F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))).otherwise("")
+    day = F.lpad((1 + i % 28).cast("string"), 2, "0")
+    dates = F.concat(
+        some(i % 2 == 0, '<meta property="article:published_time" content="2023-05-', day, '">'),
+        some(i % 3 == 0, '<meta name="dc.date" content=" 2024-01-', day, 'T10:00:00+02:00 ">'),
+        some(i % 5 == 0, '<meta name="DC.date" content="soon"><meta name="DCTERMS.modified" content="2024-02-', day, 'T01:30:00-03:00">'),
+        some(i % 7 == 0, '<meta property="og:updated_time" content="2024-03-', day, 'T12:00:00">'),
+    )
+    crumbs = F.concat(
+        some(i % 4 != 0, '<div id="portal-breadcrumbs"><ol class="breadcrumb"><li><a href="/">Home</a></li><li><a href="/s', i % 5, '"> Section ', i % 5, "</a></li>"),
+        some((i % 4 != 0) & (i % 3 == 0), '<li><a href="sub/">Sub &amp; more</a></li>'),
+        some(i % 4 != 0, '<li class="active">Page ', i, '</li></ol></div>'),
+        some(i % 8 == 4, '<nav class="breadcrumb"><a href="https://other.example/">Other</a></nav>'),
+    )
+    files = F.concat(
+        some(i % 2 == 0, '<p>Files of ', i, ': <a href="/files/', i, '.PDF?v=1">Report ', i, '</a> and\n<a href="#x">no file</a></p>'),
+        some(i % 3 == 0, '<div><a href="https://files.example/data-', i % 10, '.csv"></a> <b>more</b> <a href="/files/', i, '.PDF?v=1">again</a></div>'),
+    )
+    html = F.col("html")
+    for before, part in (("</head>", dates), ("<nav>", crumbs), ("</article>", files)):
+        html = F.concat(F.substring_index(html, before, 1), part, F.substr(html, F.char_length(F.substring_index(html, before, 1)) + 1))
+    return table(spark, d, "pages").select("page_id", "url", html.alias("html"))
+
+
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    return extract.extract_pages(marked_pages(spark, d))
+
+
+@query(
+    """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '2024-01-' || day WHEN page_id % 2 = 0 THEN '2023-05-' || day END AS content_date,
+    CASE WHEN page_id % 5 = 0 THEN CAST('2024-02-' || day || ' 04:30:00' AS TIMESTAMP) WHEN page_id % 7 = 0 THEN CAST('2024-03-' || day || ' 12:00:00' AS TIMESTAMP) END AS page_updated_at
+    FROM (SELECT page_id, lpad(CAST(1 + page_id % 28 AS VARCHAR), 2, '0') AS day FROM pages)"""
+)
 def content_dates(spark: SparkSession, d: str) -> DataFrame:
-    return extracted(spark, d).select("page_id", "content_date", "page_updated_at")
+    return _marked(spark, d).select("page_id", "content_date", "page_updated_at")
 
 
-@query()
+@query(
+    r"""SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN
+        list_concat(['Home', 'Section ' || page_id % 5], CASE WHEN page_id % 3 = 0 THEN ['Sub & more'] ELSE []::VARCHAR[] END) WHEN page_id % 8 = 4 THEN ['Other'] ELSE []::VARCHAR[] END AS breadcrumb_titles,
+    CASE WHEN page_id % 4 <> 0 THEN list_concat([site || '/', site || '/s' || page_id % 5], CASE WHEN page_id % 3 = 0 THEN [base || 'sub/'] ELSE []::VARCHAR[] END)
+         WHEN page_id % 8 = 4 THEN ['https://other.example/'] ELSE []::VARCHAR[] END AS breadcrumb_urls,
+    CASE WHEN page_id % 4 <> 0 THEN list_concat(list_concat(['Section ' || page_id % 5], CASE WHEN page_id % 3 = 0 THEN ['Sub & more'] ELSE []::VARCHAR[] END), ['Page ' || page_id])
+         WHEN page_id % 8 = 4 THEN ['Other'] ELSE []::VARCHAR[] END AS path_titles,
+    CASE WHEN page_id % 4 = 0 THEN '' WHEN page_id % 3 = 0 THEN 'Sub & more' ELSE 'Page ' || page_id END AS section,
+    CASE WHEN page_id % 8 = 0 THEN ['breadcrumb not found'] ELSE []::VARCHAR[] END AS warnings
+    FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS site, regexp_extract(url, '^([^?#]*/)[^/?#]*', 1) AS base FROM pages)"""
+)
 def breadcrumb_section(spark: SparkSession, d: str) -> DataFrame:
-    return extracted(spark, d).select("page_id", "breadcrumb", "path_titles", "section", "warnings")
+    titles, urls = F.transform("breadcrumb", lambda b: b["title"]).alias("breadcrumb_titles"), F.transform("breadcrumb", lambda b: b["url"]).alias("breadcrumb_urls")
+    return _marked(spark, d).select("page_id", titles, urls, "path_titles", "section", "warnings")
 
 
 @query(
@@ -144,9 +210,21 @@ def link_edges(spark: SparkSession, d: str) -> DataFrame:
     return extract.link_edges(extracted(spark, d), scopes_of(spark, d))
 
 
-@query()
+@query(
+    r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS site FROM pages),
+    found AS (
+        SELECT url AS src, site || '/files/' || page_id || '.PDF?v=1' AS url, 'pdf' AS type, CASE WHEN page_id % 2 = 0 THEN 'Report ' || page_id ELSE 'again' END AS title,
+               CASE WHEN page_id % 2 = 0 THEN 'Files of ' || page_id || ': Report ' || page_id || ' and no file' ELSE 'more again' END AS context, page_id
+        FROM p WHERE page_id % 2 = 0 OR page_id % 3 = 0
+        UNION ALL
+        SELECT url, 'https://files.example/data-' || page_id % 10 || '.csv', 'csv', 'https://files.example/data-' || page_id % 10 || '.csv', 'more again', page_id FROM p WHERE page_id % 3 = 0
+    ) SELECT page_id, src, url, type, title, context FROM found"""
+)
 def document_links(spark: SparkSession, d: str) -> DataFrame:
-    return extract.document_links(extracted(spark, d))
+    pages = _marked(spark, d).withColumn("url", F.concat("url", F.lit("#page-"), "page_id"))  # of pages with one URL each has its own links
+    found = extract.document_links(pages)
+    page = F.regexp_extract("src", "#page-([0-9]+)$", 1).cast("long")
+    return found.select(page.alias("page_id"), F.regexp_replace("src", "#page-[0-9]+$", "").alias("src"), "url", "type", "title", "context")
 
 
 def typed_pages(spark: SparkSession, d: str) -> DataFrame:
