@@ -20,11 +20,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelake.llm.common import id_key, raw_texts, sliced, small_batches, text_key, without_rows, written
+from sitelake.llm.common import id_key, raw_texts, sliced, small_batches, text_key, written
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 #: Limits of a line, and the part of a document's words. Of 45,330 documents that pass the base rules these take
@@ -123,13 +124,16 @@ def _verdicts(found: DataFrame, removed: DataFrame, depleted: float) -> DataFram
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without their `lines`; where these are null, texts stay as they are."""
     for batch in sliced(batches):
-        texts = []
-        for raw, gone in zip(raw_texts(batch), batch.column("lines").to_pylist(), strict=True):
-            gone = set(gone)
-            texts.append(b"\n".join(line for line in raw.split(b"\n") if not (line.strip() and _line_key(line.translate(_LOWER)) in gone)))
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "text", pa.array(texts, pa.binary()).cast(pa.string())).drop_columns(["lines"])
+        at, where = batch.schema.get_field_index("text"), batch.column("lines").is_valid()
+        if where.true_count:
+            own, texts = batch.filter(where), []
+            for raw, gone in zip(raw_texts(own), own.column("lines").to_pylist(), strict=True):
+                gone = set(gone)
+                texts.append(b"\n".join(line for line in raw.split(b"\n") if not (line.strip() and _line_key(line.translate(_LOWER)) in gone)))
+            batch = batch.set_column(at, "text", pc.replace_with_mask(batch.column("text"), where, pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)))
+        yield batch.drop_columns(["lines"])
 
 
 def _cut_texts(rows: DataFrame) -> DataFrame:
@@ -137,19 +141,17 @@ def _cut_texts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(_cut, rows.drop("lines").schema)
 
 
-def _without(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """docs with their texts cut; n_chars is counted anew where a text is."""
-    names = list(_keys())
+def _without(docs: DataFrame, changes: DataFrame) -> DataFrame:
+    """docs without those that changes (keys, lines, bad) call bad, the others without their lines; n_chars is
+    counted anew where a text is cut. One join, so that texts are shuffled once."""
     rest = F.struct(*(docs[f"`{c}`"] for c in docs.columns if c != "text")).alias("row")  # packed, so that no column can clash
     packed = docs.select(rest, "text", *(v.alias(k) for k, v in _keys().items()))
-    rest = packed.join(removed.select(*names), names, "left_anti").select("row", "text")
-    cut = packed.join(removed.select(*names, "lines"), names).select("row", "text", "lines")
+    joined = packed.join(changes, list(_keys()), "left").filter("bad IS NULL OR NOT bad")
+    out = _cut_texts(joined.select("row", "text", "lines", F.col("lines").isNotNull().alias("cut")))
     new = {"text": F.col("text")}
-    own = lambda df: df.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
-    rest, cut = own(rest), _cut_texts(cut)
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-    return rest.unionByName(own(cut))
+        new["n_chars"] = F.when(F.col("cut"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
@@ -166,7 +168,8 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, deple
 def without_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """All documents with the same columns, texts without the lines over the limit, and n_chars counted anew
     where it is there. A text that loses nothing stays as it is, null too."""
-    return _without(docs, _removed(_found(docs), min_docs, share))
+    removed = _removed(_found(docs), min_docs, share)
+    return _without(docs, removed.select(*_keys(), "lines", F.lit(False).alias("bad")))
 
 
 def keep_good(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
@@ -174,8 +177,10 @@ def keep_good(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, d
     not by that of others of its id."""
     found = _found(docs)
     removed = _removed(found, min_docs, share)
-    bad = written(_verdicts(found, removed, depleted).filter("NOT kept").select(*_keys()).distinct(), "rejected")
-    return _without(without_rows(docs, bad, _keys()), removed)
+    bad = _verdicts(found, removed, depleted).filter("NOT kept").select(*_keys(), F.lit(None).cast("array<binary>").alias("lines"), F.lit(True).alias("bad"))
+    cut = removed.select(*_keys(), "lines", F.lit(False).alias("bad"))
+    both = bad.unionByName(cut).groupBy(*_keys()).agg(F.max_by("lines", F.col("lines").isNotNull()).alias("lines"), F.max("bad").alias("bad"))
+    return _without(docs, written(both, "changes"))
 
 
 ORACLE_SQL = r"""
