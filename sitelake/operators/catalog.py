@@ -34,10 +34,12 @@ def build_catalog(pages: DataFrame, root: str | None = None) -> DataFrame:
 
 
 def catalog_stats(entries: DataFrame) -> DataFrame:
-    """(dimension, key, n): total, and counts by depth and by page type."""
-    by = lambda c: entries.groupBy(F.col(c).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("dimension"), "key", "n")
-    total = entries.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("dimension"), F.lit("").alias("key"), "n")
-    return total.unionByName(by("depth")).unionByName(by("page_type"))
+    """(dimension, key, n): total, and counts by depth and by page type. One pass over the entries, each of
+    which counts in three groups; a row of zero makes the total of no entries zero."""
+    group = lambda dimension, key: F.struct(F.lit(dimension).alias("dimension"), key.cast("string").alias("key"))
+    counted = entries.select(F.explode(F.array(group("total", F.lit("")), group("depth", F.col("depth")), group("page_type", F.col("page_type")))).alias("g")).select("g.*", F.lit(1).alias("n"))
+    none = entries.sparkSession.createDataFrame([("total", "", 0)], "dimension string, key string, n int")
+    return counted.unionByName(none).groupBy("dimension", "key").agg(F.sum("n").alias("n"))
 
 
 def stats_report(pages: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelake.functions import text as T
 
 LONGEST, EXCERPT, CHILDREN = 500, 1500, 15
 TEMPLATES = {
@@ -85,8 +84,3 @@ def estimate_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     joined = usage.withColumns({"_p": F.lower("provider"), "_m": F.lower("model")}).join(fit, ["_p", "_m"], "left")
     cost = F.col("tokens_in") / 1e6 * F.col("price.in_per_mtok") + F.col("tokens_out") / 1e6 * F.col("price.out_per_mtok")
     return joined.withColumn("cost", F.coalesce(cost, F.lit(0.0))).drop("_p", "_m", "price")
-
-
-def make_summaries(docs: DataFrame) -> DataFrame:
-    """Docs (full_text) with summary, full_text_hash and content_hash of (title, description, full_text)."""
-    return docs.withColumns({"summary": T.summary(F.col("full_text")), "full_text_hash": T.hashed(F.col("full_text")), "content_hash": T.content_hash(F.col("title"), F.col("description"), F.col("full_text"))})

@@ -50,12 +50,17 @@ def insight_rows(df: DataFrame, destination: str = "destination", beneficiary: s
 
 def write_lake(df: DataFrame, path: str, category: str, keys: Sequence[str], meta: dict[str, str], extracted_at: datetime, valid_until: datetime, frozen: bool = False) -> DataFrame:
     """Write df under path/category, partitioned by keys (only partitions it has are replaced), then append
-    one provenance row for each to path/_manifest's sibling `manifest`. Data is committed first; readers
-    trust the manifest only. Gives the appended rows."""
+    one provenance row for each to path/manifest. Data is committed first; readers trust the manifest only.
+    Rows are dealt by their keys before, so that a partition has a few files of the advisory size, and a large one is
+    split; counts are of what was written. Gives the manifest."""
     target = f"{path}/data/category={category}"
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(target)
+    columns = [F.col(k) for k in keys]
+    df.hint("rebalance", *columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(target)
+    own = df.sparkSession.read.schema(df.schema).parquet(target).groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("row_count"))
+    these = df.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
+    own = own.join(these, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi")
     part = F.concat_ws("/", *(F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in keys))
-    rows = df.groupBy(part.alias("partition_path")).agg(F.count(F.lit(1)).cast("int").alias("row_count"))
+    rows = own.select(part.alias("partition_path"), "row_count")
     values = {"category": F.lit(category), **{k: F.lit(meta[k]) for k in ("source_url", "source_hash", "extractor_version")}, "extracted_at": F.lit(extracted_at).cast("timestamp"), "valid_until": F.lit(valid_until).cast("timestamp"), "is_frozen": F.lit(frozen)}
     rows.withColumns(values).write.mode("append").parquet(f"{path}/manifest")
     return df.sparkSession.read.parquet(f"{path}/manifest")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sitelake.functions import text as T
 
 K1, B = 1.2, 0.75
+#: Parts of a saved index. Keep it when loading; choose it so that a part has a few hundred MB.
+BUCKETS = 64
 INDEXED = ("title", "mini_summary", "full_text")
 # Fixed value: query signs that read as spaces.
 QUERY_SIGNS = '"-+*():^'
@@ -22,6 +24,32 @@ def build_postings(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return postings, tokens.select("url", F.size("terms").cast("long").alias("dl"))
 
 
+def save_index(pages: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """build_postings() as tables under path: postings by bucket of the term's hash and sorted by term inside, so that
+    a search reads the buckets of its terms, and of these the row groups that can hold them."""
+    postings, lengths = build_postings(pages)
+    dealt = postings.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term")
+    dealt.write.partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
+    lengths.write.parquet(f"{path}/lengths")
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(postings(url, term, tf, bucket), doc_len(url, dl)) of save_index()."""
+    postings = spark.read.schema("url string, term string, tf long, bucket int").parquet(f"{path}/postings")
+    return postings, spark.read.schema("url string, dl long").parquet(f"{path}/lengths")
+
+
+def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
+
+
+def for_queries(postings: DataFrame, queries: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Postings of a saved index in the buckets that the queries' terms are in; these numbers (of `buckets` at most)
+    are taken first, so that the scan lists only their folders."""
+    own = _wanted(queries).select(bucket_of(F.col("term"), buckets).alias("b")).distinct().collect()
+    return postings.filter(F.col("bucket").isin([r.b for r in own]))
+
+
 def query_terms(query: Column) -> Column:
     """The distinct folded terms of a query; none if it is blank after cleaning."""
     return F.array_distinct(T.tokens(T.fold(F.translate(query, QUERY_SIGNS, " " * len(QUERY_SIGNS)))))
@@ -43,7 +71,7 @@ def bm25_scores(queries: DataFrame, postings: DataFrame, doc_len: DataFrame) ->
     wanted = _wanted(queries)
     stats = doc_len.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     # postings of the wanted terms only, before anything is joined to them
-    own = postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    own = postings.select("url", "term", "tf").join(wanted.select("term").distinct(), "term", "left_semi")
     df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.join(F.broadcast(stats)).select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"), "avgdl")  # stats is one row

@@ -12,10 +12,17 @@ from sitelake.functions import urls as U
 from sitelake.sources.work import written
 
 
+def _one_of_each(prior: DataFrame, *columns: str) -> DataFrame:
+    """_url and _p (the columns): one row of each canonical URL, so that a prior that repeats URLs doesn't
+    multiply pages. The latest by extracted_at if there is one; of ties that with the largest values."""
+    latest = ["extracted_at"] if "extracted_at" in prior.columns else []
+    return prior.groupBy(F.col("canonical_url").alias("_url")).agg(F.max(F.struct(*latest, *(c for c in columns if c not in latest))).alias("_p"))
+
+
 def classify_changes(current: DataFrame, prior: DataFrame) -> DataFrame:
     """Current (canonical_url, content_hash, status) with change: failed, unchanged_304, new,
     unchanged_hash or updated against the prior by canonical URL."""
-    p = prior.select(F.col("canonical_url").alias("_url"), F.col("content_hash").alias("_hash"))
+    p = _one_of_each(prior, "content_hash").select("_url", F.col("_p.content_hash").alias("_hash"))
     joined = current.join(p, F.col("canonical_url") == F.col("_url"), "left")
     change = (
         F.when(F.col("status").isNull() | (F.col("status") >= 400), "failed")
@@ -30,7 +37,7 @@ def classify_changes(current: DataFrame, prior: DataFrame) -> DataFrame:
 def carry_forward_summaries(current: DataFrame, prior: DataFrame) -> DataFrame:
     """Current pages with the prior mini_summary where the non-empty content_hash is the same, else null;
     stale_since is cleared, since the page was seen."""
-    p = prior.select(F.col("canonical_url").alias("_url"), F.col("content_hash").alias("_hash"), F.col("mini_summary").alias("_summary"))
+    p = _one_of_each(prior, "content_hash", "mini_summary").select("_url", F.col("_p.content_hash").alias("_hash"), F.col("_p.mini_summary").alias("_summary"))
     joined = current.drop("mini_summary", "stale_since").join(p, F.col("canonical_url") == F.col("_url"), "left")
     same = (F.col("content_hash") == F.col("_hash")) & (F.col("content_hash") != "")
     return joined.withColumns({"mini_summary": F.when(same, F.col("_summary")), "stale_since": F.lit(None).cast("timestamp")}).drop("_url", "_hash", "_summary")
@@ -85,20 +92,22 @@ def status_histogram(fetch_log: DataFrame) -> DataFrame:
 def recrawl_candidates(sitemap: DataFrame, pages: DataFrame, most: int | None = None) -> DataFrame:
     """Sitemap (loc, lastmod) with skip: whether lastmod is no later than the local record; at most `most`
     rows, by loc."""
-    p = pages.select(F.col("canonical_url").alias("_url"), F.col("extracted_at").alias("_at"))
+    p = pages.groupBy(F.col("canonical_url").alias("_url")).agg(F.max("extracted_at").alias("_at"))
     out = sitemap.join(p, F.col("loc") == F.col("_url"), "left").withColumn("skip", F.coalesce(F.col("lastmod") <= F.col("_at"), F.lit(False))).drop("_url", "_at")
     return out if most is None else out.orderBy("loc").limit(most)
 
 
-def merge_pages(snapshot: DataFrame, updates: DataFrame, deletes: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
+def merge_pages(snapshot: DataFrame, updates: DataFrame, deletes: DataFrame, prefix: str, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(snapshot, rejects): updates by url replace or add, deletes remove. Updates outside the prefix or
-    with an unsafe segment (blank, .., or with a leading dot) are rejected. Of several updates of one url
-    any one is taken."""
+    with an unsafe segment (blank, .., or with a leading dot) are rejected. Of several updates of one url the
+    last by the column `order` is taken; of ties, or without it, that whose values are the largest as JSON."""
     rel = F.substr(U.bare(F.col("url")), F.lit(len(prefix.rstrip("/")) + 2))
     inside = U.in_scope(F.col("url"), F.lit(prefix))
     safe = (rel == "") | ~F.exists(F.split(rel, "/"), lambda s: (s == "") | F.startswith(s, F.lit(".")))
     good = F.coalesce(inside & safe, F.lit(False))
-    accepted = updates.filter(good).dropDuplicates(["url"])
+    row = F.struct(*(updates[f"`{c}`"] for c in updates.columns))
+    last = F.struct(*([F.col(order)] if order else []), F.to_json(row))
+    accepted = updates.filter(good).groupBy("url").agg(F.max_by(row, last).alias("_row")).select("_row.*")
     gone = accepted.select("url").unionByName(deletes.select("url")).distinct()
     return snapshot.join(gone, "url", "left_anti").select(snapshot.columns).unionByName(accepted.join(deletes.select("url"), "url", "left_anti").select(snapshot.columns)), updates.filter(~good)
 

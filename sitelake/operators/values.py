@@ -13,6 +13,7 @@ from sitelake.functions import text as T
 # Words of a question that ask for amounts, and words of a table's head or foot.
 VALUE_WORDS = ("quanto", "valor", "total", "gasto", "custo", "despesa", "gastos")
 TABLE_WORDS = ("TOTAL", "VALOR", "DATA")
+NO_URL = "source without a URL"
 
 
 def money_values(df: DataFrame, column: str = "text") -> DataFrame:
@@ -62,10 +63,12 @@ def aggregate_sources(sources: DataFrame) -> DataFrame:
 
 def source_provenance(extracts: DataFrame, pages: DataFrame) -> DataFrame:
     """Extracts (page_url, url, method, success, error, file_size, extracted_at) with the title and section
-    of their page. A source without a URL is an error of the row, never a silent one."""
+    of their page. A source without a URL stays, without success and with an error, and has no types."""
     own = pages.select(F.col("url").alias("page_url"), F.col("title").alias("document_title"), F.col("section").alias("portal_section"))
-    joined = extracts.filter("url IS NOT NULL").join(own, "page_url", "left")
-    return document_source_type(joined).drop("extractor")
+    none, error = F.col("url").isNull(), F.col("error") if "error" in extracts.columns else F.lit(None).cast("string")
+    judged = extracts.withColumns({"success": F.col("success") & ~none, "error": F.when(none, F.coalesce(error, F.lit(NO_URL))).otherwise(error)})
+    typed = document_source_type(judged.join(own, "page_url", "left")).drop("extractor")
+    return typed.withColumns({c: F.when(~none, F.col(c)) for c in ("content_type", "source_type")})
 
 
 def table_lines(docs: DataFrame, words: Sequence[str] = TABLE_WORDS) -> DataFrame:

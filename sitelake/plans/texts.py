@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitelake.functions import text as T
 from sitelake.operators import catalog, citations, enrich, extract, quality, search, values
 from sitelake.plans.common import CANON_SQL, DOC_URL_SQL, ROOT, canonical_pages, doc_url, table
-from sitelake.sources.work import written
+from sitelake.sources.work import work_path
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -153,17 +153,18 @@ def _searched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    """The first three words of each benchmark item, with signs around them; a section for some."""
-    words = F.array_join(F.slice(F.split("text", r"\s+"), 1, 3), " ")
+    """The sentences of all benchmark items, with signs around them; a section for some."""
     section = F.when(F.col("item_id") < 20, F.concat(F.lit("SRC"), F.col("item_id").cast("string")))
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit('"'), words, F.lit(':*')).alias("query"), section.alias("section"), (F.col("item_id") + 1).alias("k"))
+    cut = table(spark, d, "benchmark").select("item_id", section.alias("section"), F.posexplode(F.split("text", r"[.]\s*")).alias("pos", "words"))
+    return cut.select((F.col("item_id") * 1000 + F.col("pos")).alias("query_id"), F.concat(F.lit('"'), "words", F.lit(":*")).alias("query"), "section", (F.col("item_id") + 1).alias("k"))
 
 
 _SEARCH = rf"""toks AS (SELECT {DOC_URL_SQL} AS url, source, regexp_extract_all(strip_accents(lower(lang || '  ' || coalesce(text, ''))), '[\p{{L}}\p{{N}}]+') AS ts FROM documents),
 lens AS (SELECT url, source, len(ts) AS dl FROM toks),
 post AS (SELECT url, term, count(*) AS tf FROM (SELECT url, unnest(ts) AS term FROM toks) GROUP BY url, term),
-qs AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(strip_accents(lower(translate(array_to_string(regexp_split_to_array(text, '\s+')[1:3], ' '), '"-+*():^', '        '))), '[\p{{L}}\p{{N}}]+')) AS ts,
-    CASE WHEN item_id < 20 THEN 'SRC' || item_id END AS section, greatest(1, least(50, item_id + 1)) AS k FROM benchmark),
+sentences AS (SELECT item_id, i - 1 AS pos, ws[i] AS words FROM (SELECT item_id, regexp_split_to_array(text, '[.]\s*') AS ws, unnest(range(1, len(ws) + 1)) AS i FROM benchmark)),
+qs AS (SELECT item_id * 1000 + pos AS query_id, list_distinct(regexp_extract_all(strip_accents(lower(translate(words, '"-+*():^', '        '))), '[\p{{L}}\p{{N}}]+')) AS ts,
+    CASE WHEN item_id < 20 THEN 'SRC' || item_id END AS section, greatest(1, least(50, item_id + 1)) AS k FROM sentences),
 want AS (SELECT query_id, unnest(ts) AS term, len(ts) AS n_terms FROM qs),
 stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
 idfs AS (SELECT term, greatest(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END, 0) AS idf FROM (SELECT term, count(*) AS df FROM post GROUP BY term), stats),
@@ -173,10 +174,22 @@ scores AS (
 )"""
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def search_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The saved index of the documents, built at the first use in an application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        path = work_path(spark, "search-index")
+        search.save_index(_searched(spark, d), path)
+        _indexes[key] = path
+    return search.load_index(spark, _indexes[key])
+
+
 def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Postings and lengths, written once: texts are not cut into terms again for each use."""
-    postings, lengths = search.build_postings(_searched(spark, d))
-    return written(postings, "postings"), written(lengths, "lengths")
+    postings, lengths = search_index(spark, d)
+    return search.for_queries(postings, _queries(spark, d)), lengths
 
 
 @query(f"WITH {_SEARCH} SELECT url, term, tf FROM post")
@@ -186,7 +199,7 @@ def build_postings(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_SEARCH} SELECT query_id, url FROM post JOIN want USING (term) GROUP BY query_id, url HAVING count(*) = max(n_terms)")
 def match_all_terms(spark: SparkSession, d: str) -> DataFrame:
-    return search.match_all_terms(_queries(spark, d), search.build_postings(_searched(spark, d))[0])
+    return search.match_all_terms(_queries(spark, d), _index(spark, d)[0])
 
 
 @query(f"WITH {_SEARCH} SELECT query_id, url, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS rank FROM scores) WHERE rank <= 10")
@@ -291,6 +304,17 @@ def needs_extraction(spark: SparkSession, d: str) -> DataFrame:
     return values.needs_extraction(table(spark, d, "documents").select("doc_id", F.col("text").alias("query"))).select("doc_id", "needs_extraction")
 
 
+@query(
+    rf"""WITH {CANON_SQL}, m AS (SELECT regexp_extract(html, 'lang="([^"]*)"', 1) AS conv_id, page_id AS turn, site, canonical FROM canon JOIN (SELECT page_id, html FROM pages) p USING (page_id)),
+    t AS (SELECT conv_id, turn, 'x **URL:** ' || canonical || chr(10) || '**URL:** ftp://no' || chr(10) || '**URL:**  ' || site || '/single and more' AS text FROM m),
+    f AS (SELECT conv_id, turn, regexp_extract_all(text, '[*][*]URL:[*][*]\s+(https?://\S+)', 1) AS us FROM t)
+    SELECT conv_id, turn, (i - 1)::INTEGER AS pos, us[i] AS url FROM (SELECT *, unnest(range(1, len(us) + 1)) AS i FROM f)"""
+)
+def extract_urls(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit("x **URL:** "), "canonical", F.lit("\n**URL:** ftp://no\n**URL:**  "), "site", F.lit("/single and more"))
+    return citations.extract_urls(_messages(spark, d).select("conv_id", "turn", text.alias("text")))
+
+
 def _result_text(site: Column, url: Column, lang: Column) -> Column:
     """Two results and one page, as a tool would print them."""
     return F.concat(

@@ -12,6 +12,7 @@ from sitelake.functions import text as T
 from sitelake.operators import cacheops, lake, quality, values
 from sitelake.plans.common import table
 from sitelake.sources import io
+from sitelake.sources.work import work_path
 from sitelake.streaming import breaker
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -91,11 +92,13 @@ def prioritize_documents(spark: SparkSession, d: str) -> DataFrame:
     return values.prioritize_documents(_attachments(spark, d).select("query_id", "page_rank", "position", "url"))
 
 
-@query(f"WITH {_ATTACHED} SELECT 'https://site.example/' || o_orderkey AS page_url, url, 'stub' AS method, url NOT LIKE '%.zip' AS success, 'title ' || o_orderkey AS document_title, o_orderpriority AS portal_section, {_TYPES} FROM attached JOIN (SELECT o_orderkey, o_orderpriority FROM orders) o USING (o_orderkey)")
+@query(f"""WITH {_ATTACHED} SELECT page_url, CASE WHEN has_url THEN url END AS url, method, success, CASE WHEN NOT has_url THEN 'source without a URL' END AS error, document_title, portal_section, CASE WHEN has_url THEN content_type END AS content_type, CASE WHEN has_url THEN source_type END AS source_type FROM (
+    SELECT 'https://site.example/' || o_orderkey AS page_url, url, 'stub' AS method, url NOT LIKE '%.zip' AS has_url, url NOT LIKE '%.zip' AND url NOT LIKE '%.XLSX' AS success, 'title ' || o_orderkey AS document_title, o_orderpriority AS portal_section, {_TYPES} FROM attached JOIN (SELECT o_orderkey, o_orderpriority FROM orders) o USING (o_orderkey))""")
 def source_provenance(spark: SparkSession, d: str) -> DataFrame:
     page = F.concat(F.lit("https://site.example/"), "o_orderkey")
     pages = table(spark, d, "orders").select(page.alias("url"), F.concat(F.lit("title "), "o_orderkey").alias("title"), F.col("o_orderpriority").alias("section"))
-    extracts = _attachments(spark, d).select(page.alias("page_url"), "url", F.lit("stub").alias("method"), (~F.endswith("url", F.lit(".zip"))).alias("success"))
+    given = F.when(~F.endswith("url", F.lit(".zip")), F.col("url"))  # archives have lost their URL
+    extracts = _attachments(spark, d).select(page.alias("page_url"), given.alias("url"), F.lit("stub").alias("method"), (~F.endswith("url", F.lit(".XLSX"))).alias("success"))
     return values.source_provenance(extracts, pages)
 
 
@@ -163,11 +166,47 @@ def fetch_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return quality.fetch_outcomes(log, _NOW).select("event_id", "outcome", "retry_after_s", "long_pause")
 
 
-@query()
+_BREAKER = """WITH RECURSIVE o AS (
+    SELECT user_id::VARCHAR AS host, ts, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events
+),
+r(host, rn, ts, name, failures, after, opened, moves) AS (
+    SELECT DISTINCT host, 0::BIGINT, NULL::TIMESTAMP, 'closed', 0, 0, NULL::TIMESTAMP, []::VARCHAR[] FROM o
+    UNION ALL
+    SELECT host, rn, ts,
+        CASE WHEN cur IN ('open', 'aborted') THEN cur WHEN NOT failed THEN 'closed' WHEN cur = 'closed' THEN CASE WHEN failures >= 1 THEN 'open' ELSE 'closed' END WHEN after >= 2 THEN 'aborted' ELSE 'half_open' END,
+        CASE WHEN cur IN ('open', 'aborted') THEN failures WHEN NOT failed THEN 0 WHEN cur = 'closed' THEN failures + 1 ELSE failures END,
+        CASE WHEN cur IN ('open', 'aborted') THEN after WHEN NOT failed OR cur = 'closed' AND failures >= 1 THEN 0 WHEN cur = 'closed' THEN after ELSE after + 1 END,
+        CASE WHEN cur = 'closed' AND failed AND failures >= 1 THEN ts ELSE opened END,
+        list_concat(CASE WHEN woke THEN ['open>half_open'] ELSE []::VARCHAR[] END,
+            CASE WHEN cur = 'half_open' AND NOT failed THEN ['half_open>closed'] WHEN cur = 'closed' AND failed AND failures >= 1 THEN ['closed>open'] WHEN cur = 'half_open' AND after >= 2 THEN ['half_open>aborted'] ELSE []::VARCHAR[] END)
+    FROM (
+        SELECT o.host, o.rn, o.ts, o.failed, r.failures, r.after, r.opened, r.name = 'open' AND o.ts - r.opened >= INTERVAL 10 MINUTE AS woke,
+               CASE WHEN r.name = 'open' AND o.ts - r.opened >= INTERVAL 10 MINUTE THEN 'half_open' ELSE r.name END AS cur
+        FROM r JOIN o ON o.host = r.host AND o.rn = r.rn + 1
+    )
+)
+SELECT host, ts, split_part(m, '>', 1) AS from_state, split_part(m, '>', 2) AS to_state FROM (SELECT host, ts, unnest(moves) AS m FROM r)"""
+
+
+def _breaker_log(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").cast("string").alias("host"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("failed"))
+
+
+@query(_BREAKER)
 def failure_breaker(spark: SparkSession, d: str) -> DataFrame:
-    """The breaker over the events of each user, replayed as a table; tests hold the stream against it."""
-    log = table(spark, d, "events").select(F.col("user_id").cast("string").alias("host"), "ts", F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("failed"))
-    return breaker.failure_breaker_batch(log, breaker.Breaker(most_failures=2))
+    """The breaker over the events of each user, replayed as a table."""
+    moves = breaker.failure_breaker_batch(_breaker_log(table(spark, d, "events")), breaker.Breaker(most_failures=2))
+    return moves.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(_BREAKER)
+def failure_breaker_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same as a stream over the table's files that ends with them; its output is a table in the shared folder."""
+    events = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    moves, out = breaker.failure_breaker_stream(_breaker_log(events), breaker.Breaker(most_failures=2)), work_path(spark, "transitions")
+    to = moves.writeStream.format("parquet").option("path", out).option("checkpointLocation", work_path(spark, "stream")).trigger(availableNow=True)
+    to.start().awaitTermination()
+    return spark.read.schema(moves.schema).parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -229,7 +268,7 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
     return _coverage(spark, d)
 
 
-@query(f"WITH {_COVERED} SELECT count(*) FILTER (WHERE state = 'fresh') AS n_fresh, count(*) FILTER (WHERE state = 'expired') AS n_expired, count(*) FILTER (WHERE state = 'missing') AS n_missing, 'hit_partial' AS coverage FROM states")
+@query(f"WITH {_COVERED} SELECT count(*) FILTER (WHERE state = 'fresh') AS n_fresh, count(*) FILTER (WHERE state = 'expired') AS n_expired, count(*) FILTER (WHERE state = 'missing') AS n_missing, CASE WHEN count(*) FILTER (WHERE state = 'fresh') = 0 THEN 'miss' WHEN count(*) FILTER (WHERE state <> 'fresh') = 0 THEN 'hit_total' ELSE 'hit_partial' END AS coverage FROM states")
 def coverage_report(spark: SparkSession, d: str) -> DataFrame:
     return lake.coverage_report(_coverage(spark, d))
 

@@ -313,3 +313,129 @@ def test_breaker_stream_equals_its_replay(spark, tmp_path):
     q = B.failure_breaker_stream(stream, cfg).writeStream.format("memory").queryName("moves").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.sql("SELECT * FROM moves").collect())) == want
+
+
+def test_links_of_one_block_take_time_in_proportion():
+    import time
+
+    from sitelake.operators.extract import page_facts
+
+    start = time.perf_counter()
+    facts = page_facts("<div>" + "<a href='x.pdf'>link</a> some text " * 20_000 + "</div>")
+    page_facts("<div>" * 20_000 + "x" + "</span>" * 20_000 + "<p>a" * 20_000)
+    assert time.perf_counter() - start < 10
+    assert len(facts["anchors"]) == 20_000 and {len(a["context"]) for a in facts["anchors"]} == {200}
+
+
+def test_priors_that_repeat_urls(spark):
+    from sitelake.operators import snapshots as S
+
+    current = spark.createDataFrame([("u", "b", 200, None, None)], "canonical_url string, content_hash string, status int, mini_summary string, stale_since timestamp")
+    prior = spark.createDataFrame([("u", "a", "x", 1), ("u", "b", "y", 2), ("u", None, None, 0)], "canonical_url string, content_hash string, mini_summary string, extracted_at int")
+    assert [r.change for r in S.classify_changes(current, prior).collect()] == ["unchanged_hash"]
+    assert [r.mini_summary for r in S.carry_forward_summaries(current, prior).collect()] == ["y"]
+    seen = spark.createDataFrame([("u", 3)], "loc string, lastmod int")
+    assert [r.skip for r in S.recrawl_candidates(seen, prior).collect()] == [False]
+
+
+def test_the_last_update_wins(spark):
+    from sitelake.operators.snapshots import merge_pages
+
+    p = "https://h.example"
+    snap = spark.createDataFrame([(f"{p}/a", "old", 0)], "url string, v string, n int")
+    up = spark.createDataFrame([(f"{p}/a", "late", 2), (f"{p}/a", "early", 1), (f"{p}/b", "x", 1), (f"{p}/b", "y", 1)], "url string, v string, n int")
+    gone = snap.limit(0).select("url")
+    for one in (up, up.orderBy("v"), up.repartition(4)):
+        assert sorted((r.url[-1], r.v) for r in merge_pages(snap, one, gone, p, order="n")[0].collect()) == [("a", "late"), ("b", "y")]
+        assert sorted(r.v for r in merge_pages(snap, one, gone, p)[0].collect()) == ["late", "y"]
+
+
+def test_statistics_of_no_entries(spark):
+    from sitelake.operators.catalog import catalog_stats
+
+    entries = spark.createDataFrame([(1, "a"), (1, None), (2, "a")], "depth int, page_type string")
+    assert {(r.dimension, r.key): r.n for r in catalog_stats(entries).collect()} == {("total", ""): 3, ("depth", "1"): 2, ("depth", "2"): 1, ("page_type", "a"): 2, ("page_type", None): 1}
+    assert [tuple(r) for r in catalog_stats(entries.limit(0)).collect()] == [("total", "", 0)]
+
+
+def test_sources_without_a_url_are_errors(spark):
+    from sitelake.operators.values import source_provenance
+
+    extracts = spark.createDataFrame([("p", None, True), ("p", "http://a/x.csv", True)], "page_url string, url string, success boolean")
+    pages = spark.createDataFrame([("p", "t", "s")], "url string, title string, section string")
+    got = sorted((r.url or "", r.success, r.error, r.source_type, r.document_title) for r in source_provenance(extracts, pages).collect())
+    assert got == [("", False, "source without a URL", None, "t"), ("http://a/x.csv", True, None, "csv", "t")]
+
+
+def test_citations_of_long_conversations(spark, monkeypatch):
+    from sitelake.operators import citations as C
+
+    monkeypatch.setattr(C, "TURNS", 3)
+    rows = [(c, t, p, f"t{t}", "", f"u{(t * 7 + p) % 11}") for c in (1, 2) for t in range(20) for p in range(2)]
+    got = C.number_citations(spark.createDataFrame(rows, "conv_id int, turn int, pos int, title string, breadcrumb string, url string")).collect()
+    want, seen = [], {}
+    for c, _, _, title, _, url in sorted(rows):
+        if (c, url) not in seen:
+            seen[c, url] = len([1 for k in seen if k[0] == c]) + 1
+            want.append((c, seen[c, url], title, url))
+    assert sorted((r.conv_id, r.id, r.title, r.url) for r in got) == sorted(want)
+
+
+def test_citations_by_lines(spark):
+    from sitelake.operators import citations as C
+
+    text = "## 1. One\n## 2. Two\nsee **URL:** http://a\r\n**URL:** http://none\n# Page\n\n**URL:** http://no\n# Other \n**URL:**  http://b \n## Breadcrumb\n\n## Breadcrumb\nHome > Y\n## Breadcrumb\nlater\n## 3.  Open"
+    got = C.extract_citations(spark.createDataFrame([(1, 0, text)], "conv_id int, turn int, text string")).orderBy("pos").collect()
+    assert [(r.title, r.breadcrumb, r.url) for r in got] == [("One", "", "http://a"), ("Other", "Home > Y", "http://b")]
+    assert C.extract_citations(spark.createDataFrame([(1, 0, "")], "conv_id int, turn int, text string")).collect() == []
+
+
+def test_saved_index_is_pruned(spark, tmp_path):
+    from sitelake.operators import search as S
+
+    pages = spark.createDataFrame([(f"u{i}", "", None, f"word{i} common") for i in range(50)], "url string, title string, mini_summary string, full_text string")
+    S.save_index(pages, str(tmp_path), buckets=16)
+    postings, lengths = S.load_index(spark, str(tmp_path))
+    assert sorted(map(tuple, postings.drop("bucket").collect())) == sorted(map(tuple, S.build_postings(pages)[0].collect())) and lengths.count() == 50
+    queries = spark.createDataFrame([(1, "word7"), (2, "")], "query_id int, query string")
+    own = S.for_queries(postings, queries, buckets=16)
+    assert "PartitionFilters: [isnotnull(bucket" in own._jdf.queryExecution().executedPlan().toString()
+    assert len(own.inputFiles()) < len(postings.inputFiles()) or own.select("bucket").distinct().count() == 1
+    assert [r.url for r in S.bm25_scores(queries, own, lengths).collect()] == ["u7"]
+
+
+def test_lake_partitions_have_few_files(spark, tmp_path):
+    from datetime import datetime
+
+    from sitelake.operators.lake import write_lake
+
+    df = spark.range(4000).selectExpr("id", "id % 5 AS k").repartition(40)
+    meta = {"source_url": "u", "source_hash": "h", "extractor_version": "1"}
+    manifest = write_lake(df, str(tmp_path), "c", ["k"], meta, datetime(2024, 1, 1), datetime(2025, 1, 1))
+    assert {r.partition_path: r.row_count for r in manifest.collect()} == {f"k={i}": 800 for i in range(5)}
+    assert len(list((tmp_path / "data").rglob("*.parquet"))) <= 10
+
+
+def test_entry_leaves_out_what_cannot_be_imported(monkeypatch):
+    import sys
+
+    import __spark_entry__
+
+    every = set(__spark_entry__.queries())
+    for name in ("sentencepiece", "xxhash"):
+        for m in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("sitelake.llm")]:
+            monkeypatch.delitem(sys.modules, m)
+        monkeypatch.setitem(sys.modules, name, None)
+        assert {q for q in every if not q.startswith("op")} - {"pipeline"} <= set(__spark_entry__.queries())
+        monkeypatch.undo()
+
+
+def test_work_tables_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from sitelake.sources.work import work_path
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        work_path(SimpleNamespace(conf=conf, sparkContext=sc), "x")

