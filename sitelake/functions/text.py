@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
+# Fixed value: the form of an amount.
 MONEY = r"\b\d{1,3}(?:\.\d{3})*,\d{2}\b"
 DECIMAL = "decimal(18,2)"
 

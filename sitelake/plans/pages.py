@@ -200,12 +200,13 @@ def breadcrumb_section(spark: SparkSession, d: str) -> DataFrame:
     return _marked(spark, d).select("page_id", titles, urls, "path_titles", "section", "warnings")
 
 
-@query(
-    r"""WITH a AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS site, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS ts FROM pages),
-    b AS (SELECT url, site, i, hs[i] AS href, trim(ts[i]) AS title FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM a)),
-    c AS (SELECT url AS src, site, i, regexp_replace(CASE WHEN starts_with(href, '/') THEN site || href ELSE href END, '#.*$', '') AS dst, CASE WHEN title = '' THEN href ELSE title END AS title FROM b WHERE NOT starts_with(href, '#'))
-    SELECT src, dst, arg_min(title, i) AS title, CASE WHEN dst = site || '/en' OR starts_with(dst, site || '/en/') THEN 'internal' ELSE 'external' END AS kind FROM c GROUP BY src, site, dst"""
-)
+_LINKS = r"""anchors AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS site, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS ts FROM pages),
+    linked AS (SELECT url, site, i, hs[i] AS href, trim(ts[i]) AS title FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM anchors)),
+    resolved AS (SELECT url AS src, site, i, regexp_replace(CASE WHEN starts_with(href, '/') THEN site || href ELSE href END, '#.*$', '') AS dst, CASE WHEN title = '' THEN href ELSE title END AS title FROM linked WHERE NOT starts_with(href, '#')),
+    edges AS (SELECT src, dst, arg_min(title, i) AS title, CASE WHEN dst = site || '/en' OR starts_with(dst, site || '/en/') THEN 'internal' ELSE 'external' END AS kind FROM resolved GROUP BY src, site, dst)"""
+
+
+@query(f"WITH {_LINKS} SELECT * FROM edges")
 def link_edges(spark: SparkSession, d: str) -> DataFrame:
     return extract.link_edges(extracted(spark, d), scopes_of(spark, d))
 
@@ -237,7 +238,13 @@ def typed_pages(spark: SparkSession, d: str) -> DataFrame:
     return discovery.url_hierarchy(typed.join(own, "page_id"), column="canonical_url")
 
 
-@query()
+@query(
+    f"""WITH {_HIERARCHY}, {_TEXT}, {_LINKS},
+    counted AS (SELECT src, count(*) AS n_internal, sum(strlen(title)) AS title_bytes FROM edges WHERE kind = 'internal' GROUP BY src),
+    sized AS (SELECT h.depth, length(full_text) AS n, coalesce(n_internal, 0) AS n_internal, coalesce(title_bytes, 0) AS title_bytes FROM texts t JOIN hierarchy h ON h.page_id = t.page_id LEFT JOIN counted ON src = t.url),
+    typed AS (SELECT depth, CASE WHEN n < 100 AND n_internal < 3 THEN 'empty' WHEN n < 500 AND title_bytes / greatest(n, 1) > 0.5 THEN 'landing' ELSE 'article' END AS page_type FROM sized)
+    SELECT 'total' AS dimension, '' AS key, count(*) AS n FROM typed UNION ALL SELECT 'depth', depth::VARCHAR, count(*) FROM typed GROUP BY depth UNION ALL SELECT 'page_type', page_type, count(*) FROM typed GROUP BY page_type"""
+)
 def catalog_from_pages(spark: SparkSession, d: str) -> DataFrame:
     """How many pages by type and depth: from raw HTML to catalog statistics."""
     pages = typed_pages(spark, d).withColumns({"mini_summary": F.lit(""), "url": F.col("canonical_url")})

@@ -331,11 +331,23 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CITED = rf"""{CANON_SQL}, m AS (SELECT regexp_extract(html, 'lang="([^"]*)"', 1) AS conv_id, page_id AS turn, site, canonical FROM canon JOIN (SELECT page_id, html FROM pages) p USING (page_id)),
-cited AS (
-    SELECT conv_id, turn, 0 AS pos, 'Page in ' || conv_id AS title, conv_id AS breadcrumb, canonical AS url FROM m
-    UNION ALL SELECT conv_id, turn, 1, 'Site', '', site FROM m
-    UNION ALL SELECT conv_id, turn, 2, 'Single', 'Home > ' || conv_id, site || '/single' FROM m
+told AS (
+    SELECT conv_id, turn, E'# Results\n\n## 1. Page in ' || conv_id || E'\n**Seção:** ' || conv_id || E'\n**URL:** ' || canonical || E'\n\n## 2.  Site \nno section\n**URL:** ' || site
+        || E'\n\n# Single\n**URL:** ' || site || E'/single\n\n## Breadcrumb\nHome > ' || conv_id || E'\n\nend' AS text FROM m
 ),
+lines AS (SELECT conv_id, turn, i, ls[i] AS line, ls[i - 1] AS above FROM (SELECT *, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM told)),
+heads AS (SELECT *, CASE WHEN regexp_matches(line, '^## [0-9]+[.]') THEN trim(regexp_replace(line, '^## [0-9]+[.]', '')) END AS head FROM lines),
+spans AS (SELECT *, count(head) OVER (PARTITION BY conv_id, turn ORDER BY i) AS k FROM heads),
+results AS (
+    SELECT conv_id, turn, k - 1 AS pos, max(head) AS title, coalesce(max(trim(regexp_extract(line, '[*]Seção:[*][*](.*)$', 1))) FILTER (WHERE contains(line, '**Seção:**')), '') AS breadcrumb,
+           arg_min(trim(regexp_extract(line, '[*]URL:[*][*](.*)$', 1)), i) FILTER (WHERE contains(line, '**URL:**')) AS url FROM spans WHERE k > 0 GROUP BY conv_id, turn, k
+),
+singles AS (
+    SELECT l.conv_id, l.turn, (SELECT max(k) FROM spans s WHERE s.conv_id = l.conv_id AND s.turn = l.turn) AS pos, trim(substr(above, 3)) AS title,
+           (SELECT min(line) FROM lines c WHERE c.conv_id = l.conv_id AND c.turn = l.turn AND c.above = '## Breadcrumb') AS breadcrumb, trim(regexp_extract(line, '[*]URL:[*][*](.*)$', 1)) AS url
+    FROM lines l WHERE starts_with(above, '# ') AND starts_with(line, '**URL:**')
+),
+cited AS (SELECT conv_id, turn, pos::INTEGER AS pos, title, breadcrumb, url FROM results UNION ALL SELECT conv_id, turn, pos::INTEGER, title, breadcrumb, url FROM singles),
 numbered AS (
     SELECT conv_id, url, title, breadcrumb, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS id
     FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, url ORDER BY turn, pos) AS r FROM cited) WHERE r = 1
@@ -363,11 +375,11 @@ def rewrite_inline_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""WITH t AS (SELECT conv_id, turn, left(regexp_replace(text, '[\[\]^\n]', '', 'g'), 12) AS w, text FROM conversations)
+    r"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[\[\]^\n]', '', 'g') AS w FROM conversations)
     SELECT conv_id, turn, 0 AS pos, w AS label, turn AS number, 0 AS start, length(w) + 3 + length(turn::VARCHAR) AS "end" FROM t WHERE w <> ''
     UNION ALL SELECT conv_id, turn, CASE WHEN w <> '' THEN 1 ELSE 0 END, 'end', 17, length(w) + 3 + length(turn::VARCHAR) + 5, length(w) + 3 + length(turn::VARCHAR) + 5 + 8 FROM t"""
 )
 def parse_citation_markers(spark: SparkSession, d: str) -> DataFrame:
-    word = F.left(F.regexp_replace("text", r"[\[\]^\n]", ""), F.lit(12))
+    word = F.regexp_replace("text", r"[\[\]^\n]", "")
     text = F.concat(F.lit("["), word, F.lit("]^"), F.col("turn").cast("string"), F.lit(", or [end]^17"))
     return citations.parse_citation_markers(table(spark, d, "conversations").select("conv_id", "turn", text.alias("text")))
