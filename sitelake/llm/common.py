@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelake.sources.work import settled, work_path, written  # noqa: F401  for the operators
+from sitelake.sources.work import settled, small_batches, work_path, written  # noqa: F401  for the operators
 
 #: ASCII white space, the only characters that separate words here.
 ASCII_SPACE = " \t\n\u000b\f\r"
@@ -18,21 +17,10 @@ ASCII_SPACE = " \t\n\u000b\f\r"
 #: Rows without an id count as one document that sorts behind all others.
 NULL_ID = 2**63 - 1
 
-#: Batches between Spark and Python hold so many bytes at most, so that two tasks of a small executor fit.
-BATCH_BYTES = 8 << 20
-
 #: Texts are handed to Python in slices of about so many bytes.
 SLICE_BYTES = 4 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's bound on the size of Arrow batches to BATCH_BYTES, if it is higher."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
-    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
-        spark.conf.set(key, f"{BATCH_BYTES}b")
-
-
 def id_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 

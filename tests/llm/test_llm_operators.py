@@ -176,6 +176,15 @@ def test_pieces_equal_the_library(spark):
     assert pieces.encoding_digest(docs(spark, [])).collect() == []
 
 
+def test_pieces_of_rows_without_ids(spark):
+    from sitelake.llm import pieces
+
+    rows = [(None, "one text", None, None, None)] * 2 + [(None, "another", None, None, None), (3, None, None, None, None)]
+    got = pieces.encoding_digest(rows_of(spark, rows)).collect()
+    assert sorted((x.doc_id is None, x.n_ids > 0, x.round_trip) for x in got) == [(False, False, True)] + [(True, True, True)] * 3
+    assert pieces.encoding_digest(docs(spark, [])).collect() == []
+
+
 def test_models_that_differ_are_refused(spark):
     from sitelake.llm import pieces
 
@@ -431,6 +440,15 @@ def test_chat_round_trip(spark):
     assert digest[3].loss_sha256 == hashlib.sha256("".join(t for _, _, r, t in rows[7:] if r == "assistant").encode()).hexdigest()
 
 
+def test_no_conversations_and_one_with_the_id_of_the_probe(spark):
+    from sitelake.llm import chat
+
+    schema = "conv_id long, turn long, role string, text string"
+    assert [(x.conv_id, x.n_turns) for x in chat.conversation_digest(spark.createDataFrame([], schema)).collect()] == [(-1, 2)]
+    assert chat.format_turns(spark.createDataFrame([], schema)).collect() == []
+    assert [(x.conv_id, x.n_turns) for x in chat.conversation_digest(spark.createDataFrame([(-1, 5, "user", "x")], schema)).collect()] == [(-1, 3)]
+
+
 def test_templates_that_rewrite_history_are_told():
     from sitelake.llm import chat
 
