@@ -147,6 +147,7 @@ def test_no_labels_no_additions(spark):
     from sitelake.llm import pii
 
     assert pii.span_digest(docs(spark, ["nothing here"])).collect()[0].n_added == 0
+    assert [x.n_spans for x in pii.span_digest(docs(spark, ["a@b.c 1.2.3.4", None])).orderBy("doc_id").collect()] == [2, 0]
     assert pii.span_digest(docs(spark, [])).collect() == []
 
 
