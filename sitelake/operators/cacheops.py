@@ -12,21 +12,31 @@ from pyspark.sql import Window as W
 QUERY_TTL, DOCUMENT_TTL = 86_400, 604_800
 
 
+#: Seconds of a key's entries and requests that are taken together.
+SPAN_S = 3600
+
+
 def _micros(name: str) -> Column:
     """Microseconds of a timestamp with or without a time zone."""
     return F.unix_micros(F.col(name).cast("timestamp"))
 
 
-def cache_lookup(requests: DataFrame, entries: DataFrame) -> DataFrame:
+def cache_lookup(requests: DataFrame, entries: DataFrame, span_s: int = SPAN_S) -> DataFrame:
     """Requests (request_id, key, ts) against entries (entry_id, key, set_at, ttl_s): the latest entry of
     the key at the time of the request decides miss, hit (age at most its ttl) or expired. At one instant
-    entries come first, by id. Rows are tagged and united, and a running last() finds the entry; entries
-    of keys that nobody asks for are left out before that."""
+    entries come first, by id. Rows are tagged and united, and a running last() finds the entry within a span of
+    time; where a span has none before, the last one of the spans before it counts. So no key is sorted in one task
+    as a whole. Entries of keys that nobody asks for are left out before that."""
     asked = entries.join(requests.select("key").distinct(), "key", "left_semi")
     e = asked.select(F.md5("key").alias("cache_key"), F.col("set_at").alias("at"), F.lit(0).alias("kind"), F.col("entry_id").alias("id"), F.struct("set_at", "ttl_s").alias("entry"))
     r = requests.select(F.md5("key").alias("cache_key"), F.col("ts").alias("at"), F.lit(1).alias("kind"), F.col("request_id").alias("id"), F.lit(None).cast(e.schema["entry"].dataType).alias("entry"))
-    order = W.partitionBy("cache_key").orderBy("at", "kind", "id")
-    found = e.unionByName(r).withColumn("last", F.last("entry", ignorenulls=True).over(order)).filter("kind = 1")
+    rows = e.unionByName(r).withColumn("_span", F.floor(_micros("at") / (span_s * 1_000_000)))
+    found = rows.withColumn("own", F.last("entry", ignorenulls=True).over(W.partitionBy("cache_key", "_span").orderBy("at", "kind", "id"))).filter("kind = 1")
+    spans = rows.groupBy("cache_key", "_span").agg(F.max(F.when(F.col("kind") == 0, F.struct("at", "id", "entry"))).alias("_last"))
+    before = W.partitionBy("cache_key").orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    spans = spans.select(F.col("cache_key").alias("_key"), F.col("_span").alias("_of"), F.last("_last.entry", ignorenulls=True).over(before).alias("earlier"))
+    joined = found.join(spans, F.col("cache_key").eqNullSafe(F.col("_key")) & F.col("_span").eqNullSafe(F.col("_of")))
+    found = joined.withColumn("last", F.coalesce("own", "earlier"))
     age = (_micros("at") - _micros("last.set_at")) / 1e6
     status = F.when(F.col("last").isNull(), "miss").when(age <= F.col("last.ttl_s"), "hit").otherwise("expired")
     return found.select(F.col("id").alias("request_id"), "cache_key", status.alias("status"), age.alias("age_s"))

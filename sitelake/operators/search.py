@@ -28,7 +28,8 @@ def save_index(pages: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """build_postings() as tables under path: postings by bucket of the term's hash and sorted by term inside, so that
     a search reads the buckets of its terms, and of these the row groups that can hold them."""
     postings, lengths = build_postings(pages)
-    dealt = postings.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term")
+    # rebalanced, so that a bucket with a very frequent term is split into files of the advisory size
+    dealt = postings.withColumn("bucket", bucket_of(F.col("term"), buckets)).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term")
     dealt.write.partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
     lengths.write.parquet(f"{path}/lengths")
 

@@ -12,6 +12,10 @@ from sitelake.functions import urls as U
 from sitelake.sources.work import written
 
 
+#: Seconds of a host's log that are taken together.
+SPAN_S = 3600
+
+
 def _one_of_each(prior: DataFrame, *columns: str) -> DataFrame:
     """_url and _p (the columns): one row of each canonical URL, so that a prior that repeats URLs doesn't
     multiply pages. The latest by extracted_at if there is one; of ties that with the largest values."""
@@ -112,10 +116,22 @@ def merge_pages(snapshot: DataFrame, updates: DataFrame, deletes: DataFrame, pre
     return snapshot.join(gone, "url", "left_anti").select(snapshot.columns).unionByName(accepted.join(deletes.select("url"), "url", "left_anti").select(snapshot.columns)), updates.filter(~good)
 
 
-def failure_runs(fetch_log: DataFrame, opened_at: int = 5) -> DataFrame:
+def failure_runs(fetch_log: DataFrame, opened_at: int = 5, span_s: int = SPAN_S) -> DataFrame:
     """Runs of consecutive failures of a host: (host, started, ended, n_failures, opened). fetch_log:
-    (host, ts, seq, failed); seq breaks ties of ts."""
-    order = W.partitionBy("host").orderBy("ts", "seq")
-    runs = fetch_log.withColumn("_run", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(order)).filter("failed")
-    out = runs.groupBy("host", "_run").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("n_failures"))
-    return out.withColumn("opened", F.col("n_failures") >= opened_at).drop("_run")
+    (host, ts, seq, failed); seq breaks ties of ts. Runs are found within spans of time, so that a host's whole
+    log isn't sorted in one task, and what touches the edges of spans is put together: the runs at an edge
+    that have as many spans with a success before them are one."""
+    span = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (span_s * 1_000_000))
+    log = fetch_log.select("host", "ts", "seq", F.coalesce("failed", F.lit(False)).alias("failed"), span.alias("_span"))
+    order = W.partitionBy("host", "_span").orderBy("ts", "seq")
+    own = log.withColumn("_run", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(order)).filter("failed")
+    own = own.groupBy("host", "_span", "_run").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy("host").orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    spans = log.groupBy("host", "_span").agg(F.count_if(~F.col("failed")).alias("_good"))
+    spans = spans.withColumn("_before", F.coalesce(F.sum((F.col("_good") > 0).cast("int")).over(before), F.lit(0)))
+    spans = spans.select(F.col("host").alias("_host"), F.col("_span").alias("_of"), "_good", "_before")
+    joined = own.join(spans, F.col("host").eqNullSafe(F.col("_host")) & F.col("_span").eqNullSafe(F.col("_of")))
+    edge = F.when(F.col("_run") == 0, F.col("_before")).when(F.col("_run") == F.col("_good"), F.col("_before") + 1)
+    inner = lambda c: F.when(edge.isNull(), F.col(c))
+    out = joined.groupBy("host", edge.alias("_edge"), inner("_span").alias("_s"), inner("_run").alias("_r")).agg(F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("n").alias("n_failures"))
+    return out.select("host", "started", "ended", "n_failures", (F.col("n_failures") >= opened_at).alias("opened"))

@@ -439,3 +439,37 @@ def test_work_tables_need_a_shared_folder():
     sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(RuntimeError, match="checkpoint.dir"):
         work_path(SimpleNamespace(conf=conf, sparkContext=sc), "x")
+
+
+def test_runs_and_lookups_across_spans(spark):
+    """Spans of time give what the whole log gives."""
+    import random
+
+    from sitelake.operators.cacheops import cache_lookup
+    from sitelake.operators.snapshots import failure_runs
+
+    r = random.Random(5)
+    start = datetime(2024, 1, 1)
+    log = [(f"h{r.randint(0, 2)}", start + timedelta(seconds=r.randint(0, 600)), i, r.random() < 0.7) for i in range(300)]
+    log += [("bad", start + timedelta(seconds=40 * i), i, True) for i in range(20)] + [("bad", start + timedelta(seconds=205), 99, False)]
+    want = []
+    for host in {x[0] for x in log}:
+        run = []
+        for x in [*sorted((x for x in log if x[0] == host), key=lambda x: (x[1], x[2])), (host, None, None, False)]:
+            if x[3]:
+                run.append(x[1])
+            elif run:
+                want.append((host, run[0], run[-1], len(run)))
+                run = []
+    df = spark.createDataFrame(log, "host string, ts timestamp, seq int, failed boolean")
+    for span in (7, 60, 3600):
+        assert sorted((x.host, x.started, x.ended, x.n_failures) for x in failure_runs(df, 5, span).collect()) == sorted(want)
+    entries = [(i, f"k{r.randint(0, 2)}", start + timedelta(seconds=r.randint(0, 500)), 60) for i in range(40)]
+    asked = [(i, f"k{r.randint(0, 3)}", start + timedelta(seconds=r.randint(0, 500))) for i in range(80)]
+    ages = {}
+    for i, k, ts in asked:
+        own = [e for e in entries if e[1] == k and e[2] <= ts]
+        ages[i] = (ts - max(e[2] for e in own)).total_seconds() if own else None
+    e, q = spark.createDataFrame(entries, "entry_id int, key string, set_at timestamp, ttl_s int"), spark.createDataFrame(asked, "request_id int, key string, ts timestamp")
+    for span in (5, 50, 3600):
+        assert {x.request_id: x.age_s for x in cache_lookup(q, e, span).collect()} == ages
