@@ -263,6 +263,8 @@ def _texts(rows: DataFrame, block: int) -> list[tuple[str, bytes]]:
 def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 2) -> DataFrame:
     """doc_id, text_hash, n_words, hits, items, near_items: for each document the runs of words under any exact
     occurrence of a benchmark window, the items with such, and those with a proximity match only."""
+    if not 0 < window < 128:
+        raise ValueError("windows have 1 to 127 words")
     small_batches(docs.sparkSession)
     rows, n, together = _items(items)
     keyed = _keyed(docs) if n <= together else written(_keyed(docs), "keyed-texts")
@@ -354,3 +356,39 @@ def brute_force_near(texts: list[str | None], items: list[tuple[str, str | None]
                 if any(d[s + a] == x[a] and near(b, s) and near(c, s) for s in range(len(d) - len(x) + 1)):
                     names.add(item)
     return out
+
+
+def _words_sql(table: str, columns: str) -> str:
+    return rf"SELECT {columns}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM {table}"
+
+
+ORACLE_SQL = f"""
+WITH d AS ({_words_sql("documents", "doc_id")}),
+b AS ({_words_sql("benchmark", "item_id::VARCHAR AS item")}),
+win AS (
+    SELECT DISTINCT item, l, ws[i:i + l - 1] AS w, array_to_string(ws[i:i + l - 1], ' ') AS k
+    FROM (SELECT item, ws, least(len(ws), {WINDOW}) AS l, unnest(range(1, greatest(len(ws) - {WINDOW - 1}, 1) + 1)) AS i FROM b WHERE len(ws) > 0)
+),
+found AS (
+    SELECT doc_id, i, x.l, item
+    FROM (SELECT doc_id, i, l, array_to_string(ws[i:i + l - 1], ' ') AS k FROM (SELECT doc_id, ws, l, unnest(range(1, len(ws) - l + 2)) AS i FROM d, (SELECT DISTINCT l FROM win))) x
+    JOIN win ON x.l = win.l AND x.k = win.k
+),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id),
+tok AS (SELECT doc_id, p, len(ws) AS n, ws[p] AS t FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM d)),
+often AS (SELECT t, count(*) AS n FROM tok GROUP BY t),
+ranked AS (
+    SELECT item, k, l, o, x.t, row_number() OVER (PARTITION BY item, k ORDER BY coalesce(often.n, 0), o) AS r
+    FROM (SELECT item, k, l, o, w[o + 1] AS t FROM (SELECT item, k, l, w, unnest(range(0, l)) AS o FROM win WHERE l >= 3)) x LEFT JOIN often ON often.t = x.t
+),
+starts AS (
+    SELECT a.item, a.k, a.l, doc_id, p - a.o AS s FROM ranked a JOIN tok ON tok.t = a.t WHERE r = 1 AND p - a.o >= 1 AND p - a.o + a.l - 1 <= tok.n
+),
+second AS (SELECT DISTINCT s.item, s.k, s.doc_id, s.s FROM starts s JOIN ranked x ON x.item = s.item AND x.k = s.k AND x.r = 2 JOIN tok ON tok.doc_id = s.doc_id AND tok.t = x.t AND abs(tok.p - s.s - x.o) <= 2),
+third AS (SELECT DISTINCT s.item, s.doc_id FROM second s JOIN ranked x ON x.item = s.item AND x.k = s.k AND x.r = 3 JOIN tok ON tok.doc_id = s.doc_id AND tok.t = x.t AND abs(tok.p - s.s - x.o) <= 2),
+near AS (SELECT doc_id, count(*) AS n_near FROM (SELECT doc_id, item FROM third EXCEPT SELECT doc_id, item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated, coalesce(n_near, 0) AS n_near_items
+FROM d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id LEFT JOIN near n ON n.doc_id = d.doc_id
+"""

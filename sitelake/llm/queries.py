@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelake.llm import chat, linededup, quality, urlfilter, warc
+from sitelake.llm import chat, decontam, linededup, quality, repeats, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,4 +92,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": urlfilter.ORACLE_SQL,
     "op6_quality": quality.ORACLE_SQL,
     "op7_chat": chat.ORACLE_SQL,
+    "op8_repeats": repeats.ORACLE_SQL,
+    "op9_decontaminate": decontam.ORACLE_SQL,
 }

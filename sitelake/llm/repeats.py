@@ -403,3 +403,17 @@ def brute_force(texts: list[str | None]) -> list[tuple[int, int, int, str]]:
         kept = bytes(b for b, g in zip(r, gone, strict=True) if not g)
         out.append((len(r), sum(gone), len(bytes(gone).replace(b"\0", b" ").split()), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(b[i:i + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 398)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+begun AS (SELECT doc_id, i, CASE WHEN i <= 400 + lag(i) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM again),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 399 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM begun) GROUP BY doc_id, k),
+ends AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM (SELECT doc_id, a, z FROM runs UNION ALL SELECT doc_id, n + 1, n + 1 FROM d)),
+kept AS (SELECT e.doc_id, count(*) - 1 AS n_spans, string_agg(CASE WHEN before + 1 < a THEN hex(b[before + 1:a - 1]) ELSE '' END, '' ORDER BY a) AS x FROM ends e JOIN d ON e.doc_id = d.doc_id GROUP BY e.doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, (n - strlen(x) / 2)::BIGINT AS n_removed, n_spans, sha256(unhex(x)) AS kept_sha256, (strlen(x) / 2)::BIGINT AS n_kept,
+       len(list_filter(regexp_extract_all(x, '..'), lambda y: y < '80' OR y >= 'C0'))::BIGINT AS kept_chars, n > strlen(x) / 2 AS has_repeats
+FROM d JOIN kept k ON k.doc_id = d.doc_id
+"""
