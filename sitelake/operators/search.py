@@ -27,17 +27,20 @@ def build_postings(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def save_index(pages: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """build_postings() as tables under path: postings by bucket of the term's hash and sorted by term inside, so that
     a search reads the buckets of its terms, and of these the row groups that can hold them."""
-    postings, lengths = build_postings(pages)
+    postings = build_postings(pages)[0]
     # rebalanced, so that a bucket with a very frequent term is split into files of the advisory size
     dealt = postings.withColumn("bucket", bucket_of(F.col("term"), buckets)).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term")
-    dealt.write.partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
-    lengths.write.parquet(f"{path}/lengths")
+    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
+    # lengths from what was written, so that texts aren't cut into terms again; a page without terms has none
+    sums = load_index(pages.sparkSession, path, lengths=False)[0].groupBy(F.col("url").alias("_url")).agg(F.sum("tf").alias("dl"))
+    urls = pages.select("url").distinct()
+    urls.join(sums, F.col("url") == F.col("_url"), "left").select("url", F.coalesce("dl", F.lit(0)).alias("dl")).write.parquet(f"{path}/lengths")
 
 
-def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def load_index(spark: SparkSession, path: str, lengths: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """(postings(url, term, tf, bucket), doc_len(url, dl)) of save_index()."""
     postings = spark.read.schema("url string, term string, tf long, bucket int").parquet(f"{path}/postings")
-    return postings, spark.read.schema("url string, dl long").parquet(f"{path}/lengths")
+    return postings, spark.read.schema("url string, dl long").parquet(f"{path}/lengths") if lengths else None
 
 
 def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
@@ -61,26 +64,43 @@ def _wanted(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", query_terms(F.col("query")).alias("terms")).select("query_id", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
 
 
+def _document_counts(postings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, df) of the wanted terms."""
+    return postings.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _matches(postings: DataFrame, wanted: DataFrame, df: DataFrame) -> DataFrame:
+    """(query_id, url, hits of term and tf) of the pages that have every term of a query, from its rarest one on: only the
+    pages with that one are looked at for the others, so a frequent term costs no row for each of its queries and pages."""
+    known = wanted.join(df, "term").groupBy("query_id", "n_terms").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("df", "term")).alias("r"))
+    rarest = known.filter("n = n_terms").select("query_id", F.col("r.term").alias("term"))
+    first = postings.select("url", "term").join(rarest, "term").select("query_id", "url")
+    asked = first.join(wanted, "query_id")
+    hits = asked.join(postings.select("url", "term", "tf"), ["url", "term"])
+    # a page has a term once, so the hits of a query and page are its terms
+    whole = hits.groupBy("query_id", "url").agg(F.collect_list(F.struct("term", "tf")).alias("hits"), F.max("n_terms").alias("n_terms")).filter("size(hits) = n_terms")
+    return whole.select("query_id", "url", "hits")
+
+
 def match_all_terms(queries: DataFrame, postings: DataFrame) -> DataFrame:
     """(query_id, url) where the page has every term of the query."""
-    hits = postings.join(_wanted(queries), "term").groupBy("query_id", "url").agg(F.count(F.lit(1)).alias("n"), F.max("n_terms").alias("n_terms"))
-    return hits.filter("n = n_terms").select("query_id", "url")
+    wanted = _wanted(queries)
+    return _matches(postings, wanted, _document_counts(postings, wanted)).select("query_id", "url")
 
 
 def bm25_scores(queries: DataFrame, postings: DataFrame, doc_len: DataFrame) -> DataFrame:
     """(query_id, url, score) of all matches of all terms, scores rounded to 6 places."""
     wanted = _wanted(queries)
     stats = doc_len.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    # postings of the wanted terms only, before anything is joined to them
-    own = postings.select("url", "term", "tf").join(wanted.select("term").distinct(), "term", "left_semi")
-    df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = _document_counts(postings, wanted)
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.join(F.broadcast(stats)).select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"), "avgdl")  # stats is one row
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = own.join(wanted, "term").join(weights, "term").join(doc_len, "url").select("query_id", "url", "term", "n_terms", part.alias("part"))
+    hits = _matches(postings, wanted, df).select("query_id", "url", F.explode("hits").alias("h")).select("query_id", "url", "h.*")
+    scored = hits.join(weights, "term").join(doc_len, "url").select("query_id", "url", "term", part.alias("part"))
     # parts are added in the order of their terms, so that a score doesn't depend on partitions
     parts = F.transform(F.array_sort(F.collect_list(F.struct("term", "part"))), lambda x: x["part"])
-    out = scored.groupBy("query_id", "url").agg(parts.alias("parts"), F.max("n_terms").alias("n_terms")).filter("size(parts) = n_terms")
+    out = scored.groupBy("query_id", "url").agg(parts.alias("parts"))
     return out.select("query_id", "url", F.round(F.aggregate("parts", F.lit(0.0), lambda a, x: a + x), 6).alias("score"))
 
 
