@@ -16,7 +16,9 @@ that each row of the corpus has. A single longer item is a block of its own.
 
 Defined results: null and empty texts have no words and are never hit. Items without words have no
 window. Rows with a null doc_id are documents like others; a repeated doc_id gives a row each time.
-Repeated items count once by item_id; a null item_id reads as an empty string. Other columns are ignored.
+Repeated items count once by item_id; a null item_id reads as an empty string. An empty table gives no rows, an
+empty benchmark no hits. Terms of equal frequency are taken in their order in the window. Other columns are
+ignored, and pass through in decontaminate().
 """
 
 from __future__ import annotations

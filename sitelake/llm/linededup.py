@@ -10,7 +10,8 @@ from an exchange on either side, so adaptive execution can split them.
 
 The key of a line is the line without ASCII white space at both ends, A-Z lower-cased. A null or empty
 text is one empty line. Rows with a null doc_id count as one document behind all others. Of repeated
-rows of one doc_id all are the same document and each gives a row. Extra columns pass through.
+rows of one doc_id all are the same document and each gives a row. An empty table gives no rows. Extra columns pass
+through.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ Groups are aggregated before the shuffle; joins that bring a group's verdict to
 on both sides, so that adaptive execution splits a hot one.
 
 Defined results: a null text is empty; texts below LENGTH bytes keep all; repeated rows are documents of
-their own and so repeat each other; null ids are ids like others; extra columns are ignored.
+their own and so repeat each other; null ids are ids like others; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -10,14 +10,16 @@ finds the link. Only distinct fingerprints are compared, whatever the number of
 
 An anchor with more than CROWD fingerprints is not compared in one task: its fingerprints are dealt to
 (anchor, block, bits) for the four 8-bit blocks of the other half. A pair with at most 3 differing bits
-agrees in at least one of four blocks, so no link is lost. Within a cell the links are reduced to a
+agrees in at least one of four blocks, so no link is lost. What is still crowded is dealt once more, by the four
+6-bit blocks of the other half's remaining bits. Within a cell the links are reduced to a
 spanning forest before they leave the task, so rows grow with the fingerprints and not with the pairs.
 Components come from alternating large-star and small-star steps on those forest edges; each step is a
 table in the shared folder.
 
 Defined results: a null or empty text has no words and fingerprint 0, which links like any other. A
-null doc_id sorts behind all others and is returned as null. A repeated doc_id gives a row each time.
-Other columns are ignored.
+null doc_id sorts behind all others and is returned as null. A repeated doc_id gives a row each time; of
+equal ids the component is that of their texts. An empty table gives no rows. Other columns are ignored, and
+pass through in keep_first().
 """
 
 from __future__ import annotations
@@ -151,16 +153,30 @@ def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) whose components are those of all links between the distinct fingerprints fps.fp."""
     cells = written(fps.select("fp").distinct().mapInArrow(_replicate, "cell long, fp long"), "anchors")
     full = written(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("cell"), "crowded")
-    key = [F.xxhash64("cell").alias("key"), "fp"]
-    # a pair that shares a full cell of one half differs by 3 bits in the other half at most
-    other = F.when(F.col("cell") < F.lit(1 << 32), F.shiftright("fp", 32)).otherwise(F.col("fp"))
-    blocks = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.shiftright(other, 8 * k).bitwiseAND(255).alias("bits")) for k in range(4))))
-    small = cells.join(full, "cell", "left_anti").select(*key)
-    dealt = cells.join(full, "cell").withColumn("x", blocks).select(F.xxhash64("cell", "x.k", "x.bits").alias("key"), "fp")
-    both = small.unionByName(dealt)
+    small = cells.join(full, "cell", "left_anti").select(F.xxhash64("cell").alias("key"), "fp")
+    dealt = _dealt(cells.join(full, "cell"))
+    both = small.unionByName(dealt) if dealt is not None else small
     return both.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "a long, b long").distinct()
 
 
+def _dealt(cells: DataFrame) -> DataFrame | None:
+    """(key, fp) of crowded anchors, dealt by blocks of the other half: a pair that shares such an anchor of one half
+    differs by 3 bits in the other half at most."""
+    if cells.isEmpty():
+        return None
+    other = F.when(F.col("cell") < F.lit(1 << 32), F.shiftright("fp", 32)).otherwise(F.col("fp")).bitwiseAND(F.lit((1 << 32) - 1))
+
+    def block(k: int) -> Column:
+        rest = other.bitwiseAND(F.lit((1 << 8 * k) - 1)).bitwiseOR(F.shiftleft(F.shiftright(other, 8 * k + 8), 8 * k))
+        return F.struct(F.xxhash64("cell", F.lit(k), F.shiftright(other, 8 * k).bitwiseAND(255)).alias("key"), rest.alias("rest"))
+
+    first = written(cells.select("fp", F.explode(F.array(*map(block, range(4)))).alias("x")).select("x.key", "fp", "x.rest"), "dealt")
+    full = written(first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("key"), "crowded-blocks")
+    again = F.explode(F.array(*(F.xxhash64("key", F.lit(j), F.shiftright("rest", 6 * j).bitwiseAND(63)) for j in range(4))))
+    second = first.join(full, "key").select(again.alias("key"), "fp")
+    return first.join(full, "key", "left_anti").select("key", "fp").unionByName(second)
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step: each node's neighbours (the larger ones, or the smaller ones and itself) go to its smallest."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
