@@ -87,7 +87,7 @@ def write_archives(records: DataFrame, path: str) -> None:
         ("WARC-Profile", F.when(revisit, _PROFILE)),
         ("WARC-Refers-To", F.when(revisit, _urn(F.col("refers_to")))),
         ("Content-Type", F.lit("application/http; msgtype=response")),
-        ("Content-Length", F.octet_length(block)),
+        ("Content-Length", F.octet_length(http) + F.when(revisit, 0).otherwise(F.octet_length(F.coalesce("payload", F.lit(""))))),
     )
     text = F.concat(F.lit("WARC/1.1\r\n"), head, F.lit("\r\n"), block)
     records.select(text.alias("value")).write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
