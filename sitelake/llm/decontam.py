@@ -9,8 +9,9 @@ whose rarest term stands at its place and whose second and third rarest lie with
 in the same document, are proximity matches. Nothing is shuffled but one count for each term, so no source,
 passage or term makes a task larger than others.
 
-What is broadcast is bounded: the words of INDEX_BYTES of benchmark text at a time for building an index, and
-the windows of BLOCK_BYTES of text (at most about fifteen times that as arrays) for a search of it. A larger
+What is broadcast is bounded: the words of INDEX_BYTES of benchmark text at a time for building an index (a
+dictionary of at most about sixteen times that, if no word comes twice), and the windows of BLOCK_BYTES of text (at
+most about fifteen times that as arrays) for a search of it. A larger
 benchmark takes several searches of one index, and beyond INDEX_BYTES several indexes; results meet by a key
 that each row of the corpus has. A single longer item is a block of its own.
 
@@ -37,7 +38,7 @@ from sitelake.llm.common import id_key, raw_texts, sliced, small_batches, text_k
 
 WINDOW = 13
 #: Bytes of benchmark text that are searched for at once, and that an index has the terms of.
-BLOCK_BYTES, INDEX_BYTES = 4 << 20, 64 << 20
+BLOCK_BYTES, INDEX_BYTES = 4 << 20, 16 << 20
 #: Tokens in a shard (a longer document is a shard of its own) and candidates looked at together.
 SHARD_TOKENS, CANDIDATES = 1_000_000, 400_000
 
