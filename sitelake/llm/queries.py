@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelake.llm import chat, decontam, linededup, quality, repeats, urlfilter, warc
+from sitelake.llm import chat, decontam, linededup, quality, repeats, simhash, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,4 +94,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_chat": chat.ORACLE_SQL,
     "op8_repeats": repeats.ORACLE_SQL,
     "op9_decontaminate": decontam.ORACLE_SQL,
+    "op10_simhash": simhash.ORACLE_SQL,
 }

@@ -247,3 +247,68 @@ def fingerprint(text: str | None) -> int:
     s = [b" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))] if w else []
     h = [xxhash.xxh64_intdigest(x, SEED) for x in s]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+# --- the same in SQL: XXH64 by its published steps, on numbers that are cut to 64 bits. Its primes.
+_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _mul(a: str, k: int) -> str:
+    return f"((({a})::UHUGEINT * {k}::UHUGEINT) % {2**64}::UHUGEINT)::UBIGINT"
+
+
+def _add(*parts: str) -> str:
+    return f"(({' + '.join(f'({p})::UHUGEINT' for p in parts)}) % {2**64}::UHUGEINT)::UBIGINT"
+
+
+def _rotated(a: str, r: int) -> str:
+    return f"list_transform([{a}], lambda x: {_add(_mul('x', 2**r), f'x >> {64 - r}')})[1]"
+
+
+def _lane(accumulator: str, lane: str) -> str:
+    return _mul(_rotated(_add(accumulator, _mul(lane, _PRIMES[1])), 31), _PRIMES[0])
+
+
+def _number(at: str, size: int) -> str:
+    """Bytes of the hex string x from a place on, the last one first, as a number."""
+    return "('0x' || " + " || ".join(f"substr(x, 2 * ({at}) + {2 * i + 1}, 2)" for i in reversed(range(size))) + ")::UBIGINT"
+
+
+def _hash_sql() -> str:
+    """CTEs from distinct strings (u.s) to hashed (s, h)."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    starts = [(SEED + p1 + p2) % 2**64, (SEED + p2) % 2**64, SEED, (SEED - p1) % 2**64]
+    sums = [f"list_reduce(list_transform(range(0, n // 32), lambda j: lanes[4 * j + {i + 1}]), lambda v, k: {_lane('v', 'k')}, {start}::UBIGINT) AS v{i}" for i, start in enumerate(starts)]
+    whole = _add(*(_rotated(f"v{i}", r) for i, r in enumerate((1, 7, 12, 18))))
+    for i in range(4):
+        whole = _add(_mul(f"xor({whole}, {_lane('0::UBIGINT', f'v{i}')})", p1), f"{p4}")
+    by_lane = _add(_mul(_rotated(f"xor(h, {_lane('0::UBIGINT', 'k')})", 27), p1), f"{p4}")
+    return f"""
+p AS (SELECT s, strlen(s) AS n, hex(encode(s)) AS x FROM u),
+l AS (SELECT s, n, x, list_transform(range(0, n // 8), lambda j: {_number("8 * j", 8)}) AS lanes FROM p),
+v AS (SELECT *, {", ".join(sums)} FROM l),
+h0 AS (SELECT s, n, x, lanes, {_add(f"CASE WHEN n >= 32 THEN {whole} ELSE {(SEED + p5) % 2**64}::UBIGINT END", "n")} AS h FROM v),
+h1 AS (SELECT s, n, x, list_reduce(lanes[4 * (n // 32) + 1:], lambda h, k: {by_lane}, h) AS h FROM h0),
+h2 AS (SELECT s, n, x, CASE WHEN n % 8 >= 4 THEN {_add(_mul(_rotated(f"xor(h, {_mul(_number('n // 8 * 8', 4), p1)})", 23), p2), f"{p3}")} ELSE h END AS h FROM h1),
+h3 AS (SELECT s, list_reduce(list_transform(range(n // 4 * 4, n), lambda j: {_number("j", 1)}), lambda h, b: {_mul(_rotated(f"xor(h, {_mul('b', p5)})", 11), p1)}, h) AS h FROM h2),
+h4 AS (SELECT s, {_mul("xor(h, h >> 33)", p2)} AS h FROM h3),
+h5 AS (SELECT s, {_mul("xor(h, h >> 29)", p3)} AS h FROM h4),
+hashed AS (SELECT s, xor(h, h >> 32) AS h FROM h5)"""
+
+
+_BITS_SQL = " + ".join(f"CASE WHEN 2 * sum((h >> {b}) & 1) > count(*) THEN {2**b}::UBIGINT ELSE 0::UBIGINT END" for b in range(64))
+ORACLE_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws FROM documents),
+shingles AS (
+    SELECT doc_id, unnest(CASE WHEN len(ws) >= {SHINGLE} THEN list_transform(range(1, len(ws) - {SHINGLE - 2}), lambda i: array_to_string(ws[i:i + {SHINGLE - 1}], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w
+),
+u AS (SELECT DISTINCT s FROM shingles),
+{_hash_sql()},
+bits AS (SELECT doc_id, {_BITS_SQL} AS fp FROM shingles JOIN hashed USING (s) GROUP BY doc_id),
+fps AS (SELECT w.doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM w LEFT JOIN bits ON bits.doc_id = w.doc_id),
+one AS (SELECT DISTINCT fp FROM fps),
+near AS (SELECT a.fp AS a, b.fp AS b FROM one a JOIN one b ON bit_count(xor(a.fp, b.fp)) <= {THRESHOLD}),
+reach(a, b) AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b),
+named AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN fps ON fp = b GROUP BY a)
+SELECT doc_id, lpad(lower(to_hex(fp)), 16, '0') AS fingerprint, component_id FROM fps JOIN named ON a = fp
+"""
