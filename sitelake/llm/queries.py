@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelake.llm import chat, decontam, linededup, quality, repeats, simhash, urlfilter, vectorcodes, warc
+from sitelake.llm import chat, collocations, decontam, linededup, quality, repeats, simhash, urlfilter, vectorcodes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,12 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelake.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sitelake.llm.vectorcodes import code_digest
 
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
     "op11_token_counts": op11_token_counts,
+    "op12_collocations": op12_collocations,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -109,5 +116,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_repeats": repeats.ORACLE_SQL,
     "op9_decontaminate": decontam.ORACLE_SQL,
     "op10_simhash": simhash.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
     "op13_vector_codes": vectorcodes.ORACLE_SQL,
 }
