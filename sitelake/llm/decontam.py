@@ -13,7 +13,9 @@ What is broadcast is bounded: the words of INDEX_BYTES of benchmark text at a ti
 dictionary of at most about sixteen times that, if no word comes twice), and the windows of BLOCK_BYTES of text (at
 most about fifteen times that as arrays) for a search of it. A larger
 benchmark takes several searches of one index, and beyond INDEX_BYTES several indexes; results meet by a key
-that each row of the corpus has. A single longer item is a block of its own.
+that each row of the corpus has. Equal rows of the benchmark are one, a long item is cut into ranges of words that overlap
+by a window less one, and blocks are filled by bytes: none has more than BLOCK_BYTES and one such range. Broadcasts of
+earlier blocks are dropped.
 
 Defined results: null and empty texts have no words and are never hit. Items without words have no
 window. Rows with a null doc_id are documents like others; a repeated doc_id gives a row each time.
@@ -33,6 +35,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from sitelake.llm.common import id_key, raw_texts, sliced, small_batches, text_key, without_rows, written
 
@@ -239,7 +242,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def build_index(keyed: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
     """The stored index of the corpus for the terms of a benchmark, numbered from 0 in order."""
     sent = keyed.sparkSession.sparkContext.broadcast(b" ".join(vocabulary))
-    return written(keyed.mapInArrow(lambda it: _shards(it, sent), INDEX), "postings")
+    index = written(keyed.mapInArrow(lambda it: _shards(it, sent), INDEX), "postings")
+    sent.destroy()
+    return index
 
 
 def _term_counts(index: DataFrame, n: int) -> np.ndarray:
@@ -250,17 +255,46 @@ def _term_counts(index: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def _items(items: DataFrame) -> tuple[DataFrame, int, int]:
-    """item, text and the block of each; the number of blocks, and of blocks that share an index."""
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    n = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES) or 1
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int"))
+def _ranges(batches: Iterator[pa.RecordBatch], window: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Items of more than `most` bytes as ranges of their words, of about so many bytes, each with the words that a window that
+    begins in it reaches; so every window of an item is in one of them."""
+    for batch in batches:
+        rows = []
+        for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            own = words(text.encode()) if len(text) > most // 4 and len(text.encode()) > most else []
+            if len(own) <= window:
+                rows.append((item, text))
+                continue
+            begin, held = 0, 0
+            for i in range(len(own) - window + 1):
+                held += len(own[i]) + 1
+                if held >= most or i == len(own) - window:
+                    rows.append((item, b" ".join(own[begin : i + window]).decode("utf-8", "replace")))
+                    begin, held = i + 1, 0
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(2)], ["item", "text"])
+
+
+def _items(items: DataFrame, window: int) -> tuple[DataFrame, list[tuple[int, int]], int]:
+    """item, text and the block (two numbers) of each distinct row; the blocks, and how many of them share an index. Rows are
+    dealt to as many groups as their bytes need, and a group's rows to blocks in order, until each is full."""
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    most, full = max(1, BLOCK_BYTES // 8), BLOCK_BYTES  # as they are now; the tasks import these anew
+    rows = rows.mapInArrow(lambda it: _ranges(it, window, most), "item string, text string")
+    n = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // full) or 1
+    if n == 1:
+        return rows.select("item", "text", F.lit(0).alias("group"), F.lit(0).alias("part")), [(0, 0)], 1
+    before = F.coalesce(F.sum(F.octet_length("text")).over(W.partitionBy("group").orderBy("h", "item", "text").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    dealt = rows.withColumn("h", F.xxhash64("item", "text")).withColumn("group", F.pmod("h", F.lit(n)).cast("int"))
+    dealt = dealt.withColumn("part", F.floor(before / full).cast("int")).drop("h")
     # written in order, so that each block is read from its own part of the table
-    return (written(rows.repartitionByRange("block").sortWithinPartitions("block"), "benchmark") if n > 1 else rows), n, max(1, INDEX_BYTES // BLOCK_BYTES)
+    dealt = written(dealt.repartitionByRange("group", "part").sortWithinPartitions("group", "part"), "benchmark")
+    blocks = sorted((r.group, r.part) for r in dealt.select("group", "part").distinct().collect())  # two numbers for each block
+    return dealt, blocks, max(1, INDEX_BYTES // full)
 
 
-def _texts(rows: DataFrame, block: int) -> list[tuple[str, bytes]]:
-    return [(r.item, r.text.encode()) for r in rows.filter(F.col("block") == block).select("item", "text").toLocalIterator()]
+def _texts(rows: DataFrame, block: tuple[int, int]) -> list[tuple[str, bytes]]:
+    own = rows.filter((F.col("group") == block[0]) & (F.col("part") == block[1]))
+    return [(r.item, r.text.encode()) for r in own.select("item", "text").toLocalIterator()]
 
 
 def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 2) -> DataFrame:
@@ -269,12 +303,13 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     if not 0 < window < 128:
         raise ValueError("windows have 1 to 127 words")
     small_batches(docs.sparkSession)
-    rows, n, together = _items(items)
+    rows, all_blocks, together = _items(items, window)
+    n = len(all_blocks)
     keyed = _keyed(docs) if n <= together else written(_keyed(docs), "keyed-texts")
     parts = []
     for begin in range(0, n, together):
         vocabulary: dict[bytes, int] = {}
-        blocks = range(begin, min(begin + together, n))
+        blocks = all_blocks[begin : begin + together]
         for b in blocks:
             for _, raw in _texts(rows, b):
                 for x in words(raw):
@@ -285,12 +320,15 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
             w = Windows(_texts(rows, b), window, vocabulary)
             w.order(counts)
             sent = docs.sparkSession.sparkContext.broadcast(w)
-            parts.append(index.mapInArrow(lambda it, sent=sent: _search(it, sent, slop), FOUND))
-    if n == 1:
-        return parts[0].drop("row_key")
-    out = parts[0]  # a row for each document; of the other blocks, rows with matches
+            found = index.mapInArrow(lambda it, sent=sent: _search(it, sent, slop), FOUND)
+            if n == 1:
+                return found.drop("row_key")
+            # a row for each document; of the other blocks, rows with matches
+            parts.append(written(found if not parts else found.filter((F.size("hits") > 0) | (F.size("near_items") > 0)), "matches"))
+            sent.destroy()
+    out = parts[0]
     for x in parts[1:]:
-        out = out.unionByName(x.filter((F.size("hits") > 0) | (F.size("near_items") > 0)))
+        out = out.unionByName(x)
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))  # noqa: E731  a list for each block
     near = F.array_except("near_items", "items").alias("near_items")  # an item's windows are in one block, but its name can be in several
     same = (F.first(c).alias(c) for c in ("doc_id", "text_hash", "n_words"))

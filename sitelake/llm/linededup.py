@@ -10,8 +10,8 @@ from an exchange on either side, so adaptive execution can split them.
 
 The key of a line is the line without ASCII white space at both ends, A-Z lower-cased. A null or empty
 text is one empty line. Rows with a null doc_id count as one document behind all others. Of repeated
-rows of one doc_id all are the same document and each gives a row. An empty table gives no rows. Extra columns pass
-through.
+rows of one doc_id all are the same document and each gives a row. An empty table gives no rows. Rows stay packed until
+the end, so extra columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -56,17 +56,15 @@ def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The documents with `kept` (their text without dropped lines), `n_lines` and `n_dropped`. `text` is left out."""
-    # rows stay packed until the end, so that no column of them can clash; their texts go as lines
-    new = ("text", "kept", "n_lines", "n_dropped")
-    rest = [c for c in docs.columns if c not in new]
-    own = docs.select(F.struct(*(docs[f"`{c}`"] for c in rest)).alias("row"), *_own(), _lines(F.col("text")).alias("lines"))
+    """(doc, n_lines, n_dropped, kept): doc has the columns of docs, its text null; kept is the text without dropped lines."""
+    empty = F.struct("*").withField("text", F.lit(None).cast("string"))  # texts go as lines
+    own = docs.select(empty.alias("doc"), *_own(), _lines(F.col("text")).alias("lines"))
     joined = own.join(shared_lines(docs, min_chars, min_docs), ["id", "t1", "t2"], "left")
     # a set difference of positions; lines are a column of the join's input, so that they aren't split for each position
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "positions")
     left = F.when(F.col("positions").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get("lines", i)))
     return joined.select(
-        *(F.col("row").getField(c).alias(c) for c in rest),
+        "doc",
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("positions"), F.lit(0)).cast("long").alias("n_dropped"),
         F.array_join(left, "\n").alias("kept"),
@@ -74,14 +72,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
-    return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    return dedup_lines(docs.select("doc_id", "text")).select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def keep_unique_lines(docs: DataFrame) -> DataFrame:
     """The documents with the same columns, texts without dropped lines and n_chars counted anew."""
-    out = dedup_lines(docs)
-    new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
-    return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    doc = F.col("doc").withField("text", F.col("kept"))
+    if "n_chars" in docs.columns:
+        doc = doc.withField("n_chars", F.char_length("kept").cast("long"))
+    return dedup_lines(docs).select(doc.alias("doc")).select("doc.*")
 
 
 ORACLE_SQL = r"""

@@ -15,7 +15,7 @@ stretches with a common prefix share its nodes. A character that is no piece bec
 As the library does, a space reads as U+2581, one is put before the text, and empty texts have no ids.
 Decoding joins the pieces' bytes and drops that one space. A text with U+2581 itself decodes to a space
 there, so `round_trip` compares with the text in which it is a space. Null reads as empty; a null or
-repeated doc_id gives a row like any other; extra columns pass through in encode().
+repeated doc_id gives a row like any other; encode() keeps extra columns packed, whatever their names.
 
 The model file is a parameter. Models that this doesn't encode as the library does are refused: other types than
 BPE, none without byte pieces, with a normalizer that changes texts, or with symbols of the user. The driver reads it and sends its bytes along (MAX_MODEL_BYTES at most).
@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitelake.llm.common import raw_texts, sliced, small_batches
 
@@ -307,17 +308,17 @@ def _encoded(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch
 
 
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """The rows without `text`, with ids, n_ids, ids_sha256 (of the ids as little-endian 32-bit numbers), decoded and round_trip."""
+    """(doc, ids, n_ids, ids_sha256 of the ids as little-endian 32-bit numbers, decoded, round_trip): doc has the columns of
+    docs but text, packed, so that no name of theirs can clash."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model_bytes(docs.sparkSession, path))
-    clash = {"ids", "n_ids", "ids_sha256", "decoded", "round_trip"}
-    kept = [c for c in docs.columns if c not in clash]
-    docs = docs.select(*kept)
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(lambda it: _encoded(it, sent), f"{fields}, ids array<int>, n_ids long, ids_sha256 string, decoded string, round_trip boolean")
+    packed = docs.select(F.struct("*").alias("doc"), "text")
+    packed = packed.withColumn("doc", F.col("doc").dropFields("text") if len(docs.columns) > 1 else F.struct(F.lit(None).cast("void").alias("none")))
+    found = T.StructType([packed.schema["doc"], *T._parse_datatype_string("ids array<int>, n_ids long, ids_sha256 string, decoded string, round_trip boolean")])
+    return packed.mapInArrow(lambda it: _encoded(it, sent), found)
 
 
 def encoding_digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, n_ids, ids, ids_sha256, decoded_sha256, round_trip."""
     out = encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path)
-    return out.select("doc_id", "n_ids", "ids", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip")
+    return out.select("doc.doc_id", "n_ids", "ids", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip")

@@ -169,11 +169,14 @@ def test_pieces_equal_the_library(spark):
         assert model.encode(x) == sp.encode(x)
     texts = [None, "", " ", "Hello  wörld\n", "a▁b", LONG, "same", "same"]
     table = docs(spark, texts).withColumnRenamed("lang", "ids")
-    got = {x.doc_id: x for x in pieces.encode(table).collect()}
+    got = {x.doc.doc_id: x for x in pieces.encode(table).collect()}
     for i, t in enumerate(texts):
         assert list(got[i].ids) == sp.encode(t or "") and got[i].n_ids == len(got[i].ids)
         assert got[i].decoded == sp.decode(sp.encode(t or "")) and got[i].round_trip
-        assert got[i].source == "s"
+        assert got[i].doc.source == "s"
+    named = docs(spark, texts).select("*", F.lit("mine").alias("ids"), F.lit(3).alias("decoded"), F.lit("x").alias("a.b"))
+    assert {(x.doc.ids, x.doc.decoded, x.doc["a.b"]) for x in pieces.encode(named).collect()} == {("mine", 3, "x")}
+    assert {tuple(x.ids) for x in pieces.encode(table.select("text")).collect()} == {tuple(x.ids) for x in got.values()}
     assert pieces.encoding_digest(docs(spark, [])).collect() == []
 
 
@@ -245,6 +248,10 @@ def test_line_dedup(spark):
     clash = docs(spark, texts).withColumnRenamed("lang", "positions")
     out = linededup.keep_unique_lines(clash)
     assert out.columns == clash.columns and out.count() == len(texts)
+    named = docs(spark, texts).select("*", F.lit("mine").alias("kept"), F.lit(7).alias("n_lines"), F.lit("x").alias("a.b"), F.lit(1).alias("row"), F.lit(2).alias("doc"))
+    out = linededup.keep_unique_lines(named)
+    assert out.columns == named.columns and {(x.kept, x.n_lines, x["a.b"], x.row, x.doc) for x in out.collect()} == {("mine", 7, "x", 1, 2)}
+    assert {x.doc_id: hashlib.sha256(x.text.encode()).hexdigest() for x in out.collect()} == {i: h for i, (_, _, h) in got.items()}
     assert linededup.line_digest(docs(spark, [])).collect() == []
     twice = rows_of(spark, [(1, "a line of its own", None, None, None)] * 2 + [(None, "a line of its own", None, None, None)])
     assert sorted((x.doc_id or 99, x.n_dropped) for x in linededup.line_digest(twice).collect()) == [(1, 0), (1, 0), (99, 1)]
@@ -652,6 +659,24 @@ def test_blocks_keep_every_row(spark, monkeypatch):
     assert result() == whole
 
 
+@pytest.mark.parametrize("shape", ["repeated", "long", "mixed"])
+def test_no_block_passes_its_bound(spark, monkeypatch, shape):
+    from sitelake.llm import decontam
+
+    one = passage(60, 70)
+    items = {"repeated": [(1, one)] * 40, "long": [(1, passage(900, 71))], "mixed": [(i % 3, passage(40 + 200 * (i % 3), i)) for i in range(30)] + [(9, "short item")] * 5}[shape]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [f"{passage(5, 80)} {' '.join(t.split()[k : k + 30])} {passage(3, 81)}" for _, t in items[-3:] for k in (0, 11, 600)] + ["a short item here", None]
+    whole = sorted(map(tuple, decontam.contamination(docs(spark, texts), bench).collect()))
+    assert any(x[2] for x in whole)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 800)
+    rows, blocks, _ = decontam._items(bench, decontam.WINDOW)
+    held = {(r.group, r.part): r.n for r in rows.groupBy("group", "part").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    assert set(held) == set(blocks) and max(held.values()) <= 800 + 100 + 13 * 10
+    assert len(blocks) == 1 or shape != "repeated"
+    assert sorted(map(tuple, decontam.contamination(docs(spark, texts), bench).collect())) == whole
+
+
 def test_proximity_equals_looking_everywhere(spark):
     from sitelake.llm import decontam
 
