@@ -37,6 +37,18 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"({TOKEN})"), F.lit(1))
 
 
+def counted(terms: Column) -> Column:
+    """The distinct terms of an array with their counts, in order of the terms: the array is sorted, and a run's length is
+    the distance of its begin to the next one's. In the row, and in time in proportion to it but for the sort."""
+    ordered = F.array_sort(terms)
+    begins = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    # each array is bound as the argument of a lambda, so that it is made once and not for every element
+    runs = lambda s, b: F.transform(b, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s)) - i).cast("long").alias("n")))
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    empty = F.array().cast("array<struct<term: string, n: bigint>>")
+    return F.when(F.size(terms) > 0, once(ordered, lambda s: once(begins(s), lambda b: runs(s, b)))).otherwise(empty)
+
+
 def hashed(c: Column) -> Column:
     """sha256: and the hex digest."""
     return F.concat(F.lit("sha256:"), F.sha2(c, 256))

@@ -1,15 +1,16 @@
-"""Full-text search over a table of queries: postings, matches of all terms, BM25 ranks, section filter."""
+"""Full-text search over a table of queries, from postings made on the way: matches of all terms, BM25 ranks, section filter. Every match
+is scored; searchindex.py has an index that is stored, kept up to date and searched by its best blocks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sitelake.functions import text as T
 
 K1, B = 1.2, 0.75
-#: Parts of a saved index. Keep it when loading; choose it so that a part has a few hundred MB.
+#: Parts of a saved index. Keep it when opening; choose it so that a part has a few hundred MB.
 BUCKETS = 64
 INDEXED = ("title", "mini_summary", "full_text")
 # Fixed value: query signs that read as spaces.
@@ -17,43 +18,18 @@ QUERY_SIGNS = '"-+*():^'
 
 
 def build_postings(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings(url, term, tf), doc_len(url, dl)) over the indexed columns of pages."""
+    """(postings(url, term, tf), doc_len(url, dl)) over the indexed columns of pages, whose urls are keys."""
     text = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in INDEXED))
     tokens = pages.select("url", T.tokens(T.fold(text)).alias("terms"))
-    postings = tokens.select("url", F.explode("terms").alias("term")).groupBy("url", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # counted within the row: no shuffle
+    postings = tokens.select("url", F.inline(T.counted(F.col("terms")))).select("url", "term", F.col("n").alias("tf"))
     return postings, tokens.select("url", F.size("terms").cast("long").alias("dl"))
 
 
-def save_index(pages: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """build_postings() as tables under path: postings by bucket of the term's hash and sorted by term inside, so that
-    a search reads the buckets of its terms, and of these the row groups that can hold them."""
-    postings = build_postings(pages)[0]
-    # rebalanced, so that a bucket with a very frequent term is split into files of the advisory size
-    dealt = postings.withColumn("bucket", bucket_of(F.col("term"), buckets)).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term")
-    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
-    # lengths from what was written, so that texts aren't cut into terms again; a page without terms has none
-    sums = load_index(pages.sparkSession, path, lengths=False)[0].groupBy(F.col("url").alias("_url")).agg(F.sum("tf").alias("dl"))
-    urls = pages.select("url").distinct()
-    urls.join(sums, F.col("url") == F.col("_url"), "left").select("url", F.coalesce("dl", F.lit(0)).alias("dl")).write.parquet(f"{path}/lengths")
-
-
-def load_index(spark: SparkSession, path: str, lengths: bool = True) -> tuple[DataFrame, DataFrame | None]:
-    """(postings(url, term, tf, bucket), doc_len(url, dl)) of save_index()."""
-    postings = spark.read.schema("url string, term string, tf long, bucket int").parquet(f"{path}/postings")
-    return postings, spark.read.schema("url string, dl long").parquet(f"{path}/lengths") if lengths else None
-
-
 def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
 
 
-def for_queries(postings: DataFrame, queries: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Postings of a saved index in the buckets that the queries' terms are in; these numbers (of `buckets` at most)
-    are taken first, so that the scan lists only their folders."""
-    own = _wanted(queries).select(bucket_of(F.col("term"), buckets).alias("b")).distinct().collect()
-    return postings.filter(F.col("bucket").isin([r.b for r in own]))
-
-
 def query_terms(query: Column) -> Column:
     """The distinct folded terms of a query; none if it is blank after cleaning."""
     return F.array_distinct(T.tokens(T.fold(F.translate(query, QUERY_SIGNS, " " * len(QUERY_SIGNS)))))

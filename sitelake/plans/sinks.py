@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +61,47 @@ def write_lake(spark: SparkSession, d: str) -> DataFrame:
     meta = {"source_url": "https://site.example/orders", "source_hash": "-", "extractor_version": "1"}
     manifest = lake.write_lake(records, work_path(spark, "lake"), "orders", ["destination", "year"], meta, datetime(2024, 1, 1), datetime(2025, 1, 1))
     return manifest.select("category", "partition_path", "row_count", "is_frozen")
+
+
+def _lake(spark: SparkSession, d: str) -> str:
+    """A lake of orders by state and year, of which the finished ones (F) were written again with doubled values."""
+    records, path = values._records(spark, d).withColumn("year", F.year("event_date")), work_path(spark, "lake")
+    meta = {"source_url": "https://site.example/orders", "source_hash": "-", "extractor_version": "1"}
+    states = (["beneficiary", "destination"], "value", "event_date")
+    lake.write_lake(records, path, "orders", ["destination", "year"], meta, datetime(2024, 1, 1), datetime(2025, 1, 1), states=states)
+    again = records.filter("destination = 'F'").withColumn("value", (F.col("value") * 2).cast("decimal(18,2)"))
+    lake.write_lake(again, path, "orders", ["destination", "year"], meta, datetime(2024, 2, 1), datetime(2025, 2, 1), states=states)
+    return path
+
+
+_LAKE = f"{values._RECORDS}, now AS (SELECT * REPLACE (CASE WHEN destination = 'F' THEN value * 2 ELSE value END AS value) FROM records)"
+
+
+@query(f"WITH {_LAKE} SELECT category, beneficiary, destination, event_date::VARCHAR AS event_date, value::DOUBLE AS value, year(event_date) AS year FROM now WHERE year(event_date) IN (1995, 1996) AND destination <> 'P'")
+def read_lake(spark: SparkSession, d: str) -> DataFrame:
+    """Two years of two states, by the names of their partitions."""
+    wanted = spark.createDataFrame([(f"destination={s}/year={y}",) for s in "FO" for y in (1995, 1996)], "partition_path string")
+    rows, _ = lake.read_lake(spark, _lake(spark, d), "orders", wanted)
+    return values.compared(rows).withColumn("event_date", F.col("event_date").cast("string"))
+
+
+@query(f"WITH {_LAKE} SELECT DISTINCT 'destination=' || s || '/year=' || y AS partition_path FROM (SELECT unnest(['F', 'O', 'P', 'X']) AS s), (SELECT unnest(range(1990, 2000)) AS y) WHERE NOT EXISTS (SELECT 1 FROM now WHERE destination = s AND year(event_date) = y)")
+def lake_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted partitions that the lake doesn't have."""
+    wanted = spark.createDataFrame([(f"destination={s}/year={y}",) for s in "FOPX" for y in range(1990, 2000)], "partition_path string")
+    return lake.read_lake(spark, _lake(spark, d), "orders", wanted)[1]
+
+
+@query(f"WITH {_LAKE} SELECT count(*) AS records, sum(value)::DOUBLE AS total, round(sum(value)::DOUBLE / count(*), 4) AS average, true AS close, min(event_date)::VARCHAR AS first_date, max(event_date)::VARCHAR AS last_date FROM now WHERE event_date BETWEEN DATE '1995-02-10' AND DATE '1996-11-20'")
+def totals_of_period(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of a period from the partial totals beside the lake; close: whether the estimates of distinct values are within 8 % (five
+    standard errors) of the exact ones."""
+    keys, days = ["beneficiary", "destination"], (date(1995, 2, 10), date(1996, 11, 20))
+    states = lake.read_states(spark, _lake(spark, d), "orders")
+    totals = lake.totals_of_period(states, keys, *days)
+    exact = lake.period_totals(lake.filter_period(values._records(spark, d), "event_date", *days), keys).select(*(F.col(f"n_{k}").alias(f"_{k}") for k in keys))
+    close = F.lit(True)
+    for k in keys:
+        close = close & (F.abs(F.col(f"n_{k}") - F.col(f"_{k}")) <= F.col(f"_{k}") * 0.08)
+    out = totals.join(F.broadcast(exact)).select("records", "total", F.round("average", 4).alias("average"), close.alias("close"), "first_date", "last_date")  # exact is one row
+    return values.compared(out).withColumns({c: F.col(c).cast("string") for c in ("first_date", "last_date")}).withColumn("average", F.col("average").cast("double"))

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelake.functions import text as T
-from sitelake.operators import catalog, citations, enrich, extract, quality, search, values
+from sitelake.operators import catalog, citations, enrich, extract, quality, search, searchindex, values
 from sitelake.plans.common import CANON_SQL, DOC_URL_SQL, ROOT, canonical_pages, doc_url, table
-from sitelake.sources.work import work_path
+from sitelake.sources import versions
+from sitelake.sources.work import is_kept, work_path
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -174,22 +175,17 @@ scores AS (
 )"""
 
 
-_indexes: dict[tuple[str, str], str] = {}
+_indexes: dict[tuple[str, tuple], str] = {}
 
 
-def search_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The saved index of the documents, built at the first use in an application."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _indexes:
+def search_index(spark: SparkSession, d: str) -> searchindex.SearchIndex:
+    """The index of the documents, built at the first use in an application and again when their files change."""
+    key = (spark.sparkContext.applicationId, versions.state_of(spark, f"{d}/documents.parquet"))
+    if not is_kept(_indexes.get(key, "")):
         path = work_path(spark, "search-index")
-        search.save_index(_searched(spark, d), path)
+        searchindex.SearchIndex(spark, path).update(_searched(spark, d))
         _indexes[key] = path
-    return search.load_index(spark, _indexes[key])
-
-
-def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    postings, lengths = search_index(spark, d)
-    return search.for_queries(postings, _queries(spark, d)), lengths
+    return searchindex.SearchIndex(spark, _indexes[key])
 
 
 @query(f"WITH {_SEARCH} SELECT url, term, tf FROM post")
@@ -199,13 +195,12 @@ def build_postings(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_SEARCH} SELECT query_id, url FROM post JOIN want USING (term) GROUP BY query_id, url HAVING count(*) = max(n_terms)")
 def match_all_terms(spark: SparkSession, d: str) -> DataFrame:
-    return search.match_all_terms(_queries(spark, d), _index(spark, d)[0])
+    return searchindex.matches(search_index(spark, d), _queries(spark, d))
 
 
 @query(f"WITH {_SEARCH} SELECT query_id, url, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS rank FROM scores) WHERE rank <= 10")
 def bm25_top_k(spark: SparkSession, d: str) -> DataFrame:
-    postings, lengths = _index(spark, d)
-    return search.top_k(search.bm25_scores(_queries(spark, d), postings, lengths), 10)
+    return searchindex.best_pages(search_index(spark, d), _queries(spark, d).withColumn("k", F.lit(10)))[0]
 
 
 @query(
@@ -214,8 +209,31 @@ def bm25_top_k(spark: SparkSession, d: str) -> DataFrame:
     SELECT query_id, rank, url, score, page_section, total_found FROM (SELECT query_id, url, score, source AS page_section, total_found, k, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS rank FROM two WHERE section IS NULL OR lower(source) = lower(section)) WHERE rank <= k"""
 )
 def section_search(spark: SparkSession, d: str) -> DataFrame:
-    postings, lengths = _index(spark, d)
-    return search.section_search(_queries(spark, d), postings, lengths, _searched(spark, d))
+    return searchindex.section_pages(search_index(spark, d), _queries(spark, d), _searched(spark, d))
+
+
+@query(
+    f"""WITH {_SEARCH.replace("FROM documents)", "FROM documents WHERE coalesce(lang, '') <> 'es')", 1).replace("lang || '  ' || coalesce(text, '')", "CASE WHEN lang = 'de' THEN left(text, 400) ELSE lang || '  ' || coalesce(text, '') END", 1)}
+    SELECT query_id, url, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS rank FROM scores) WHERE rank <= 10"""
+)
+def updated_index_top_k(spark: SparkSession, d: str) -> DataFrame:
+    """The search in an index made by updates: first all documents, then shorter texts of the German ones, then the Spanish
+    ones removed; as a rebuild from what is left."""
+    pages = _searched(spark, d).withColumn("lang", F.coalesce("title", F.lit("")))
+    index = searchindex.SearchIndex(spark, work_path(spark, "search-index"))
+    index.update(pages.filter("lang <> 'fr'").drop("lang"))
+    short = pages.filter("lang = 'de'").withColumns({"title": F.lit(""), "full_text": F.left("full_text", F.lit(400))})
+    index.update(short.drop("lang"), pages.filter("lang = 'es'").select("url"))
+    index.update(pages.filter("lang = 'fr'").drop("lang"))
+    return searchindex.best_pages(index, _queries(spark, d).withColumn("k", F.lit(10)))[0]
+
+
+def search_block_report(spark: SparkSession, d: str) -> DataFrame:
+    """How many blocks each query's terms share, and how many of these were scored."""
+    return searchindex.best_pages(search_index(spark, d), _queries(spark, d).withColumn("k", F.lit(10)))[1]
+
+
+QUERIES["search_block_report"] = search_block_report
 
 
 def _summarized(spark: SparkSession, d: str) -> DataFrame:

@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Batches between Spark and Python hold so many bytes at most, so that two tasks of a small executor fit.
 BATCH_BYTES = 8 << 20
 
-#: Paths of the tables written by this driver, in order.
-_made: list[str] = []
+#: Every path given out by this driver that hasn't been removed, in order.
+_made: dict[str, None] = {}
+_lock = threading.Lock()
+#: The paths given out within the innermost scope. A new thread begins outside of any.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's bound on the size of Arrow batches to BATCH_BYTES, if it is higher."""
+    """Lower the session's bound on the size of Arrow batches to BATCH_BYTES, if it is higher. It stays so for what the
+    session runs later: Spark reads it when a plan runs, not when it is made."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
     if not now or not 0 < int(now[1]) <= BATCH_BYTES:
@@ -25,22 +32,27 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir). Only where that is unset and Spark
-    runs in this machine alone, as in tests, a temporary folder takes its place."""
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir), to be removed by the scope it is made in or
+    by remove_tables(). Only where that setting is unset and Spark runs in this machine alone, as in tests, a
+    temporary folder takes its place."""
     sc = spark.sparkContext
     if not (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
         if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sitelake-"))
     top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    with _lock:
+        _made[path] = None
+    if (own := _scope.get()) is not None:
+        own.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends there and no executor's loss reaches it."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -49,18 +61,38 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
+        with _lock:
+            _made.pop(path, None)
+
+
+def is_kept(path: str) -> bool:
+    """Whether a path was given out and hasn't been removed since."""
+    return path in _made
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """What this thread writes inside is removed at the end, but for paths taken off the list. Other threads' tables stay."""
+    own: list[str] = []
+    token = _scope.set(own)
+    try:
+        yield own
+    finally:
+        _scope.reset(token)
+        remove(spark, own)
 
 
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """The rows of make() as a table; the tables that were written on the way to it are removed."""
-    before = len(_made)
-    out = written(make(), name)
-    remove(out.sparkSession, _made[before:-1])
-    del _made[before:-1]
+    """The rows of make() as a table; the tables that this thread wrote on the way to it are removed."""
+    spark = SparkSession.active()
+    with scope(spark) as own:
+        out = written(make(), name)
+        path = own.pop()  # written last
+    if (outer := _scope.get()) is not None:
+        outer.append(path)
     return out
 
 
 def remove_tables(spark: SparkSession) -> None:
-    """Remove all tables written so far; for the end of a job, when its results have been taken."""
-    remove(spark, _made)
-    _made.clear()
+    """Remove all that was written below paths given out so far; for the end of a job, when its results have been taken."""
+    remove(spark, [*_made])

@@ -267,7 +267,7 @@ def test_lake(spark, tmp_path):
     L.write_lake(df, str(tmp_path), "c", ["year", "month"], meta, t, t + timedelta(days=10))
     again = df.filter("year = 2024").withColumn("value", F.col("value") * 2)
     manifest = L.write_lake(again, str(tmp_path), "c", ["year", "month"], meta, t + timedelta(days=1), t + timedelta(days=20))
-    data = spark.read.parquet(f"{tmp_path}/data")
+    data = L.read_lake(spark, str(tmp_path), "c")[0]
     assert data.agg(F.sum("value")).first()[0] == 25.0, "only the partitions of the second write were replaced"
     wanted = spark.createDataFrame([("c", "year=2024/month=1"), ("c", "year=2023/month=1"), ("c", "year=2022/month=1")], "category string, partition_path string")
     states = L.coverage(wanted, manifest, t + timedelta(days=15))
@@ -390,20 +390,6 @@ def test_citations_by_lines(spark):
     assert C.extract_citations(spark.createDataFrame([(1, 0, "")], "conv_id int, turn int, text string")).collect() == []
 
 
-def test_saved_index_is_pruned(spark, tmp_path):
-    from sitelake.operators import search as S
-
-    pages = spark.createDataFrame([(f"u{i}", "", None, f"word{i} common") for i in range(50)], "url string, title string, mini_summary string, full_text string")
-    S.save_index(pages, str(tmp_path), buckets=16)
-    postings, lengths = S.load_index(spark, str(tmp_path))
-    assert sorted(map(tuple, postings.drop("bucket").collect())) == sorted(map(tuple, S.build_postings(pages)[0].collect())) and lengths.count() == 50
-    queries = spark.createDataFrame([(1, "word7"), (2, "")], "query_id int, query string")
-    own = S.for_queries(postings, queries, buckets=16)
-    assert "PartitionFilters: [isnotnull(bucket" in own._jdf.queryExecution().executedPlan().toString()
-    assert len(own.inputFiles()) < len(postings.inputFiles()) or own.select("bucket").distinct().count() == 1
-    assert [r.url for r in S.bm25_scores(queries, own, lengths).collect()] == ["u7"]
-
-
 def test_lake_partitions_have_few_files(spark, tmp_path):
     from datetime import datetime
 
