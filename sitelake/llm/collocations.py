@@ -22,7 +22,6 @@ score, count and phrase (in order of UTF-8 bytes), so ranks are unique. An empty
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,41 +33,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sitelake.llm.common import sliced, small_batches, written
+from sitelake.llm.common import raw_texts, sliced, small_batches, written
 
 LONGEST, OVERLAP = 4, 3
 #: One window in so many is a boundary; symbols without one before a cut.
 TRIGGER, MOST = 16, 4096
-#: Symbols that are parsed at once.
-BATCH = 500_000
+#: Symbols that are parsed, and bytes of chunks that are counted, at once.
+BATCH, COUNT_BYTES = 500_000, 8 << 20
 FILTER_BITS, BLOCK_BITS = 1 << 26, 1 << 16
 PARTS = 256
 PIECE_END = "\n"
 
-_SIGNS = {c: PIECE_END for c in map(ord, ".,;:!?\n\v\f\r")} | {c: chr(c + 32) for c in range(ord("A"), ord("Z") + 1)}
-#: Words, and of several ends of pieces the last one.
-_SYMBOL = re.compile(r"[^ \t\n]+|\n(?=[ \t]*[^ \t\n])")
+#: The byte for the end of a piece while texts are cut; no byte of UTF-8.
+_END = 255
+_TABLE = bytes(_END if chr(b) in ".,;:!?\n\v\f\r" else b + 32 if 65 <= b <= 90 else 32 if b == 9 else b for b in range(256))
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def symbols(text: str | None) -> list[str]:
-    return _SYMBOL.findall(text.translate(_SIGNS)) if text else []
+def symbols(raw: bytes) -> list[bytes]:
+    """The words of a text, A-Z in lower case, with a sign for every end of a piece."""
+    return raw.translate(_TABLE).replace(b"\xff", b" \xff ").split()
 
 
 def hashed(words: pa.Array) -> np.ndarray:
     return pd.util.hash_array(np.array(words.to_pylist(), dtype=object), categorize=False)
 
 
-def boundaries(flat: list[str], ends: np.ndarray) -> np.ndarray:
+def mixed(first: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """A hash of several hashes in order."""
+    out = first * _MIX
+    for h in more:
+        out = (out ^ h) * _MIX
+    return out ^ out >> np.uint64(32)
+
+
+def boundaries(flat: list[bytes], ends: np.ndarray) -> np.ndarray:
     """Where chunks begin in texts that end at `ends` of the flat symbols: at every text, and at every window that is a
     trigger and lies within its text, with cuts in between if these are far apart."""
-    words = pa.array(flat, pa.string()).dictionary_encode()
+    words = pa.array(flat, pa.binary()).dictionary_encode()
     h = hashed(words.dictionary)[words.indices.to_numpy()]
     n = len(h) - OVERLAP + 1
     if n > 0:
-        mixed = h[:n] * np.uint64(0x9E3779B97F4A7C15)
-        for i in range(1, OVERLAP):
-            mixed = (mixed ^ h[i : n + i]) * np.uint64(0x9E3779B97F4A7C15)
-        found = np.flatnonzero((mixed >> np.uint64(32)) % np.uint64(TRIGGER) == 0)
+        found = np.flatnonzero(mixed(*(h[i : n + i] for i in range(OVERLAP))) % np.uint64(TRIGGER) == 0)
         found = found[found + OVERLAP <= ends[np.searchsorted(ends, found, side="right")]]
     else:
         found = np.empty(0, np.int64)
@@ -81,9 +87,9 @@ def boundaries(flat: list[str], ends: np.ndarray) -> np.ndarray:
     return at
 
 
-def _parsed(flat: list[str], ends: list[int], langs: list[str]) -> pa.RecordBatch:
-    """The distinct chunks of some texts: lang, chunk (symbols with spaces between), closed (whether a boundary ends it)
-    and n."""
+def _parsed(flat: list[bytes], ends: list[int], langs: list[str]) -> pa.RecordBatch:
+    """The distinct chunks of some texts: lang, chunk (symbols with spaces between), closed (whether a boundary ends it), how
+    many words begin before its closing window, and n."""
     bounds = np.array(ends, np.int64)
     at = boundaries(flat, bounds)
     text = np.searchsorted(bounds, at, side="right")
@@ -91,16 +97,18 @@ def _parsed(flat: list[str], ends: list[int], langs: list[str]) -> pa.RecordBatc
     follow = np.append(at[1:], len(flat))
     closed = follow < stop
     until = np.where(closed, follow + OVERLAP, stop)
-    count = Counter((langs[t], " ".join(flat[a:b]), c) for a, b, t, c in zip(at.tolist(), until.tolist(), text.tolist(), closed.tolist(), strict=True))
+    count = Counter((langs[t], b" ".join(flat[a:b]), c) for a, b, t, c in zip(at.tolist(), until.tolist(), text.tolist(), closed.tolist(), strict=True))
     lang, chunk, shut = zip(*count, strict=True) if count else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(chunk, pa.string()), pa.array(shut, pa.bool_()), pa.array(count.values(), pa.int64())], ["lang", "chunk", "closed", "n"])
+    texts = pa.array([c.replace(b"\xff", b"\n") for c in chunk], pa.binary()).cast(pa.string())
+    words = [c.count(b" ") + 1 - c.count(b"\xff") - (sum(x != b"\xff" for x in c.rsplit(b" ", OVERLAP)[1:]) if s else 0) for c, s in zip(chunk, shut, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), texts, pa.array(shut, pa.bool_()), pa.array(words, pa.int64()), pa.array(count.values(), pa.int64())], ["lang", "chunk", "closed", "words", "n"])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     flat, ends, langs = [], [], []
     for batch in sliced(batches):
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            own = symbols(text)
+        for lang, raw in zip(batch.column("lang").to_pylist(), raw_texts(batch), strict=True):
+            own = symbols(raw)
             if own:
                 flat += own
                 ends.append(len(flat))
@@ -113,9 +121,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def parse(docs: DataFrame) -> DataFrame:
-    """The dictionary (lang, chunk, closed, n) of docs (text, lang): distinct chunks and how often they occur."""
+    """The dictionary (lang, chunk, closed, words, n) of docs (text, lang): distinct chunks and how often they occur."""
     small_batches(docs.sparkSession)
-    return docs.select("lang", "text").mapInArrow(_chunks, "lang string, chunk string, closed boolean, n long").groupBy("lang", "chunk", "closed").agg(F.sum("n").alias("n"))
+    rows = docs.select("lang", "text").mapInArrow(_chunks, "lang string, chunk string, closed boolean, words long, n long")
+    return rows.groupBy("lang", "chunk", "closed").agg(F.first("words").alias("words"), F.sum("n").alias("n"))
 
 
 class _Flat:
@@ -138,6 +147,8 @@ class _Flat:
         self.core = self.left > np.repeat(np.where(batch.column("closed").to_numpy(zero_copy_only=False), OVERLAP, 0), size)
         sign = words.dictionary.index(PIECE_END).as_py()
         self.word = own != sign
+        #: A hash of each word with its language.
+        self.hash = mixed(hashed(langs.dictionary)[self.key // len(words.dictionary)], hashed(words.dictionary)[self.key % len(words.dictionary)])[self.id]
 
     def texts(self, ids: np.ndarray, k: int) -> tuple[pa.Array, pa.Array]:
         """(languages, phrases) of k words that begin at these places of the flat symbols."""
@@ -156,13 +167,31 @@ class _Flat:
 
 
 def bits_of(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
-    return hashed(pc.binary_join_element_wise(langs, phrases, " ")) % np.uint64(FILTER_BITS)
+    """The bits of phrases of one length; as _counted() takes them from the hashes of words."""
+    lang = langs.dictionary_encode()
+    h = hashed(lang.dictionary)[lang.indices.to_numpy()]
+    cut = pc.split_pattern(phrases, " ").flatten().dictionary_encode()
+    own = hashed(cut.dictionary)[cut.indices.to_numpy()].reshape(len(phrases), -1)
+    return mixed(*(mixed(h, own[:, i]) for i in range(own.shape[1]))) % np.uint64(FILTER_BITS)
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have COUNT_BYTES: the more chunks are counted at once, the fewer phrases are repeated."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= COUNT_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _counted(batches: Iterator[pa.RecordBatch], k: int, sent) -> Iterator[pa.RecordBatch]:
     """The phrases of k words in distinct chunks, with how often they begin there, where both parts of k - 1 words have
     their bit."""
-    for batch in batches:
+    for batch in gathered(batches):
         if not batch.num_rows:
             continue
         flat = _Flat(batch)
@@ -174,11 +203,8 @@ def _counted(batches: Iterator[pa.RecordBatch], k: int, sent) -> Iterator[pa.Rec
                 may[-i:] = False
             may &= flat.left >= k - 1
             places = np.flatnonzero(may)
-            if len(places):
-                one, which = flat.distinct(places, k - 1)
-                bit = bits_of(*flat.texts(one, k - 1))
-                good = (table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-                may[places] = good[which].astype(bool)
+            bit = mixed(*(flat.hash[places + i] for i in range(k - 1))) % np.uint64(FILTER_BITS)
+            may[places] = (table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
             both = may.copy()
             both[:-1] &= may[1:]
             both[-1:] = False
@@ -195,6 +221,8 @@ def _counted(batches: Iterator[pa.RecordBatch], k: int, sent) -> Iterator[pa.Rec
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        if not batch.num_rows:
+            continue
         bit = np.unique(bits_of(batch.column("lang"), batch.column("phrase"))).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(bit // BLOCK_BITS), pa.array(bit % BLOCK_BITS)], ["block", "bit"])
 
@@ -229,11 +257,6 @@ def phrase_counts(chunks: DataFrame, least: int, longest: int = LONGEST) -> Data
     return out
 
 
-def _part(first: int | None, last: int | None = None):
-    """Words of `ws` from one (counted from 0) on to before another."""
-    return F.array_join(F.slice("ws", first + 1, (last - first) if last is not None else LONGEST), " ")
-
-
 def scored(frequent: DataFrame) -> DataFrame:
     """(lang, phrase, k, a, l, r, score) of the phrases of two words and more: those of the cut with the lowest score, of ties
     that after the fewest words."""
@@ -268,10 +291,7 @@ def collocations(docs: DataFrame, least: int = 30, share: int = 80, most: int =
     """lang, rank, phrase, a, l, r, n, score: the collocations of each language, best first. a is the count of the phrase, l and
     r those of its two parts, n that of all words of the language."""
     chunks = written(parse(docs), "chunks")
-    own = F.transform(F.split("chunk", " "), lambda w: F.when(w == PIECE_END, 0).otherwise(1))
-    core = F.slice(own, F.lit(1), F.size(own) - F.when(F.col("closed"), OVERLAP).otherwise(0))
-    words = F.aggregate(core, F.lit(0), lambda a, x: a + x)
-    totals = chunks.select("lang", (words * F.col("n")).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = chunks.groupBy("lang").agg(F.sum(F.col("words") * F.col("n")).alias("n"))
     candidates = written(scored(phrase_counts(chunks, least)), "candidates")
     return best_of(not_within(candidates, share), most).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
