@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,7 +17,7 @@ URL_LABEL, SECTION_LABEL, BREADCRUMB_TITLE = "URL:", "Seção:", "Breadcrumb"
 TURNS = 1000
 # The form of a link and of a marker.
 _LINK = r"\[([^\]]+)\]\(([^)]+)\)"
-_MARKER = r"\[([^\]]+)\]\^(\d+)"
+_MARKER = r"\[([^\]]+)\]\^([0-9]+)"
 
 
 def extract_citations(messages: DataFrame, url_label: str = URL_LABEL, section_label: str = SECTION_LABEL, breadcrumb: str = BREADCRUMB_TITLE) -> DataFrame:
@@ -56,8 +59,10 @@ def extract_citations(messages: DataFrame, url_label: str = URL_LABEL, section_l
 
 def extract_urls(messages: DataFrame, url_label: str = URL_LABEL) -> DataFrame:
     """(conv_id, turn, pos, url) of every labelled URL."""
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(rf"\*\*{url_label}\*\*\s+(https?://[^\s\n]+)"), F.lit(1))
-    return messages.select("conv_id", "turn", F.posexplode(found).alias("pos", "url"))
+    # the text is cut at labels; what follows one is a URL if it begins with one after some space, up to the next space
+    after = F.slice(F.split(F.coalesce("text", F.lit("")), rf"\Q**{url_label}**\E", -1), 2, 1_000_000_000)
+    first = F.filter(F.transform(after, lambda t: F.regexp_extract(t, r"^\s+(\S+)", 1)), lambda w: w.rlike("^https?://."))
+    return messages.select("conv_id", "turn", F.posexplode(first).alias("pos", "url"))
 
 
 def number_citations(citations: DataFrame) -> DataFrame:
@@ -102,16 +107,14 @@ def rewrite_inline_links(messages: DataFrame, citations: DataFrame, bracketed: b
     return joined.withColumn("text", folded).drop("_ids", "_conv", "_hash")
 
 
-def parse_citation_markers(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, pos, label, number, start, end) of every `[text]^N`, in characters, end exclusive."""
-    text = F.coalesce("text", F.lit(""))
-    marks = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(f"({_MARKER})"), F.lit(i)).alias(n) for i, n in ((1, "mark"), (2, "label"), (3, "number"))))
-    entry = "array<struct<label:string,number:int,start:int,end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(entry).alias("done"))
+def _markers(texts: pd.Series) -> pd.Series:
+    number = lambda d: int(d) if len(d.lstrip("0")) <= 9 or int(d) < 1 << 31 else None
+    return texts.map(lambda t: [(m[1], number(m[2]), m.start(), m.end()) for m in re.finditer(_MARKER, t)])
 
-    def step(s, x):
-        begin = s["at"] + F.instr(F.substr(text, s["at"] + 1), x["mark"]) - 1
-        end = begin + F.char_length(x["mark"])
-        return F.struct(end.alias("at"), F.array_append(s["done"], F.struct(x["label"].alias("label"), x["number"].cast("int").alias("number"), begin.alias("start"), end.alias("end"))).alias("done"))
 
-    return messages.select("conv_id", "turn", F.posexplode(F.aggregate(marks, start, step, lambda s: s["done"])).alias("pos", "m")).select("conv_id", "turn", "pos", "m.*")
+def parse_citation_markers(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, pos, label, number, start, end) of every `[text]^N`, in characters, end exclusive; a number that is no int is
+    null. In time in proportion to the text: places are running sums, which columns can only say by copying arrays."""
+    parse = F.pandas_udf(_markers, "array<struct<label: string, number: int, start: int, end: int>>")
+    found = messages.select("conv_id", "turn", parse(F.coalesce("text", F.lit(""))).alias("m"))
+    return found.select("conv_id", "turn", F.posexplode("m").alias("pos", "m")).select("conv_id", "turn", "pos", "m.*")

@@ -327,10 +327,12 @@ def document_links(pages: DataFrame) -> DataFrame:
 def keywords_top10(docs: DataFrame, n: int = 10) -> DataFrame:
     """(doc_id, keywords): the n most frequent words of at least 3 bytes that are no stopwords, by count and
     then by name; no row for a text without any or below 50 bytes."""
-    words = docs.filter(F.octet_length("text") >= 50).select("doc_id", F.explode(T.tokens(F.lower("text"))).alias("word"))
-    counts = words.filter((F.octet_length("word") >= 3) & ~F.col("word").isin(*STOPWORDS)).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= n)
-    return top.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]).alias("keywords"))
+    long = docs.filter(F.octet_length("text") >= 50).select("doc_id", T.tokens(F.lower("text")).alias("words"))
+    # counted within the row: no shuffle, and rows that share an id stay apart
+    kept = long.select("doc_id", F.filter("words", lambda w: (F.octet_length(w) >= 3) & ~w.isin(*STOPWORDS)).alias("words"))
+    counts = kept.filter(F.size("words") > 0).select("doc_id", T.counted(F.col("words")).alias("c"))
+    ranked = F.array_sort(F.transform("c", lambda x: F.struct((-x["n"]).alias("n"), x["term"].alias("term"))))
+    return counts.select("doc_id", F.transform(F.slice(ranked, 1, n), lambda x: x["term"]).alias("keywords"))
 
 
 def link_counts(pages: DataFrame, edges: DataFrame, documents: DataFrame) -> DataFrame:

@@ -198,7 +198,7 @@ class SearchIndex:
     def vacuum(self) -> None:
         """Remove segments and manifests that the newest manifest doesn't name; when nobody reads an older version any more."""
         names = {s.id for s in self.segments}
-        old = [p for p, _, _ in versions._children(self.spark, f"{self.path}/segments") if p.rsplit("/", 1)[1] not in names]
+        old = [p for p, _, _ in versions.children(self.spark, f"{self.path}/segments") if p.rsplit("/", 1)[1] not in names]
         old += [versions.at_version(f"{self.path}/manifest", v) for v in versions.versions(self.spark, f"{self.path}/manifest")[:-1]]
         remove(self.spark, old)
 

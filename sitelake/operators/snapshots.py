@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -101,14 +101,18 @@ def recrawl_candidates(sitemap: DataFrame, pages: DataFrame, most: int | None =
     return out if most is None else out.orderBy("loc").limit(most)
 
 
+def is_safe(url: Column, prefix: str) -> Column:
+    """Whether a URL is below the prefix and has no segment that is blank, .. or begins with a dot."""
+    rel = F.substr(U.bare(url), F.lit(len(prefix.rstrip("/")) + 2))
+    segments = (rel == "") | ~F.exists(F.split(rel, "/"), lambda s: (s == "") | F.startswith(s, F.lit(".")))
+    return F.coalesce(U.in_scope(url, F.lit(prefix)) & segments, F.lit(False))
+
+
 def merge_pages(snapshot: DataFrame, updates: DataFrame, deletes: DataFrame, prefix: str, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(snapshot, rejects): updates by url replace or add, deletes remove. Updates outside the prefix or
     with an unsafe segment (blank, .., or with a leading dot) are rejected. Of several updates of one url the
     last by the column `order` is taken; of ties, or without it, that whose values are the largest as JSON."""
-    rel = F.substr(U.bare(F.col("url")), F.lit(len(prefix.rstrip("/")) + 2))
-    inside = U.in_scope(F.col("url"), F.lit(prefix))
-    safe = (rel == "") | ~F.exists(F.split(rel, "/"), lambda s: (s == "") | F.startswith(s, F.lit(".")))
-    good = F.coalesce(inside & safe, F.lit(False))
+    good = is_safe(F.col("url"), prefix)
     row = F.struct(*(updates[f"`{c}`"] for c in updates.columns))
     last = F.struct(*([F.col(order)] if order else []), F.to_json(row))
     accepted = updates.filter(good).groupBy("url").agg(F.max_by(row, last).alias("_row")).select("_row.*")

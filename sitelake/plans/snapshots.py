@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from sitelake.functions import text as T
 from sitelake.operators import snapshots
 from sitelake.plans.common import DOC_URL_SQL, ROOT, SNAPSHOT_SQL, current_pages, doc_url, prior_pages, table
+from sitelake.sources.work import work_path
+from sitelake.streaming import pagestore
 
 QUERIES, ORACLE_SQL = {}, {}
 NOW = datetime(2024, 3, 1)
@@ -127,6 +129,24 @@ def merge_pages(spark: SparkSession, d: str) -> DataFrame:
     return _merge(spark, d)[0]
 
 
+@query(f"{_MERGE}, ok AS (SELECT url, v FROM u WHERE lang NOT IN ('de', 'es')) SELECT url, v FROM (SELECT * FROM ok UNION ALL SELECT * FROM s WHERE url NOT IN (SELECT url FROM ok)) WHERE url NOT IN (SELECT url FROM x)")
+def merge_pages_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same as a stream of changes in several batches, each of which touches some buckets of the table; removals and
+    what they remove arrive in any order. The first batch is replayed at the end, which changes nothing."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    labelled = docs.join(labels, "doc_id")
+    url = F.when(F.col("lang") == "de", F.concat(F.lit(f"{ROOT}/../"), "doc_id")).when(F.col("lang") == "es", F.concat(F.lit("https://elsewhere.example/"), "doc_id")).otherwise(doc_url())
+    change = lambda df, url, v, at, gone: df.select(url.alias("url"), F.lit(v).alias("v"), F.lit(at).alias("at"), F.lit(gone).alias("deleted"))
+    rows = change(labelled, doc_url(), "old", 1, False).unionByName(change(docs, url, "new", 2, False)).unionByName(change(labelled.filter("toxic = 1"), doc_url(), "gone", 3, True))
+    source = work_path(spark, "page-changes")
+    rows.repartition(3, F.xxhash64("url", "at")).write.parquet(source)
+    store = pagestore.PageStore(spark, work_path(spark, "pages"), rows.schema, ROOT, "at", buckets=8)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    store.follow(stream).option("checkpointLocation", work_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    store.apply(rows.limit(1), 0)
+    return store.pages().select("url", "v")
+
+
 @query(f"{_MERGE} SELECT url, v FROM u WHERE lang IN ('de', 'es')")
 def merge_rejects(spark: SparkSession, d: str) -> DataFrame:
     return _merge(spark, d)[1]

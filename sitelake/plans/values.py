@@ -14,6 +14,7 @@ from sitelake.plans.common import table
 from sitelake.sources import io
 from sitelake.sources.work import work_path
 from sitelake.streaming import breaker
+from sitelake.streaming import caching as streamcache
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -209,6 +210,25 @@ def failure_breaker_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(moves.schema).parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@query(ORACLE_SQL["cache_lookup"])
+def cache_lookup_stream(spark: SparkSession, d: str) -> DataFrame:
+    """cache_lookup as a stream over the events, in four batches that overlap in time; a last event far ahead moves the watermark past
+    them all."""
+    e = table(spark, d, "events").filter("event_type IN ('purchase', 'view')")
+    rows = e.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.when(F.col("event_type") == "purchase", float(cacheops.QUERY_TTL)).alias("ttl_s"))
+    source, out = work_path(spark, "cache-events"), work_path(spark, "lookups")
+    # a batch has what came within some weeks, but for a tenth that comes a batch later
+    span = F.floor(F.unix_timestamp("ts") / (14 * 86400))
+    rows.withColumn("part", span + (F.pmod(F.xxhash64("id"), F.lit(10)) == 0).cast("int")).repartitionByRange(4, "part", "id").write.parquet(source)
+    end = spark.createDataFrame([("", datetime(2100, 1, 1), -1, 1.0)], rows.schema)
+    end.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    with streamcache.rocks(spark):
+        found = streamcache.cache_lookup_stream(stream, late="3650 days")
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", work_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(streamcache.OUT).parquet(out)
+
+
 def _records(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderpriority").alias("category"), F.col("o_custkey").alias("beneficiary"), F.col("o_orderstatus").alias("destination"), F.col("o_orderdate").cast("date").alias("event_date"), F.col("o_totalprice").cast("decimal(18,2)").alias("value"))
 

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _children(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+def children(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     """(path, length, time of change) of what is directly below a path."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -26,7 +26,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """The whole versions, in order."""
-    found = [int(m[1]) for p, _, _ in _children(spark, path) if (m := re.search(r"/v=(\d+)$", p)) and exists(spark, f"{p}/_SUCCESS")]
+    found = [int(m[1]) for p, _, _ in children(spark, path) if (m := re.search(r"/v=(\d+)$", p)) and exists(spark, f"{p}/_SUCCESS")]
     return sorted(found)
 
 
@@ -50,5 +50,5 @@ def latest(spark: SparkSession, path: str) -> tuple[int, DataFrame | None]:
 
 def state_of(spark: SparkSession, path: str) -> tuple:
     """What tells whether a table's files have changed: their names, lengths and times. A file or a flat folder."""
-    own = _children(spark, path)
+    own = children(spark, path)
     return tuple(sorted(own))

@@ -64,21 +64,23 @@ def _replay(host: str, state: State, rows: Iterable[tuple], cfg: Breaker) -> tup
     return state, out
 
 
-def failure_breaker_stream(log: DataFrame, cfg: Breaker = Breaker(), late: str = "10 minutes") -> DataFrame:
-    """Transitions (host, ts, from_state, to_state) of a stream (host, ts, seq, failed). Within a batch a
-    host's rows are taken in order of ts and seq; the watermark bounds the state of hosts that went quiet."""
+def failure_breaker_stream(log: DataFrame, cfg: Breaker = Breaker()) -> DataFrame:
+    """Transitions (host, ts, from_state, to_state) of a stream (host, ts, seq, failed). Within a batch a host's rows are taken in
+    order of ts and seq, held as one frame; rows that arrive in a later batch are taken after those before, whatever their time.
+    A host without open failures needs no state; any other one keeps it for good, since an open or aborted breaker has to be
+    remembered however long its host is quiet."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         rows = pd.concat(batches).sort_values(["ts", "seq"])
         last, out = _replay(key[0], state.get if state.exists else START, zip(rows.ts, rows.failed, strict=True), cfg)
-        state.update(last)
-        state.setTimeoutTimestamp(max(int(rows.ts.max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 86_400_000)
+        if last != START:
+            state.update(last)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["host", "ts", "from_state", "to_state"])
 
-    return log.withWatermark("ts", late).groupBy("host").applyInPandasWithState(run, _OUT, _STATE, "append", "EventTimeTimeout")
+    known = log.withColumn("failed", F.coalesce("failed", F.lit(False)))
+    return known.groupBy("host").applyInPandasWithState(run, _OUT, _STATE, "append", "NoTimeout")
 
 
 def failure_breaker_batch(log: DataFrame, cfg: Breaker = Breaker()) -> DataFrame:
