@@ -42,18 +42,35 @@ def url_hierarchy(df: DataFrame, prefix: str = "prefix", column: str = "url") ->
 def robots_filter(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     """The rows with `allowed`. rules: (host, agent, allow, path_pattern), where * stands for anything and
     a final $ for the end; rules of the agent are taken if its host has any, else those of *. The longest
-    pattern wins, and of equal ones the allowing one; hosts without rules allow."""
+    pattern wins, and of equal ones the allowing one; hosts without rules allow. Rules are keys: a distinct path looks up its
+    beginnings, of the lengths that its host's rules have, so it meets the rules it begins with and not the others. A pattern with
+    a sign (*, $) is found by what stands before it and tried then."""
     own = rules.filter(F.lower("agent").isin(agent.lower(), "*")).withColumn("_own", F.lower("agent") == agent.lower())
     best = own.groupBy(F.col("host").alias("_host")).agg(F.max("_own").alias("_has_own"))
     own = own.join(best, (F.col("host") == F.col("_host")) & (F.col("_own") == F.col("_has_own")))
-    quoted = F.concat(F.lit(r"\Q"), F.replace(F.regexp_replace("path_pattern", r"\$$", ""), F.lit("*"), F.lit(r"\E.*\Q")), F.lit(r"\E"))
-    regex = F.concat(F.lit("^"), quoted, F.when(F.endswith(F.col("path_pattern"), F.lit("$")), "$").otherwise(""))
-    by_host = own.filter("path_pattern <> ''").groupBy("_host").agg(F.collect_list(F.struct(F.char_length("path_pattern").alias("length"), "allow", regex.alias("regex"))).alias("_rules"))
+    pattern = F.col("path_pattern")
+    body = F.regexp_replace(pattern, r"\$$", "")
+    quoted = F.concat(F.lit(r"^\Q"), F.replace(body, F.lit("*"), F.lit(r"\E.*\Q")), F.lit(r"\E"), F.when(F.endswith(pattern, F.lit("$")), "$").otherwise(""))
+    # what a path has to begin with: all of a plain rule, of others what stands before the first sign
+    head = F.regexp_extract(pattern, r"(?s)^([^*]*?)(?:\*|\$$|$)", 1)
+    plain = ~F.contains(pattern, F.lit("*")) & ~F.endswith(pattern, F.lit("$"))
+    keyed = own.filter("path_pattern <> ''").select("_host", head.alias("_head"), F.char_length(pattern).alias("length"), "allow", F.when(~plain, quoted).alias("regex"))
+    # of rules with one head: the best plain one, and those that have to be tried
+    keyed = keyed.groupBy("_host", "_head").agg(
+        F.max(F.when(F.col("regex").isNull(), F.struct("length", "allow"))).alias("_plain"),
+        F.collect_set(F.when(F.col("regex").isNotNull(), F.struct("length", "allow", "regex"))).alias("_signs"),
+    )
+    lengths = keyed.groupBy("_host").agg(F.collect_set(F.char_length("_head")).alias("_lengths"))
     path = F.when(U.path_of(F.col("url")) == "", "/").otherwise(U.path_of(F.col("url")))
-    joined = urls.withColumns({"_url_host": U.host_of(F.col("url")), "_path": path}).join(by_host, F.col("_url_host") == F.col("_host"), "left")
-    # a host's rules are few; the longest fitting one is the largest (length, allow)
-    fits = F.filter("_rules", lambda r: F.regexp_like(F.col("_path"), r["regex"]))
-    return joined.withColumn("allowed", F.coalesce(F.array_max(F.transform(fits, lambda r: F.struct(r["length"], r["allow"])))["allow"], F.lit(True))).drop("_url_host", "_path", "_host", "_rules")
+    placed = urls.withColumns({"_url_host": U.host_of(F.col("url")), "_path": path})
+    asked = placed.select(F.col("_url_host").alias("_host"), "_path").distinct().join(lengths, "_host")
+    heads = asked.select("_host", "_path", F.explode(F.filter("_lengths", lambda n: n <= F.char_length("_path"))).alias("_n"))
+    hits = heads.withColumn("_head", F.left("_path", F.col("_n"))).join(keyed, ["_host", "_head"])
+    tried = F.array_max(F.transform(F.filter("_signs", lambda r: F.regexp_like(F.col("_path"), r["regex"])), lambda r: F.struct(r["length"].alias("length"), r["allow"].alias("allow"))))
+    best = hits.groupBy("_host", "_path").agg(F.max(F.greatest(F.col("_plain"), tried)).alias("_best"))
+    best = best.select(F.col("_host").alias("_best_host"), F.col("_path").alias("_best_path"), F.col("_best.allow").alias("_allow"))
+    joined = placed.join(best, (F.col("_url_host") == F.col("_best_host")) & (F.col("_path") == F.col("_best_path")), "left")
+    return joined.withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_url_host", "_path", "_best_host", "_best_path", "_allow")
 
 
 def doubled_segment_pairs(pages: DataFrame) -> DataFrame:

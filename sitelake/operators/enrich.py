@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitelake.sources import versions
 
 LONGEST, EXCERPT, CHILDREN = 500, 1500, 15
 TEMPLATES = {
@@ -62,6 +64,91 @@ def enrich_batches(prompts: DataFrame, fn: Callable[[str], tuple[str, int, int]]
     return (dealt.repartition(concurrency) if concurrency else dealt).mapInPandas(run, "url string, text string, error_class string, tokens_in long, tokens_out long")
 
 
+LOG = "hash string, text string, error_class string, tokens_in long, tokens_out long"
+
+
+def read_log(spark: SparkSession, log: str) -> DataFrame:
+    """The results in a log, one for each prompt (by its hash): a good one if there is any."""
+    if not versions.exists(spark, log):
+        return spark.createDataFrame([], LOG)
+    rows = spark.read.schema(LOG).option("recursiveFileLookup", True).parquet(log)
+    best = F.max_by(F.struct("text", "error_class", "tokens_in", "tokens_out"), F.struct(F.col("error_class").isNull(), F.col("text"), F.col("error_class")))
+    return rows.groupBy("hash").agg(best.alias("r")).select("hash", "r.*")
+
+
+def enrich_resumable(prompts: DataFrame, fn: Callable[[str], tuple[str, int, int]], log: str, buckets: int = 64, flush: int = 16) -> DataFrame:
+    """enrich_batches() with a log that outlives the run: (url, text, error_class, tokens_in, tokens_out) of prompts (url, prompt).
+    Equal prompts are called for once. Results go to the log from inside the task, after every `flush` calls, so a run that is
+    killed has lost at most so many calls a task; the next one, or a task that is tried again, leaves out what the log has. Failed calls
+    are made again by the next run. `log` is a path or URI that Spark and pyarrow's file systems both open, and goes
+    with one function: another one needs another log."""
+    spark = prompts.sparkSession
+    hashed = prompts.select("url", F.coalesce("prompt", F.lit("")).alias("prompt")).withColumn("hash", F.sha2("prompt", 256))
+    done = read_log(spark, log).filter("error_class IS NULL").select("hash")
+    todo = hashed.groupBy("hash").agg(F.first("prompt").alias("prompt")).join(done, "hash", "left_anti")
+    dealt = todo.withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket").sortWithinPartitions("bucket", "hash")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket, own, rows = None, ResultLog(log), []
+        for batch in batches:
+            for b, key, prompt in zip(batch.bucket, batch.hash, batch.prompt, strict=True):
+                if b != bucket:
+                    own.add(bucket, rows)
+                    bucket, rows, seen = b, [], own.finished(b)
+                if key in seen:
+                    continue
+                try:
+                    text, tokens_in, tokens_out = fn(prompt)
+                    rows.append((key, text.strip()[:LONGEST], None, tokens_in, tokens_out))
+                except Exception as e:  # noqa: BLE001  a failing row must not end the job
+                    rows.append((key, None, type(e).__name__, 0, 0))
+                if len(rows) >= flush:
+                    own.add(bucket, rows)
+                    rows = []
+        own.add(bucket, rows)
+        yield pd.DataFrame({"n": [own.n]})
+
+    dealt.mapInPandas(run, "n long").agg(F.sum("n")).collect()  # one number
+    results = read_log(spark, log)
+    return hashed.join(results, "hash").select("url", "text", "error_class", "tokens_in", "tokens_out")
+
+
+class ResultLog:
+    """A log of results as a task writes it: a file for each flush, in the folder of its bucket, seen once it is whole."""
+
+    def __init__(self, path: str):
+        from pyarrow import fs
+
+        self.fs, self.top = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        self.n = 0
+
+    def finished(self, bucket: int) -> set[str]:
+        """Hashes of the good results of a bucket."""
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        found: set[str] = set()
+        for x in self.fs.get_file_info(fs.FileSelector(f"{self.top}/b{bucket}", allow_not_found=True)):
+            if x.base_name.startswith("part-"):
+                rows = pq.read_table(x.path, filesystem=self.fs, columns=["hash", "error_class"]).to_pylist()
+                found |= {r["hash"] for r in rows if r["error_class"] is None}
+        return found
+
+    def add(self, bucket: int | None, rows: list[tuple]) -> None:
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        if not rows:
+            return
+        folder, name = f"{self.top}/b{bucket}", f"{uuid.uuid4().hex}.parquet"
+        self.fs.create_dir(folder, recursive=True)
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+        table = pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split(" ")[0] for f in LOG.split(", ")])
+        pq.write_table(table, f"{folder}/_{name}", filesystem=self.fs)
+        self.fs.move(f"{folder}/_{name}", f"{folder}/part-{name}")
+        self.n += len(rows)
+
+
 def summarize_report(results: DataFrame, skipped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(one row of counts and tokens, failures by reason)."""
     one = results.agg(
@@ -79,8 +166,10 @@ def estimate_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     (rank, provider, model_prefix, in_per_mtok, out_per_mtok) that fits but for case; without one 0. The
     provider is the key of the join; distinct models are priced once and joined back."""
     models = usage.select(F.lower("provider").alias("_p"), F.lower("model").alias("_m")).distinct()
-    p = prices.select(F.lower("provider").alias("_p"), "model_prefix", F.struct("rank", "in_per_mtok", "out_per_mtok").alias("price"))
-    fit = models.join(p, "_p").filter(F.startswith("_m", F.lower("model_prefix"))).groupBy("_p", "_m").agg(F.min("price").alias("price"))
+    # a model looks up its own beginnings, so it meets only prices that fit
+    p = prices.groupBy(F.lower("provider").alias("_p"), F.lower("model_prefix").alias("_prefix")).agg(F.min(F.struct("rank", "in_per_mtok", "out_per_mtok")).alias("price"))
+    begins = models.select("_p", "_m", F.explode(F.transform(F.sequence(F.lit(0), F.char_length("_m")), lambda n: F.left("_m", n))).alias("_prefix"))
+    fit = begins.join(p, ["_p", "_prefix"]).groupBy("_p", "_m").agg(F.min("price").alias("price"))
     joined = usage.withColumns({"_p": F.lower("provider"), "_m": F.lower("model")}).join(fit, ["_p", "_m"], "left")
     cost = F.col("tokens_in") / 1e6 * F.col("price.in_per_mtok") + F.col("tokens_out") / 1e6 * F.col("price.out_per_mtok")
     return joined.withColumn("cost", F.coalesce(cost, F.lit(0.0))).drop("_p", "_m", "price")

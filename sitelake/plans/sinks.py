@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sitelake.operators import lake
 from sitelake.plans import texts, values
 from sitelake.plans.common import table
-from sitelake.sources import io
+from sitelake.sources import io, pagetree
 from sitelake.sources.work import work_path
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -105,3 +105,16 @@ def totals_of_period(spark: SparkSession, d: str) -> DataFrame:
         close = close & (F.abs(F.col(f"n_{k}") - F.col(f"_{k}")) <= F.col(f"_{k}") * 0.08)
     out = totals.join(F.broadcast(exact)).select("records", "total", F.round("average", 4).alias("average"), close.alias("close"), "first_date", "last_date")  # exact is one row
     return values.compared(out).withColumns({c: F.col(c).cast("string") for c in ("first_date", "last_date")}).withColumn("average", F.col("average").cast("double"))
+
+
+@query("SELECT url, html AS description, (page_id % 5)::INT AS depth, epoch_us(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id)) AS extracted_us FROM pages WHERE page_id % 10 <> 3")
+def load_page_tree(spark: SparkSession, d: str) -> DataFrame:
+    """All pages as a tree of `_index.json` files that tasks write, of which a tenth is broken, and read back."""
+    path = work_path(spark, "page-tree")
+    at = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    meta = F.struct((F.col("page_id") % 5).cast("int").alias("depth"), at.alias("extracted_at"))
+    record = F.to_json(F.struct("url", F.col("html").alias("description"), meta.alias("metadata"), F.lit(1).alias("unknown")))
+    rows = table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 10 == 3, F.left(record, F.lit(20))).otherwise(record).alias("value"))
+    pagetree.write_tree(rows.select(F.concat(F.lit("s"), (F.col("page_id") % 7).cast("string"), F.lit("/"), F.col("page_id").cast("string")).alias("folder"), "value"), path)
+    pages, _ = pagetree.load_tree(spark, path)
+    return pages.select("url", "description", "metadata.depth", F.unix_micros("metadata.extracted_at").alias("extracted_us"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelake.functions import text as T
-from sitelake.operators import snapshots
+from sitelake.operators import redirects, snapshots
 from sitelake.plans.common import DOC_URL_SQL, ROOT, SNAPSHOT_SQL, current_pages, doc_url, prior_pages, table
 from sitelake.sources.work import work_path
 from sitelake.streaming import pagestore
@@ -166,3 +166,20 @@ def failure_runs(spark: SparkSession, d: str) -> DataFrame:
 def content_hashes(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     return table(spark, d, "documents").select(doc_url().alias("url"), T.hashed(c("text")).alias("full_text_hash"), T.content_hash(c("source"), c("lang"), c("text")).alias("content_hash"))
+
+
+def _redirects(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that aren't English lead to the next one, Spanish ones two back: chains, and circles."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("i"), "lang").filter("lang <> 'en'")
+    name = lambda c: F.concat(F.lit(f"{ROOT}/r/"), c.cast("string"))
+    return docs.select(name(F.col("i")).alias("redirected_from"), name(F.col("i") + F.when(F.col("lang") == "es", -2).otherwise(1)).alias("url"))
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT '{ROOT}/r/' || doc_id AS u, '{ROOT}/r/' || (doc_id + CASE WHEN lang = 'es' THEN -2 ELSE 1 END) AS t FROM documents WHERE lang <> 'en'),
+    w AS (SELECT u, t, 1 AS hops, [u] AS seen FROM e UNION ALL SELECT w.u, e.t, hops + 1, list_append(seen, e.u) FROM w JOIN e ON e.u = w.t WHERE NOT list_contains(seen, e.u)),
+    ends AS (SELECT w.u, w.t, hops FROM w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.u = w.t))
+    SELECT e.u AS url, ends.t AS target, hops::BIGINT AS hops, ends.t IS NULL AS cyclic FROM e LEFT JOIN ends ON ends.u = e.u"""
+)
+def redirect_chains(spark: SparkSession, d: str) -> DataFrame:
+    return redirects.redirect_chains(redirects.redirects_of(_redirects(spark, d)))

@@ -286,6 +286,14 @@ def enrich_batches(spark: SparkSession, d: str) -> DataFrame:
     return _results(spark, d).select("url", "error_class", "tokens_in", "tokens_out")
 
 
+@query(ORACLE_SQL["enrich_batches"])
+def enrich_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a log that a run before left half full."""
+    prompts, log = _prompted(spark, d), work_path(spark, "results")
+    enrich.enrich_resumable(prompts.filter("doc_id % 2 = 0"), _stub, log, buckets=8, flush=200)  # the run before
+    return enrich.enrich_resumable(prompts, _stub, log, buckets=8, flush=200).select("url", "error_class", "tokens_in", "tokens_out")
+
+
 @query(
     f"""WITH {_FEATURES}, p AS (SELECT {_prompt_sql()} AS prompt FROM typed) SELECT count(*) FILTER (WHERE NOT contains(prompt, '|')) AS n_generated, count(*) FILTER (WHERE contains(prompt, '|')) AS n_failed,
     sum(CASE WHEN contains(prompt, '|') THEN 0 ELSE length(prompt) END)::BIGINT AS tokens_in, sum(CASE WHEN contains(prompt, '|') THEN 0 ELSE 9 END)::BIGINT AS tokens_out,

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from sitelake.schemas import PAGE
+from sitelake.sources.pagetree import load_tree
 
 
 def load_pages(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
-    """Page records of a Parquet table, or of a tree of JSON files (one record each; kind="json"). Spark
-    skips names that begin with _ or a dot, so a tree with such names has to be copied first."""
+    """Page records of a Parquet table, of a tree of JSON files (one record each; kind="json") or of a tree of `_index.json` files
+    (kind="tree"; pagetree.load_tree() also gives those that were rejected)."""
+    if kind == "tree":
+        return load_tree(spark, path)[0]
     if kind == "json":
         return spark.read.schema(PAGE).option("multiLine", True).option("recursiveFileLookup", True).json(path)
     return spark.read.parquet(path)
