@@ -9,7 +9,7 @@ of a new edge: the window. When all backpointer paths from the window meet at on
 before it is committed and forgotten. Where the vocabulary has no piece across two neighbouring
 characters, as before a word's space, all paths meet by construction, so texts are committed there at the
 latest. What is between two such places is a stretch: one that fits into the window is committed at its end,
-a longer one is streamed by the window. The ids of stretches are kept in a bounded cache, and short
+a longer one is streamed by the window. Of a long text the stretches of a part are held at a time. The ids of stretches are kept in a bounded cache, and short
 stretches with a common prefix share its nodes. A character that is no piece becomes its UTF-8 byte pieces.
 
 As the library does, a space reads as U+2581, one is put before the text, and empty texts have no ids.
@@ -41,6 +41,9 @@ MAX_MODEL_BYTES = 64 << 20
 #: Stretches kept in the newer part of the cache (the older has as many), and pairs whose validity is known.
 CACHE, PAIRS = 300_000, 400_000
 SPACE = "▁"
+#: Characters of a text whose stretches are held at once.
+PART = 1 << 20
+_WORD = re.compile(f"(?<![ {SPACE}]) ")
 #: A character that is no piece has this bit and its code point for an id, until it becomes bytes.
 UNKNOWN, ID_BITS = 1 << 21, 22
 
@@ -250,22 +253,49 @@ class Model:
         """The ids of a stretch longer than the window, streamed."""
         return tuple(i for part in self.stream(stretch) for i in part)
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        cut = [self.stretch.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        self.learn(set().union(*cut))
-        get, out = self.cache.get, []
-        for own in cut:
-            ids: list[int] = []
-            for stretch in own:
-                ids += get(stretch) or self.ids_of(stretch)
-            out.append(ids)
+    def parts(self, text: str) -> Iterator[str]:
+        """A text in parts of about PART characters, cut before spaces where words begin, so that no stretch is cut. Only a
+        stretch that is longer makes a longer part."""
+        at = 0
+        while self.cut_before_space and len(text) - at > PART:
+            m = _WORD.search(text, at + PART)
+            if m is None:
+                break
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:] if at else text
+
+    def stretches(self, part: str, first: bool) -> list[str]:
+        return self.stretch.findall((SPACE if first else "") + part.replace(" ", SPACE)) if part else []
+
+    def ids_in(self, cut: list[str]) -> np.ndarray:
+        get, ids = self.cache.get, []
+        for stretch in cut:
+            ids += get(stretch) or self.ids_of(stretch)
+        return np.array(ids, np.int32)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts. Those of long ones are made part by part: besides the text and its ids, only a part's stretches
+        are held."""
+        short = [self.stretches(t, True) if len(t) <= PART else [] for t in texts]
+        self.learn(set().union(*short))
+        out = [self.ids_in(own) if len(t) <= PART else None for t, own in zip(texts, short, strict=True)]
+        del short
+        for i, t in enumerate(texts):
+            if out[i] is None:
+                found = []
+                for k, part in enumerate(self.parts(t)):
+                    cut = self.stretches(part, k == 0)
+                    self.learn(set(cut))
+                    found.append(self.ids_in(cut))
+                out[i] = np.concatenate(found)
         return out
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
-        text = b"".join(self.table[ids]) if len(ids) else b""
+        text = b"".join(b"".join(self.table[ids[i : i + PART]]) for i in range(0, len(ids), PART))
         return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
 
 
@@ -296,7 +326,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch
     model = model_of(sent.value)
     for batch in sliced(batches, most=2 << 20):
         texts = [raw.decode("utf-8", "replace") for raw in raw_texts(batch)]
-        rows = [np.array(x, np.int32) for x in model.encode_all(texts)]
+        rows = model.encode_all(texts)
         ends = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
         decoded = [model.decode(x) for x in rows]
         same = [x == t.replace(SPACE, " ") for x, t in zip(decoded, texts, strict=True)]

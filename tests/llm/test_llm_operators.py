@@ -189,6 +189,33 @@ def test_pieces_equal_the_library(spark):
     assert pieces.encoding_digest(docs(spark, [])).collect() == []
 
 
+def test_long_texts_are_encoded_part_by_part(monkeypatch):
+    import tracemalloc
+
+    import sentencepiece
+
+    from sitelake.llm import pieces
+
+    with open(pieces.MODEL, "rb") as f:
+        proto = f.read()
+    sp, model = sentencepiece.SentencePieceProcessor(model_proto=proto), pieces.Model(proto)
+    r = random.Random(3)
+    text = "".join(r.choice(["a word", " ", "  ", "\n", "é", " über", "x" * 30, " 12", "▁", "日本 "]) for _ in range(3000)) + "y" * 500 + " end  "
+    want = sp.encode(text)
+    for part in (7, 100, 5000):
+        monkeypatch.setattr(pieces, "PART", part)
+        assert model.encode(text) == want
+        assert model.decode(np.array(want, np.int32)) == sp.decode(want)
+    monkeypatch.setattr(pieces, "PART", 1 << 16)
+    long = passage(1000, 4) * 1500
+    model.encode(long[:100_000])
+    tracemalloc.start()
+    ids = model.encode_all([long])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * ids.nbytes + (40 << 20), (peak, ids.nbytes, len(long))
+
+
 def test_pieces_of_rows_without_ids(spark):
     from sitelake.llm import pieces
 
