@@ -26,8 +26,6 @@ ignored, and pass through in decontaminate().
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -366,39 +364,6 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     return without_rows(docs, written(bad, "contaminated"), {"id": id_key(), "hash": text_key()})
 
 
-def brute_force(text: str | None, items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple[int, int, str]:
-    """n_words, n_hit and the items of one document, by looking everywhere; for tests."""
-    doc, hit, names = words((text or "").encode()), set(), set()
-    for item, t in items:
-        own = words((t or "").encode())
-        for i in range(max(1, len(own) - window + 1) if own else 0):
-            x = own[i : i + window]
-            for j in range(len(doc) - len(x) + 1):
-                if doc[j : j + len(x)] == x:
-                    hit |= {*range(j, j + len(x))}
-                    names.add(item)
-    return len(doc), len(hit), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
-
-
-def brute_force_near(texts: list[str | None], items: list[tuple[str, str | None]], window: int = WINDOW, slop: int = 2) -> list[set[str]]:
-    """The items of proximity matches of each text, exact ones among them, by looking at every start; for tests."""
-    docs = [words((t or "").encode()) for t in texts]
-    n = Counter(x for d in docs for x in d)
-    out: list[set[str]] = [set() for _ in docs]
-    for item, t in items:
-        own = words((t or "").encode())
-        for i in range(max(1, len(own) - window + 1) if own else 0):
-            x = own[i : i + window]
-            if len(x) < 3:
-                continue
-            a, b, c = sorted(range(len(x)), key=lambda k: (n[x[k]], k))[:3]
-            for names, d in zip(out, docs, strict=True):
-                near = lambda k, s, d=d, x=x: x[k] in d[max(0, s + k - slop) : s + k + slop + 1]
-                if any(d[s + a] == x[a] and near(b, s) and near(c, s) for s in range(len(d) - len(x) + 1)):
-                    names.add(item)
-    return out
-
-
 def _words_sql(table: str, columns: str) -> str:
     return rf"SELECT {columns}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM {table}"
 

@@ -389,23 +389,6 @@ def repeat_digest(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", kept.alias("n_kept"), "kept_chars", (F.col("n_removed") > 0).alias("has_repeats"))
 
 
-def brute_force(texts: list[str | None]) -> list[tuple[int, int, int, str]]:
-    """n_bytes, n_removed, n_spans, kept_sha256 of texts, by a table of all windows; for tests."""
-    raws, seen = [(t or "").encode() for t in texts], {}
-    for r in raws:
-        for i in range(len(r) - LENGTH + 1):
-            seen[r[i : i + LENGTH]] = seen.get(r[i : i + LENGTH], 0) + 1
-    out = []
-    for r in raws:
-        gone = bytearray(len(r))
-        for i in range(len(r) - LENGTH + 1):
-            if seen[r[i : i + LENGTH]] > 1:
-                gone[i : i + LENGTH] = b"\1" * LENGTH
-        kept = bytes(b for b, g in zip(r, gone, strict=True) if not g)
-        out.append((len(r), sum(gone), len(bytes(gone).replace(b"\0", b" ").split()), hashlib.sha256(kept).hexdigest()))
-    return out
-
-
 ORACLE_SQL = """
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
 w AS (SELECT doc_id, i, md5(b[i:i + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 398)) AS i FROM d)),

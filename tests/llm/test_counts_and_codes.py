@@ -7,7 +7,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 SIGNS = ["a", "b", "the", "'s", "'re", "'", "'l", "ll", " ", "  ", "\n", "\n\n", "\t", "é", "日本", "1", "23", "!", "...", "<|endoftext|>", "<|endo", " ", "\x1c", "ing", " w", "​", "😀", "\x85", "ĉ"]
 

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -566,7 +567,7 @@ def test_repeats(spark):
         texts.append(passage(r.randint(0, 90), 60 + i) + r.choice(p) + passage(r.randint(0, 90), 90 + i) + r.choice(p)[: r.randint(300, 500)])
     texts += [p[3][:399], p[3][1:401], p[4][:400]]
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.repeat_digest(docs(spark, texts)).collect()}
-    assert [got[i] for i in range(len(texts))] == repeats.brute_force(texts)
+    assert [got[i] for i in range(len(texts))] == brute.repeats(texts)
     assert repeats.repeat_digest(docs(spark, [])).collect() == []
     twice = rows_of(spark, [(1, p[0], None, None, None)] * 2 + [(None, passage(90, 7), None, None, None)]).withColumnRenamed("lang", "ranges")
     assert sorted(x.n_removed > 0 for x in repeats.repeat_digest(twice).collect()) == [False, True, True]
@@ -580,7 +581,7 @@ def test_repeats_of_crowded_anchors(spark, monkeypatch):
     texts = [passage(40, 200 + i) + p[i % 7 : 560 + i % 5] + passage(40, 300 + i) for i in range(40)]
     texts += [p[: 60 + 9 * i] + "#" + p[61 + 9 * i :] for i in range(45)]  # near copies: cells stay crowded
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.repeat_digest(docs(spark, texts)).collect()}
-    assert [got[i] for i in range(len(texts))] == repeats.brute_force(texts)
+    assert [got[i] for i in range(len(texts))] == brute.repeats(texts)
 
 
 def test_repeats_of_rows_without_ids(spark):
@@ -593,7 +594,7 @@ def test_repeats_of_rows_without_ids(spark):
     for same in (None, 7):
         df = rows_of(spark, [(same, t, None, None, None) for t in texts])
         got = Counter((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.repeat_digest(df).collect())
-        assert got == Counter(repeats.brute_force(texts))
+        assert got == Counter(brute.repeats(texts))
     row = repeats.repeat_digest(docs(spark, ["é" * 450])).first()
     assert (row.n_kept, row.kept_chars, row.has_repeats) == (row.n_bytes - row.n_removed, 0, True)
 
@@ -627,7 +628,7 @@ def test_decontamination(spark):
     got = {x.doc_id: x for x in decontam.contamination(table, bench).collect()}
     want = [(str(i), t) for i, t in items]
     for i, t in enumerate(texts):
-        n, hit, digest = decontam.brute_force(t, want)
+        n, hit, digest = brute.contamination(t, want)
         assert (got[i].n_words, got[i].n_hit, got[i].items_sha256) == (n, hit, digest)
         assert got[i].contaminated == (hit > 0 and 20 * hit >= n)
     kept = decontam.decontaminate(table, bench)
@@ -722,9 +723,9 @@ def test_proximity_equals_looking_everywhere(spark):
     items = [(str(i), " ".join(r.choices(some, k=k))) for i, k in enumerate([1, 2, 3, 4, 6, 6, 14])] + [("x", None)]
     bench = spark.createDataFrame(items, "item_id string, text string")
     got = {x.doc_id: x for x in decontam.find_matches(docs(spark, texts), bench, window=5, slop=2).collect()}
-    near = decontam.brute_force_near(texts, items, window=5, slop=2)
+    near = brute.near_items(texts, items, window=5, slop=2)
     for i, t in enumerate(texts):
-        n, _, digest = decontam.brute_force(t, items, window=5)
+        n, _, digest = brute.contamination(t, items, window=5)
         assert (got[i].n_words, hashlib.sha256(",".join(got[i]["items"]).encode()).hexdigest()) == (n, digest)
         assert set(got[i].near_items) == near[i] - set(got[i]["items"])
     assert sum(map(len, (x.near_items for x in got.values()))) > 5
