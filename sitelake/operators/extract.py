@@ -10,7 +10,6 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from sitelake.functions import text as T
 from sitelake.functions import urls as U
