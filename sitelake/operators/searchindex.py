@@ -267,23 +267,33 @@ def matches(index: SearchIndex, queries: DataFrame) -> DataFrame:
     return score(search, search.candidates).select("query_id", "url")
 
 
+def _first_pages(scores: DataFrame, parts: int = 32) -> DataFrame:
+    """The best _k of each query with rank, ties by url; picked in parts first, since a query can match most pages."""
+    by = W.partitionBy("query_id", F.pmod(F.xxhash64("url"), F.lit(parts))).orderBy(F.desc("score"), "url")
+    some = scores.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= F.col("_k")).drop("_r")
+    return top_k(some, F.col("_k"))
+
+
 def best_pages(index: SearchIndex, queries: DataFrame, first_blocks: int = FIRST_BLOCKS) -> tuple[DataFrame, DataFrame]:
     """((query_id, url, score, rank), report) of queries (query_id, query, k): the k best pages of each, ties by url. The report
     (query_id, n_blocks, n_first, n_second) says in how many blocks all terms of a query have pages, and how many of
     these each pass scored."""
     search = prepare(index, queries)
     by = W.partitionBy("query_id").orderBy(F.desc("bound"), "seg", "block")
-    ranked = search.candidates.withColumn("_r", F.row_number().over(by))
+    # a rank of so few is limited in every task before the shuffle, so a query of one frequent term isn't sorted as a whole
+    best_blocks = search.candidates.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= first_blocks)
+    best_blocks = written(best_blocks.select("query_id", "seg", "block"), "first-blocks")
     limits = queries.select("query_id", F.col("k").cast("int").alias("_k"))
-    first = written(top_k(score(search, ranked.filter(F.col("_r") <= first_blocks)).join(limits, "query_id"), F.col("_k")), "first-pages")
+    first = written(_first_pages(score(search, best_blocks).join(limits, "query_id")), "first-pages")
     # the score that a block has to reach; none if fewer than k pages are found so far
     least = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= F.first("_k"), F.min("score")).alias("least"))
-    rest = ranked.filter(F.col("_r") > first_blocks).join(least, "query_id", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
+    others = search.candidates.join(best_blocks, ["query_id", "seg", "block"], "left_anti")
+    rest = others.join(least, "query_id", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
     rest = written(rest.select("query_id", "seg", "block"), "second-blocks")
     both = first.select("query_id", "url", "score").unionByName(score(search, rest))
     counts = search.candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_blocks")).join(rest.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_second")), "query_id", "left")
     report = counts.select("query_id", "n_blocks", F.least(F.col("n_blocks"), F.lit(first_blocks).cast("long")).alias("n_first"), F.coalesce("n_second", F.lit(0)).cast("long").alias("n_second"))
-    return top_k(both.join(limits, "query_id"), F.col("_k")).drop("_k"), report
+    return _first_pages(both.join(limits, "query_id")).drop("_k"), report
 
 
 def section_pages(index: SearchIndex, queries: DataFrame, pages: DataFrame, fetched: int = 200) -> DataFrame:
