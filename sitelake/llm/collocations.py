@@ -138,7 +138,7 @@ class _Flat:
         own = words.indices.to_numpy().astype(np.int64)
         lang = np.repeat(langs.indices.to_numpy().astype(np.int64), size)
         # a word of two languages is two words
-        self.key, self.id = np.unique(lang * len(words.dictionary) + own, return_inverse=True)
+        self.id, self.key = pd.factorize(lang * len(words.dictionary) + own)
         self.words, self.langs = words.dictionary.take(pa.array(self.key % len(words.dictionary))), langs.dictionary.take(pa.array(self.key // len(words.dictionary)))
         self.n = np.repeat(batch.column("n").to_numpy(), size)
         end = np.repeat(np.cumsum(size), size)
@@ -158,12 +158,14 @@ class _Flat:
     def distinct(self, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(a place of each distinct phrase of k words that begins at one of these, for each place the number of its phrase)."""
         key = self.id[places]
-        first = np.arange(len(places))
         for i in range(1, k):
-            _, first, key = np.unique(key * len(self.key) + self.id[places + i], return_index=True, return_inverse=True)
-        if k == 1:
-            _, first, key = np.unique(key, return_index=True, return_inverse=True)
-        return places[first], key
+            key = pd.factorize(key * len(self.key) + self.id[places + i])[0]
+        one = np.full(int(key.max(initial=-1)) + 1, -1)
+        one[key] = places
+        if k == 1:  # words that begin at none of the places have none
+            here = one >= 0
+            one, key = one[here], (np.cumsum(here) - 1)[key]
+        return one, key
 
 
 def bits_of(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
