@@ -10,10 +10,11 @@ has (signs written out, no country code, other separators), which are positives,
 check, which are negatives: so the trees learn from form and context, and are measured, beyond the base patterns.
 Candidates are described without the sign that makes them base matches (the +, the @).
 
-The trees (pyspark.ml's GBTClassifier) are fitted on the candidates of about SAMPLE_DOCS documents,
-chosen by a hash of their id and text, and at most SAMPLE_ROWS labelled ones; a fifth of these is held out.
-On it, isotonic regression turns scores into probabilities, and each kind's threshold is the lowest
-score whose probability is at least PRECISION. Then one pass over all texts finds base spans, scores
+The trees (pyspark.ml's GBTClassifier) are fitted on the labelled candidates of all documents; a fifth of these, chosen
+by a hash, is held out. Candidates that look alike are one row with their number as its weight, and there are as many bins
+as Spark needs to find splits from every row. On what is held out, isotonic regression turns scores into
+probabilities, and each kind's threshold is the lowest score whose probability is at least PRECISION (thresholds() takes
+it from running sums). Then one pass over all texts finds base spans, scores
 the other candidates and adds those that reach the threshold and overlap nothing better.
 
 Defined results: a null or empty text has no spans; with no labelled candidates of both classes nothing
@@ -24,8 +25,10 @@ listed first, then the shorter; repeated rows and null ids give a row each, an e
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,11 +38,14 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from sitelake.llm.common import raw_texts, sliced, small_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS, SAMPLE_ROWS, PRECISION = 20_000, 40_000, 0.95
+PRECISION = 0.95
+#: A kind with fewer positives held out takes the threshold of all; ranges of scores that are summed apart; rows in a task of the fit.
+FEW, RANGES, FIT_ROWS = 30, 1024, 100_000
 TREES, DEPTH = 20, 3
 CONTEXT = 40
 
@@ -326,38 +332,61 @@ def labelled(text: str, without: str | None = None) -> list[tuple[str, int, int,
 
 def _labelled(batches: Iterator[pa.RecordBatch], without: str | None = None) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
-        x, y, h = [], [], []
+        found: Counter = Counter()
         for raw in raw_texts(batch):
             for text, start, kind, end, of in labelled(raw.decode("utf-8", "replace"), without):
                 forms = [(start, kind, end)]
                 if of and kind == 3 and (m := _COUNTRY.match(text, start)):  # a number without its country is one too
                     forms.append((m.end(), 3, end))
-                x += [features(text, *f) for f in forms]
-                y += [float(of)] * len(forms)
-                h += [int.from_bytes(hashlib.sha256(f"{start} {kind} {text[start:end]}".encode()).digest()[:6], "big")] * len(forms)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64()), pa.array(h, pa.int64())], ["x", "label", "h"])
-
-
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMPLE_ROWS, without: str | None = None) -> Scorer:
-    """Trees and thresholds from a bounded sample of labelled candidates; `without` one of the forms they are rewritten in."""
-    texts = docs.select("doc_id", "text")
-    m = max(1, -(-texts.count() // sample_docs))
-    rows = written(texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(m)) == 0).mapInArrow(lambda it: _labelled(it, without), "x array<double>, label double, h long"), "candidates")
-    # positives and negatives have a share each, so that the common class doesn't crowd out the other
-    sample = written(rows.filter("label = 1").orderBy("h").limit(sample_rows // 2).unionByName(rows.filter("label = 0").orderBy("h").limit(sample_rows // 2)), "labelled")
-    if {r.label for r in sample.filter("h % 5 <> 0").select("label").distinct().collect()} != {0.0, 1.0}:
+                held = int.from_bytes(hashlib.sha256(f"{start} {kind} {text[start:end]}".encode()).digest()[:6], "big") % 5 == 0
+                found.update((tuple(features(text, *f)), float(of), held) for f in forms)
+        x, y, held, n = zip(*((*k, n) for k, n in found.items()), strict=True) if found else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64()), pa.array(held, pa.bool_()), pa.array(n, pa.int64())], ["x", "label", "held", "n"])
+
+
+def _scored(batches: Iterator[pa.RecordBatch], scorer: Scorer) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = np.array(batch.column("x").flatten()).reshape(-1, FEATURES)
+        yield pa.RecordBatch.from_arrays([pa.array(x[:, :4].argmax(1)), pa.array(scorer.score(x)), pa.array(batch.column("label").to_numpy().astype(np.int64)), batch.column("n")], ["kind", "score", "label", "n"])
+
+
+def thresholds(scored: DataFrame) -> tuple[float, ...]:
+    """For each kind _threshold() of all rows (kind, score, label, n) of it, or of all kinds where it has FEW positives.
+
+    Isotonic probabilities reach PRECISION behind the place where the running sum of label - PRECISION, by score, is
+    first at its least. Sums of ranges of scores are made apart, and those of whole ranges (RANGES a kind) put before them."""
+    least = round(100 * PRECISION)
+    rows = scored.unionByName(scored.withColumn("kind", F.lit(-1).cast("long")))
+    sums = rows.groupBy("kind", "score").agg(F.sum(F.col("n") * (100 * F.col("label") - least)).alias("gain"), F.sum(F.col("n") * F.col("label")).alias("hits"))
+    sums = written(sums.withColumn("range", F.floor(F.col("score") * RANGES).cast("int")), "scores")
+    whole = written(sums.groupBy("kind", "range").agg(F.sum("gain").alias("gain"), F.sum("hits").alias("hits")), "score-ranges")
+    before = whole.select("kind", "range", F.coalesce(F.sum("gain").over(W.partitionBy("kind").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    to = F.col("before") + F.sum("gain").over(W.partitionBy("kind", "range").orderBy("score").rowsBetween(W.unboundedPreceding, 0))
+    lowest = sums.join(F.broadcast(before), ["kind", "range"]).select("kind", "score", to.alias("to")).groupBy("kind").agg(F.min(F.struct("to", "score")).alias("low"))
+    # a sum that never falls below nothing is at its least before the first score
+    last = lowest.select("kind", F.when(F.col("low.to") < 0, F.col("low.score")).otherwise(-1.0).alias("last"))
+    first = sums.join(F.broadcast(last), "kind").groupBy("kind").agg(F.sum("hits").alias("hits"), F.min(F.when(F.col("score") > F.col("last"), F.col("score"))).alias("first"))
+    found = {r.kind: (r.hits, np.inf if r["first"] is None else r["first"]) for r in first.collect()}  # a row a kind
+    for_all = found.get(-1, (0, np.inf))[1]
+    return tuple(found[k][1] if k in found and found[k][0] >= FEW else for_all for k in range(4))
+
+
+def fit(docs: DataFrame, without: str | None = None) -> Scorer:
+    """Trees and thresholds from all labelled candidates; `without` one of the forms they are rewritten in."""
+    alike = docs.select("text").mapInArrow(lambda it: _labelled(it, without), "x array<double>, label double, held boolean, n long").groupBy("x", "label", "held").agg(F.sum("n").alias("n"))
+    rows = written(alike.sortWithinPartitions("x", "label"), "candidates")
+    n = {r.label: r["count"] for r in rows.filter("NOT held").groupBy("label").count().collect()}
+    if set(n) != {0.0, 1.0}:
         return Scorer()
-    train = sample.filter("h % 5 <> 0").orderBy("h").coalesce(4).select(array_to_vector("x").alias("features"), "label").cache()
+    total = sum(n.values())
+    # Spark finds splits in a sample unless the square of the bins reaches the rows
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, weightCol="n", maxBins=max(32, math.isqrt(total) + 1))
+    train = rows.filter("NOT held").coalesce(max(4, -(-total // FIT_ROWS))).select(array_to_vector("x").alias("features"), "label", F.col("n").cast("double").alias("n")).cache()
     try:
-        scorer = _trees(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(train))
+        scorer = _trees(trees.fit(train))
     finally:
         train.unpersist()
-    held = sample.filter("h % 5 = 0").select("x", "label").collect()  # at most a fifth of sample_rows, about
-    x, y = np.array([r.x for r in held]).reshape(-1, FEATURES), np.array([r.label for r in held])
-    score = scorer.score(x)
-    for_all = _threshold(score, y)
-    kinds = [x[:, k] == 1 for k in range(4)]
-    scorer.thresholds = tuple(_threshold(score[k], y[k]) if (y[k] == 1).sum() >= 30 else for_all for k in kinds)
+    scorer.thresholds = thresholds(rows.filter("held").mapInArrow(lambda it: _scored(it, scorer), "kind long, score double, label long, n long"))
     return scorer
 
 

@@ -153,6 +153,38 @@ def test_calibration_never_falls_and_keeps_precision():
     assert y[p >= cut].mean() >= PRECISION - 0.03
 
 
+def test_trees_and_thresholds_come_from_every_candidate(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    from sitelake.llm import pii
+
+    texts = [f"{passage(4, i)} +1 (212) 555-{1000 + i} and a.{i}@b.example.com nr {10**6 + i}" for i in range(200)]
+    table, seen, held = docs(spark, texts * 150), [], []
+    fit, thresholds = GBTClassifier.fit, pii.thresholds
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, df: (seen.append((df.count(), df.agg({"n": "sum"}).first()[0], self.getMaxBins())), fit(self, df))[1])
+    monkeypatch.setattr(pii, "thresholds", lambda df: (held.append(df.agg({"n": "sum"}).first()[0]), thresholds(df))[1])
+    pii.fit(table)
+    per_text = [sum(1 + (of and k == 3 and pii._COUNTRY.match(t, s) is not None) for t, s, k, _, of in pii.labelled(x)) for x in texts]
+    assert seen[0][1] + held[0] == 150 * sum(per_text) > 60_000
+    assert seen[0][2] ** 2 > seen[0][0], "Spark takes splits from all rows, too"
+
+
+def test_thresholds_are_those_of_isotonic_regression(spark):
+    from sitelake.llm import pii
+
+    r = np.random.default_rng(2)
+    for shape in (lambda p: r.random(len(p)) < p, lambda p: p >= 0, lambda p: p < 0, lambda p: (p > 0.3) & (r.random(len(p)) < 0.97)):
+        score = np.round(r.random(2000), 2 + (shape(np.ones(1))[0]))
+        y, kind = shape(score).astype(int), r.integers(0, 3, 2000)
+        kind[:20] = 3
+        got = pii.thresholds(spark.createDataFrame([(int(k), float(s), int(l), n) for k, s, l in zip(kind, score, y, strict=True) for n in (1, 2)], "kind long, score double, label long, n long"))
+        thrice, all_y = np.repeat(score, 3), np.repeat(y, 3).astype(float)
+        of_all = pii._threshold(thrice, all_y)
+        for k in range(4):
+            own = np.repeat(kind == k, 3)
+            assert got[k] == (pii._threshold(thrice[own], all_y[own]) if all_y[own].sum() >= 30 else of_all), k
+
+
 def test_no_labels_no_additions(spark):
     from sitelake.llm import pii
 
