@@ -48,6 +48,7 @@ PIECE_END = "\n"
 _END = 255
 _TABLE = bytes(_END if chr(b) in ".,;:!?\n\v\f\r" else b + 32 if 65 <= b <= 90 else 32 if b == 9 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def symbols(raw: bytes) -> list[bytes]:
@@ -56,7 +57,20 @@ def symbols(raw: bytes) -> list[bytes]:
 
 
 def hashed(words: pa.Array) -> np.ndarray:
-    return pd.util.hash_array(np.array(words.to_pylist(), dtype=object), categorize=False)
+    """64 bits of the UTF-8 bytes of each word: a polynomial of the bytes, mixed."""
+    words = words.cast(pa.large_binary())
+    _, at, data = words.buffers()
+    at = np.frombuffer(at, np.int64)[words.offset : words.offset + len(words) + 1] if at else np.zeros(1, np.int64)
+    size = np.diff(at)
+    if not at[-1] - at[0]:
+        return np.zeros(len(size), np.uint64)
+    power = np.cumprod(np.full(int(size.max()), _ODD, np.uint64))
+    term = np.frombuffer(data, np.uint8)[at[0] : at[-1]] + np.uint64(1)
+    term *= power[np.arange(len(term)) - np.repeat(at[:-1] - at[0], size)]
+    some = size > 0  # an empty word has no sum of its own
+    out = np.zeros(len(size), np.uint64)
+    out[some] = np.add.reduceat(term, (at[:-1] - at[0])[some])
+    return mixed(out)
 
 
 def mixed(first: np.ndarray, *more: np.ndarray) -> np.ndarray:
@@ -70,7 +84,10 @@ def mixed(first: np.ndarray, *more: np.ndarray) -> np.ndarray:
 def boundaries(flat: list[bytes], ends: np.ndarray) -> np.ndarray:
     """Where chunks begin in texts that end at `ends` of the flat symbols: at every text, and at every window that is a
     trigger and lies within its text, with cuts in between if these are far apart."""
-    words = pa.array(flat, pa.binary()).dictionary_encode()
+    return _boundaries(pa.array(flat, pa.binary()).dictionary_encode(), ends)
+
+
+def _boundaries(words: pa.DictionaryArray, ends: np.ndarray) -> np.ndarray:
     h = hashed(words.dictionary)[words.indices.to_numpy()]
     n = len(h) - OVERLAP + 1
     if n > 0:
@@ -80,7 +97,7 @@ def boundaries(flat: list[bytes], ends: np.ndarray) -> np.ndarray:
         found = np.empty(0, np.int64)
     starts = np.concatenate([[0], ends[:-1]])
     at = np.unique(np.concatenate([found, starts[starts < ends]]).astype(np.int64))
-    gaps = np.diff(np.append(at, len(flat)))
+    gaps = np.diff(np.append(at, len(words)))
     if len(gaps) and gaps.max() > MOST:
         more = np.concatenate([np.arange(a + MOST, a + g - OVERLAP, MOST) for a, g in zip(at[gaps > MOST], gaps[gaps > MOST], strict=True)])
         at = np.union1d(at, more)
@@ -91,16 +108,22 @@ def _parsed(flat: list[bytes], ends: list[int], langs: list[str]) -> pa.RecordBa
     """The distinct chunks of some texts: lang, chunk (symbols with spaces between), closed (whether a boundary ends it), how
     many words begin before its closing window, and n."""
     bounds = np.array(ends, np.int64)
-    at = boundaries(flat, bounds)
+    coded = pa.array(flat, pa.binary()).dictionary_encode()
+    at = _boundaries(coded, bounds)
     text = np.searchsorted(bounds, at, side="right")
     stop = bounds[text]
     follow = np.append(at[1:], len(flat))
     closed = follow < stop
     until = np.where(closed, follow + OVERLAP, stop)
-    count = Counter((langs[t], b" ".join(flat[a:b]), c) for a, b, t, c in zip(at.tolist(), until.tolist(), text.tolist(), closed.tolist(), strict=True))
-    lang, chunk, shut = zip(*count, strict=True) if count else ((), (), ())
-    texts = pa.array([c.replace(b"\xff", b"\n") for c in chunk], pa.binary()).cast(pa.string())
-    words = [c.count(b" ") + 1 - c.count(b"\xff") - (sum(x != b"\xff" for x in c.rsplit(b" ", OVERLAP)[1:]) if s else 0) for c, s in zip(chunk, shut, strict=True)]
+    own = coded.indices.to_numpy()
+    # a chunk is a slice of all symbols with spaces between; words that begin before its closing window are those up to the next chunk
+    whole = b" ".join(flat).replace(b"\xff", PIECE_END.encode())
+    place = np.concatenate([[0], np.cumsum(pc.binary_length(coded.dictionary).to_numpy()[own].astype(np.int64) + 1)])
+    before = np.concatenate([[0], np.cumsum(pc.not_equal(coded.dictionary, b"\xff").to_numpy(zero_copy_only=False)[own])])
+    words = before[np.where(closed, follow, stop)] - before[at]
+    count = Counter((langs[t], whole[a:b], c, w) for t, a, b, c, w in zip(text.tolist(), place[at].tolist(), (place[until] - 1).tolist(), closed.tolist(), words.tolist(), strict=True))
+    lang, chunk, shut, words = zip(*count, strict=True) if count else ((), (), (), ())
+    texts = pa.array(chunk, pa.binary()).cast(pa.string())
     return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), texts, pa.array(shut, pa.bool_()), pa.array(words, pa.int64()), pa.array(count.values(), pa.int64())], ["lang", "chunk", "closed", "words", "n"])
 
 
@@ -138,7 +161,13 @@ class _Flat:
         own = words.indices.to_numpy().astype(np.int64)
         lang = np.repeat(langs.indices.to_numpy().astype(np.int64), size)
         # a word of two languages is two words
-        self.id, self.key = pd.factorize(lang * len(words.dictionary) + own)
+        key, most = lang * len(words.dictionary) + own, len(langs.dictionary) * len(words.dictionary)
+        if most <= 4 * len(key):  # a table of all pairs of a language and a word
+            there = np.zeros(most, bool)
+            there[key] = True
+            self.id, self.key = (np.cumsum(there) - 1)[key], np.flatnonzero(there)
+        else:
+            self.id, self.key = pd.factorize(key)
         self.words, self.langs = words.dictionary.take(pa.array(self.key % len(words.dictionary))), langs.dictionary.take(pa.array(self.key // len(words.dictionary)))
         self.n = np.repeat(batch.column("n").to_numpy(), size)
         end = np.repeat(np.cumsum(size), size)
@@ -147,8 +176,12 @@ class _Flat:
         self.core = self.left > np.repeat(np.where(batch.column("closed").to_numpy(zero_copy_only=False), OVERLAP, 0), size)
         sign = words.dictionary.index(PIECE_END).as_py()
         self.word = own != sign
-        #: A hash of each word with its language.
-        self.hash = mixed(hashed(langs.dictionary)[self.key // len(words.dictionary)], hashed(words.dictionary)[self.key % len(words.dictionary)])[self.id]
+        self.coded = langs.dictionary, words.dictionary
+
+    def hash(self) -> np.ndarray:
+        """A hash of each word with its language."""
+        langs, words = map(hashed, self.coded)
+        return mixed(langs[self.key // len(words)], words[self.key % len(words)])[self.id]
 
     def texts(self, ids: np.ndarray, k: int) -> tuple[pa.Array, pa.Array]:
         """(languages, phrases) of k words that begin at these places of the flat symbols."""
@@ -157,9 +190,14 @@ class _Flat:
 
     def distinct(self, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(a place of each distinct phrase of k words that begins at one of these, for each place the number of its phrase)."""
-        key = self.id[places]
+        key, most = self.id[places], len(self.key)
         for i in range(1, k):
-            key = pd.factorize(key * len(self.key) + self.id[places + i])[0]
+            if most * len(self.key) >= 1 << 63:  # as many words as fit are numbered at once
+                key, found = pd.factorize(key)
+                most = len(found)
+            key, most = key * len(self.key) + self.id[places + i], most * len(self.key)
+        if k > 1:
+            key = pd.factorize(key)[0]
         one = np.full(int(key.max(initial=-1)) + 1, -1)
         one[key] = places
         if k == 1:  # words that begin at none of the places have none
@@ -205,7 +243,8 @@ def _counted(batches: Iterator[pa.RecordBatch], k: int, sent) -> Iterator[pa.Rec
                 may[-i:] = False
             may &= flat.left >= k - 1
             places = np.flatnonzero(may)
-            bit = mixed(*(flat.hash[places + i] for i in range(k - 1))) % np.uint64(FILTER_BITS)
+            h = flat.hash()
+            bit = mixed(*(h[places + i] for i in range(k - 1))) % np.uint64(FILTER_BITS)
             may[places] = (table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
             both = may.copy()
             both[:-1] &= may[1:]

@@ -166,6 +166,32 @@ def test_chunks_overlap_and_say_each_place_once():
     assert seen == want
 
 
+def test_hashes_and_numbers_of_phrases(monkeypatch):
+    """Hashes are those of a word's bytes, wherever it stands; phrases are told apart however many words fit one number."""
+    import pyarrow as pa
+
+    from sitelake.llm import collocations as cl
+
+    words = ["", "a", "b", "ab", "ba", "é", "x" * 5000, "\0", "\0\0", "a"]
+    own = cl.hashed(pa.array(words))
+    assert len(set(own.tolist())) == len(set(words)) and own[1] == own[9]
+    assert (cl.hashed(pa.array([w.encode() for w in words]).slice(3, 5)) == own[3:8]).all() and len(cl.hashed(pa.array([], pa.binary()))) == 0
+    rng = np.random.default_rng(8)
+    chunks = [" ".join(rng.choice(["a", "b", "cc", "\n"], 12)) for _ in range(300)]
+    langs = rng.choice(["en", "de"], 300).tolist()
+    flat = cl._Flat(pa.table({"lang": langs, "chunk": chunks, "closed": [False] * 300, "n": [1] * 300}).to_batches()[0])
+    symbols = [(x, w) for x, c in zip(langs, chunks, strict=True) for w in c.split(" ")]
+    assert (flat.hash() == cl.mixed(cl.hashed(pa.array([x for x, _ in symbols])), cl.hashed(pa.array([w for _, w in symbols])))).all()
+    for k in (1, 2, 3, 4):
+        places = np.flatnonzero(flat.left >= k)
+        for keys in (flat.key, np.arange(1 << 22)):  # the longer range doesn't fit three times
+            monkeypatch.setattr(flat, "key", keys)
+            one, which = flat.distinct(places, k)
+            phrase = lambda p, k=k: tuple(symbols[p : p + k])
+            assert [phrase(one[w]) for w in which] == [phrase(p) for p in places.tolist()] and len({phrase(p) for p in one.tolist()}) == len(one)
+        monkeypatch.undo()
+
+
 def test_far_boundaries_are_cut(monkeypatch):
     from sitelake.llm import collocations as cl
 
