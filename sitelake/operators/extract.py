@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -47,6 +48,8 @@ CONTEXT = 200
 _SPACE = re.compile(r"\s+")
 #: A tag that the end of the page cuts is no text.
 _CUT_TAG = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
+#: A sign that can begin a character reference, and the reference if a semicolon closes it.
+_REFERENCE = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)?")
 
 
 # What an element stands in, as bits that its children inherit.
@@ -185,10 +188,17 @@ def _breadcrumb(nodes: list[Node]) -> list[dict]:
     return []
 
 
-def page_facts(html: str | None) -> dict:
-    """Raw facts of one page. Never fails on bad HTML."""
+def _only_closed(html: str) -> str:
+    """The HTML with every & that begins no reference closed by a semicolon written as one that does."""
+    return _REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else "&amp;" + m[0][1:], html)
+
+
+def page_facts(html: str | None, open_references: bool = True) -> dict:
+    """Raw facts of one page. Never fails on bad HTML. As in HTML, some character references need no semicolon (&amp as
+    the last of a cut title is &); without open_references those stay as they are."""
     tree = _Tree()
-    tree.feed(_CUT_TAG.sub("", html or ""))
+    html = _CUT_TAG.sub("", html or "")
+    tree.feed(html if open_references else _only_closed(html))
     tree.close()
     nodes = list(tree.root.walk())
     first = lambda tag: next((n for n in nodes if n.tag == tag), None)
@@ -226,7 +236,7 @@ _FACTS = (
 )
 
 
-def raw_facts(pages: DataFrame) -> DataFrame:
+def raw_facts(pages: DataFrame, open_references: bool = True) -> DataFrame:
     """Pages (url, html) with the facts in place of the HTML."""
 
     small_batches(pages.sparkSession)
@@ -235,7 +245,7 @@ def raw_facts(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(0, len(batch), 200):  # facts of a few pages at a time
                 part = batch.iloc[i : i + 200]
-                yield pd.concat([part.drop(columns="html").reset_index(drop=True), pd.DataFrame([page_facts(h) for h in part.html])], axis=1)
+                yield pd.concat([part.drop(columns="html").reset_index(drop=True), pd.DataFrame([page_facts(h, open_references) for h in part.html])], axis=1)
 
     rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != "html"]
     return pages.mapInPandas(run, ", ".join([*rest, _FACTS]))
@@ -270,10 +280,11 @@ def breadcrumb_section() -> dict[str, Column]:
     return {"path_titles": path, "section": F.coalesce(F.get(path, 1), F.lit("")), "warnings": F.when(F.size("breadcrumb") == 0, F.array(F.lit("breadcrumb not found"))).otherwise(F.array().cast("array<string>"))}
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
+def extract_pages(pages: DataFrame, open_references: bool = True) -> DataFrame:
     """Pages (url, html, ...) as page rows: lang, title, description, tags, breadcrumb, path_titles, section,
-    warnings, full_text, content_length, summary, hashes, dates, and the anchors for link_edges()."""
-    facts = raw_facts(pages)
+    warnings, full_text, content_length, summary, hashes, dates, and the anchors for link_edges(). For open_references
+    see page_facts()."""
+    facts = raw_facts(pages, open_references)
     named = lambda attr, key: F.filter("metas", lambda m: (m["attr"] == attr) & (m["key"] == key) & (m["content"] != ""))
     keywords = F.flatten(F.transform(named("name", "keywords"), lambda m: F.split(m["content"], ",")))
     tags = F.concat(F.filter(F.transform(keywords, lambda k: F.trim(k)), lambda k: k != ""), F.col("tag_links"))

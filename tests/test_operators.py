@@ -315,6 +315,33 @@ def test_breaker_stream_equals_its_replay(spark, tmp_path):
     assert sorted(map(tuple, spark.sql("SELECT * FROM moves").collect())) == want
 
 
+def test_references_that_a_title_cuts_stay_in_the_queries(spark, tmp_path):
+    import __spark_entry__
+
+    duckdb = pytest.importorskip("duckdb")
+    titles = ["and&amp;&amp", "a&am", "a&", "a &lt b", "x&amp;amp", "x&amp;lt;y", "&quot;q&quot; it&#x27;s", "it&#x27", "a&b&c;", "&amp;&amp;&amp;"]
+    cut = lambda t: f"<html lang=\"en\"><head><title>{t}</title></head><body><nav><a href='/x'>x</a></nav><article><h1>{t}</h1>\n<p>one &amp; two&amp;</p>\n<p>{t}</p></article></body></html>"
+    pages = [(i, f"https://h.example/en/{i}", cut(t)) for i, t in enumerate(titles)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("extract_pages",):
+        r = con.execute(__spark_entry__.oracle_sql()[name])
+        columns = [x[0] for x in r.description]
+        got = __spark_entry__.queries()[name](spark, str(tmp_path)).select(columns).collect()
+        assert sorted(map(tuple, got)) == sorted(r.fetchall()), name
+
+
+def test_references_without_a_semicolon():
+    from sitelake.operators.extract import page_facts
+
+    html = "<title>a&amp</title><body><p>&notit; &copy; &#65; &#65 &eacute</p><a href='/x?a=1&copy=2&amp;b=3'>t</a>"
+    assert page_facts(html)["raw_title"] == "a&" and page_facts(html)["blocks"][0].endswith("é")
+    closed = page_facts(html, open_references=False)
+    assert closed["raw_title"] == "a&amp" and closed["blocks"][0] == "&notit; © A &#65 &eacute"
+    assert closed["anchors"][0]["href"] == "/x?a=1&copy=2&b=3"
+
+
 def test_links_of_one_block_take_time_in_proportion():
     import time
 
