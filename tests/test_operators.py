@@ -325,7 +325,7 @@ def test_references_that_a_title_cuts_stay_in_the_queries(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
-    for name in ("extract_pages",):
+    for name in ("extract_pages", "page_text"):
         r = con.execute(__spark_entry__.oracle_sql()[name])
         columns = [x[0] for x in r.description]
         got = __spark_entry__.queries()[name](spark, str(tmp_path)).select(columns).collect()
