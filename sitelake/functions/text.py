@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,16 +38,24 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"({TOKEN})"), F.lit(1))
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c bound as the argument of a lambda, so that it is made once and not for every element of what f makes."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def runs(ordered: Column, key: Callable[[Column], Column], run: Callable[[Column, Column, Column], Column]) -> Column:
+    """run(the array, begin, length) for each run of elements with equal keys in a sorted array that isn't empty."""
+    begins = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (key(F.get(s, i)) != key(F.get(s, i - 1))))
+    length = lambda s, b, i, k: F.coalesce(F.get(b, k + 1), F.size(s)) - i
+    return once(ordered, lambda s: once(begins(s), lambda b: F.transform(b, lambda i, k: run(s, i, length(s, b, i, k)))))
+
+
 def counted(terms: Column) -> Column:
     """The distinct terms of an array with their counts, in order of the terms: the array is sorted, and a run's length is
     the distance of its begin to the next one's. In the row, and in time in proportion to it but for the sort."""
-    ordered = F.array_sort(terms)
-    begins = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-    # each array is bound as the argument of a lambda, so that it is made once and not for every element
-    runs = lambda s, b: F.transform(b, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s)) - i).cast("long").alias("n")))
-    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    found = runs(F.sort_array(terms), lambda x: x, lambda s, i, n: F.struct(F.get(s, i).alias("term"), n.cast("long").alias("n")))
     empty = F.array().cast("array<struct<term: string, n: bigint>>")
-    return F.when(F.size(terms) > 0, once(ordered, lambda s: once(begins(s), lambda b: runs(s, b)))).otherwise(empty)
+    return F.when(F.size(terms) > 0, found).otherwise(empty)
 
 
 def hashed(c: Column) -> Column:

@@ -2,9 +2,9 @@
 
 Segments. The index is a sequence of segments that are never changed once written. A segment has
 
-    pages    url, dl (terms of the page), counted (its distinct terms with their counts)
-    blocks   term, block, n, tf_max, dl_min, entries (url, tf, dl), by bucket of the term and sorted by term
-    gone     url, victim, dl, counted: pages of earlier segments that this one replaces or removes
+    pages    block, urls, dls (terms of each page), counted (each page's distinct terms with their counts): a row for each block
+    blocks   term, block, n, tf_max, dl_min, pages (their places in the block), tfs, dls, by bucket of the term and sorted by term
+    gone     url, victim, dl: pages of earlier segments that this one replaces or removes
 
 and a row of the manifest, a small versioned table. A page is live if no later segment's `gone` names it and the segment it is in (by
 number: `victim`). An update adds one segment. Where FAN neighbouring segments have about the same size or
@@ -12,10 +12,13 @@ less they are merged to one; others aren't rewritten. An update costs in proport
 which have to be looked through for the old pages.
 
 Blocks. The pages of a segment are dealt to blocks by a hash of their url, in all terms alike, so that the blocks in which
-all terms of a query have pages come from an equi-join. tf_max and dl_min bound the score of any of a block's pages
+all terms of a query have pages come from an equi-join. Texts are shuffled once, by block; a block's terms are put together
+within its row. tf_max and dl_min bound the score of any of a block's pages
 from above, whatever the average length becomes. A first pass scores, for every query, the FIRST_BLOCKS blocks with the
 highest bounds; the k-th score found is a threshold, and a second pass scores the other blocks that reach it. The
-result is that of scoring every match. Both passes read the columns `entries` only for their blocks' terms.
+result is that of scoring every match. Both passes, and the choice of blocks, begin with a query's rarest term: of the other
+terms only the blocks that it has are looked at, and of these only its pages, so that a frequent term costs no row for each of its
+queries and pages.
 
 Urls are keys: of several pages with one url in an update that with the largest values counts, and a url that is both
 updated and removed is removed. A null url is no page. Null texts are empty; a page without terms counts in the averages.
@@ -34,7 +37,7 @@ from pyspark.sql import Window as W
 from sitelake.functions import text as T
 from sitelake.operators.search import B, BUCKETS, INDEXED, K1, bucket_of, clamp_limit, query_terms, top_k
 from sitelake.sources import versions
-from sitelake.sources.work import remove, written
+from sitelake.sources.work import remove, settings, written
 
 #: Segments of about one size that are merged, and the pages of a block.
 FAN, BLOCK_PAGES = 4, 128
@@ -46,9 +49,9 @@ PUSHED_TERMS = 1000
 SLACK = 2e-6
 
 COUNTED = "array<struct<term: string, n: bigint>>"
-PAGES = f"url string, dl long, counted {COUNTED}"
-BLOCKS = "term string, block int, n long, tf_max long, dl_min long, entries array<struct<url: string, tf: bigint, dl: bigint>>, bucket int"
-GONE = f"url string, victim long, dl long, counted {COUNTED}"
+PAGES = f"block int, urls array<string>, dls array<bigint>, counted array<{COUNTED}>"
+BLOCKS = "term string, block int, n long, tf_max long, dl_min long, pages array<int>, tfs array<int>, dls array<int>, bucket int"
+GONE = "url string, victim long, dl long"
 MANIFEST = "id string, first long, last long, pages long, terms long, gone_pages long, gone_terms long"
 
 
@@ -66,22 +69,34 @@ class Segment:
     gone_terms: int
 
 
-def counted_pages(pages: DataFrame) -> DataFrame:
-    """(url, dl, counted) of pages (url and the indexed columns), one row for each url; counted within the row, so the only
-    shuffle is that of the urls."""
+def block_count(n: int) -> int:
+    """The blocks of a segment of n pages."""
+    return 1 << max(0, math.ceil(math.log2(max(1, n / BLOCK_PAGES))))
+
+
+def block_of(url: Column, n_blocks: int) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(n_blocks)).cast("int")
+
+
+def counted_pages(pages: DataFrame, n_blocks: int) -> DataFrame:
+    """(block, url, dl, counted) of pages (url and the indexed columns), one row for each url; counted within the row, so the only
+    shuffle is that of the texts by block."""
     text = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in INDEXED))
-    one = pages.filter("url IS NOT NULL").groupBy("url").agg(F.max(text).alias("text"))
-    terms = one.select("url", T.tokens(T.fold(F.col("text"))).alias("terms"))
-    return terms.select("url", F.size("terms").cast("long").alias("dl"), T.counted(F.col("terms")).alias("counted"))
+    dealt = pages.filter("url IS NOT NULL").select(block_of(F.col("url"), n_blocks).alias("block"), "url", text.alias("text")).repartition("block")
+    one = dealt.groupBy("block", "url").agg(F.max("text").alias("text"))
+    terms = one.select("block", "url", T.tokens(T.fold(F.col("text"))).alias("terms"))
+    return terms.select("block", "url", F.size("terms").cast("long").alias("dl"), T.counted(F.col("terms")).alias("counted"))
 
 
-def _dealt(pages: DataFrame, n_blocks: int, buckets: int) -> DataFrame:
-    """The blocks of pages (url, dl, counted)."""
-    block = F.pmod(F.xxhash64("url"), F.lit(n_blocks)).cast("int")
-    rows = pages.select(block.alias("block"), "url", "dl", F.inline("counted"))
-    entry = F.struct("url", F.col("n").alias("tf"), "dl")
-    found = rows.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("n").alias("tf_max"), F.min("dl").alias("dl_min"), F.collect_list(entry).alias("entries"))
-    return found.withColumn("bucket", bucket_of(F.col("term"), buckets)).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term")
+def _posted(pages: DataFrame, buckets: int) -> DataFrame:
+    """The blocks' terms, from rows of `pages`; within each row, so without a shuffle."""
+    entry = lambda x, page: F.struct(x["term"].alias("term"), page.alias("page"), x["n"].cast("int").alias("tf"), F.get("dls", page).cast("int").alias("dl"))
+    entries = F.flatten(F.transform("counted", lambda c, page: F.transform(c, lambda x: entry(x, page))))
+    found = T.runs(F.sort_array(entries), lambda e: e["term"], lambda s, i, n: F.struct(F.get(s, i)["term"].alias("term"), F.slice(s, i + 1, n).alias("e")))
+    rows = pages.filter(F.exists("counted", lambda c: F.size(c) > 0)).select("block", F.inline(found))
+    bounds = [F.size("e").cast("long").alias("n"), F.array_max("e.tf").cast("long").alias("tf_max"), F.array_min("e.dl").cast("long").alias("dl_min")]
+    out = rows.select("term", "block", *bounds, F.col("e.page").alias("pages"), F.col("e.tf").alias("tfs"), F.col("e.dl").alias("dls"))
+    return out.withColumn("bucket", bucket_of(F.col("term"), buckets)).sortWithinPartitions("bucket", "term")
 
 
 class SearchIndex:
@@ -104,18 +119,25 @@ class SearchIndex:
             out = out.unionByName(self._table(s, name, schema).withColumn("seg", F.lit(s.last).cast("long")))
         return out
 
+    def _pages(self, of: list[Segment] | None = None, *more: str) -> DataFrame:
+        """(url, seg) of all pages, live or not, and the given ones of dl and counted."""
+        lists = {"url": "urls", "dl": "dls", "counted": "counted"}
+        zipped = F.arrays_zip(*(F.col(lists[x]).alias(x) for x in ("url", *more)))
+        return self._all("pages", PAGES, of).select("seg", F.inline(zipped)).toDF("seg", "url", *more)
+
     def _gone(self, of: list[Segment] | None = None) -> DataFrame:
-        """(url, seg, dl, counted) of the pages that aren't live any more: seg is the last number of their segment."""
+        """(url, seg, block) of the pages that aren't live any more: seg is the last number of their segment."""
         own = self.segments if of is None else of
         rows = self._all("gone", GONE, [s for s in own if s.gone_pages])
-        seg = F.lit(None).cast("long")
+        seg, block = F.lit(None).cast("long"), F.lit(None).cast("int")
         for s in own:
-            seg = F.when(F.col("victim").between(s.first, s.last), s.last).otherwise(seg)
-        return rows.select("url", seg.cast("long").alias("seg"), "dl", "counted").filter("seg IS NOT NULL")
+            here = F.col("victim").between(s.first, s.last)
+            seg, block = F.when(here, s.last).otherwise(seg), F.when(here, block_of(F.col("url"), block_count(s.pages))).otherwise(block)
+        return rows.select("url", seg.cast("long").alias("seg"), block.alias("block")).filter("seg IS NOT NULL")
 
     def live(self) -> DataFrame:
-        """(url, dl, counted, seg) of all live pages."""
-        return self._all("pages", PAGES).join(self._gone().select("url", "seg"), ["url", "seg"], "left_anti")
+        """(url, dl, seg) of all live pages."""
+        return self._pages(None, "dl").join(self._gone().select("url", "seg"), ["url", "seg"], "left_anti")
 
     def totals(self) -> tuple[int, float]:
         """How many pages are live, and their average length; from the manifest alone."""
@@ -135,20 +157,39 @@ class SearchIndex:
         keys = [r.b for r in terms.select(bucket_of(F.col("term"), self.buckets).alias("b")).distinct().collect()]
         return rows.filter(F.col("bucket").isin(keys))
 
+    def live_blocks(self, queries: DataFrame) -> DataFrame:
+        """(term, seg, block, n, tf_max, dl_min, pages, tfs, dls) of the queries' terms, without pages that aren't live."""
+        columns = ["term", "seg", "block", "n", "tf_max", "dl_min", "pages", "tfs", "dls"]
+        rows = self.blocks(queries).join(_wanted(queries).select("term").distinct(), "term", "left_semi").select(columns)
+        if not any(s.gone_pages for s in self.segments):
+            return rows
+        urls = self._gone().groupBy("seg", "block").agg(F.collect_set("url").alias("_urls"))
+        places = F.filter(F.sequence(F.lit(0), F.size("urls") - 1), lambda i: F.array_contains("_urls", F.get("urls", i)))
+        gone = self._all("pages", PAGES).select("seg", "block", "urls").join(urls, ["seg", "block"]).select("seg", "block", places.alias("_gone"))
+        left = F.filter(F.arrays_zip("pages", "tfs", "dls"), lambda e: ~F.array_contains("_gone", e["pages"]))
+        some = rows.join(written(gone, "gone-pages"), ["seg", "block"], "left").withColumn("e", F.when(F.col("_gone").isNull(), F.arrays_zip("pages", "tfs", "dls")).otherwise(left))
+        return some.filter(F.size("e") > 0).select("term", "seg", "block", F.size("e").cast("long").alias("n"), "tf_max", "dl_min", *(F.col(f"e.{c}").alias(c) for c in ("pages", "tfs", "dls")))
+
     # writing
 
-    def _write(self, pages: DataFrame, gone: DataFrame, first: int, last: int) -> Segment:
-        """A segment of written pages (url, dl, counted) and `gone` rows; not in the manifest yet."""
+    def _write(self, pages: DataFrame, gone: DataFrame, n: int, first: int, last: int) -> Segment:
+        """A segment of n pages (block, url, dl, counted), dealt by block, and `gone` rows; not in the manifest yet."""
         name = f"{last:010d}-{uuid.uuid4().hex[:8]}"
         top = f"{self.path}/segments/{name}"
-        gone.select("url", "victim", "dl", "counted").write.parquet(f"{top}/gone")
-        pages.select("url", "dl", "counted").write.parquet(f"{top}/pages")
-        count = lambda t, s: tuple(x or 0 for x in self.spark.read.schema(s).parquet(f"{top}/{t}").agg(F.count(F.lit(1)), F.sum("dl")).first())
-        n, terms = count("pages", PAGES)
-        n_blocks = 1 << max(0, math.ceil(math.log2(max(1, n / BLOCK_PAGES))))
+        gone.select("url", "victim", "dl").write.parquet(f"{top}/gone")
+        lists = F.sort_array(F.collect_list(F.struct("url", "dl", "counted"))).alias("p")
+        rows = pages.groupBy("block").agg(lists).select("block", F.col("p.url").alias("urls"), F.col("p.dl").alias("dls"), F.col("p.counted").alias("counted"))
+        # a task holds the pages of one block at a time, when it makes these rows and when it reads them
+        with settings(self.spark, spark__sql__execution__useObjectHashAggregateExec="false"):
+            rows.write.option("compression", "zstd").parquet(f"{top}/pages")
         own = self.spark.read.schema(PAGES).parquet(f"{top}/pages")
-        _dealt(own, n_blocks, self.buckets).write.partitionBy("bucket").parquet(f"{top}/blocks")
-        return Segment(name, first, last, n, terms, *count("gone", GONE))
+        with settings(self.spark, spark__sql__parquet__enableNestedColumnVectorizedReader="false"):
+            _posted(own, self.buckets).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{top}/blocks")
+        count = lambda t: tuple(x or 0 for x in t.agg(F.count(F.lit(1)), F.sum("dl")).first())
+        written_pages, terms = count(own.select(F.explode("dls").alias("dl")))
+        if written_pages != n:
+            raise RuntimeError(f"the pages changed while they were read: {written_pages} of {n} were written")
+        return Segment(name, first, last, n, terms, *count(self.spark.read.schema(GONE).parquet(f"{top}/gone")))
 
     def _publish(self, segments: list[Segment]) -> None:
         rows = self.spark.createDataFrame([tuple(vars(s).values()) for s in segments], MANIFEST)
@@ -156,19 +197,21 @@ class SearchIndex:
         self.version, self.segments = self.version + 1, segments
 
     def update(self, pages: DataFrame, removed: DataFrame | None = None) -> None:
-        """Add or replace pages (url and the indexed columns) and remove urls, as one new segment; then merge as needed."""
+        """Add or replace pages (url and the indexed columns) and remove urls, as one new segment; then merge as needed. The
+        pages are read twice, first their urls alone."""
         number = 1 + max((s.last for s in self.segments), default=0)
-        new = counted_pages(pages)
+        urls = written(pages.select("url").filter("url IS NOT NULL").distinct(), "changed-urls")
+        n = urls.count()
         if removed is not None:
-            new = new.join(removed.select("url"), "url", "left_anti")
+            both = written(urls.join(removed.select("url"), "url", "left_semi"), "removed-urls")
+            if twice := both.count():
+                pages, n = pages.join(both, "url", "left_anti"), n - twice
         if not self.segments:
             gone = self.spark.createDataFrame([], GONE)
         else:
-            new = written(new, "changed-pages")
-            urls = new.select("url") if removed is None else new.select("url").unionByName(removed.select("url")).distinct()
-            # urls first: what a page held is read only where it goes
+            urls = urls if removed is None else urls.unionByName(removed.select("url")).distinct()
             gone = self.live().join(urls, "url", "left_semi").withColumnRenamed("seg", "victim")
-        self._publish([*self.segments, self._write(new, gone, number, number)])
+        self._publish([*self.segments, self._write(counted_pages(pages, block_count(n)), gone, n, number, number)])
         while (run := self.next_merge()) is not None:
             self.merge(run)
 
@@ -191,9 +234,11 @@ class SearchIndex:
         own = self.segments[run[0] : run[1]]
         first, last = own[0].first, own[-1].last
         inside = self._gone(own).select("url", "seg")
-        pages = self._all("pages", PAGES, own).join(inside, ["url", "seg"], "left_anti")
+        n = sum(s.pages for s in own) - inside.count()
+        pages = self._pages(own, "dl", "counted").join(inside, ["url", "seg"], "left_anti")
+        dealt = pages.select(block_of(F.col("url"), block_count(n)).alias("block"), "url", "dl", "counted").repartition("block")
         gone = self._all("gone", GONE, [s for s in own if s.gone_pages]).filter(F.col("victim") < first)
-        self._publish([*self.segments[: run[0]], self._write(pages, gone, first, last), *self.segments[run[1] :]])
+        self._publish([*self.segments[: run[0]], self._write(dealt, gone, n, first, last), *self.segments[run[1] :]])
 
     def vacuum(self) -> None:
         """Remove segments and manifests that the newest manifest doesn't name; when nobody reads an older version any more."""
@@ -208,14 +253,11 @@ def _wanted(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", query_terms(F.col("query")).alias("terms")).select("query_id", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
 
 
-def weights(index: SearchIndex, wanted: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(term, idf) of the wanted terms over the live pages: what blocks count, less what is gone."""
-    terms = wanted.select("term").distinct()
-    there = blocks.select("term", "n").join(terms, "term", "left_semi")
-    gone = index._gone().select(F.inline("counted")).select("term", F.lit(-1).cast("long").alias("n")).join(terms, "term", "left_semi")
-    df = there.unionByName(gone).groupBy("term").agg(F.sum("n").alias("df")).filter("df > 0")
+def weights(index: SearchIndex, blocks: DataFrame) -> DataFrame:
+    """(term, df, idf) over the live pages."""
+    df = blocks.groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log((F.lit(index.totals()[0]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return df.select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"))
+    return df.select("term", "df", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"))
 
 
 def _impact(tf: Column, dl: Column, average: float) -> Column:
@@ -224,41 +266,52 @@ def _impact(tf: Column, dl: Column, average: float) -> Column:
 
 @dataclass(frozen=True)
 class Search:
-    """A search of an index: `candidates` are the blocks in which all terms of a query have pages."""
+    """A search of an index: the live blocks of its terms, `asked` (query_id, term, n_terms, idf, rarest: whether no other term
+    of the query is in fewer pages) of queries whose terms are all there, and the blocks in which all of a query's terms have pages."""
 
     index: SearchIndex
     blocks: DataFrame
-    wanted: DataFrame
-    weighted: DataFrame
+    asked: DataFrame
     candidates: DataFrame
 
 
 def prepare(index: SearchIndex, queries: DataFrame) -> Search:
-    """The blocks that a search has to choose from, with an upper bound of their scores: (query_id, seg, block, bound, pages). Their
-    `entries` aren't read for it. Both passes need them, so they and the weights are written."""
-    blocks, wanted = index.blocks(queries), written(_wanted(queries), "query-terms")
-    weighted = written(weights(index, wanted, blocks), "term-weights")
-    asked = wanted.join(weighted, "term")
+    """The blocks that a search has to choose from, with an upper bound of their scores: (query_id, seg, block, bound, pages). Both passes
+    need the terms' blocks, so they are written."""
+    blocks = written(index.live_blocks(queries), "term-blocks")
+    known = written(_wanted(queries).join(weights(index, blocks), "term"), "term-weights")
+    own = known.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("df", "term")).alias("_r"))
+    asked = known.join(own, "query_id").filter("_n = n_terms").select("query_id", "term", "n_terms", "idf", (F.col("term") == F.col("_r.term")).alias("rarest"))
+    asked = written(asked, "query-terms")
+    bounds = blocks.select("term", "seg", "block", "n", "tf_max", "dl_min")
     part = F.col("idf") * _impact(F.col("tf_max"), F.col("dl_min"), index.totals()[1])
-    hits = blocks.select("term", "seg", "block", "n", "tf_max", "dl_min").join(asked, "term")
-    found = hits.groupBy("query_id", "seg", "block").agg(F.count(F.lit(1)).alias("_n"), F.first("n_terms").alias("_of"), F.sum(part).alias("bound"), F.min("n").alias("pages"))
+    first = bounds.join(asked.filter("rarest"), "term").select("query_id", "seg", "block", "n_terms", "n", part.alias("part"))
+    others = asked.filter("NOT rarest").select("query_id", "term", "idf")
+    more = first.select("query_id", "seg", "block", "n_terms").join(others, "query_id").join(bounds, ["term", "seg", "block"]).select("query_id", "seg", "block", "n_terms", "n", part.alias("part"))
+    found = first.unionByName(more).groupBy("query_id", "seg", "block").agg(F.count(F.lit(1)).alias("_n"), F.first("n_terms").alias("_of"), F.sum("part").alias("bound"), F.min("n").alias("pages"))
     found = found.filter("_n = _of").select("query_id", "seg", "block", (F.col("bound") + SLACK).alias("bound"), "pages")
-    return Search(index, blocks, wanted, weighted, written(found, "candidate-blocks"))
+    return Search(index, blocks, asked, written(found, "candidate-blocks"))
 
 
 def score(search: Search, candidates: DataFrame) -> DataFrame:
     """(query_id, url, score) of the live pages in these blocks that have every term, scores rounded to 6 places."""
-    index = search.index
-    asked = candidates.select("query_id", "seg", "block").join(search.wanted.join(search.weighted, "term"), "query_id")
-    rows = asked.join(search.blocks.select("term", "seg", "block", "entries"), ["term", "seg", "block"])
-    hits = rows.select("query_id", "n_terms", "term", "idf", "seg", F.inline("entries"))
-    part = F.col("idf") * _impact(F.col("tf"), F.col("dl"), index.totals()[1])
-    whole = hits.groupBy("query_id", "seg", "url").agg(F.collect_list(F.struct("term", part.alias("part"))).alias("parts"), F.first("n_terms").alias("n")).filter("size(parts) = n")
-    if any(s.gone_pages for s in index.segments):
-        whole = whole.join(index._gone().select("url", "seg"), ["url", "seg"], "left_anti")
+    index, blocks = search.index, search.blocks
+    rare = candidates.select("query_id", "seg", "block").join(search.asked.filter("rarest").select("query_id", "term"), "query_id")
+    own = rare.join(blocks.select("term", "seg", "block", "pages"), ["term", "seg", "block"]).select("query_id", "seg", "block", F.col("pages").alias("_own"))
+    rows = own.join(search.asked, "query_id").join(blocks.select("term", "seg", "block", "pages", "tfs", "dls"), ["term", "seg", "block"])
+    entries = F.arrays_zip("pages", "tfs", "dls")
+    kept = F.when(F.col("rarest"), entries).otherwise(F.filter(entries, lambda e: F.array_contains("_own", e["pages"])))
+    hits = rows.select("query_id", "seg", "block", "term", "idf", "n_terms", kept.alias("e")).filter(F.size("e") > 0)
+    # a block's pages stay together in the shuffle, and are told apart after it
+    hits = hits.select("query_id", "seg", "block", "term", "idf", "n_terms", *(F.col(f"e.{c}").alias(c) for c in ("pages", "tfs", "dls"))).repartition("query_id", "seg", "block")
+    hits = hits.select("query_id", "seg", "block", "term", "idf", "n_terms", F.inline(F.arrays_zip("pages", "tfs", "dls")))
+    part = F.col("idf") * _impact(F.col("tfs"), F.col("dls"), index.totals()[1])
+    whole = hits.groupBy("query_id", "seg", "block", "pages").agg(F.collect_list(F.struct("term", part.alias("part"))).alias("parts"), F.first("n_terms").alias("n")).filter("size(parts) = n")
     # parts are added in the order of their terms, so that a score doesn't depend on partitions
     parts = F.transform(F.array_sort("parts"), lambda x: x["part"])
-    return whole.select("query_id", "url", F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), 6).alias("score"))
+    scored = whole.select("query_id", "seg", "block", "pages", F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), 6).alias("score"))
+    urls = index._all("pages", PAGES).select("seg", "block", F.posexplode("urls").alias("pages", "url"))
+    return scored.join(urls, ["seg", "block", "pages"]).select("query_id", "url", "score")
 
 
 def matches(index: SearchIndex, queries: DataFrame) -> DataFrame:

@@ -169,3 +169,40 @@ def test_tables_of_other_threads_stay(spark):
     import os
 
     assert [x for x in os.listdir(top) if "-" in x and x.split("-")[0] in ("theirs", "out", "inner", "nested", "search", "warc", "catalog")] == []
+
+
+def shuffled(spark):
+    """Bytes that all tasks so far have written for shuffles."""
+    own = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(own.apply(i).totalShuffleWrite() for i in range(own.size()))
+
+
+def test_texts_are_shuffled_once_and_urls_stored_once(spark, tmp_path):
+    from sitelake.operators import searchindex as X
+
+    r = random.Random(5)
+    words = [f"{r.getrandbits(40):x}" for _ in range(400)]
+    rows = [(f"https://h.example/{r.getrandbits(200):x}", "", None, " ".join(r.choices(words, k=300)), "a") for _ in range(600)]
+    pages, index = spark.createDataFrame(rows, PAGE), X.SearchIndex(spark, str(tmp_path / "i"), buckets=2)
+    before = shuffled(spark)
+    index.update(pages)
+    assert shuffled(spark) - before < sum(len(x[0]) + len(x[3]) for x in rows)
+    assert "url" not in spark.read.parquet(str(tmp_path / f"i/segments/{index.segments[0].id}/blocks")).schema.simpleString()
+
+
+def test_frequent_terms_cost_no_rows_for_each_query_and_page(spark, tmp_path):
+    from sitelake.operators import searchindex as X
+
+    common = " ".join(f"common{i}" for i in range(10))
+    rows = [(f"u{i}", "", None, f"{common} rare{i % 100}", "a") for i in range(1000)]
+    index = X.SearchIndex(spark, str(tmp_path / "i"), buckets=2)
+    index.update(spark.createDataFrame(rows, PAGE))
+    queries = spark.createDataFrame([(i, f"{common} rare{i}") for i in range(100)], "query_id int, query string")
+    before = shuffled(spark)
+    got = {(x.query_id, x.url) for x in X.matches(index, queries).collect()}
+    assert got == {(i % 100, f"u{i}") for i in range(1000)}
+    # 10 terms of 100 queries in 1,000 pages are a million entries, of which 10,000 are in pages with the rare term
+    assert shuffled(spark) - before < 2_000_000
+    top, _ = searched(index, queries, 3)
+    assert len(top) == 300
+    assert shuffled(spark) - before < 5_000_000
