@@ -57,6 +57,52 @@ def test_forgotten_entries_are_misses(spark, tmp_path):
     assert got == {2: "hit", 5: "miss"}
 
 
+def test_null_keys_and_times_are_as_in_the_table(spark, tmp_path):
+    from sitelake.streaming import caching
+
+    at = lambda s: START + timedelta(seconds=s)
+    parts = [[(None, at(5), 2, None), (None, at(0), 1, 3.0), ("k", at(5), 3, None)], [("x", at(99_000), 6, 1.0)]]
+    with caching.rocks(spark):
+        run(caching.cache_lookup_stream(batches_of(spark, tmp_path / "in", parts, EVENTS), late="10 seconds"), tmp_path / "out", tmp_path / "cp")
+    got = {x.request_id: (x.cache_key is None, x.status, x.age_s) for x in spark.read.schema(caching.OUT).parquet(str(tmp_path / "out")).collect()}
+    assert got == {2: (True, "expired", 5.0), 3: (False, "miss", None)}
+
+
+def test_one_timer_for_all_that_waits():
+    import pandas as pd
+
+    from sitelake.streaming import caching
+
+    class State:
+        def __init__(self):
+            self.value = None
+
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value if not isinstance(self.value, list) else iter(self.value)
+        update = put = lambda self, v: setattr(self, "value", v)
+        clear = lambda self: setattr(self, "value", None)
+        appendList = lambda self, v: setattr(self, "value", [*(self.value or []), *v])
+        getValue = lambda self, k: (self.value or {}).get(k)
+        updateValue = lambda self, k, v: setattr(self, "value", {**(self.value or {}), k: v})
+
+    class Handle:
+        timers = []
+        getMapState = getListState = getValueState = lambda self, *a: State()
+        registerTimer = lambda self, ms: self.timers.append(ms)
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: 10**9
+
+    handle, lookups = Handle(), caching.Lookups(None)
+    lookups.init(handle)
+    rows = pd.DataFrame({"cache_key": "k", "at": range(0, 10**6, 1000), "kind": [0, 1] * 500, "id": range(1000), "ttl_s": 1.0})
+    for i in range(0, 1000, 250):
+        assert sum(len(x) for x in lookups.handleInputRows(("k",), iter([rows[i : i + 250]]), Now())) == 0
+    assert handle.timers == [0]
+    out = [x for part in lookups.handleExpiredTimer(("k",), Now(), None) for x in part.status]
+    assert out == ["hit"] * 500 and handle.timers == [0]
+
+
 CHANGE = "url string, v string, at long, deleted boolean"
 
 
