@@ -206,3 +206,21 @@ def test_frequent_terms_cost_no_rows_for_each_query_and_page(spark, tmp_path):
     top, _ = searched(index, queries, 3)
     assert len(top) == 300
     assert shuffled(spark) - before < 5_000_000
+
+
+def test_an_update_costs_what_changed_and_urls(spark, tmp_path):
+    from sitelake.operators import searchindex as X
+
+    r = random.Random(6)
+    words = [f"{r.getrandbits(40):x}" for _ in range(400)]
+    rows = [(f"u{i}", "", None, " ".join(r.choices(words, k=300)), "a") for i in range(600)]
+    index = X.SearchIndex(spark, str(tmp_path / "i"), buckets=2)
+    index.update(spark.createDataFrame(rows, PAGE))
+    before = shuffled(spark)
+    index.update(spark.createDataFrame([(f"u{i}", "", None, words[0], "a") for i in range(300)], PAGE), spark.createDataFrame([(f"u{i}",) for i in range(290, 400)], "url string"))
+    assert shuffled(spark) - before < sum(len(x[3]) for x in rows) / 20
+    queries = spark.createDataFrame([(1, words[0])], "query_id int, query string")
+    now = [(u, t, None, words[0] if int(u[1:]) < 290 else x, s) for u, t, _, x, s in rows if not 290 <= int(u[1:]) < 400]
+    # 8 blocks of 600 pages and 4 of 290
+    got, report = searched(index, queries, 20)
+    assert got == exhaustive(spark, now, queries, 20) and report[1].n_first + report[1].n_second <= report[1].n_blocks == 12
